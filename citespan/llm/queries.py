@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .packing import op7_packing
+from .quality import op8_quality
+from .resharding import op9_resharding
 
 QUERIES = {
     "op7_packing": op7_packing,
+    "op8_quality": op8_quality,
+    "op9_resharding": op9_resharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
