@@ -125,8 +125,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -
         part = known.filter(F.col("quality") == y).dropDuplicates(["doc_id"]).orderBy(*order).limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long"), F.substring("text", 1, 4 * TEXT_BYTES).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # at most 2 * limit rows of bounded length
-    return [(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.quality, r.text or ""))]
+    picked = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = picked.collect()  # at most 2 * limit rows of bounded length
+    return [(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.quality))]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

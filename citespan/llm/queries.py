@@ -5,8 +5,10 @@ from __future__ import annotations
 from .packing import op7_packing
 from .quality import op8_quality
 from .resharding import op9_resharding
+from .secrets import op4_secrets
 
 QUERIES = {
+    "op4_secrets": op4_secrets,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_resharding": op9_resharding,
