@@ -13,7 +13,10 @@ counts and the pieces of one length are dealt to the planned places by rank:
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,8 @@ from .common import cut, table
 
 WINDOW, END = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: A worker forgets the words it knows when it has so many; the ids don't depend on it.
-KNOWN_WORDS = 400_000
+#: A worker forgets the words or chunks it knows when it has so many; the ids don't depend on it.
+KNOWN_WORDS, KNOWN_CHUNKS = 1_000_000, 300_000
 
 
 class CapacityTree:
@@ -103,28 +106,54 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
+#: A chunk without white space that is one word of letters each of which has one lower case, with signs
+#: round it that the tokenizer keeps apart from the word.
+_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordIds(dict):
-    """A word's ids as little-endian bytes.  The tokenizer drops white space and never joins ids
-    across it, so a text's ids are its words' ids, one after the other."""
+    """A chunk's ids as little-endian bytes.  The tokenizer drops white space and never joins ids across
+    it, so a text's ids are its chunks' ids, one after the other; those of a plain chunk are its signs'
+    and its lower-case word's."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.encode, self.words = Tokenizer.from_file(path).encode, {"": b""}
+
+    def raw(self, text: str) -> bytes:
+        ids = array("I", self.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def word(self, text: str) -> bytes:
+        ids = self.words.get(text)
+        if ids is None:
+            if len(self.words) >= KNOWN_WORDS:
+                self.words = {"": b""}
+            ids = self.raw(text)
+            if len(text) < 64:
+                self.words[text] = ids
+        return ids
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KNOWN_WORDS:
+    def __missing__(self, chunk: str) -> bytes:
+        plain = _PLAIN.fullmatch(chunk)
+        if plain:
+            before, word, after = plain.groups()
+            ids = self.word(before) + self.word(word.lower()) + self.word(after)
+        else:
+            ids = self.raw(chunk)
+        if len(self) >= KNOWN_CHUNKS:
             self.clear()
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) < 200:
-            self[word] = ids
+        if len(chunk) < 64:
+            self[chunk] = ids
         return ids
 
     def of(self, text: str) -> bytes:
-        words = text.split()
         if _odd(text):
-            return np.array(self.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join([self[w] for w in words])
+            return self.raw(text)
+        return b"".join([self[w] for w in text.split()])
 
 
 def _odd(text: str) -> bool:

@@ -360,13 +360,14 @@ def _masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+def _kind_is(kind: str):
+    return lambda s: s["kind"] == kind
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' secrets, as counts and digests of their spans."""
     found = scan(table(spark, sf_dir, "documents", "doc_id", "text"))
-    n = {k: F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]}
-    text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s["end"].cast("string"))), ",")
-    base = text(F.filter("spans", lambda s: s.kind != "crf"))
+    n = {k: F.size(F.filter("spans", _kind_is(k))).cast("long").alias(f"n_{k}") for k in KINDS[:3]}
+    text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = text(F.filter("spans", lambda s: s["kind"] != "crf"))
     return found.select(F.col("doc_id").cast("long"), *n.values(), F.sha2(base.cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
