@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_chat
 from .packing import op7_packing
 from .quality import op8_quality
 from .resharding import op9_resharding
 from .secrets import op4_secrets
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op4_secrets": op4_secrets,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_resharding": op9_resharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_chat": OP1_SQL,
+}
