@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .ann import op10_neighbours
 from .chat import OP1_SQL, op1_chat
+from .html_extraction import op3_html
 from .packing import op7_packing
 from .quality import op8_quality
 from .resharding import op9_resharding
@@ -10,10 +12,12 @@ from .secrets import op4_secrets
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op3_html": op3_html,
     "op4_secrets": op4_secrets,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_resharding": op9_resharding,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLE_SQL = {
