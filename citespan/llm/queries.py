@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .ann import op10_neighbours
 from .chat import OP1_SQL, op1_chat
+from .decontamination import op2_decontamination
 from .html_extraction import op3_html
+from .jaccard_join import OP6_SQL, op6_jaccard
 from .packing import op7_packing
 from .quality import op8_quality
 from .resharding import op9_resharding
@@ -12,8 +14,10 @@ from .secrets import op4_secrets
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_decontamination": op2_decontamination,
     "op3_html": op3_html,
     "op4_secrets": op4_secrets,
+    "op6_jaccard": op6_jaccard,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
     "op9_resharding": op9_resharding,
@@ -22,4 +26,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat": OP1_SQL,
+    "op6_jaccard": OP6_SQL,
 }
