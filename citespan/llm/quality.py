@@ -154,6 +154,21 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels)))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        sizes = Compressors(m.good, m.bad)
+        for batch in batches:
+            x = np.array([sizes.features(t.as_py() or "") for t in batch.column(at)]).reshape(-1, 3)
+            yield batch.filter(pa.array(m.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their quality scores."""
     return classify(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))

@@ -7,6 +7,7 @@ from .chat import OP1_SQL, op1_chat
 from .decontamination import op2_decontamination
 from .html_extraction import op3_html
 from .jaccard_join import OP6_SQL, op6_jaccard
+from .lm_score import op5_lm
 from .packing import op7_packing
 from .quality import op8_quality
 from .resharding import op9_resharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_html": op3_html,
     "op4_secrets": op4_secrets,
+    "op5_lm": op5_lm,
     "op6_jaccard": op6_jaccard,
     "op7_packing": op7_packing,
     "op8_quality": op8_quality,
