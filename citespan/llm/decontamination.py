@@ -43,22 +43,24 @@ _NUM, _NAME, _UNIT = 1, 2, 3
 _P = np.uint64(0x100000001B3)
 _TYPE_HASH = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
-_flags: dict[str, tuple[int, int]] = {}
 _SPLIT, _NUMBER, _CAPITAL, _UNIT_WORD = 1, 2, 4, 8
 
 
-def _word(w: str) -> tuple[int, int]:
-    """(hash of the lower-case word, flags)."""
-    got = _flags.get(w)
-    if got is None:
-        if len(_flags) >= KNOWN_WORDS:
-            _flags.clear()
+class _Words(dict):
+    """A word's flags in the four lowest bits, and above them a hash of the lower-case word."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
         low = w.lower()
         raw = low.encode()
         h = zlib.crc32(raw) | zlib.crc32(b"\1" + raw[::-1]) << 32
         flag = _SPLIT if w in ".!?\n" else _NUMBER if w[0].isdigit() else (_CAPITAL if w[0].isupper() and w[1:].islower() else 0) | (_UNIT_WORD if low in _UNITS else 0)
-        got = _flags[w] = h, flag
-    return got
+        self[w] = h = h >> 4 << 4 | flag
+        return h
+
+
+_words = _Words()
 
 
 class Canonical:
@@ -69,8 +71,8 @@ class Canonical:
         if not words:
             self.hashes, self.types, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
             return
-        known = np.array([_word(w) for w in words], dtype=np.uint64)
-        h, flag = known[:, 0], known[:, 1].astype(np.int64)
+        known = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        h, flag = known & ~np.uint64(15), known.astype(np.uint8) & 15
         split = (flag & _SPLIT) > 0
         starts = np.concatenate(([True], split[:-1]))[~split]
         h, flag = h[~split], flag[~split]
@@ -80,7 +82,7 @@ class Canonical:
         after = np.concatenate(([False], types[:-1] == _NUM)) if len(types) else np.zeros(0, bool)
         types[((flag & _UNIT_WORD) > 0) & after] = _UNIT
         self.types, self.values = types, h
-        self.hashes = np.where(types > 0, _TYPE_HASH[types], h)
+        self.hashes = np.where(types > 0, _TYPE_HASH[types], h) if types.any() else h
 
     def windows(self, size: int = WINDOW) -> np.ndarray:
         """Hashes of all windows of ``size`` tokens; of a shorter text the one of all its tokens."""
@@ -98,10 +100,13 @@ class Canonical:
             ago[slots[order[same]]] = slots[order[same]] - slots[order[np.flatnonzero(same) - 1]]
         count = n - size + 1
         out = np.full(count, size, np.uint64)
+        repeats = ago.any()
         for k in range(size):
-            a = ago[k : k + count]
-            mark = np.where(a <= k, a, 0).astype(np.uint64)
-            out = (out ^ (self.hashes[k : k + count] + mark * np.uint64(0xD6E8FEB86659FD93))) * _P
+            part = self.hashes[k : k + count]
+            if repeats:
+                a = ago[k : k + count]
+                part = part + np.where(a <= k, a, 0).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            out = (out ^ part) * _P
             out ^= out >> np.uint64(29)
         return out
 
