@@ -50,7 +50,7 @@ def first_match_column(line: Column, pattern: str) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    part = lambda k: F.format_string("%.1f", n.cast("double") / 1024.0**k)
+    part = lambda k: F.format_string("%.1f", F.bround(n.cast("double") / 1024.0**k, 1))
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
         .when(n < 1024**2, F.concat(part(1), F.lit(" KB")))
