@@ -13,8 +13,6 @@ windows that can match are shuffled; if a huge benchmark fills the array, all ar
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, table
+from .wordhash import DIGIT, LETTER, UPPER, classes, code_points, run_hashes, runs, word_hashes
 
 WINDOW = 8
 #: Part of an item's tokens that matched windows must cover.
 COVERAGE = 0.5
 #: Bits of the array over the benchmark's windows: 2**FILTER_BITS, whatever its size.
 FILTER_BITS = 23
-#: A worker forgets the words it knows when it has so many.
-KNOWN_WORDS = 500_000
 
 # Units of measure and of money.
 _UNITS = frozenset(
@@ -38,49 +35,58 @@ _UNITS = frozenset(
     "ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters "
     "km/h kmh mph hz khz mhz ghz b kb mb gb tb w kw mw kwh j kj cal kcal v mv a ma pa kpa bar k c f percent degrees degree dollar dollars euro euros cent cents usd eur gbp yen rupees pesos".split()
 )
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 _NUM, _NAME, _UNIT = 1, 2, 3
 _P = np.uint64(0x100000001B3)
 _TYPE_HASH = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
-_SPLIT, _NUMBER, _CAPITAL, _UNIT_WORD = 1, 2, 4, 8
+def _unit_hashes() -> np.ndarray:
+    return np.unique(np.concatenate([word_hashes(u)[:1] for u in _UNITS if u.isalpha()]))
 
 
-class _Words(dict):
-    """A word's flags in the four lowest bits, and above them a hash of the lower-case word."""
-
-    def __missing__(self, w: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        low = w.lower()
-        raw = low.encode()
-        h = zlib.crc32(raw) | zlib.crc32(b"\1" + raw[::-1]) << 32
-        flag = _SPLIT if w in ".!?\n" else _NUMBER if w[0].isdigit() else (_CAPITAL if w[0].isupper() and w[1:].islower() else 0) | (_UNIT_WORD if low in _UNITS else 0)
-        self[w] = h = h >> 4 << 4 | flag
-        return h
-
-
-_words = _Words()
+_unit_words: list[np.ndarray] = []
 
 
 class Canonical:
-    """A text's tokens: hashes with placeholders in them, types, and values of placeholders."""
+    """A text's tokens: hashes with placeholders in them, types, and values of placeholders.
+
+    Tokens are runs of letters, and numbers with points and commas inside.  A sentence starts at the
+    text's start and after a full stop, exclamation or question mark or line end outside numbers.
+    """
 
     def __init__(self, text: str | None):
-        words = _TOKEN.findall(text or "")
-        if not words:
-            self.hashes, self.types, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
+        self.hashes, self.types, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
+        p = code_points(text or "")
+        if not len(p):
+            return
+        kind = classes(p)
+        digit = (kind & DIGIT) > 0
+        inner = np.flatnonzero((p == 0x2E) | (p == 0x2C))
+        inner = inner[(inner > 0) & (inner < len(p) - 1)]
+        inner = inner[digit[inner - 1] & digit[inner + 1]]
+        number = digit.copy()
+        number[inner] = True
+        a, b = runs((kind & LETTER) > 0)
+        c, d = runs(number)
+        starts, ends = np.concatenate([a, c]), np.concatenate([b, d])
+        order = np.argsort(starts, kind="stable")
+        is_number = (np.arange(len(starts)) >= len(a))[order]
+        starts, ends = starts[order], ends[order]
+        if not len(starts):
             return
-        known = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-        h, flag = known & ~np.uint64(15), known.astype(np.uint8) & 15
-        split = (flag & _SPLIT) > 0
-        starts = np.concatenate(([True], split[:-1]))[~split]
-        h, flag = h[~split], flag[~split]
+        h = run_hashes(p, starts, ends)
+        stop = (p == 0x2E) | (p == 0x21) | (p == 0x3F) | (p == 0x0A)
+        stop[inner] = False
+        stops = np.concatenate(([0], np.cumsum(stop)))
+        first = np.concatenate(([True], stops[starts[1:]] > stops[starts[:-1]]))
+        upper = np.concatenate(([0], np.cumsum((kind & UPPER) > 0)))
         types = np.zeros(len(h), np.int8)
-        types[(flag & _NUMBER) > 0] = _NUM
-        types[((flag & _CAPITAL) > 0) & ~starts] = _NAME
-        after = np.concatenate(([False], types[:-1] == _NUM)) if len(types) else np.zeros(0, bool)
-        types[((flag & _UNIT_WORD) > 0) & after] = _UNIT
+        types[is_number] = _NUM
+        types[~is_number & ~first & ((kind[starts] & UPPER) > 0) & (upper[ends] - upper[starts] == 1) & (ends - starts > 1)] = _NAME
+        after = np.flatnonzero(is_number[:-1] & ~is_number[1:]) + 1
+        if len(after):
+            if not _unit_words:
+                _unit_words.append(_unit_hashes())
+            types[after[np.isin(h[after], _unit_words[0])]] = _UNIT
         self.types, self.values = types, h
         self.hashes = np.where(types > 0, _TYPE_HASH[types], h) if types.any() else h
 
