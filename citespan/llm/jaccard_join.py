@@ -17,8 +17,6 @@ So no pair is ever a row, and shingles are shuffled only of classes that have a
 from __future__ import annotations
 
 import hashlib
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh, table
 from .components import components
+from .wordhash import word_hashes
 
 SHINGLE = 5
 #: The similarity at which two documents are linked, as a fraction.
@@ -37,13 +36,9 @@ TREES, DEPTH, TARGET = 24, 8, 0.9999
 BLOCK = 512
 #: Bits of the array over the candidates' ids: 2**FILTER_BITS, whatever their number.
 FILTER_BITS = 26
-#: A worker forgets the words it knows when it has so many.
-KNOWN_WORDS = 700_000
 
-_WORD = re.compile(r"\w+")
 _U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
-_known: dict[str, int] = {}
 
 
 def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
@@ -54,26 +49,11 @@ def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, targ
     return 1
 
 
-class _Words(dict):
-    """A word's 64-bit hash."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        raw = word.encode()
-        h = self[word] = zlib.crc32(raw) | zlib.crc32(b"\x01" + raw[::-1]) << 32
-        return h
-
-
-_words = _Words()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles of a text, as ascending 64-bit hashes."""
-    words = _WORD.findall((text or "").lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text or "")
+    if not len(h):
+        return h
     n = max(1, len(h) - SHINGLE + 1)
     out = np.full(n, min(len(h), SHINGLE), np.uint64)
     for j in range(min(SHINGLE, len(h))):
