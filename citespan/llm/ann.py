@@ -18,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
 #: Vectors the codebooks are fitted on, at most: those with the smallest hashes.
 TRAIN_VECTORS = 8192
-CODEBOOKS, CODEWORDS, BEAM = 16, 256, 4
+CODEBOOKS, CODEWORDS, BEAM = 16, 128, 4
 #: Distinct vectors ranked exactly for each query and block of stored vectors.
-RERANK, SLACK = 128, 0.5
-#: Stored vectors and queries handled at once.
-BLOCK, QUERY_BLOCK = 4096, 512
+RERANK, SLACK = 192, 0.5
+#: Stored vectors and queries handled at once, and blocks of stored vectors that one task goes through.
+BLOCK, QUERY_BLOCK, STRIPE = 4096, 512, 4
 
 
 class Codebooks:
@@ -118,6 +119,44 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+class _Best:
+    """The k best (score, id) of each query of a block so far; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score, self.id = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """More candidates, as many for each query; -inf for none.  An id that is there already stays once."""
+        score, ids = np.concatenate([self.score, score], axis=1), np.concatenate([self.id, ids], axis=1)
+        order = np.lexsort((ids, -score), axis=1)
+        score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+        again = np.zeros(score.shape, bool)
+        again[:, 1:] = (ids[:, 1:] == ids[:, :-1]) & (score[:, 1:] == score[:, :-1])
+        order = np.argsort(again, axis=1, kind="stable")[:, : self.k]
+        score = np.where(again, -np.inf, score)
+        self.score, self.id = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _scan(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, errors: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact scores and ids of each query's candidates in one block of stored vectors.
+
+    ids: a row for each vector, its smallest ids, -1 where there are no more.
+    """
+    lookup = np.einsum("mwd,qd->mwq", words, q.astype(np.float32), optimize=True)
+    score = lookup[0][codes[:, 0]]
+    for j in range(1, len(words)):
+        score += lookup[j][codes[:, j]]
+    # An error of norm e moves the inner product by about e |q| / sqrt(dimension).
+    score += SLACK * errors[:, None] * (np.linalg.norm(q, axis=1) / np.sqrt(q.shape[1])).astype(np.float32)[None, :]
+    top = min(RERANK, len(x))
+    near = np.argpartition(-score, top - 1, axis=0)[:top].T  # queries x top
+    exact = np.stack([np.einsum("nd,nd->n", x[n].astype(np.float64), np.broadcast_to(v, (top, len(v)))) for n, v in zip(near, q)])
+    found = ids[near]  # queries x top x ids of a vector
+    value = np.where((found < 0) | (found == qids[:, None, None]), -np.inf, exact[:, :, None])
+    return value.reshape(len(q), -1), found.reshape(len(q), -1)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = TRAIN_VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score: of each query the k nearest of ``vectors`` that aren't the query itself.
 
@@ -125,79 +164,100 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = TR
     as they are; ties go to the smaller vec_id.  A query without any candidate has no row.  Rows that
     repeat a vec_id with the same vector count once.  Vectors must all have one length; those of another
     length than most of the sample's take no part.
-    Every row is encoded and every query scored against every code, in blocks of both.
+
+    Every distinct vector is encoded and every query scored against every code: blocks of queries meet
+    blocks of vectors, a task goes through the blocks of one stripe keeping the k best of each query, and
+    the stripes' bests are merged.  So what is shuffled is blocks, not pairs.
     """
     spark = vectors.sparkSession
+    double = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
+    kind, sql_kind = (np.float64, "double") if double else (np.float32, "float")
     valid = valid_vectors(vectors)
-    drawn = valid.select("v").orderBy(F.xxhash64("v"), "vec_id").limit(sample).collect()
-    lengths = [len(r.v) for r in drawn]
+    drawn = valid.select("v").orderBy(F.xxhash64("v"), "vec_id").limit(sample).toArrow().column("v")
+    lengths = [len(v) for v in drawn]
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    books = fit(np.unique(np.array([r.v for r in drawn if len(r.v) == dim]), axis=0))
+    books = fit(np.unique(np.array([v.as_py() for v in drawn if len(v) == dim], dtype=np.float32), axis=0))
     shared = spark.sparkContext.broadcast(books.words)
-    stored = _distinct(valid.filter(F.size("v") == dim), k + 1)
+    valid = valid.filter(F.size("v") == dim)
+    asked = valid_vectors(queries).filter(F.size("v") == dim).dropDuplicates(["vec_id"]).select("vec_id", F.col("v").cast(f"array<{sql_kind}>"))
+    n_stored, n_asked = valid.count(), asked.count()
+    n_blocks = -(-n_stored // BLOCK) or 1
+    stripes = -(-n_blocks // STRIPE)
+    # Blocks of even size, whatever the number of partitions.
+    stored = _distinct(valid, k + 1).select(F.col("v").cast(f"array<{sql_kind}>"), "ids").repartition(n_blocks)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of stored vectors: ids as lists, vectors, codes and error norms as bytes."""
-        own = Codebooks(shared.value)
+        """Blocks of stored vectors: ids, vectors, codes and error norms as bytes."""
+        own, block = Codebooks(shared.value), TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                b = batch.slice(at, BLOCK)
-                x = _matrix(b.column(0), dim)
-                codes = own.encode(x.astype(np.float32))
-                error = np.linalg.norm(x - own.decode(codes), axis=1).astype(np.float32)
-                yield pa.RecordBatch.from_pylist([{"ids": b.column(1).to_pylist(), "x": x.tobytes(), "codes": codes.tobytes(), "errors": error.tobytes()}], schema=_BLOCKS)
-
-    blocks = cut(stored.mapInArrow(encoded, "ids array<array<long>>, x binary, codes binary, errors binary"))
-    asked = valid_vectors(queries).filter(F.size("v") == dim).dropDuplicates(["vec_id"])
+            x = _matrix(batch.column(0), dim).astype(kind, copy=False)
+            codes = np.concatenate([own.encode(x[i : i + 1024].astype(np.float32)) for i in range(0, len(x), 1024)]) if len(x) else np.zeros((0, len(own.words)), np.uint8)
+            error = np.linalg.norm(x - own.decode(codes), axis=1).astype(np.float32)
+            ids = np.full((len(x), k + 1), -1, np.int64)
+            for i, some in enumerate(batch.column(1).to_pylist()):
+                ids[i, : len(some)] = some
+            ids = ids[:, : max(1, int((ids >= 0).sum(axis=1).max(initial=0)))]
+            if len(x):
+                yield pa.RecordBatch.from_pylist([{"stripe": block % stripes, "x": x.tobytes(), "ids": ids.tobytes(), "codes": codes.tobytes(), "errors": error.tobytes()}])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 b = batch.slice(at, QUERY_BLOCK)
-                yield pa.RecordBatch.from_pylist([{"qids": b.column(0).to_pylist(), "q": _matrix(b.column(1), dim).tobytes()}])
-
-    asking = asked.mapInArrow(gathered, "qids array<long>, q binary")
-    # Each block of queries meets each block of vectors; both are blocks of a thousand rows or so.
-    pairs = asking.crossJoin(blocks).repartition(F.xxhash64("qids", "codes"))
+                yield pa.RecordBatch.from_pylist([{"block": block, "qids": b.column(0).to_numpy().tobytes(), "q": _matrix(b.column(1), dim).astype(np.float64).tobytes()}])
+                block += 1
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        m, w, _ = words.shape
+        """The bests of a block of queries in a stripe; rows of one come one after the other."""
+        words, at, best, qids = shared.value, None, None, b""
+
+        def done():
+            return pa.RecordBatch.from_pylist([{"block": at[0], "qids": qids, "ids": best.id.tobytes(), "scores": best.score.tobytes()}])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                if at != (r["block"], r["stripe"]):
+                    if best:
+                        yield done()
+                    at, qids = (r["block"], r["stripe"]), r["qids"]
+                    best = _Best(len(qids) // 8, k)
+                x = np.frombuffer(r["x"], kind).reshape(-1, dim)
+                ids = np.frombuffer(r["ids"], np.int64).reshape(len(x), -1)
+                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(x), -1)
+                best.add(*_scan(np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(qids, np.int64), x, ids, codes, np.frombuffer(r["errors"], np.float32), words))
+        if best:
+            yield done()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best, qids = None, None, b""
+
+        def done():
+            ok = np.isfinite(best.score)
+            rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), ok.shape)
+            owner = np.broadcast_to(np.frombuffer(qids, np.int64)[:, None], ok.shape)
+            return pa.RecordBatch.from_arrays([pa.array(owner[ok]), pa.array(rank[ok]), pa.array(best.id[ok]), pa.array(best.score[ok])], names=["query_id", "rank", "vec_id", "score"])
+
         for batch in batches:
             for r in batch.to_pylist():
-                q, x = np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(r["x"]).reshape(-1, dim)
-                codes, errors = np.frombuffer(r["codes"], np.uint8).reshape(-1, m), np.frombuffer(r["errors"], np.float32)
-                lookup = np.einsum("mwd,qd->mwq", words, q.astype(np.float32), optimize=True)
-                score = lookup[0][codes[:, 0]]
-                for j in range(1, m):
-                    score = score + lookup[j][codes[:, j]]
-                # An error of norm e moves the inner product by about e |q| / sqrt(dim).
-                score += SLACK * errors[:, None] * np.linalg.norm(q, axis=1)[None, :].astype(np.float32) / np.sqrt(dim)
-                top = min(RERANK, len(x))
-                near = np.argpartition(-score, top - 1, axis=0)[:top].T  # queries x top
-                rows = []
-                for i, qid in enumerate(r["qids"]):
-                    exact = np.einsum("nd,nd->n", x[near[i]], np.broadcast_to(q[i], (top, dim)))
-                    found = []
-                    for c in np.argsort(-exact, kind="stable"):
-                        if len(found) >= k and exact[c] < found[k - 1][0]:
-                            break
-                        found += [(exact[c], v) for v in r["ids"][near[i][c]] if v != qid]
-                        if len(found) > k:
-                            found = sorted(found, key=lambda t: (-t[0], t[1]))[:k]
-                    rows += [(qid, v, float(s)) for s, v in sorted(found, key=lambda t: (-t[0], t[1]))[:k]]
-                if rows:
-                    a, b, c = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    near = pairs.mapInArrow(answered, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-_BLOCKS = pa.schema([("ids", pa.list_(pa.list_(pa.int64()))), ("x", pa.binary()), ("codes", pa.binary()), ("errors", pa.binary())])
+                if at != r["block"]:
+                    if best:
+                        yield done()
+                    at, qids = r["block"], r["qids"]
+                    best = _Best(len(qids) // 8, k)
+                best.add(np.frombuffer(r["scores"]).reshape(-1, k), np.frombuffer(r["ids"], np.int64).reshape(-1, k))
+        if best:
+            yield done()
+
+    blocks = stored.mapInArrow(encoded, "stripe long, x binary, ids binary, codes binary, errors binary")
+    asking = cut(asked.repartition(-(-n_asked // QUERY_BLOCK) or 1).mapInArrow(gathered, "block long, qids binary, q binary"))
+    # A row on either side is hundreds or thousands of vectors.
+    met = blocks.crossJoin(asking).repartition("block", "stripe").sortWithinPartitions("block", "stripe")
+    bests = met.mapInArrow(answered, "block long, qids binary, ids binary, scores binary")
+    return bests.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
