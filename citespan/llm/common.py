@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called when an operator's step starts in a Python worker: what other operators remember there goes.
+
+    clear: how to drop what this operator remembers between tasks.
+    """
+    for name in [n for n in _held if n != owner]:
+        _held.pop(name)()
+    if clear:
+        _held[owner] = clear
+
+
 def bucket_of(doc_id, n: int):
     """crc32 of doc_id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import claim, cut, fresh, table
 from .wordhash import DIGIT, LETTER, UPPER, classes, code_points, run_hashes, runs, word_hashes
 
 WINDOW = 8
@@ -131,6 +131,7 @@ _SCHEMA = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], size: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    claim("decontamination")
     for batch in batches:
         ids, ats, hashes, ns, slots = [], [], [], [], []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import claim, cut, fresh, table
 from .components import components
 from .wordhash import word_hashes
 
@@ -91,6 +91,7 @@ _SIGNED = "doc_id long, high long, low long, keys array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    claim("near duplicates")
     forest = Forest(TREES, k)
     for batch in batches:
         marks, keys = [], []
@@ -102,22 +103,24 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "high", "low", "keys"])
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    h = ids.astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15)
-    return (h >> _U(64 - FILTER_BITS)).astype(np.int64)
+def _slot(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each id in the array."""
+    h = ids.astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15) >> _U(64 - FILTER_BITS)
+    return (h >> _U(3)).astype(np.int64), (h & _U(7)).astype(np.uint8)
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for b in batches:
-        bits[_slot(b.column(0).to_numpy())] = True
-    words = np.packbits(bits, bitorder="little").view(np.int64)
+        byte, bit = _slot(b.column(0).to_numpy())
+        np.bitwise_or.at(bits, byte, np.uint8(1) << bit)
+    words = bits.view(np.int64)
     at = np.flatnonzero(words)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(words[at])], names=["word", "bits"])
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
-    """Packed bits over all ids: at most 2**(FILTER_BITS - 6) rows come to the driver."""
+    """The array over all ids, as bytes: at most 2**(FILTER_BITS - 6) rows come to the driver."""
     rows = ids.mapInArrow(_bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
@@ -231,9 +234,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_id_filter(members.select("node")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(bits.value, bitorder="little")
+        claim("near duplicates")
+        on = bits.value
         for batch in batches:
-            some = np.flatnonzero(on[_slot(batch.column(0).to_numpy())])
+            byte, bit = _slot(batch.column(0).to_numpy())
+            some = np.flatnonzero(on[byte] >> bit & 1)
             b = batch.take(pa.array(some))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "shingles"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import claim, cut, table
 
 WINDOW, END = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -165,7 +165,8 @@ _loaded: dict[str, WordIds] = {}
 
 
 def cut_documents(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int) -> Iterator[pa.RecordBatch]:
-    words = _loaded.get(path) or _loaded.setdefault(path, WordIds(path))
+    claim("packing", _loaded.clear)
+    words = _loaded[path] if path in _loaded else _loaded.setdefault(path, WordIds(path))
     last = np.array([end], dtype="<u4").tobytes()
     for batch in batches:
         rows: list[tuple] = []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, table
+from .common import bucket_of, claim, table
 
 #: Labelled rows used, at most: of each label, those with the smallest crc32 of doc_id.
 TRAIN_DOCS = 3000
@@ -135,6 +135,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         m = shared.value
         sizes = Compressors(m.good, m.bad)
         for batch in batches:
@@ -160,6 +161,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         m = shared.value
         sizes = Compressors(m.good, m.bad)
         for batch in batches:

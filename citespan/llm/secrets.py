@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import claim, fresh, table
 
 #: Documents read for training at most: with a fixed pattern's match, and without.
 TRAIN_DOCS = 400
@@ -321,6 +321,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("secrets")
         f = shared.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
@@ -339,6 +340,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("secrets")
         f = shared.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
