@@ -172,7 +172,8 @@ def judge(hits: list, n_item: int, size: int) -> tuple[int, int] | None:
     """(windows, covered tokens) of the best consistent alignment of one document and item, or None.
 
     hits: (item_at, doc_at, item slots, doc slots).  An alignment is the windows with one difference of
-    places.  A window whose slots contradict those before it in its alignment is left out.
+    places.  A window whose slots contradict those before it in its alignment is left out, and an
+    alignment with a contradiction for every three other windows, or more, is none.
     """
     best, size = None, min(size, n_item)
     lines: dict[int, list] = {}
@@ -180,17 +181,18 @@ def judge(hits: list, n_item: int, size: int) -> tuple[int, int] | None:
         lines.setdefault(h[1] - h[0], []).append(h)
     for line in lines.values():
         there, back = {}, {}
-        covered, windows, seen = 0, 0, -1
+        covered, windows, against, seen = 0, 0, 0, -1
         for item_at, _, a, b in sorted(line, key=lambda h: h[0]):
             pairs = list(zip(a, b))
             if len(a) != len(b) or any(there.get(x, y) != y or back.get(y, x) != x for x, y in pairs):
+                against += 1
                 continue
             for x, y in pairs:
                 there[x], back[y] = y, x
             windows += 1
             covered += item_at + size - max(seen, item_at)
             seen = item_at + size
-        if windows and (best is None or covered > best[1]):
+        if windows > 3 * against and (best is None or covered > best[1]):
             best = windows, covered
     return best
 
