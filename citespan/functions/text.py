@@ -11,9 +11,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def lines(text: Column) -> Column:
-    """The lines of a text: split at \\n, one \\r before it dropped, no empty line after a last \\n."""
-    body = F.regexp_replace(text, r"\n\z", "")
-    split = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    """The lines of a text, without their ends \\n or \\r\\n; no empty line after a last end."""
+    split = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
     return F.when(text == "", F.array().cast("array<string>")).otherwise(split)
 
 

@@ -15,11 +15,8 @@ _COMMENT = re.compile(r"#.*", re.S)
 
 
 def text_lines(text: str) -> list[str]:
-    """Lines at \\n without one \\r at their end; no empty line after the last \\n."""
-    parts = text.split("\n")
-    if parts[-1] == "":
-        parts.pop()
-    return [p[:-1] if p.endswith("\r") else p for p in parts]
+    """Lines without their ends \\n or \\r\\n; no empty line after a last end."""
+    return re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", text)) if text else []
 
 
 def dockerfile(text: str) -> list[Row]:

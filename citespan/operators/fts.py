@@ -89,29 +89,35 @@ def tokens(text: str, stemmed: bool = True) -> list[str]:
     return [stem(t) for t in found] if stemmed else found
 
 
-def postings(summaries: DataFrame, stemmed: bool = True) -> DataFrame:
-    """term, path, tf, positions, doc_length of summaries (path, summary): made at index time.
+def tokenized(summaries: DataFrame, stemmed: bool = True) -> DataFrame:
+    """path, tokens of summaries (path, summary); null summaries have no row.
 
-    Unstemmed postings need no Python: lower-cased runs of letters and digits.
+    Unstemmed tokens need no Python: lower-cased runs of letters and digits.
     """
     rows = summaries.filter("summary IS NOT NULL").select("path", "summary")
-    if stemmed:
-        import pandas as pd
+    if not stemmed:
+        return rows.select("path", F.regexp_extract_all(F.lower("summary"), F.lit(r"([\p{L}\p{N}]+)"), 1).alias("tokens"))
+    import pandas as pd
 
-        def run(s):
-            return s.map(tokens)
+    def run(s):
+        return s.map(tokens)
 
-        run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-        found = rows.select("path", F.pandas_udf(run, "array<string>")("summary").alias("tokens"))
-    else:
-        found = rows.select("path", F.regexp_extract_all(F.lower("summary"), F.lit(r"([\p{L}\p{N}]+)"), 1).alias("tokens"))
-    each = found.select("path", F.size("tokens").alias("doc_length"), F.posexplode("tokens").alias("at", "term"))
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return rows.select("path", F.pandas_udf(run, "array<string>")("summary").alias("tokens"))
+
+
+def postings(summaries: DataFrame, stemmed: bool = True) -> DataFrame:
+    """term, path, tf, positions, doc_length of summaries (path, summary): made at index time.
+
+    Sorted by term and written as Parquet, a lookup of a few terms reads a few row groups.
+    """
+    each = tokenized(summaries, stemmed).select("path", F.size("tokens").alias("doc_length"), F.posexplode("tokens").alias("at", "term"))
     return each.groupBy("term", "path", "doc_length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
-def doc_lengths(summaries: DataFrame, made: DataFrame) -> DataFrame:
+def doc_lengths(summaries: DataFrame, stemmed: bool = True) -> DataFrame:
     """path, doc_length of all summaries, those without a token too."""
-    return summaries.filter("summary IS NOT NULL").select("path").join(made.select("path", "doc_length").distinct(), "path", "left").select("path", F.coalesce("doc_length", F.lit(0)).alias("doc_length"))
+    return tokenized(summaries, stemmed).select("path", F.size("tokens").alias("doc_length"))
 
 
 # --- queries --------------------------------------------------------------------------------------
@@ -278,9 +284,13 @@ def rank(made: DataFrame, lengths: DataFrame, query: str, stemmed: bool = True)
     return scores.join(matched, "path", "left_semi").groupBy("path").agg((-F.sum("score")).alias("rank"))
 
 
-def text_search(summaries: DataFrame, made: DataFrame, query: str, limit: int = 20, stemmed: bool = True) -> DataFrame:
-    """path, summary, rank of the best matches of a user's query, sanitised first."""
+def text_search(summaries: DataFrame, made: DataFrame, query: str, limit: int = 20, stemmed: bool = True, lengths: DataFrame | None = None) -> DataFrame:
+    """path, summary, rank of the best matches of a user's query, sanitised first.
+
+    made and lengths: the postings and document lengths that the index keeps; lengths are made anew if
+    they aren't given.
+    """
     if not query.strip():
         raise QueryError("missing 'query' argument")
-    best = rank(made, doc_lengths(summaries, made), sanitize(query), stemmed).orderBy(F.round("rank", 9), "path").limit(limit)
+    best = rank(made, doc_lengths(summaries, stemmed) if lengths is None else lengths, sanitize(query), stemmed).orderBy(F.round("rank", 9), "path").limit(limit)
     return best.join(summaries, "path").select("path", "summary", "rank").orderBy("rank", "path")

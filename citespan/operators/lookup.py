@@ -57,9 +57,8 @@ def search(contents: DataFrame, pattern: str, path_contains: str | None = None,
     return hits.select("path", (F.col("at") + 1).alias("line"), first_match_column(F.col("text"), regex).alias("col"), shortened(trim_end(F.col("text")), SNIPPET_CHARS).alias("snippet"))
 
 
-def _span(text: Column, start: Column, end: Column) -> dict[str, Column]:
-    """The columns of a span read: clamped lines, or an error."""
-    all_ = lines(text)
+def _span(all_: Column, start: Column, end: Column) -> dict[str, Column]:
+    """The columns of a span read of these lines: clamped lines, or an error."""
     total = F.size(all_)
     first = F.greatest(F.coalesce(start, F.lit(1)), F.lit(1))
     last = F.least(F.coalesce(end, total), F.greatest(total, F.lit(1)))
@@ -81,8 +80,9 @@ def read_spans(contents: DataFrame, requests: DataFrame) -> DataFrame:
     """
     asked = requests.select("ordinal", "path", F.col("start_line").cast("int").alias("start"), F.col("end_line").cast("int").alias("end"))
     texts = contents.select("path", F.col("content").alias("text"), F.lit(True).alias("there"))
-    joined = asked.join(texts, "path", "left")
-    got = _span(F.col("text"), F.col("start"), F.col("end"))
+    # The lines are a column of their own, so that they are made once and not for each column that needs them.
+    joined = asked.join(texts, "path", "left").withColumn("lines", lines(F.col("text")))
+    got = _span(F.col("lines"), F.col("start"), F.col("end"))
     refused = (
         F.when(F.contains("path", F.lit("..")), "path traversal not allowed").when(F.col("path") == "", "missing 'path' argument").when(F.col("there").isNull(), "file not found").when(F.col("text").isNull(), "stream did not contain valid UTF-8")
     )
