@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from .common import cut, table
 
 OLD_SHARDS, NEW_SHARDS = 5, 8
-#: Equal texts stay in one shard in runs of up to this part of a shard's capacity.
-RUN_PART = 64
+#: Equal texts stay in one shard in runs of up to 1/RUN_PART of a shard's capacity.
+RUN_PART = 256
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
@@ -90,7 +90,7 @@ def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old_shards: int = OLD
 
     A row's size is its text's UTF-8 bytes plus 1, so that null and empty texts count.  old_shard, where
     not given, is the hash of the text modulo old_shards; equal texts then start in one shard, and stay
-    in one in runs of up to a 64th of a capacity.  Shard sizes are equal but for one such run and one
+    in one in runs of up to a 256th of a capacity.  Shard sizes are equal but for half such a run or half a
     document at each cut.  slot: the row's place in its shard, from 0 without a gap.  Repeated rows are
     rows of their own; an empty table gives no rows.  Only doc_id and text are read.
     """
@@ -111,10 +111,11 @@ def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old_shards: int = OLD
     starts = sums.select("part", "old_shard", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
     here = Window.partitionBy("part", "old_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     at = rows.join(starts, ["part", "old_shard"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(here), F.lit(0)))
-    # A run of equal texts takes its first byte's shard.
+    # A run of equal texts takes its middle byte's shard, so that each cut is missed by half a run at most.
     same = Window.partitionBy("part", "old_shard", "text_hash")
     at = at.withColumn("run", F.floor((F.col("at") - F.min("at").over(same)) / max(1, min(capacity, default=1) // RUN_PART)))
-    at = at.withColumn("at", F.min("at").over(Window.partitionBy("part", "old_shard", "text_hash", "run")))
+    together = Window.partitionBy("part", "old_shard", "text_hash", "run")
+    at = at.withColumn("at", F.min("at").over(together) + F.floor(F.sum("size").over(together) / 2))
     placed = cut(at.select("doc_id", "size", "text_crc32", "text_hash", "old_shard", "part", _shard_at(F.col("old_shard"), F.col("at"), _cuts(flow)).alias("shard")))
     counts = placed.groupBy("part", "shard").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
