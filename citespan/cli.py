@@ -12,7 +12,6 @@ from pathlib import Path
 from . import config
 from .functions.hashing import repo_id
 from .operators.extract.manifests import detect_header, git_remote, web_url
-from .schemas import FILES  # noqa: F401  the index's first table
 
 
 class Refused(SystemExit):
@@ -174,13 +173,24 @@ def continued(lines: list[str]) -> str:
     return "\n".join(lines).replace("\\\n", "\n").rstrip("\\")
 
 
+def _answerer(model: str | None = None):
+    """The configured model's, or else the one that only quotes definitions."""
+    from .serve import model as serving
+    from .serve.index import extractive_answerer
+
+    if not serving.configured("chat", model):
+        return extractive_answerer
+    return serving.answerer(serving.Model.of("chat", model), lambda kind, what: print(f"  {kind}: {str(what)[:160]}", file=sys.stderr) if kind == "call" else None)
+
+
 def chat(args) -> int:
     from .serve.index import ask
 
     index = _index(args.path)
     _print_report(index, index.refresh())
+    answer = _answerer(args.model)
     if args.message:
-        print(ask(index, args.message).text)
+        print(ask(index, args.message, answer).text)
         return 0
     while True:
         lines = [input("> ")]
@@ -189,7 +199,12 @@ def chat(args) -> int:
         text = continued(lines).strip()
         command = slash(text)
         if command is None and text:
-            print(ask(index, text).text)
+            try:
+                print(ask(index, text, answer).text)
+            except (KeyboardInterrupt, RuntimeError) as e:
+                print(f"cancelled: {e}" if isinstance(e, RuntimeError) else "cancelled", file=sys.stderr)
+        elif command and command[0] == "model":
+            answer = _answerer(command[1] or args.model)
         elif command and command[0] == "exit":
             return 0
         elif command and command[0] in ("help", "unknown"):
@@ -211,7 +226,8 @@ def mcp(args) -> int:
     index = _index(root)
     report = index.refresh()
     print(f"citespan: indexed {report.scanned} files ({report.symbols_total} symbols across {report.symbols_files} files) at {root}", file=sys.stderr)
-    server = Server(lambda question: ask(index, question).text)
+    answer = _answerer()
+    server = Server(lambda question: ask(index, question, answer).text)
     if args.transport == "http":
         http_server(server, args.port).serve_forever()
     else:

@@ -88,6 +88,27 @@ def test_ask_and_tools(spark, tmp_path):
     assert answer.spans and answer.text.endswith("**Sources:**\n- src/main.rs:6\n")
 
 
+def test_model_client(monkeypatch):
+    from citespan.serve.model import DirSummarizer, FileSummarizer, Model, ModelError, answerer
+
+    sent, replies = [], []
+    monkeypatch.setattr(Model, "send", lambda self, **body: sent.append(body) or replies.pop(0))
+    m = Model("http://x/v1", "m")
+    replies += [{"content": " three lines "}, {"content": "", "reasoning": "thought"}, {"content": ""}]
+    assert FileSummarizer(m)("a.py", "python", "x") == "three lines" and sent[0]["max_tokens"] == 1200 and sent[0]["temperature"] == 0
+    assert DirSummarizer(m)("p") == "thought" and sent[1]["max_tokens"] == 800
+    with pytest.raises(ModelError):
+        m.complete("p", 1)
+    replies += [{"tool_calls": [{"id": "1", "function": {"name": "list_files", "arguments": "{}"}}, {"id": "2", "function": {"name": "read_file", "arguments": "{"}}]}, {"content": "done"}]
+    events = []
+    assert answerer(m, lambda k, w: events.append(k))("q", lambda tool, **a: {"tool": tool}) == "done"
+    assert events == ["call", "response", "response", "content"] and "bad arguments" in sent[-1]["messages"][-2]["content"]
+    monkeypatch.setenv("CITESPAN_CONFIG", "/nonexistent/c.toml")
+    monkeypatch.delenv("CITESPAN_API_KEY", raising=False)
+    with pytest.raises(ModelError):
+        Model.of("chat")
+
+
 def test_streaming_refresh(spark, tmp_path):
     from citespan.operators.snapshot import SnapshotStore
 
