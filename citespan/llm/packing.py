@@ -29,7 +29,7 @@ from .common import claim, cut, table
 WINDOW, END = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: A worker forgets the words or chunks it knows when it has so many; the ids don't depend on it.
-KNOWN_WORDS, KNOWN_CHUNKS = 1_000_000, 300_000
+KNOWN_WORDS, KNOWN_CHUNKS = 1_000_000, 400_000
 
 
 class CapacityTree:
@@ -119,7 +119,7 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode, self.words = Tokenizer.from_file(path).encode, {"": b""}
+        self.encode, self.words = Tokenizer.from_file(path).encode, {}
 
     def raw(self, text: str) -> bytes:
         ids = array("I", self.encode(text, add_special_tokens=False).ids)
@@ -128,20 +128,24 @@ class WordIds(dict):
         return ids.tobytes()
 
     def word(self, text: str) -> bytes:
-        ids = self.words.get(text)
-        if ids is None:
-            if len(self.words) >= KNOWN_WORDS:
-                self.words = {"": b""}
-            ids = self.raw(text)
-            if len(text) < 64:
-                self.words[text] = ids
+        """The ids of a word or of signs that isn't known yet."""
+        if len(self.words) >= KNOWN_WORDS:
+            self.words = {}
+        ids = self.raw(text)
+        if len(text) < 64:
+            self.words[text] = ids
         return ids
 
     def __missing__(self, chunk: str) -> bytes:
         plain = _PLAIN.fullmatch(chunk)
         if plain:
             before, word, after = plain.groups()
-            ids = self.word(before) + self.word(word.lower()) + self.word(after)
+            word, get = word.lower(), self.words.get
+            ids = get(word) or self.word(word)
+            if before:
+                ids = (get(before) or self.word(before)) + ids
+            if after:
+                ids += get(after) or self.word(after)
         else:
             ids = self.raw(chunk)
         if len(self) >= KNOWN_CHUNKS:
