@@ -24,7 +24,9 @@ TRAIN_DOCS = 3000
 #: Bytes of text in each dictionary, of each training text, and of each block compressed by itself.
 DICTIONARY_BYTES, TEXT_BYTES, BLOCK_BYTES = 400_000, 4_000, 16_384
 LEVEL = 3
-THRESHOLD = 0.7
+#: Scores from which a text is predicted to be of label 1, and below which a filter rejects it: a filter
+#: takes out what is likelier bad than good.
+THRESHOLD, REJECT = 0.7, 0.5
 SCORED = "doc_id long, score double"
 
 
@@ -88,27 +90,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a @ self.weights, -30, 30)))
 
 
+def _dictionary(texts: list[str]) -> bytes:
+    """The first texts, most often matched when they stand last."""
+    return b"\n".join(reversed([t.encode()[:TEXT_BYTES] for t in texts]))[-DICTIONARY_BYTES:] or b"0123456789"
+
+
 def train(rows: list[tuple[str, int]]) -> Model:
-    """Fit on (text, label) rows; half of them make the dictionaries, half fit the score.
+    """Fit on (text, label) rows: each half's texts are compressed after the other half's, which fits the
+    score; the dictionaries used then are of both halves.
 
     Without rows of both labels the score says how common label 1 is (a half without rows).
     """
     rows = [(t or "", int(y)) for t, y in rows]
     parts = {y: [t for t, label in rows if label == y] for y in (0, 1)}
-    raw = {}
-    for y, texts in parts.items():
-        blocks = [t.encode()[:TEXT_BYTES] for t in texts[::2]]
-        raw[y] = b"\n".join(reversed(blocks))[-DICTIONARY_BYTES:] or b"0123456789"
-    rest = [(t, y) for y in (0, 1) for t in parts[y][1::2]]
-    model = Model(raw[1], raw[0], np.zeros(5), np.zeros(3), np.ones(3))
-    if not rest or not parts[0] or not parts[1]:
+    model = Model(_dictionary(parts[1]), _dictionary(parts[0]), np.zeros(5), np.zeros(3), np.ones(3))
+    if min(len(parts[0]), len(parts[1])) < 2:
         share = (len(parts[1]) + 1) / (len(rows) + 2)
         model.weights[-1] = np.log(share / (1 - share))
         return model
-    sizes = Compressors(model.good, model.bad)
-    x = np.array([sizes.features(t) for t, _ in rest])
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = fit_logistic(model.expanded(x), np.array([y for _, y in rest], float))
+    x, labels = [], []
+    for half in (0, 1):
+        sizes = Compressors(_dictionary(parts[1][1 - half :: 2]), _dictionary(parts[0][1 - half :: 2]))
+        for y in (0, 1):
+            x += [sizes.features(t) for t in parts[y][half::2]]
+            labels += [y] * len(parts[y][half::2])
+    features = np.array(x)
+    model.mean, model.scale = features.mean(axis=0), features.std(axis=0) + 1e-9
+    model.weights = fit_logistic(model.expanded(features), np.array(labels, float))
     return model
 
 
@@ -155,7 +163,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) -> DataFrame:
     """The rows of docs, all columns, whose text scores at least threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs, labels)))
     at = docs.columns.index("text")
