@@ -50,3 +50,24 @@ def test_stages(spark, tmp_path):
     pieces = docs.toPandas()
     assert set(pieces.doc_id) == set(out["secrets"]) and pieces.groupby("sequence_id").length.sum().max() <= packing.WINDOW
     assert pipeline.run(spark, SF).count() > 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, spans array<int>, node int, KEPT_ID int, `score` double, part int, hash binary"
+
+
+def test_stages_on_odd_rows(spark):
+    words = "toran milile senou parer " * 30
+    rows = [(1, words, "en", "s", 5, [1], 1, 1, 0.5, 1, b"x"), (1, words, "en", "s", 5, [1], 1, 1, 0.5, 1, b"x"), (2, None, None, None, None, None, None, None, None, None, None), (None, words, "en", "s", 5, None, 1, None, None, None, None), (3, "", "en", "s", 0, [], 1, 1, 0.0, 1, b""), (4, "w " * 200000, "en", "s", 1, [], 1, 1, 0.0, 1, b"")]
+    for docs in (spark.createDataFrame(rows, ODD).repartition(4), spark.createDataFrame([], ODD)):
+        empty = not docs.take(1)
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if name == "packing":
+                assert (not got) == empty
+            else:
+                assert out.columns == docs.columns and {r.doc_id for r in got} <= {1, 2, 3, 4, None}
+                if name == "near duplicates" and not empty:
+                    assert sorted((r.doc_id for r in got), key=str) == [1, 2, 4, None]
+                if name == "secrets":
+                    assert len(got) == (0 if empty else len(rows)) and all(r.n_chars is None for r in got if r.text is None)
