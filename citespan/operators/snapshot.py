@@ -7,6 +7,7 @@ old index or the new one and never a mixture.  Only changed files are hashed and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -142,10 +143,11 @@ def _derived(store: SnapshotStore, version: str, name: str, fresh: DataFrame, to
     return store.write(version, name, cascade(replace_for(store.read(name), fresh, touched), files))
 
 
-def refresh(source: DataFrame, store: SnapshotStore, now: int, verify: bool = False, repo: dict | None = None) -> RefreshReport:
+def refresh(source: DataFrame, store: SnapshotStore, now: int, verify: bool = False, repo: dict | None = None, read: Callable[[DataFrame], DataFrame] | None = None) -> RefreshReport:
     """Bring the index up to date with source and publish it; what was found.
 
-    source: path, size, mtime, content (binary; null if it can't be read).  A file whose time and size are as
+    source: path, size, mtime, content (binary; null if it can't be read), or without content, and then
+    ``read`` adds it to the rows it is given: those of new or changed files.  A file whose time and size are as
     they were counts as unchanged and isn't read, unless ``verify``; one that is read but can't be keeps
     its old rows.  Files over 256 KiB, binary files and files that aren't UTF-8 lose their derived rows.
     """
@@ -153,12 +155,13 @@ def refresh(source: DataFrame, store: SnapshotStore, now: int, verify: bool = Fa
 
     spark, version = store.spark, store.next_version()
     old = store.read("files")
-    listed = source.select("path", "size", "mtime")
+    source.select("path", "size", "mtime").write.mode("overwrite").parquet(f"{store.folder}/{version}/_listed")
+    listed = spark.read.schema("path string, size long, mtime long").parquet(f"{store.folder}/{version}/_listed")  # the tree is walked once
     same = old.select("path", F.col("mtime").alias("old_mtime"), F.col("size").alias("old_size"))
     as_before = listed.join(same, "path").filter("mtime = old_mtime AND size = old_size").select("path")
-    candidates = source if verify else source.join(as_before, "path", "left_anti")
-    read = candidates.filter("content IS NOT NULL")
-    seen = classified(read).select("path", "hash", "mtime", "size", "lang", "is_binary", "content")
+    wanted = listed if verify else listed.join(as_before, "path", "left_anti")
+    candidates = read(wanted) if read else source.join(wanted.select("path"), "path", "left_semi")
+    seen = classified(candidates.filter("content IS NOT NULL")).select("path", "hash", "mtime", "size", "lang", "is_binary", "content")
     staged = f"{store.folder}/{version}/_staged"
     seen.write.mode("overwrite").parquet(staged)  # hashed once, used several times
     seen = spark.read.schema(seen.schema).parquet(staged)
@@ -192,7 +195,8 @@ def refresh(source: DataFrame, store: SnapshotStore, now: int, verify: bool = Fa
         **counts, manifests=staged_only(manifests).count(), run_configs=staged_only(run_configs).select("path").distinct().count(), readmes=staged_only(readmes).count(),
         symbols_files=found.files, symbols_total=found.n, dirs_hashed=dirs.count(),
     )
-    store._fs.delete(store._path(staged), True)
+    for part in ("_staged", "_listed"):
+        store._fs.delete(store._path(f"{store.folder}/{version}/{part}"), True)
     return report
 
 
@@ -200,12 +204,13 @@ def refresh_repo(spark: SparkSession, root: str, store_folder: str, now: int, ve
     """Refresh the index of the repository at root."""
     import os
 
-    from ..sources.repo import repo_files
+    from ..sources.repo import read_contents, repo_files
     from .extract.manifests import git_remote
 
     root = os.path.abspath(root)
     remote = git_remote(os.path.join(root, ".git"))
     name = repo_id(root, remote)
     store = SnapshotStore(spark, f"{store_folder.rstrip('/')}/{name}")
-    report = refresh(repo_files(spark, root), store, now, verify, {"id": name, "abs_path": root, "git_remote": remote})
+    described = {"id": name, "abs_path": root, "git_remote": remote}
+    report = refresh(repo_files(spark, root, content=False), store, now, verify, described, lambda listed: read_contents(listed, root))
     return store, report

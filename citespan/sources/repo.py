@@ -141,6 +141,43 @@ def repo_files(spark: SparkSession, root: str, content: bool = True) -> DataFram
     return spark.read.format("repo").option("path", root).option("content", str(content).lower()).load()
 
 
+#: Bytes of contents that a reading task holds at once.
+READ_TOGETHER = 16 << 20
+
+
+def read_contents(listed: DataFrame, root: str) -> DataFrame:
+    """listed (path, size, mtime) with content, read by executors from the folder; null if unreadable.
+
+    Only the listed files are read.  They are dealt out evenly by name, so that a few changed files of a
+    large tree, or all of it, are read by all executors.
+    """
+    root = os.path.abspath(root)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["path", "size", "mtime", "content"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for path, size, mtime in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    data = (Path(root) / path).read_bytes()
+                except OSError:
+                    data = None
+                rows.append((path, size, mtime, data))
+                held += len(data or b"")
+                if held >= READ_TOGETHER or len(rows) >= FILES_A_PARTITION:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+    n = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.select("path", "size", "mtime").repartition(n, "path").mapInArrow(run, SCHEMA)
+
+
 def classified(files: DataFrame) -> DataFrame:
     """files with hash, lang, is_binary and text (null unless UTF-8) from path and content.
 
