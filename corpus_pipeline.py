@@ -34,7 +34,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), known=250_000)  # workers hold what earlier stages left them
 
 
 STAGES = [
