@@ -32,6 +32,81 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: has two fifths of that; the ids don't depend on it.
 KNOWN_WORDS = 1_000_000
 
+
+class CapacityTree:
+    """Segment tree over remaining capacities 0..n: the smallest capacity >= s with open windows."""
+
+    def __init__(self, n: int):
+        self.size = 1 << n.bit_length()
+        self.any = [False] * (2 * self.size)
+        self.open: list[list[tuple[int, int, int]]] = [[] for _ in range(self.size)]
+
+    def add(self, capacity: int, first: int, windows: int, used: int) -> None:
+        """Open windows first, first + 1, ... with ``used`` tokens in each."""
+        self.open[capacity].append((first, windows, used))
+        i = capacity + self.size
+        while i and not self.any[i]:
+            self.any[i] = True
+            i //= 2
+
+    def take(self, capacity: int) -> tuple[int, int, int]:
+        run = self.open[capacity].pop()
+        i = capacity + self.size
+        self.any[i] = bool(self.open[capacity])
+        while i > 1:
+            i //= 2
+            self.any[i] = self.any[2 * i] or self.any[2 * i + 1]
+        return run
+
+    def tightest(self, need: int) -> int | None:
+        i = need + self.size
+        if self.any[i]:
+            return need
+        while i > 1:
+            if i % 2 == 0 and self.any[i + 1]:
+                i += 1
+                while i < self.size:
+                    i = 2 * i if self.any[2 * i] else 2 * i + 1
+                return i - self.size
+            i //= 2
+        return None
+
+
+def plan(counts: dict[int, int], window: int = WINDOW) -> np.ndarray:
+    """Rows (length, rank, per, sequence, offset) in order of length and rank.
+
+    The pieces of a length with rank, rank + 1, ... go ``per`` to a sequence, into sequence,
+    sequence + 1, ..., the first at offset.  It is what best-fit decreasing does piece by piece: a
+    window just filled is the tightest for the next piece of the same length as long as it fits.
+    """
+    tree, rows, sequence = CapacityTree(window), [], 0
+    for s in sorted(counts, reverse=True):
+        left, rank = counts[s], 0
+        while left:
+            r = tree.tightest(s)
+            if r is None:
+                first, windows, used, r, new = sequence, -(-left // (window // s)), 0, window, True
+                sequence += windows
+            else:
+                (first, windows, used), new = tree.take(r), False
+            per = r // s
+            full, some = min(windows, left // per), left % per
+            if full:
+                rows.append((s, rank, per, first, used))
+                rank, left = rank + full * per, left - full * per
+                if r - per * s:
+                    tree.add(r - per * s, first, full, used + per * s)
+                first, windows = first + full, windows - full
+            if windows and left:  # fewer than per are left
+                rows.append((s, rank, per, first, used))
+                if r - some * s:
+                    tree.add(r - some * s, first, 1, used + some * s)
+                rank, left, first, windows = rank + some, 0, first + 1, windows - 1
+            if windows and not new:
+                tree.add(r, first, windows, used)
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+
+
 #: A chunk without white space that is one word of letters each of which has one lower case, with signs
 #: round it that the tokenizer keeps apart from the word.
 _PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
