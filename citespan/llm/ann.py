@@ -107,11 +107,25 @@ def valid_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).filter(F.col("vec_id").isNotNull() & ok)
 
 
-def _distinct(valid: DataFrame, keep: int) -> DataFrame:
-    """v, ids: each distinct vector with its ``keep`` smallest ids.  Salted by id, so that copies of one
-    vector are first thinned in 64 groups."""
+def _thinned(batches: Iterator[pa.RecordBatch], dim: int, keep: int) -> Iterator[pa.RecordBatch]:
+    """Of each batch's rows with one vector the ``keep`` with the smallest ids."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, x = batch.column(0).to_numpy(), np.ascontiguousarray(_matrix(batch.column(1), dim))
+        _, vector = np.unique(x.view(np.dtype((np.void, x.itemsize * dim))).ravel(), return_inverse=True)
+        order = np.lexsort((ids, vector))
+        starts = np.flatnonzero(np.concatenate(([True], vector[order][1:] != vector[order][:-1])))
+        nth = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        yield batch.take(pa.array(np.sort(order[nth < keep])))
+
+
+def _distinct(valid: DataFrame, dim: int, keep: int) -> DataFrame:
+    """v, ids: each distinct vector with its ``keep`` smallest ids.  Copies are thinned batch by batch
+    before they are shuffled, and then in 64 groups by a hash of the id, so that no list is long."""
     least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, keep)
-    part = valid.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(least(F.collect_list("vec_id")).alias("ids"))
+    thin = valid.mapInArrow(lambda it: _thinned(it, dim, keep), valid.schema)
+    part = thin.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(least(F.collect_list("vec_id")).alias("ids"))
     return part.groupBy("v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
 
 
@@ -186,7 +200,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = TR
     n_blocks = -(-n_stored // BLOCK) or 1
     stripes = -(-n_blocks // STRIPE)
     # Blocks of even size, whatever the number of partitions.
-    stored = _distinct(valid, k + 1).select(F.col("v").cast(f"array<{sql_kind}>"), "ids").repartition(n_blocks)
+    stored = _distinct(valid, dim, k + 1).select(F.col("v").cast(f"array<{sql_kind}>"), "ids").repartition(n_blocks)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of stored vectors: ids, vectors, codes and error norms as bytes."""
