@@ -13,9 +13,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Size of the scoring table: 2**SLOT_BITS nodes, whatever the size of the corpus.
-SLOT_BITS = 22
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
 
@@ -114,30 +111,35 @@ def weigh(keys: np.ndarray, counts: np.ndarray, depth: int, top: int, below=None
 
 
 def slots(d, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, tag) of nodes in the scoring table; a tag is never 0."""
-    h = (node ^ (_U(d + 1) << _U(56))) * _MIX
-    h ^= h >> _U(29)
-    h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(32)
-    return (h & _U((1 << SLOT_BITS) - 1)).astype(np.int64), ((h >> _U(48)) | _U(1)).astype(np.uint16)
+    """(slot, tag) of nodes of one depth in a table: the nodes themselves, and their depth."""
+    return node, np.full(len(node), d, np.uint8)
 
 
 class Table:
-    """The scoring table: for a slot the tag, the chance of a one and the weight of stopping there."""
+    """All nodes put into it, by depth: the chance of a one and the weight of stopping there."""
 
     def __init__(self, depth: int):
-        n = 1 << SLOT_BITS
-        self.depth, self.tag = depth, np.zeros(n, np.uint16)
-        self.one, self.stop = np.zeros(n, np.uint16), np.zeros(n, np.uint8)
+        self.depth = depth
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))] * (depth + 1)
 
     def put(self, slot, tag, one, stop) -> None:
-        self.tag[slot], self.one[slot], self.stop[slot] = tag, one, stop
+        """Nodes of one depth, ascending, that is all of that depth."""
+        if len(slot):
+            self.levels[int(tag[0])] = slot, one, stop
+
+    def get(self, d: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether the table has them, chance of a one, weight of stopping) of nodes of one depth."""
+        slot, one, stop = self.levels[d]
+        if not len(slot):
+            return np.zeros(len(node), bool), np.zeros(len(node)), np.zeros(len(node))
+        at = np.minimum(np.searchsorted(slot, node), len(slot) - 1)
+        return slot[at] == node, one[at], stop[at]
 
     def log10_byte(self, keys: np.ndarray) -> np.ndarray:
         """log10 of the mixed probability of each key's byte after its context.
 
-        The path goes from depth 0 as deep as the table has the node; the deepest node found counts
-        with its own estimate.  Which nodes are found depends on the context and the bits before
+        The path goes from depth 0 as deep as training has seen the node; the deepest node counts
+        with its own estimate.  Which nodes were seen depends on the context and the bits before
         only, so the chances of all 256 bytes add up to 1.
         """
         out, b = np.zeros(len(keys)), keys & _U(255)
@@ -146,19 +148,18 @@ class Table:
             p, kt, stop, live = [], [], [], np.ones(len(keys), bool)
             for d in range(self.depth + 1):
                 node = keys >> _U(8 * (self.depth + 1 - d)) << _U(8) | tail if d else tail
-                slot, tag = slots(d, node)
-                live = live & (self.tag[slot] == tag)
+                found, one, s = self.get(d, node)
+                live = live & found
                 p.append(live)
-                kt.append(self.one[slot])
-                stop.append(self.stop[slot])
+                kt.append(one)
+                stop.append(s)
                 if not live.any():
                     break
             chance = np.full(len(keys), 0.5)
             deeper = np.zeros(len(keys), bool)
             for found, one, s in zip(reversed(p), reversed(kt), reversed(stop)):
-                q = (one.astype(np.float64) + 0.5) / 65536
-                w = np.where(deeper, s / 255.0, 1.0)
-                chance = np.where(found, w * q + (1 - w) * chance, chance)
+                w = np.where(deeper, s, 1.0)
+                chance = np.where(found, w * one + (1 - w) * chance, chance)
                 deeper |= found
             bit = (b >> _U(7 - j)) & _U(1)
             out += np.log10(np.where(bit == 1, chance, 1 - chance))
@@ -166,5 +167,5 @@ class Table:
 
 
 def quantised(n0, n1, stop) -> tuple[np.ndarray, np.ndarray]:
-    one = np.clip((n1 + 0.5) / (n0 + n1 + 1.0) * 65536, 0, 65535).astype(np.uint16)
-    return one, np.rint(np.clip(stop, 0, 1) * 255).astype(np.uint8)
+    """What a table keeps of nodes, as doubles: the chance of a one and the weight of stopping."""
+    return (n1 + 0.5) / (n0 + n1 + 1.0), np.clip(stop, 0, 1)

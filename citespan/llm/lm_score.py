@@ -1,10 +1,12 @@
 """Language-model scores of texts: context-tree weighting over bytes, and a word-count baseline.
 
-Training counts contexts of ``DEPTH`` bytes with the byte after them over all training texts.  The counts
-are summed by key, dealt out by the two most recent bytes of the context, weighted upwards within each
-pair of bytes, and finished on the driver for the contexts of one byte and none (``ctw``).  Scoring uses a
-table of fixed size: a node that shares its slot with a node seen more often has no entry, and the
-estimate then stops one byte earlier.
+Training counts contexts of ``DEPTH`` bytes with the byte after them over all training texts.  Texts are
+read in groups; a group's distinct keys (context and byte), with their counts in training texts, are dealt
+out by the two most recent bytes of the context (``BUCKETS`` of such pairs).  Each bucket sums its keys,
+weights all nodes of the tree upwards from depth ``DEPTH`` to 2 and hands depth 2 to the driver, which
+finishes the contexts of one byte and none (``ctw``).  Then each bucket works out the log probability of
+each of its keys from all nodes on the key's path and sends it to the groups that have the key, where it
+meets their texts.  No node is left out, and no machine holds more of the tree than one bucket.
 
 The baseline's counts of words can be any number, so the executors get only the most frequent ones, by a
 count above which there are at most ``COMMON_WORDS``; texts' other words are joined with all counts.
@@ -30,7 +32,11 @@ DEPTH = 5
 COMMON_WORDS, COMMON_BYTES = 300_000, 48
 #: Bytes of text whose contexts are counted or scored at once.
 CHUNK = 4_000_000
-#: Keys whose log probabilities a worker remembers: 2**MEMORY_BITS.
+#: A group of texts ends after so many bytes, or so many keys distinct within each CHUNK.
+GROUP_BYTES, GROUP_KEYS = 32_000_000, 4_000_000
+#: Parts that the tree is dealt out in; a pair of most recent bytes stands in one of them.
+BUCKETS = 256
+#: Keys of a group that are found at one look: at most 2**MEMORY_BITS; the others are searched for.
 MEMORY_BITS = 22
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -82,106 +88,137 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for _, texts in _chunks(batches, 0):
-        k, n = np.unique(ctw.byte_keys(texts, DEPTH)[0], return_counts=True)
-        keys, counts = ctw.summed(np.concatenate([keys, k]), np.concatenate([counts, n]))
-        if len(keys) > 4_000_000:
-            yield _keyed(keys, counts)
-            keys, counts = keys[:0], counts[:0]
-    if len(keys):
-        yield _keyed(keys, counts)
+def _blob(*columns) -> bytes:
+    """Columns as one compressed value."""
+    batch = pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[str(i) for i in range(len(columns))])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def _keyed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+def _opened(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
 
 
-_TABLE, _ZEROS, _ONES, _LOG = 0, 1 << 40, 2 << 40, 3 << 40
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences, which compress well."""
+    return np.diff(keys, prepend=_U(0))
 
 
-def _packed(d: int, node, n0, n1, stop) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, value) for the scoring table; of two values in one slot the larger one stays.  A value is
-    the log of how often the node was seen, then its tag, chance of a one and stopping weight."""
-    slot, tag = ctw.slots(d, node)
-    one, stop = ctw.quantised(n0, n1, stop)
-    seen = np.minimum(np.log2(n0 + n1) * 400, 32767).astype(np.int64)
-    return slot, seen << 40 | tag.astype(np.int64) << 24 | one.astype(np.int64) << 8 | stop.astype(np.int64)
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.cumsum(batch.column(0).to_numpy(), dtype=np.uint64)
 
 
-def _largest(slot: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((-value, slot))
-    first = np.concatenate(([True], slot[order][1:] != slot[order][:-1])) if len(slot) else np.zeros(0, bool)
-    return slot[order][first], value[order][first]
+_ROWS = "chunk long, bucket int, place int, body binary"
 
 
-def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, value): slots of nodes of depth DEPTH to 2; zeros, ones and log Pw of nodes of depth 2.
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["chunk", "bucket", "place", "body"])
 
-    Keys come sorted, so a chunk can end where the pair of most recent bytes changes."""
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From doc_id, text, whether to learn from it: rows of a group's texts (bucket -1, by place), and of
+    its distinct keys with their counts in training texts (0 for keys of other texts only), by bucket."""
+    claim("language model")
+    chunk, place, size = TaskContext.get().partitionId() << 32, 0, 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def done(keys, counts):
-        slots, values = [], []
-        for d, node, n0, n1, pw, stop in ctw.weigh(keys, counts, DEPTH, 2):
-            slot, value = _packed(d, node, n0, n1, stop)
-            slots.append(slot)
-            values.append(value)
-        slot, value = _largest(np.concatenate(slots), np.concatenate(values))
-        two = node.view(np.int64)
-        slot = np.concatenate([slot + _TABLE, two + _ZEROS, two + _ONES, two + _LOG])
-        value = np.concatenate([value, n0, n1, pw.view(np.int64)])
-        for at in range(0, len(slot), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(slot[at : at + 200_000]), pa.array(value[at : at + 200_000])], names=["key", "value"])
-
-    for b in batches:
-        keys, counts = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-        held.append((keys, counts))
-        if sum(len(k) for k, _ in held) >= 500_000:
-            keys, counts = (np.concatenate(c) for c in zip(*held))
-            pair = keys >> _U(8 * (DEPTH - 1))
-            last = int(np.searchsorted(pair, pair[-1]))
-            if last:
-                yield from done(keys[:last], counts[:last])
-            held = [(keys[last:], counts[last:])]
+    def closed() -> Iterator[pa.RecordBatch]:
+        keys, counts = ctw.summed(*(np.concatenate(c) for c in zip(*held)))
+        bucket = (keys >> _U(8 * (DEPTH - 1))) * _U(40503) % _U(65536) * _U(BUCKETS) // _U(65536)
+        order = np.argsort(bucket.astype(np.uint16), kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1, dtype=np.uint64))
+        rows = [(chunk, b, 0, _blob(_steps(keys[at]), counts[at])) for b in range(BUCKETS) if len(at := order[ends[b] : ends[b + 1]])]
+        if rows:
+            yield _rows(rows)
+
+    for batch, texts in _chunks(batches, 1):
+        keys, lengths = ctw.byte_keys(texts, DEPTH)
+        taught = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), lengths)
+        both, n = np.unique(keys << _U(1) | taught.astype(np.uint64), return_counts=True)
+        held.append(ctw.summed(both >> _U(1), np.where(both & _U(1) > 0, n, 0)))
+        yield _rows([(chunk, -1, place, _blob(batch.column(0), pa.array(texts, pa.large_binary())))])
+        place, size = place + 1, size + int(lengths.sum())
+        if size >= GROUP_BYTES or sum(len(k) for k, _ in held) >= GROUP_KEYS:
+            yield from closed()
+            chunk, place, size, held = chunk + 1, 0, 0, []
     if held:
-        yield from done(*(np.concatenate(c) for c in zip(*held)))
+        yield from closed()
 
 
-def train(texts: DataFrame) -> ctw.Table:
-    """The scoring table of one column of texts.
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray]]:
+    """(rows of groups, distinct keys, their counts) for each bucket; rows come sorted by bucket."""
+    rows: list[tuple[int, bytes]] = []
 
-    At most 2**SLOT_BITS slots come to the driver, and the nodes of depth 2 that occur: 255 * 65536 at
-    most, and far fewer in any text.
-    """
-    counts = texts.mapInArrow(_count_contexts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    pair = F.shiftrightunsigned("key", 8 * (DEPTH - 1))
-    nodes = counts.repartition(pair).sortWithinPartitions("key").mapInArrow(_weigh, "key long, value long")
-    rows = nodes.groupBy("key").agg(F.max("value").alias("value")).toArrow()
-    key, value = rows.column("key").to_numpy(), rows.column("value").to_numpy()
-    del rows
-    order = np.argsort(key)
-    key, value = key[order], value[order]
-    del order
-    part = lambda k: slice(*np.searchsorted(key, [k, k + (1 << 40)]))
-    model = ctw.Table(DEPTH)
-    slots, values = [key[part(_TABLE)]], [value[part(_TABLE)]]
-    node = (key[part(_LOG)] - _LOG).view(np.uint64)
-    below, n0, n1 = (node, value[part(_LOG)].view(np.float64)), value[part(_ZEROS)], value[part(_ONES)]
+    def done():
+        keys, counts, more, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        for i, (_, body) in enumerate(rows):
+            b = _opened(body)
+            more.append((_keys(b), b.column(1).to_numpy()))
+            waiting += b.num_rows
+            if waiting > max(1_000_000, len(keys)) or i == len(rows) - 1:
+                keys, counts = ctw.summed(*(np.concatenate(c) for c in zip((keys, counts), *more)))
+                more, waiting = [], 0
+        return rows, keys, counts
+
+    last = None
+    for batch in batches:
+        for chunk, bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
+            if bucket != last and rows:
+                yield done()
+                rows = []
+            last = bucket
+            rows.append((chunk, body.as_py()))
+    if rows:
+        yield done()
+
+
+def _taught(keys: np.ndarray, counts: np.ndarray):
+    seen = counts > 0
+    return ctw.weigh(keys[seen], counts[seen], DEPTH, 2)
+
+
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, zeros, ones, log Pw of all nodes of depth 2."""
+    for _, keys, counts in _buckets(batches):
+        top = None
+        for top in _taught(keys, counts):
+            pass
+        if top:
+            _, node, n0, n1, pw, _ = top
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n0), pa.array(n1), pa.array(pw)], names=["node", "n0", "n1", "pw"])
+
+
+def train(buckets: DataFrame) -> ctw.Table:
+    """The nodes of depth 1 and 0.  The nodes of depth 2 that occur come to the driver: 255 * 65536 at
+    most, and far fewer in any text."""
+    rows = buckets.mapInArrow(_tops, "node long, n0 long, n1 long, pw double").toArrow()
+    node, n0, n1, pw = (c.to_numpy() for c in rows.columns)
+    table, below = ctw.Table(DEPTH), (node.view(np.uint64), pw)
     for d in (1, 0):  # a parent's counts are its children's sums
         parent = below[0] >> _U(16) << _U(8) | below[0] & _U(255)
         ids, inv = np.unique(parent, return_inverse=True)
         n0, n1 = (np.bincount(inv, c, len(ids)).astype(np.int64) for c in (n0, n1))
         pe = ctw.log_kt(n0, n1)
         pw = np.logaddexp(pe, np.bincount(inv, below[1], len(ids))) - np.log(2)
-        slot, v = _packed(d, ids, n0, n1, np.exp(np.minimum(0, pe - np.log(2) - pw)))
-        slots.append(slot)
-        values.append(v)
+        table.put(*ctw.slots(d, ids), *ctw.quantised(n0, n1, np.exp(np.minimum(0, pe - np.log(2) - pw))))
         below = ids, pw
-    slot, v = _largest(np.concatenate(slots), np.concatenate(values))
-    model.put(slot, (v >> 24 & 65535).astype(np.uint16), (v >> 8 & 65535).astype(np.uint16), (v & 255).astype(np.uint8))
-    return model
+    return table
+
+
+def _valued(batches: Iterator[pa.RecordBatch], top: ctw.Table) -> Iterator[pa.RecordBatch]:
+    """For each group and bucket a row of the keys and their log probabilities, at place -1."""
+    for rows, keys, counts in _buckets(batches):
+        table = ctw.Table(DEPTH)
+        table.levels[:2] = top.levels[:2]
+        for d, node, n0, n1, _, stop in _taught(keys, counts):
+            table.put(*ctw.slots(d, node), *ctw.quantised(n0, n1, stop))
+        values = np.concatenate([table.log10_byte(keys[i : i + 100_000]) for i in range(0, len(keys), 100_000)]).astype(np.float32)
+        for chunk, body in rows:
+            own = _opened(body)
+            yield _rows([(chunk, -1, -1, _blob(own.column(0), values[np.searchsorted(keys, _keys(own))]))])
 
 
 _KEY_BITS = 8 * (DEPTH + 1)
@@ -189,15 +226,18 @@ _TAG_BITS = _KEY_BITS - MEMORY_BITS
 
 
 class _Scorer:
-    """log10 of a text under the table.  Remembers the values of keys: an entry is a tag and a 32-bit
-    float, and a key's slot and tag together are the key, stirred one to one."""
+    """log10 of texts whose keys' values are given.  A memory finds most at one look: an entry is a tag and
+    a 32-bit float, and a key's slot and tag together are the key, stirred one to one."""
 
-    def __init__(self, model: ctw.Table):
-        self.model = model
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.known = keys[order], values[order]
         self.memory = np.full(1 << MEMORY_BITS, ~_U(0), np.uint64)
+        slot, tag = self._place(self.keys)
+        self.memory[slot] = tag << _U(32) | self.known.view(np.uint32)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        keys, lengths = ctw.byte_keys(texts, self.model.depth)
+        keys, lengths = ctw.byte_keys(texts, DEPTH)
         values = np.zeros(len(keys) + 1)
         for at in range(0, len(keys), 1 << 19):
             part = keys[at : at + (1 << 19)]
@@ -218,14 +258,28 @@ class _Scorer:
         missing = np.flatnonzero(entry >> _U(32) != tag)
         values = (entry & _U(0xFFFFFFFF)).astype(np.uint32).view(np.float32)
         if len(missing):
-            new, which = np.unique(keys[missing], return_inverse=True)
-            got = np.concatenate([self.model.log10_byte(new[i : i + 100_000]) for i in range(0, len(new), 100_000)]).astype(np.float32)
-            values[missing] = got[which]
-            slot, tag = self._place(new)
-            self.memory[slot] = tag << _U(32) | got.view(np.uint32)
+            values[missing] = self.known[np.searchsorted(self.keys, keys[missing])]
         return values
 
 
+def _with_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes], np.ndarray]]:
+    """(doc_ids, texts, scores) of each row of texts; rows come sorted by group and place."""
+    last, held, scorer = None, [], None
+    for batch in batches:
+        for chunk, place, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            b = _opened(body.as_py())
+            if chunk != last:
+                last, held, scorer = chunk, [], None
+            if place < 0:
+                held.append((_keys(b), b.column(1).to_numpy()))
+                continue
+            if scorer is None:
+                scorer = _Scorer(*(np.concatenate(c) for c in zip(*held))) if held else _Scorer(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+                held = []
+            texts = b.column(1).to_pylist()
+            yield b.column(0), texts, scorer.score(texts)
+
+
 _PARTS = "row long, doc_id long, word binary, times long, n_tokens long, n_common long, common double, score double"
 _PART_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_common", pa.int64()), ("common", pa.float64()), ("score", pa.float64())])
 
@@ -239,7 +293,8 @@ def score(docs: DataFrame, train_on) -> DataFrame:
     """
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long"), "text")
-    learn = read.filter(F.coalesce(train_on, F.lit(False))).select("text")
+    train_on = F.coalesce(train_on, F.lit(False))
+    learn = read.filter(train_on).select("text")
     counts = cut(word_counts(learn))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     base = np.log10(total + 0.5 * (distinct + 1))
@@ -255,13 +310,16 @@ def score(docs: DataFrame, train_on) -> DataFrame:
     common = short.filter(size >= level).toArrow() if level < 63 else None
     known = dict(zip(common.column(0).to_pylist(), (np.log10(common.column(1).to_numpy() + 0.5) - base).tolist())) if common is not None else {}
     vocabulary = spark.sparkContext.broadcast(known)
-    model = spark.sparkContext.broadcast(train(learn))
+    gathered = cut(read.select("doc_id", "text", train_on.alias("learn")).mapInArrow(_gather, _ROWS))
+    buckets = gathered.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
+    top = spark.sparkContext.broadcast(train(buckets))
+    values = buckets.mapInArrow(lambda it: _valued(it, top.value), _ROWS)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text a row of its own, and a row for each of its words that isn't common."""
-        log, scorer, row = vocabulary.value, _Scorer(model.value), TaskContext.get().partitionId() << 40
-        for batch, texts in _chunks(batches, 1):
-            ids, scores = batch.column(0), scorer.score(texts)
+        claim("language model")
+        log, row = vocabulary.value, TaskContext.get().partitionId() << 40
+        for ids, texts, scores in _with_scores(batches):
             n_tokens, n_common, common, times, rare = [], [], [], [], []
             n_rare = np.zeros(len(texts), np.int64)
             for i, raw in enumerate(texts):
@@ -288,7 +346,8 @@ def score(docs: DataFrame, train_on) -> DataFrame:
                 for at in range(0, len(rare), 20_000):
                     yield more.slice(at, 20_000)
 
-    joined = read.mapInArrow(scored, _PARTS).join(counts, "word", "left")
+    beside = gathered.filter("bucket < 0").unionByName(values).repartition("chunk").sortWithinPartitions("chunk", "place")
+    joined = beside.mapInArrow(scored, _PARTS).join(counts, "word", "left")
     value = F.col("common") + F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(float(base)))
     known_here = F.col("n_common") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)
     sums = joined.groupBy("row", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(known_here).alias("n_known"), F.sum(value).alias("base_score"), F.sum("score").alias("score"))

@@ -280,5 +280,34 @@ def test_lm_scores(frame, monkeypatch):
     assert lm_score.score(empty, F.lit(True)).count() == 0 and lm_score.score(df.select("doc_id", "text"), F.lit(False)).first().n_known == 0
 
 
+def test_no_node_is_lost(frame, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(97, 123, 30_000))) for _ in range(11)]
+    raw = [t.encode() for t in texts]
+    keys, n = np.unique(ctw.byte_keys(raw[:10], 5)[0], return_counts=True)
+    levels = {d: (node, n0, n1, stop) for d, node, n0, n1, _, stop in ctw.weigh(keys, n, 5, 0)}
+    assert sum(len(v[0]) for v in levels.values()) > 1 << 22
+    want = []
+    for t in raw:
+        key = ctw.byte_keys([t], 5)[0]
+        byte, total = key & np.uint64(255), 0.0
+        for j in range(8):
+            tail, chance, deeper = (np.uint64(1 << j) | byte >> np.uint64(8 - j)), np.full(len(key), 0.5), np.zeros(len(key), bool)
+            for d in range(5, -1, -1):
+                node, n0, n1, stop = levels[d]
+                own = (key >> np.uint64(8 * (6 - d)) << np.uint64(8) if d else np.uint64(0)) | tail
+                at = np.minimum(np.searchsorted(node, own), len(node) - 1)
+                found, w = node[at] == own, np.where(deeper, stop[at], 1.0)
+                chance = np.where(found, w * (n1[at] + 0.5) / (n0[at] + n1[at] + 1) + (1 - w) * chance, chance)
+                deeper |= found
+            total += np.log10(np.where(byte >> np.uint64(7 - j) & np.uint64(1), chance, 1 - chance)).sum()
+        want.append(total)
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 50_000)
+    got = {r.doc_id: r.score for r in lm_score.score(frame(list(enumerate(texts)), "doc_id long, text string"), F.col("doc_id") < 10).collect()}
+    assert np.allclose([got[i] for i in range(11)], want, rtol=1e-5)
+
+
 def test_digest_of_nothing(spark):
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
