@@ -3,6 +3,7 @@
 Words are lower-cased; numbers, names (capitalised words inside a sentence) and units (after a number)
 become typed placeholders.  A window of W tokens is hashed with, for each placeholder, how many tokens ago
 the same value stood in the window, so equal windows are templates with the same pattern of repeats.
+Items shorter than W are one window of their own length, and texts have windows of all these lengths too.
 Document windows are joined with benchmark windows by hash.  A document is contaminated by an item if
 windows of one alignment cover enough of the item and the slots are consistent over all of them: each
 value of the item stands for one value of the document, and the other way round.
@@ -87,8 +88,18 @@ class Canonical:
             if not _unit_words:
                 _unit_words.append(_unit_hashes())
             types[after[np.isin(h[after], _unit_words[0])]] = _UNIT
-        self.types, self.values = types, h
-        self.hashes = np.where(types > 0, _TYPE_HASH[types], h) if types.any() else h
+        self._take(types, h)
+
+    def _take(self, types: np.ndarray, values: np.ndarray) -> None:
+        self.types, self.values = types, values
+        self.hashes = np.where(types > 0, _TYPE_HASH[types], values) if types.any() else values
+
+    def forms(self, size: int) -> Iterator[tuple[Canonical, np.ndarray]]:
+        """(form, places of the windows of ``size`` tokens that it adds to the forms before it)."""
+        n = len(self.hashes)
+        if n < size:
+            return
+        yield self, np.arange(n - size + 1)
 
     def windows(self, size: int = WINDOW) -> np.ndarray:
         """Hashes of all windows of ``size`` tokens; of a shorter text the one of all its tokens."""
@@ -130,21 +141,26 @@ WINDOWS = "id long, at int, hash long, n_tokens int, slots array<struct<type int
 _SCHEMA = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("n_tokens", pa.int32()), ("slots", pa.list_(pa.struct([("type", pa.int32()), ("value", pa.int64())])))])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], size: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Windows of all ``sizes``, each in its forms.  Without ``only``: those of an item, of one size at most its length."""
     claim("decontamination")
     for batch in batches:
         ids, ats, hashes, ns, slots = [], [], [], [], []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             c = Canonical(t.as_py())
-            h = c.windows(size)
-            short = len(c.hashes) < size
-            at = np.arange(len(h)) if only is None else np.flatnonzero(only[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-            for a in at.tolist():
-                ids.append(i)
-                ats.append(a)
-                ns.append(len(c.hashes))
-                slots.append([{"type": t, "value": v} for t, v in c.slots(a, len(c.hashes) if short else size)])
-            hashes.append(_signed(h[at]))
+            n = len(c.hashes)
+            for size in sizes if only is not None else (min(sizes[0], n),) if n else ():
+                for form, at in c.forms(size):
+                    h = form.windows(size)[at]
+                    if only is not None:
+                        on = only[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                        at, h = at[on], h[on]
+                    for a in at.tolist():
+                        ids.append(i)
+                        ats.append(a)
+                        ns.append(n)
+                        slots.append([{"type": t, "value": v} for t, v in form.slots(a, size)])
+                    hashes.append(_signed(h))
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(np.concatenate(hashes)), pa.array(ns, pa.int32()), pa.array(slots, _SCHEMA.field("slots").type)], schema=_SCHEMA)
 
@@ -172,8 +188,9 @@ def judge(hits: list, n_item: int, size: int) -> tuple[int, int] | None:
     """(windows, covered tokens) of the best consistent alignment of one document and item, or None.
 
     hits: (item_at, doc_at, item slots, doc slots).  An alignment is the windows with one difference of
-    places.  A window whose slots contradict those before it in its alignment is left out, and an
-    alignment with a contradiction for every three other windows, or more, is none.
+    places.  A window that contradicts those before it in its alignment, in all forms in which it matched,
+    is left out, and an alignment with a contradiction for every three other windows, or more, is none.  A
+    short item that is nothing but placeholders has no template to match by: its values must be the same.
     """
     best, size = None, min(size, n_item)
     lines: dict[int, list] = {}
@@ -182,9 +199,15 @@ def judge(hits: list, n_item: int, size: int) -> tuple[int, int] | None:
     for line in lines.values():
         there, back = {}, {}
         covered, windows, against, seen = 0, 0, 0, -1
-        for item_at, _, a, b in sorted(line, key=lambda h: h[0]):
-            pairs = list(zip(a, b))
-            if len(a) != len(b) or any(there.get(x, y) != y or back.get(y, x) != x for x, y in pairs):
+        places: dict[int, list] = {}
+        for item_at, _, a, b in line:
+            places.setdefault(item_at, []).append((a, b))
+        for item_at, forms in sorted(places.items(), key=lambda p: p[0]):
+            for a, b in sorted(forms, key=lambda f: -len(f[0])):
+                pairs = list(zip(a, b))
+                if len(a) == len(b) and not (len(a) == size == n_item < WINDOW and a != b) and all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs):
+                    break
+            else:
                 against += 1
                 continue
             for x, y in pairs:
@@ -201,13 +224,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage:
     """doc_id, item_id, n_windows, covered, n_tokens: pairs of a contaminated document and an item.
 
     docs: doc_id, text; benchmark: item_id, text.  Null and empty texts match nothing; an item shorter
-    than a window is one window, found only in texts that short.  Rows with a null id match nothing;
+    than a window is one window of its length, found in texts of any length.  Rows with a null id match nothing;
     texts under one id count as that id's.  Empty tables give no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL").mapInArrow(lambda it: _windows(it, size, None), WINDOWS)
+    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL").mapInArrow(lambda it: _windows(it, (size,), None), WINDOWS)
     items = cut(items.toDF("item_id", "item_at", "hash", "n_tokens", "item_slots").distinct())
+    sizes = (size, *sorted(r.n_tokens for r in items.filter(F.col("n_tokens") < size).select("n_tokens").distinct().collect()))
     only = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(items.select("hash"))))
-    found = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInArrow(lambda it: _windows(it, size, np.unpackbits(only.value).astype(bool)), WINDOWS)
+    found = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInArrow(lambda it: _windows(it, sizes, np.unpackbits(only.value).astype(bool)), WINDOWS)
     found = found.toDF("doc_id", "doc_at", "hash", "doc_tokens", "doc_slots").drop("doc_tokens")
     hits = found.join(items, "hash").groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.collect_list(F.struct("item_at", "doc_at", "item_slots", "doc_slots")).alias("hits"))
 

@@ -108,6 +108,12 @@ def test_reparameterised_questions(frame):
     assert hits([], [(0, ITEM)], frame) == [] and hits(docs, [], frame) == []
 
 
+def test_short_items(frame):
+    items = [(0, "What is the capital of France?"), (1, "Purple elephants dance"), (2, "42"), (3, "Who wrote 1984")]
+    docs = [(0, "Some words before it. What is the capital of France? And some more words after it."), (1, "long ago purple elephants dance in the rain with others"), (2, "it was 17 or 18 of all these many words"), (3, "it was 42 of all these many words"), (4, "what is the capital city of France, they asked of all the others")]
+    assert hits(docs, items, frame) == [(0, 0), (1, 1), (3, 2)]
+
+
 def test_contamination_against_brute_force(frame):
     rng = random.Random(9)
     say = lambda n: " ".join(rng.choice(WORDS[:60]).replace("w", "word").translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(n))
