@@ -4,6 +4,10 @@ Words are lower-cased; numbers, names (capitalised words inside a sentence) and
 become typed placeholders.  A window of W tokens is hashed with, for each placeholder, how many tokens ago
 the same value stood in the window, so equal windows are templates with the same pattern of repeats.
 Items shorter than W are one window of their own length, and texts have windows of all these lengths too.
+
+Where a sentence starts, and in copies in lower case or broken into other lines, capitals don't tell names
+from other words.  So a window is hashed in up to three forms: names inside sentences as placeholders, all
+capitalised words as placeholders (if half of the window's tokens stay literal), and no names at all.
 Document windows are joined with benchmark windows by hash.  A document is contaminated by an item if
 windows of one alignment cover enough of the item and the slots are consistent over all of them: each
 value of the item stands for one value of the document, and the other way round.
@@ -56,6 +60,7 @@ class Canonical:
 
     def __init__(self, text: str | None):
         self.hashes, self.types, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
+        self.wide = self.types
         p = code_points(text or "")
         if not len(p):
             return
@@ -88,18 +93,38 @@ class Canonical:
             if not _unit_words:
                 _unit_words.append(_unit_hashes())
             types[after[np.isin(h[after], _unit_words[0])]] = _UNIT
+        capital = ~is_number & (types == 0) & ((kind[starts] & UPPER) > 0) & (ends - starts > 1)
         self._take(types, h)
+        self.wide = np.where(capital, _NAME, types).astype(np.int8) if capital.any() else types
 
     def _take(self, types: np.ndarray, values: np.ndarray) -> None:
         self.types, self.values = types, values
         self.hashes = np.where(types > 0, _TYPE_HASH[types], values) if types.any() else values
 
+    def _form(self, types: np.ndarray) -> Canonical:
+        other = Canonical(None)
+        other._take(types, self.values)
+        return other
+
     def forms(self, size: int) -> Iterator[tuple[Canonical, np.ndarray]]:
         """(form, places of the windows of ``size`` tokens that it adds to the forms before it)."""
         n = len(self.hashes)
         if n < size:
             return
+
+        def inside(mark: np.ndarray) -> np.ndarray:
+            sums = np.concatenate(([0], np.cumsum(mark)))
+            return sums[size:] - sums[:-size]
+
         yield self, np.arange(n - size + 1)
+        if self.wide is not self.types:
+            at = np.flatnonzero((inside(self.wide != self.types) > 0) & (2 * inside(self.wide == 0) >= size))
+            if len(at):
+                yield self._form(self.wide), at
+        names = self.types == _NAME
+        if names.any():
+            at = np.flatnonzero(inside(names) > 0)
+            yield self._form(np.where(names, 0, self.types).astype(np.int8)), at
 
     def windows(self, size: int = WINDOW) -> np.ndarray:
         """Hashes of all windows of ``size`` tokens; of a shorter text the one of all its tokens."""

@@ -114,6 +114,13 @@ def test_short_items(frame):
     assert hits(docs, items, frame) == [(0, 0), (1, 1), (3, 2)]
 
 
+def test_names_at_the_start_of_sentences_and_lines(frame):
+    item = "Tom has 3 apples. Tom buys 4 more. Tom eats 2. How many are left?"
+    wrapped = "The long way home from school was walked by McGee and the dog of Anna at noon"
+    docs = [(0, item.replace("Tom", "Ann")), (1, "Before it. " + item.replace("Tom", "Ann").replace("3", "7")), (3, wrapped.replace("by McGee", "by\nMcGee").replace("of Anna", "of\nAnna")), (4, wrapped.lower()), (5, wrapped.replace("McGee", "DeWitt"))]
+    assert hits(docs, [(0, item), (1, wrapped)], frame) == [(0, 0), (1, 0), (3, 1), (4, 1), (5, 1)]
+
+
 def test_contamination_against_brute_force(frame):
     rng = random.Random(9)
     say = lambda n: " ".join(rng.choice(WORDS[:60]).replace("w", "word").translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(n))
