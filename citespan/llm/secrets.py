@@ -7,13 +7,14 @@ maximum likelihood (forward-backward), labels decoded by Viterbi.  Only tokens t
 apart at a token whose label is fixed, so decoding the windows round candidates gives what decoding the
 whole text would.
 
-Training labels come from the fixed patterns over a bounded sample of documents (``TRAIN_DOCS``) and
-from lines written here (``_SEED``), so that a corpus without secrets still gives a model.
+Training labels come from the fixed patterns over a bounded sample of documents (``TRAIN_DOCS``) and of
+their runs of tokens (``TRAIN_RUNS``), and from all lines written here (``_seed``), so that a corpus without secrets still gives a model.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from .common import claim, fresh, table
 TRAIN_DOCS = 400
 #: Characters of each training document.
 TRAIN_CHARS = 20_000
+#: Runs of tokens of those documents that the field is fitted on at most, drawn by hash; the written lines come on top.
+TRAIN_RUNS = 4000
 
 # The base patterns and the least lengths of their matches.
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -129,15 +132,21 @@ def windows(text: str) -> list[list[tuple[str, int, int]]]:
     return out
 
 
+def _free(tokens: list[tuple[str, int, int]]) -> np.ndarray:
+    """Whether B or I is allowed, for a run of tokens."""
+    free = np.zeros(len(tokens), bool)
+    for i, (t, s, _) in enumerate(tokens):
+        beside = i > 0 and tokens[i - 1][2] == s
+        free[i] = bool(_CANDIDATE.fullmatch(t)) or beside and (t in _JOINT or len(t) >= 4 and not t.isalpha())
+    return free
+
+
 def features(tokens: list[tuple[str, int, int]], file: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(matrix of 0 and 1, whether B or I is allowed) for a run of tokens."""
     x = np.zeros((len(tokens), len(FEATURES)), np.float32)
-    free = np.zeros(len(tokens), bool)
+    free = _free(tokens)
     words = [t for t, _, _ in tokens]
     for i, t in enumerate(words):
-        candidate = bool(_CANDIDATE.fullmatch(t))
-        beside = i > 0 and tokens[i - 1][2] == tokens[i][1]
-        free[i] = candidate or beside and (t in _JOINT or len(t) >= 4 and not t.isalpha())
         if not free[i]:
             continue
         names = _shape(t) + [f"prev{k} {_side(words[i - k] if i >= k else None)}" for k in (1, 2, 3)]
@@ -259,19 +268,26 @@ def _seed() -> list[tuple[str, list[tuple[str, int, int]]]]:
     return out
 
 
-def train(texts: list[str]) -> Field:
-    """Fit the field on texts labelled by the fixed patterns, and on the written lines."""
-    runs = []
-    for text, spans in [*((t, base_spans(t)) for t in texts), *_seed()]:
+def _runs(lines) -> Iterator[tuple[bytes, list[tuple[str, int, int]], list[str], list[tuple[str, int, int]]]]:
+    """(hash of its place, tokens, file features, spans) of each run with a free token, 40 tokens at most."""
+    for no, (text, spans) in enumerate(lines):
         found = windows(text)
         file = file_features(text, len(found))
         for tokens in found:
             for i in range(0, len(tokens), 40):
                 part = tokens[i : i + 40]
-                x, free = features(part, file)
-                if free.any():
-                    runs.append((x, free, _labels(part, free, spans)))
-    return fit(runs[:4000] if len(runs) > 4000 else runs)
+                if _free(part).any():
+                    yield hashlib.md5(f"{no} {part[0][1]}".encode()).digest(), part, file, spans
+
+
+def train(texts: list[str]) -> Field:
+    """Fit the field on all written lines, and on TRAIN_RUNS runs of texts labelled by the fixed patterns."""
+    drawn = heapq.nsmallest(TRAIN_RUNS, _runs((t, base_spans(t)) for t in texts), key=lambda r: r[0])
+    runs = []
+    for _, part, file, spans in [*_runs(_seed()), *drawn]:
+        x, free = features(part, file)
+        runs.append((x, free, _labels(part, free, spans)))
+    return fit(runs)
 
 
 def find(text: str, field: Field) -> list[tuple[str, int, int]]:

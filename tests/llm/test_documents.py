@@ -183,6 +183,15 @@ def test_likelihood_gradient_fits():
     assert np.mean([field.viterbi(x, f) == y for x, f, y in runs if f.any()]) > 0.97
 
 
+def test_written_lines_stay_beside_many_runs(monkeypatch):
+    fitted = []
+    monkeypatch.setattr(secrets, "fit", lambda runs: fitted.extend(runs))
+    seeds = len(list(secrets._runs(secrets._seed())))
+    secrets.train([" ".join(f"item{i}x{k} and the words that stand between two of these values in a longer text" for k in range(400)) for i in range(40)])
+    written = [r for r in fitted if secrets.B in r[2]]
+    assert len(fitted) == secrets.TRAIN_RUNS + seeds and len(written) >= 80
+
+
 # --- extraction -------------------------------------------------------------------------------------
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>top</header><nav><ul><li>m</ul></nav><div class=ad>buy</div><article><h1>Head &amp; more</h1><p><b>One<br>two<p>  Three\n four <a href=x>link</a><aside>note</aside><form>f</form><script>var t='</p>';</script><section class='comments'><p>c</p></section></article><footer>&copy;</footer>"
