@@ -291,7 +291,7 @@ def train(texts: list[str]) -> Field:
 
 
 def find(text: str, field: Field) -> list[tuple[str, int, int]]:
-    """All spans: the fixed patterns', and the field's where they overlap none of those."""
+    """All spans: the fixed patterns', and the field's that reach beyond each of those."""
     base = base_spans(text)
     found = windows(text)
     if not found:
@@ -308,7 +308,7 @@ def find(text: str, field: Field) -> list[tuple[str, int, int]]:
             if label == B:
                 start = i
     taken = [(s, e) for _, s, e in base]
-    return base + [x for x in out if not any(s < x[2] and x[1] < e for s, e in taken)]
+    return base + [x for x in out if not any(s <= x[1] and x[2] <= e for s, e in taken)]
 
 
 SPANS = "spans array<struct<kind string, start long, end long>>"

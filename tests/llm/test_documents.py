@@ -192,6 +192,21 @@ def test_written_lines_stay_beside_many_runs(monkeypatch):
     assert len(fitted) == secrets.TRAIN_RUNS + seeds and len(written) >= 80
 
 
+def test_spans_that_reach_beyond_a_base_span():
+    class Whole(secrets.Field):
+        def viterbi(self, x, free):
+            labels = []
+            for f in free:
+                labels.append(secrets.O if not f else secrets.I if labels and labels[-1] != secrets.O else secrets.B)
+            return labels
+
+    field = Whole(np.zeros((len(secrets.FEATURES), 3)), np.zeros((3, 3)))
+    for text, left in (("put secret=abcd1234~efgh5678 there", "put [SECRET] there"), ("put sk_live_" + "0a" * 12 + "XyZ9 there", "put [SECRET] there"), ("put secret=abcd1234 there", "put [SECRET] there")):
+        spans = secrets.find(text, field)
+        assert [x for x in secrets.in_order(spans) if x[0] != "crf"] == plain_spans(text) and secrets._masked(text, spans) == left
+    assert not [x for x in spans if x[0] == "crf"]
+
+
 # --- extraction -------------------------------------------------------------------------------------
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>top</header><nav><ul><li>m</ul></nav><div class=ad>buy</div><article><h1>Head &amp; more</h1><p><b>One<br>two<p>  Three\n four <a href=x>link</a><aside>note</aside><form>f</form><script>var t='</p>';</script><section class='comments'><p>c</p></section></article><footer>&copy;</footer>"
