@@ -1,11 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding, which stands in for an LSH forest.
 
 * A document is the set of its five-word shingles (lower-cased words; a shorter text is one shingle).
   Documents with equal sets are one class and are represented by their least doc_id from then on.
-* A tree of the forest orders the classes by the path of their MinHash labels, as a sorted prefix trie; the
-  classes under one node of depth k share k labels.  Starting at the full depth the matched prefix is
-  shortened, label by label, until a pair at the similarity threshold meets in some tree with at least
-  the target probability.
+* A class has one key for each tree: the hash of its first k MinHash labels there, so classes with the same
+  key share k labels.  The threshold is fixed, so k is worked out beforehand: the longest prefix with which
+  a pair at the threshold meets in some tree with at least the target probability.  No trie is built and
+  no prefix is shortened adaptively.
 * Classes that meet are linked to the least one they meet, and connected components of these links are
   candidates.  All pairs within a component are verified exactly on their shingles, component by
   component; a large component is split into blocks and its pairs of blocks are separate groups.  What
