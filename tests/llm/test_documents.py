@@ -308,7 +308,8 @@ def test_no_node_is_lost(frame, monkeypatch):
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(4)
-    texts = ["".join(map(chr, rng.integers(97, 123, 30_000))) for _ in range(11)]
+    words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (20_000, 7))]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), 10_000)) for _ in range(11)]
     raw = [t.encode() for t in texts]
     keys, n = np.unique(ctw.byte_keys(raw[:10], 5)[0], return_counts=True)
     levels = {d: (node, n0, n1, stop) for d, node, n0, n1, _, stop in ctw.weigh(keys, n, 5, 0)}
