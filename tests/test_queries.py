@@ -6,7 +6,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import DATA
+from tables import DATA
 
 from citespan.plans.catalogue import ORACLE_SQL, QUERIES
 
