@@ -1,101 +1,243 @@
 """Main text of web pages by a site style tree.
 
-Pages are parsed into trees of elements.  A branch's *style* is its path of tags with their class and id
-names.  All pages of a host are merged by style, and each style gets
-
-* a presentation importance: how much the pages differ in whether and how often they have the branch
-  (entropy over its distinct shapes);
-* a content importance: how much what stands in the branch differs from page to page (entropy of its
-  distinct texts over the pages that have it, 1 if all differ, 0 if all are the same).
-
-A branch whose combined importance is low is part of the template and is cut from each page.  Some styles
-have a fixed importance, which the merged pages cannot change: 0 for elements and names that stand for
-menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments (such parts often differ
-from page to page, so entropy alone would keep them), and 1 for what an article or main element holds (the
-same article can be printed on many pages of a site, so entropy alone would cut it).  A page with such an
-element keeps nothing outside it.
+A page is parsed once into block elements and the texts that stand directly in them.  An element's *style*
+is its path of block tags with their class and id names.  All pages of a host, with an article or without,
+are merged by style into the host's style tree, and each node gets
+
+* a presentation importance: how much the pages differ in what the branch is made of (entropy of its
+  distinct shapes over the pages that have it, 1 if all differ, 0 if all are the same);
+* a content importance: the same over the branch's distinct texts.
+
+A branch of low combined importance belongs to the template and is removed from each page.  Pages count by
+their main text: copies of one story, whatever menus and adverts stand round them, are one page, so a
+story that many pages print is no template.  Inside an article a branch goes only if nearly all articles of
+the host hold it unchanged (``INSIDE``).
+
+Menus and adverts that differ from page to page and template parts of hosts with few pages leave no
+trace in the tree, so some branches have a fixed importance of 0: elements that stand for menus,
+headers, footers, sidebars, forms and scripts, and those whose class or id is made of names for such
+parts, notices, adverts and comments.  Of what is left, a page's article or main element is its text; where
+there is none, or it holds less than a quarter of what stands beside it, all that is left is.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
+import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
-#: Pages of a host that must have a branch before it can be cut, and the importance below which it is.
-LEAST_PAGES, LEAST_IMPORTANCE = 3, 0.3
+#: Pages of a host that must have a branch before it can be removed, and the importance below which it is.
+LEAST_PAGES, LEAST_IMPORTANCE = 3, 0.5
+#: The same for branches inside an article, and the part of the host's pages that must have them.
+INSIDE_PAGES, INSIDE_IMPORTANCE, INSIDE_PART = 10, 0.1, 0.5
 #: Weight of the presentation importance against the content importance.
 PRESENTATION = 0.2
+#: An article is taken for a page's text if what is left beside it is at most so many times as long.
+BESIDE = 3
 
 # HTML's element classes, and names that web pages use for what isn't the article.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
-_DROP = frozenset("nav header footer aside form script style noscript template textarea title iframe head dialog menu button select option svg canvas object embed noembed noframes xmp video audio math label fieldset".split())
+_DROP = frozenset("nav footer aside script style noscript template textarea title iframe head dialog menu button select option svg canvas object embed noembed noframes xmp video audio math label fieldset".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _MAIN = frozenset(("article", "main"))
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol dl table div section article main aside nav header footer body td th blockquote form".split())
 _NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar side aside widget "
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget "
     "cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login comment comments commentlist reply replies disqus respond share sharing social related recommended "
     "recommendations pagination pager toolbar legal copyright disclaimer search form skip".split()
 )
+_NEUTRAL_WORDS = frozenset(
+    "site page main top bottom left right upper lower global primary secondary sub box list section container wrapper wrap inner outer block area slot bar row col item items links link unit group panel "
+    "content region zone the post posts entry article articles blog story user reader readers my fixed sticky mobile desktop icon icons button buttons policy google x of in a b c d".split()
+)
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
+_WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+
+#: Marks of an element: noise whatever it holds, noise by name, form or header, an article or main element,
+#: and whether it or an element round it is one.
+HARD, SOFT, MAIN, INSIDE = 1, 2, 4, 8
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text else {}
 
 
-def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in _DROP or attrs.get("role", "").lower() in _NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
+def _named_noise(names: str) -> bool:
+    """Whether a class or id is made of noise words and words that say nothing beside them only."""
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if any(w in _NOISE_WORDS for w in words) and all(w in _NOISE_WORDS or w in _NEUTRAL_WORDS for w in words):
+            return True
+    return False
+
+
+def _marks(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    if tag in _DROP or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+        return HARD
+    if attrs and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
+        return HARD
+    role = attrs.get("role", "").lower()
+    if tag in _MAIN or role == "main":
+        return MAIN
     if tag in ("body", "html"):
-        return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return any(w.lower() in _NOISE_WORDS for w in _WORDS.findall(names)) if names != " " else False
+        return 0
+    if role in _NOISE_ROLES or tag == "form" or tag == "header" and not inside:
+        return SOFT
+    return SOFT if attrs and _named_noise(f"{attrs.get('class', '')} {attrs.get('id', '')}") else 0
 
 
 def _style(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *sorted(attrs.get("class", "").split())]) + (f"#{attrs['id']}" if attrs.get("id") else "")
 
 
-class _Element:
-    __slots__ = ("tag", "path", "noise", "main")
+def _step(path: bytes, style: str) -> bytes:
+    return xxhash.xxh3_64_digest(path + b"/" + style.encode())
+
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+def branch_of(style: str) -> int:
+    """The branch of a path of tags with their names, as ``html/body/div.top.wide#logo``."""
+    path = b""
+    for step in style.split("/"):
+        path = _step(path, step)
+    return _signed(int.from_bytes(path, "big"))
 
 
-def blocks(html: str | None) -> list[tuple[str, str, bool]]:
-    """(text, style path, whether it stands in an article or main element) of each block of a page.
+class Page:
+    """A page's block elements, each after the one it stands in, and its texts in page order.
 
-    Noise elements are left out, scripts, styles, comments and markup too.  Unclosed elements end as HTML
-    says: a paragraph at the next block, a list item at the next one, all at the end.
+    parents, marks, branches: of each element; a branch is the hash of a style (``branch_of``).  owners,
+    texts: each block of text and the element it stands in.
     """
-    out: list[tuple[str, str, bool]] = []
-    stack = [_Element("", "", False, False)]
+
+    def __init__(self):
+        self.parents, self.marks, self.branches, self.owners, self.texts = [-1], [0], [0], [], []
+
+    def packed(self) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(json.dumps([self.parents, self.marks, self.branches, self.owners, self.texts], ensure_ascii=False).encode())
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Page:
+        page = cls()
+        page.parents, page.marks, page.branches, page.owners, page.texts = json.loads(zstandard.ZstdDecompressor().decompress(blob))
+        return page
+
+    def noise(self) -> list[bool]:
+        """Of each element, whether its importance is 0 by its name or by an element's round it.
+
+        An element that is noise by name only isn't, if the page's only articles stand in it, or, on a page
+        without any, if it holds more than half of the text.
+        """
+        n = len(self.parents)
+        size = [0] * n
+        for o, t in zip(self.owners, self.texts):
+            size[o] += len(t)
+        hard, noise = [False] * n, [False] * n
+        for i in range(1, n):
+            hard[i] = hard[self.parents[i]] or self.marks[i] & HARD > 0
+            noise[i] = noise[self.parents[i]] or self.marks[i] & (HARD | SOFT) > 0
+        mains = [i for i in range(1, n) if self.marks[i] & MAIN and not hard[i]]
+        if any(not noise[i] for i in mains) or not any(m & SOFT for m in self.marks):
+            return noise
+        for i in range(n - 1, 0, -1):
+            if not hard[i]:
+                size[self.parents[i]] += size[i]
+        spared = set()
+        if mains:
+            i = max(mains, key=lambda i: (size[i], -i))
+            while i > 0:
+                spared.add(i)
+                i = self.parents[i]
+        else:
+            spared = {i for i in range(1, n) if 2 * size[i] > size[0]}
+        for i in range(1, n):
+            noise[i] = noise[self.parents[i]] or self.marks[i] & HARD > 0 or self.marks[i] & SOFT > 0 and i not in spared
+        return noise
+
+    def main_texts(self, low: set[int] | frozenset[int] = frozenset()) -> list[str]:
+        """The blocks of the main text; low: branches of low importance."""
+        gone = self.noise()
+        if low:
+            for i in range(1, len(gone)):
+                gone[i] = gone[i] or gone[self.parents[i]] or self.branches[i] in low and not self.marks[i] & MAIN
+        left = [(self.marks[o] & INSIDE > 0, t) for o, t in zip(self.owners, self.texts) if not gone[o]]
+        inside, beside = (sum(len(t) for i, t in left if i == part) for part in (True, False))
+        if inside * BESIDE >= beside and any(m & MAIN for m, g in zip(self.marks, gone) if not g):
+            return [t for i, t in left if i]
+        return [t for _, t in left]
+
+    def folded(self) -> list[tuple[int, int, int, bool]]:
+        """(branch, hash of its texts, hash of its shape, whether it is inside an article) of each branch."""
+        n = len(self.parents)
+        h = xxhash.xxh3_64_intdigest
+        content, shape = [b""] * n, [b""] * n
+        parts: list[list[bytes]] = [[] for _ in range(n)]
+        texts: list[list[str]] = [[] for _ in range(n)]
+        for o, t in zip(self.owners, self.texts):
+            texts[o].append(t)
+        for i in range(n - 1, -1, -1):  # children have larger numbers
+            own = "\n".join(texts[i]).encode()
+            kids = parts[i][::-1]
+            if own or kids:
+                content[i] = h(own + b"\0" + b"".join(k[:8] for k in kids)).to_bytes(8, "big")
+                shape[i] = h(bytes([bool(own)]) + b"".join(k[8:] for k in kids)).to_bytes(8, "big")
+                if i:
+                    parts[self.parents[i]].append(content[i] + (self.branches[i] & (1 << 64) - 1).to_bytes(8, "big") + shape[i])
+        found: dict[int, list] = {}
+        for i in range(1, n):
+            if content[i]:
+                at = found.setdefault(self.branches[i], [b"", b"", self.marks[i] & INSIDE > 0])
+                at[0] += content[i]
+                at[1] += shape[i]
+        return [(b, _signed(h(c)), _signed(h(s)), inside) for b, (c, s, inside) in found.items()]
+
+    def identity(self) -> int:
+        return _signed(xxhash.xxh3_64_intdigest("\n".join(self.main_texts())))
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+class _Open:
+    """An open element: its tag, its block element's number, whether its own words are noise."""
+
+    __slots__ = ("tag", "number", "skip")
+
+    def __init__(self, tag: str, number: int, skip: bool):
+        self.tag, self.number, self.skip = tag, number, skip
+
+
+def parse(html: str | None) -> Page:
+    """A page's elements and texts; scripts, styles, comments and markup are left out.
+
+    Unclosed elements end as HTML says: a paragraph at the next block, a list item at the next one, all
+    at the end.
+    """
+    page = Page()
+    paths = [b""]
+    stack = [_Open("", 0, False)]
     words: list[str] = []
 
     def flush():
         text = " ".join("".join(words).split())
         if text:
-            block = next((e for e in reversed(stack) if e.tag in _BLOCK or not e.tag))
-            out.append((text, block.path, block.main))
+            page.owners.append(stack[-1].number)
+            page.texts.append(text)
         words.clear()
 
     def close(until: int):
@@ -105,7 +247,6 @@ def blocks(html: str | None) -> list[tuple[str, str, bool]]:
                 flush()
             stack.pop()
 
-    raw_until: re.Match | None = None
     at, text = 0, html or ""
     n = len(text)
     while at < n:
@@ -114,11 +255,11 @@ def blocks(html: str | None) -> list[tuple[str, str, bool]]:
             break
         at = m.end()
         if m["text"] is not None:
-            if not stack[-1].noise:
+            if not stack[-1].skip:
                 words.append(entities.unescape(m["text"]) if "&" in m["text"] else m["text"])
             continue
         if m["tag"] is None:
-            if m["cdata"] is not None and not stack[-1].noise:
+            if m["cdata"] is not None and not stack[-1].skip:
                 words.append(m["cdata"])
             continue
         tag = m["tag"].lower()
@@ -136,8 +277,8 @@ def blocks(html: str | None) -> list[tuple[str, str, bool]]:
         if tag in _VOID:
             if tag == "hr":
                 flush()
-            elif tag in ("br", "wbr", "img") and not stack[-1].noise:
-                words.append(" " if tag == "br" else "")
+            elif tag == "br" and not stack[-1].skip:
+                words.append(" ")
             continue
         attrs = _attributes(m["attrs"]) if m["attrs"].strip() else {}
         if tag in _CLOSES_P:
@@ -152,106 +293,106 @@ def blocks(html: str | None) -> list[tuple[str, str, bool]]:
                 if stack[i].tag in _CLOSED_BY[tag]:
                     close(i)
                     break
-                if stack[i].tag in _SCOPES and not (tag in ("tr",) and stack[i].tag in ("td", "th")):
+                if stack[i].tag in _SCOPES and not (tag == "tr" and stack[i].tag in ("td", "th")):
                     break
-        top = stack[-1]
-        noise = top.noise or _is_noise(tag, attrs)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             at = end.end() if end else n
             continue
         if m["attrs"].rstrip().endswith("/") and tag not in _BLOCK:
             continue
-        if tag in _BLOCK:
-            if not top.noise:
-                flush()
-            else:
-                words.clear()
-        main = top.main or (tag in _MAIN or attrs.get("role", "").lower() == "main") and not noise
-        stack.append(_Element(tag, f"{top.path}/{_style(tag, attrs)}" if tag in _BLOCK else top.path, noise, main))
+        top = stack[-1]
+        inside = page.marks[top.number] & INSIDE
+        marks = _marks(tag, attrs, inside > 0)
+        if tag not in _BLOCK:
+            stack.append(_Open(tag, top.number, top.skip or marks & (HARD | SOFT) > 0))
+            continue
+        flush()
+        paths.append(_step(paths[top.number], _style(tag, attrs)))
+        page.parents.append(top.number)
+        page.branches.append(_signed(int.from_bytes(paths[-1], "big")))
+        # What stands in an inline element that is noise is noise as well.
+        marks = marks | (HARD if top.skip else 0)
+        page.marks.append(marks | (inside or (INSIDE if marks & MAIN else 0)))
+        stack.append(_Open(tag, len(page.parents) - 1, False))
     close(1)
     flush()
-    return out
-
-
-def main_blocks(html: str | None, cut: set[str]) -> list[str]:
-    """The blocks of a page's main text: those in an article or main element, or else all that are not
-    under a style in ``cut``."""
-    found = blocks(html)
-    if any(main for _, _, main in found):
-        return [t for t, _, main in found if main]
-    return [t for t, path, _ in found if not any(path == c or path.startswith(c + "/") for c in cut)]
+    return page
 
 
 def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _open_branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pages without an article: host, branch, hash of the branch's text, of its shape, of the page."""
+PARSED = "page_id long, url string, host string, page binary, identity long, branches array<struct<branch long, content long, shape long, inside boolean>>"
+_BRANCHES = pa.list_(pa.struct([("branch", pa.int64()), ("content", pa.int64()), ("shape", pa.int64()), ("inside", pa.bool_())]))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for page, host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            text = html.as_py() or ""
-            found = blocks(text)
-            if any(main for _, _, main in found):
-                continue
-            branches: dict[str, list[str]] = {}
-            shapes: dict[str, list[str]] = {}
-            for t, path, _ in found:
-                steps = path.split("/")
-                for i in range(2, len(steps) + 1):
-                    branch = "/".join(steps[:i])
-                    branches.setdefault(branch, []).append(t)
-                    shapes.setdefault(branch, []).append("/".join(steps[i:]))
-            of_page = hashlib.md5(text.encode()).hexdigest()
-            for branch, texts in branches.items():
-                rows.append((page, host, branch, hashlib.md5("\n".join(texts).encode()).hexdigest(), hashlib.md5("\n".join(shapes[branch]).encode()).hexdigest(), of_page))
-        if rows:
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["page_id", "host", "branch", "content", "shape", "page"])
+        blobs, identities, branches = [], [], []
+        for html in batch.column(3):
+            page = parse(html.as_py())
+            blobs.append(page.packed())
+            identities.append(page.identity())
+            branches.append([{"branch": b, "content": c, "shape": s, "inside": i} for b, c, s, i in page.folded()])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary()), pa.array(identities, pa.int64()), pa.array(branches, _BRANCHES)], names=["page_id", "url", "host", "page", "identity", "branches"])
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Each row of pages, parsed: its elements and texts as one compressed value, and its branches' hashes."""
+    return pages.select(F.col("page_id").cast("long"), "url", _host(F.col("url")).alias("host"), "html").mapInArrow(_parsed, PARSED)
 
 
 def _entropy(rows: DataFrame, what: str) -> DataFrame:
-    """host, branch, entropy of ``what`` over distinct pages, over its largest possible value."""
+    """host, branch, entropy of ``what`` over its largest possible value."""
     counts = rows.groupBy("host", "branch", what).agg(F.count("*").alias("n"))
-    sums = counts.groupBy("host", "branch").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    return sums.select("host", "branch", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / F.log("pages")).otherwise(F.lit(1.0)).alias(f"{what}_importance"))
+    sums = counts.groupBy("host", "branch").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    return sums.select("host", "branch", F.when(F.col("all") > 1, 1 - F.col("s") / F.col("all") / F.log("all")).otherwise(F.lit(1.0)).alias(f"{what}_importance"))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, branch, pages, presentation and content importance, importance, of pages without an article.
+def style_tree(opened: DataFrame) -> DataFrame:
+    """host, branch, inside, pages, host_pages, presentation and content importance, importance, of parsed pages.
 
-    Copies of a page count once.  Rows are summed by host, branch and content before anything else, so a
-    host with a third of all pages is many small groups.
+    Pages with one main text count once for each content that a branch has there.  Rows are summed by
+    host, branch and content before anything else, so a host with a third of all pages is many small
+    groups, and its sums are one number a task.
     """
-    rows = pages.select(F.lit(0).cast("long").alias("page_id"), _host(F.col("url")).alias("host"), "html").mapInArrow(_open_branches, "page_id long, host string, branch string, content string, shape string, page string")
-    rows = rows.select("host", "branch", "content", "shape", "page").distinct()
-    content, shape = _entropy(rows, "content"), _entropy(rows, "shape")
-    both = content.join(shape.drop("pages"), ["host", "branch"])
+    rows = opened.select("host", "identity", F.explode("branches").alias("b")).select("host", "identity", "b.branch", "b.content", "b.shape", "b.inside").distinct()
+    content, shape = _entropy(rows.select("host", "branch", "identity", "content").distinct(), "content"), _entropy(rows.select("host", "branch", "identity", "shape").distinct(), "shape")
+    # A distinct count without one set for each group: distinct rows first, then their number.
+    having = rows.select("host", "branch", "inside", "identity").distinct().groupBy("host", "branch").agg(F.count("*").alias("pages"), F.max("inside").alias("inside"))
+    hosts = opened.select("host", "identity").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    both = content.join(shape, ["host", "branch"]).join(having, ["host", "branch"]).join(hosts, "host")
     weight = F.lit(PRESENTATION)
     return both.withColumn("importance", weight * F.col("shape_importance") + (1 - weight) * F.col("content_importance"))
 
 
+def low_branches(tree: DataFrame) -> DataFrame:
+    """host, branch of the style tree's template."""
+    inside = (F.col("pages") >= INSIDE_PAGES) & (F.col("pages") >= INSIDE_PART * F.col("host_pages")) & (F.col("importance") < INSIDE_IMPORTANCE)
+    outside = (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)
+    return tree.filter(F.when(F.col("inside"), inside).otherwise(outside)).select("host", "branch")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages, repeated rows and null columns too.
 
-    A null or empty html has an empty text.  Nothing of the text is dropped or cut short but the
-    branches named above.  The text of blocks is joined by an empty line.
+    A null or empty html has an empty text; pages without a host in their url are those of one host.  Each
+    row is judged by its own host and html, whatever its page_id.  Nothing of the text is dropped or cut short
+    but the branches named above.  The text of blocks is joined by an empty line.
     """
-    tree = style_tree(pages)
-    low = tree.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "branch")
-    opened = pages.select(F.col("page_id").cast("long"), _host(F.col("url")).alias("host"), "html").filter("page_id IS NOT NULL")
-    opened = opened.mapInArrow(_open_branches, "page_id long, host string, branch string, content string, shape string, page string").select("page_id", "host", "branch").distinct()
-    cut = opened.join(low, ["host", "branch"]).groupBy("page_id").agg(F.collect_set("branch").alias("cut"))
-    joined = pages.select(F.col("page_id").cast("long"), "url", "html").join(cut, "page_id", "left")
+    opened = cut(parsed(pages))
+    low = low_branches(style_tree(opened)).groupBy("host").agg(F.collect_list("branch").alias("low"))
+    # A host's template is a few numbers; its pages may be a third of all, so a skewed join deals them anew.
+    joined = opened.select("page_id", "url", "host", "page").join(low, "host", "left").select("page_id", "url", "page", "low")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = ["\n\n".join(main_blocks(h.as_py(), set(c or ()))) for h, c in zip(b.column(2), b.column(3).to_pylist())]
+            got = ["\n\n".join(Page.unpacked(p.as_py()).main_texts(set(c or ()))) for p, c in zip(b.column(2), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.select("page_id", "url", "html", "cut").mapInArrow(texts, "page_id long, url string, text string")
+    return joined.mapInArrow(texts, "page_id long, url string, text string")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,6 +227,63 @@ def test_style_tree_cuts_the_template(frame):
     assert all(got[i] == f"Story {i}{' ' * (i > 0)}{'abc' * i}\n\nMore {i}" for i in range(6)) and all(got[10 + i] == "Only page" for i in range(5))
 
 
+def test_style_tree_inside_articles_and_by_row(frame):
+    box = "<div><p>Write to us</p></div>"
+    rows = [(i if i % 3 else None, f"http://a.example/{i}", f"<body><div>motto</div><article><h1>Same head</h1><p>Tale {'x' * i}</p>{box}</article>") for i in range(12)]
+    rows += [(1, "http://b.example/1", "<body><div>motto</div><article><p>Other host</p></article>"), (1, "http://b.example/2", "<body><div>motto</div><p>No article</p>")]
+    got = html_extraction.extract(frame(rows, "page_id long, url string, html string")).collect()
+    texts = {r.url: r.text for r in got}
+    assert len(got) == len(rows) and texts["http://b.example/1"] == "Other host" and texts["http://b.example/2"] == "motto\n\nNo article"
+    # One head on all articles of a host is its template too; on fewer than INSIDE_PAGES it stays.
+    assert all(texts[f"http://a.example/{i}"] == f"Tale {'x' * i}".strip() for i in range(12))
+    few = html_extraction.extract(frame(rows[:5], "page_id long, url string, html string")).collect()
+    assert all(r.text == f"Same head\n\nTale {'x' * int(r.url[-1])}".strip() + "\n\nWrite to us" for r in few)
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><div class='side-by-side'><p>a</div><section class='comment-free-analysis'>b</section><div class='post-comments'>c</div><p class=ad-slot>d</article>", "a\n\nb"),
+        ("<article class='post no-comments'><header><h1>h</h1></header><p>a<footer>f</footer></article>", "h\n\na"),
+        ("<header>site</header><main class='content has-sidebar'><p>a</main>", "a"),
+        ("<div class='search-result-article'><p>a b c d</div><div class=sidebar>s</div>", "a b c d"),
+        ("<div class='post sidebar-left'><p>long long text</div><div class=share>s</div>", "long long text"),
+        ("<form><div class=wrapper-form><article>a</article></div></form><form>f</form>", "a"),
+        ("<div class=content><p>" + "long " * 40 + "</div><div><article class=card>card</article></div>", ("long " * 40).strip() + "\n\ncard"),
+        ("<article></article><div class=ad>buy this now</div>", ""),
+        ("<span class=ad>x<div>y</div></span>z", "z"),
+        ("<div hidden>x</div><p>a<div role=navigation>n</div>", "a"),
+        ("<div>" * 3000 + "deep", "deep"),
+    ],
+)
+def test_names_and_articles(html, text):
+    page = html_extraction.parse(html)
+    assert "\n\n".join(page.main_texts()) == text and html_extraction.Page.unpacked(page.packed()).main_texts() == page.main_texts()
+
+
+def test_importance_against_brute_force(frame):
+    rng = random.Random(3)
+    pages = []
+    for i in range(40):
+        menu = "".join(f"<li>{rng.choice('abc')}</li>" for _ in range(rng.choice((2, 2, 3))))
+        pages.append((i, f"http://{rng.choice('st')}.example/{i}", f"<body><ul class=m>{menu}</ul><div class=t><p>{rng.choice('uvw')}</p></div><section><p>{i if i % 4 else 'copy'}</p></section>"))
+    tree = {(r.host, r.branch): r for r in html_extraction.style_tree(html_extraction.parsed(frame(pages, "page_id long, url string, html string"))).collect()}
+
+    def entropy(values):
+        n = Counter(values)
+        return -sum(c / len(values) * math.log(c / len(values)) for c in n.values()) / math.log(len(values)) if len(values) > 1 else 1.0
+
+    for host in ("s.example", "t.example"):
+        here = [h for _, u, h in pages if host in u]
+        main = lambda h: "\n\n".join(html_extraction.parse(h).main_texts())
+        for style, tag in (("body/ul.m", "ul"), ("body/div.t", "div"), ("body/section", "section")):
+            own = sorted({(main(h), re.search(f"<{tag}.*</{tag}>", h)[0]) for h in here})
+            shapes = sorted({(main(h), re.search(f"<{tag}.*</{tag}>", h)[0].count("<li>")) for h in here})
+            r = tree[host, html_extraction.branch_of(style)]
+            assert r.content_importance == pytest.approx(entropy([c for _, c in own])) and r.shape_importance == pytest.approx(entropy([c for _, c in shapes]))
+            assert r.importance == pytest.approx(0.2 * r.shape_importance + 0.8 * r.content_importance) and r.pages == r.host_pages == len({main(h) for h in here})
+
+
 # --- language-model scores --------------------------------------------------------------------------
 
 
