@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 OLD_SHARDS, NEW_SHARDS = 5, 8
 #: Equal texts stay in one shard in runs of up to 1/RUN_PART of a shard's capacity.
@@ -85,9 +85,11 @@ def _shard_at(old: Column, at: Column, cuts: list[tuple[int, int, int]]) -> Colu
     return out
 
 
-def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, old_shard: Column | None = None) -> tuple[DataFrame, list[list[int]]]:
+def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, old_shard: Column | None = None, row: Column | None = None) -> tuple[DataFrame, list[list[int]]]:
     """(doc_id, size, text_crc32, old_shard, shard, slot for each row of docs; the flow in bytes).
 
+    row: a number that tells rows apart; where it is given, the result has it as column ``row``.
+
     A row's size is its text's UTF-8 bytes plus 1, so that null and empty texts count.  old_shard, where
     not given, is the hash of the text modulo old_shards; equal texts then start in one shard, and stay
     in one in runs of up to a 256th of a capacity.  Shard sizes are equal but for half such a run or half a
@@ -95,13 +97,16 @@ def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old_shards: int = OLD
     rows of their own; an empty table gives no rows.  Only doc_id and text are read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    named = [] if row is None else [row.cast("long").alias("row")]
+    names = ["row"] * len(named)
     slim = docs.select(
         F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"), (F.pmod(F.xxhash64(text), F.lit(old_shards)) if old_shard is None else old_shard).cast("int").alias("old_shard"),
+        *named,
     )
     ranged = slim.repartitionByRange("old_shard", "text_hash", "doc_id")
     rows = cut(ranged.withColumn("part", F.spark_partition_id()))  # the partitions must be the same ones from here on
-    order = ["text_hash", "doc_id", "size"]
+    order = ["text_hash", "doc_id", "size", *names]
     sums = rows.groupBy("part", "old_shard").agg(F.sum("size").alias("bytes"))
     sizes = {r.old_shard: r.bytes for r in sums.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect()}  # a row for each old shard
     supply = [sizes.get(i, 0) for i in range(old_shards)]
@@ -116,12 +121,12 @@ def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old_shards: int = OLD
     at = at.withColumn("run", F.floor((F.col("at") - F.min("at").over(same)) / max(1, min(capacity, default=1) // RUN_PART)))
     together = Window.partitionBy("part", "old_shard", "text_hash", "run")
     at = at.withColumn("at", F.min("at").over(together) + F.floor(F.sum("size").over(together) / 2))
-    placed = cut(at.select("doc_id", "size", "text_crc32", "text_hash", "old_shard", "part", _shard_at(F.col("old_shard"), F.col("at"), _cuts(flow)).alias("shard")))
+    placed = cut(at.select("doc_id", "size", "text_crc32", "text_hash", "old_shard", "part", *names, _shard_at(F.col("old_shard"), F.col("at"), _cuts(flow)).alias("shard")))
     counts = placed.groupBy("part", "shard").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     slot = F.col("before") + F.row_number().over(Window.partitionBy("part", "shard").orderBy("old_shard", *order)) - 1
-    return placed.join(starts, ["part", "shard"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", slot.cast("long").alias("slot")), flow
+    return placed.join(starts, ["part", "shard"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", slot.cast("long").alias("slot"), *names), flow
 
 
 def affected(flow: list[list[int]]) -> list[int]:
@@ -131,14 +136,40 @@ def affected(flow: list[list[int]]) -> list[int]:
     return [k for k in shards if moved(k)]
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, flow: list[list[int]], folder: str, new_shards: int = NEW_SHARDS) -> list[int]:
-    """Write the affected shards' documents to folder/shard=k, other shards' files stay; the shards written.
+def write(docs: DataFrame, folder: str, shard: Column, name: str | None = None) -> str:
+    """Lay docs out as shards: folder/name=k holds the rows whose shard is k; the name used.
+
+    name is ``shard``, with underscores after it where docs has such a column already.
+    """
+    name = name or fresh(docs, "shard")
+    docs.withColumn(name, shard.cast("int")).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(name).parquet(folder)
+    return name
+
+
+def rewrite(spark: SparkSession, folder: str, new_shards: int, name: str = "shard") -> list[int]:
+    """Reshard the shards folder/name=0 ... in place, moving the fewest bytes; the shards that changed.
 
-    doc_id must be unique here.  A shard is written by as many tasks as its rows come in.
+    Only the affected shards' files are written; a shard that ends empty, or has a number from new_shards
+    on, goes.  Each row that is there stays exactly once, whatever its columns hold: rows are told apart by
+    a number of their own, so null and repeated ids don't matter.  The rows of affected shards are written
+    to the checkpoint folder before any file of theirs is replaced; a run that is broken off in between
+    leaves each shard in its old or its new state, and the rows are still in that folder.
     """
-    shards = [k for k in affected(flow) if k < new_shards]
-    moving = placed.filter(F.col("shard").isin(shards)).select("doc_id", "shard")
-    docs.join(moving, "doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
+    read = spark.read.option("basePath", folder).parquet(folder)
+    row = fresh(read, "row_number")
+    tagged = cut(read.withColumn(row, F.monotonically_increasing_id()))
+    old_shards = (tagged.agg(F.max(name)).first()[0] or 0) + 1
+    placed, flow = reshard(tagged.select(*[c for c in ("doc_id", "text") if c in read.columns], F.col(name), F.col(row)), new_shards, old_shards, F.col(name), F.col(row))
+    shards = affected(flow)
+    target = fresh(tagged, "target")
+    moving = placed.filter(F.col("shard").isin([k for k in shards if k < new_shards])).select(F.col("row").alias(row), F.col("shard").alias(target))
+    moved = cut(tagged.join(moving, row).drop(row, name).withColumnRenamed(target, name))
+    filled = {r[0] for r in moved.select(name).distinct().collect()}
+    moved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(folder)
+    for k in shards:
+        if k not in filled:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}={k}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return shards
 
 

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from citespan.llm import ctw, html_extraction, lm_score, packing, quality, resharding, secrets
 
@@ -110,7 +111,7 @@ def test_flow_moves_the_fewest_bytes(supply, capacity):
     assert sum(sum(r) for r in flow) - sum(flow[k][k] for k in range(min(len(supply), len(capacity)))) == sum(supply) - sum(min(a, b) for a, b in zip(supply, capacity))
 
 
-def test_reshard(frame, tmp_path):
+def test_reshard(frame):
     rng = random.Random(1)
     rows = [(i, rng.choice(("same text", "a" * rng.randint(0, 900), f"é{i}")), "x") for i in range(600)] + [(600, None, "x"), (None, "n", "x"), (7, "twice", "x"), (7, "twice", "x")]
     docs = frame(rows, "doc_id long, text string, shard string")
@@ -122,14 +123,29 @@ def test_reshard(frame, tmp_path):
     assert all(sorted(s.slot) == list(range(len(s))) for _, s in got.groupby("shard"))
     stay = got[got.shard == got.old_shard]["size"].sum()
     assert abs(stay - sum(flow[k][k] for k in range(5))) < 5 * 2000
-    unique = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).drop("shard")
-    placed, flow = resharding.reshard(unique)
-    written = resharding.rewrite(unique, placed, flow, str(tmp_path / "out"))
-    assert written == resharding.affected(flow) and {p.name for p in (tmp_path / "out").glob("shard=*")} <= {f"shard={k}" for k in written}
     empty, _ = resharding.reshard(docs.limit(0))
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("old,new,column", [(5, 3, "note"), (5, 8, "note"), (5, 5, "note"), (4, 6, "shard"), (2, 1, "row_number")])
+def test_rewrite_keeps_each_row(spark, frame, tmp_path, old, new, column):
+    rng = random.Random(old * new)
+    rows = [(i if i % 9 else None, rng.choice(("same", None, "", "a" * rng.randint(0, 400), f"é{i}")), str(i % 7)) for i in range(300)]
+    rows += [(7, "twice", None)] * 3 + rows[:20]
+    docs = frame(rows, f"doc_id long, text string, {column} string")
+    folder = str(tmp_path / "shards")
+    name = resharding.write(docs, folder, F.pmod(F.xxhash64("doc_id", "text"), F.lit(old)))
+    before = {p: (p.stat().st_mtime_ns, p.read_bytes()) for p in (tmp_path / "shards").rglob("*.parquet")}
+    changed = resharding.rewrite(spark, folder, new, name)
+    after = spark.read.option("basePath", folder).parquet(folder)
+    assert Counter(tuple(r) for r in after.select("doc_id", "text", column).collect()) == Counter(rows)
+    there = {int(p.name.split("=")[1]) for p in (tmp_path / "shards").glob(f"{name}=*")}
+    assert there == set(range(new)) and set(changed) >= set(range(new, old))
+    assert all(p.exists() and (p.stat().st_mtime_ns, p.read_bytes()) == was for p, was in before.items() if int(p.parent.name.split("=")[1]) not in changed)
+    sizes = [sum(len((r.text or "").encode()) + 1 for r in after.filter(f"`{name}` = {k}").collect()) for k in range(new)]
+    assert max(sizes) - min(sizes) < 2 * (401 + sum(sizes) / new / resharding.RUN_PART) + 802
+
+
 # --- secrets ----------------------------------------------------------------------------------------
 
 
