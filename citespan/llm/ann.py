@@ -29,8 +29,8 @@ TRAIN_VECTORS = 8192
 CODEBOOKS, CODEWORDS, BEAM = 16, 128, 4
 #: Distinct vectors ranked exactly for each query and block of stored vectors.
 RERANK, SLACK = 192, 0.5
-#: Stored vectors and queries handled at once, and blocks of stored vectors that one task goes through.
-BLOCK, QUERY_BLOCK, STRIPE = 4096, 512, 4
+#: Stored vectors and queries handled at once, and bytes of stored vectors that one task holds.
+BLOCK, QUERY_BLOCK, STRIPE_BYTES = 4096, 512, 64_000_000
 
 
 class Codebooks:
@@ -165,12 +165,24 @@ def _scan(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, codes
     score += SLACK * errors[:, None] * (np.linalg.norm(q, axis=1) / np.sqrt(q.shape[1])).astype(np.float32)[None, :]
     top = min(RERANK, len(x))
     near = np.argpartition(-score, top - 1, axis=0)[:top].T  # queries x top
-    exact = np.stack([np.einsum("nd,nd->n", x[n].astype(np.float64), np.broadcast_to(v, (top, len(v)))) for n, v in zip(near, q)])
+    exact = np.concatenate([np.einsum("qnd,qd->qn", x[near[i : i + 64]].astype(np.float64), q[i : i + 64]) for i in range(0, len(q), 64)])
     found = ids[near]  # queries x top x ids of a vector
     value = np.where((found < 0) | (found == qids[:, None, None]), -np.inf, exact[:, :, None])
     return value.reshape(len(q), -1), found.reshape(len(q), -1)
 
 
+def grid(blocks: int, query_blocks: int, ratio: float, vector_bytes: int, tasks: int) -> tuple[int, int]:
+    """(stripes of stored vectors, groups of query blocks); each pair of them is the work of one task.
+
+    A stored vector is sent to each group and a query to each stripe.  As many stripes are made as memory
+    needs, or, where that is less than there are tasks, as make the sum of both least.  ratio: stored
+    vectors for each query.
+    """
+    held = max(1, STRIPE_BYTES // (vector_bytes * BLOCK))
+    stripes = min(blocks, max(-(-blocks // held), round((tasks * ratio) ** 0.5)))
+    return stripes, max(1, min(query_blocks, tasks // stripes))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = TRAIN_VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score: of each query the k nearest of ``vectors`` that aren't the query itself.
 
@@ -179,9 +191,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = TR
     repeat a vec_id with the same vector count once.  Vectors must all have one length; those of another
     length than most of the sample's take no part.
 
-    Every distinct vector is encoded and every query scored against every code: blocks of queries meet
-    blocks of vectors, a task goes through the blocks of one stripe keeping the k best of each query, and
-    the stripes' bests are merged.  So what is shuffled is blocks, not pairs.
+    Every distinct vector is encoded, once, and every query scored against every code.  Vectors are dealt
+    out to stripes, each small enough for a task to hold; the queries, in blocks, go through each stripe,
+    keeping their k best there, and the stripes' bests are merged (``grid``).  What is shuffled is each vector
+    once and each query once a stripe, never a pair.
     """
     spark = vectors.sparkSession
     double = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
@@ -197,8 +210,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = TR
     valid = valid.filter(F.size("v") == dim)
     asked = valid_vectors(queries).filter(F.size("v") == dim).dropDuplicates(["vec_id"]).select("vec_id", F.col("v").cast(f"array<{sql_kind}>"))
     n_stored, n_asked = valid.count(), asked.count()
-    n_blocks = -(-n_stored // BLOCK) or 1
-    stripes = -(-n_blocks // STRIPE)
+    n_blocks, n_query_blocks = -(-n_stored // BLOCK) or 1, -(-n_asked // QUERY_BLOCK) or 1
+    stripes, groups = grid(n_blocks, n_query_blocks, n_stored / max(1, n_asked), dim * np.dtype(kind).itemsize, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Blocks of even size, whatever the number of partitions.
     stored = _distinct(valid, dim, k + 1).select(F.col("v").cast(f"array<{sql_kind}>"), "ids").repartition(n_blocks)
 
@@ -214,7 +227,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = TR
                 ids[i, : len(some)] = some
             ids = ids[:, : max(1, int((ids >= 0).sum(axis=1).max(initial=0)))]
             if len(x):
-                yield pa.RecordBatch.from_pylist([{"stripe": block % stripes, "x": x.tobytes(), "ids": ids.tobytes(), "codes": codes.tobytes(), "errors": error.tobytes()}])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((block % stripes, x.tobytes(), ids.tobytes(), codes.tobytes(), error.tobytes()), (pa.int64(), *[pa.large_binary()] * 4))], names=["stripe", "vectors", "ids", "codes", "errors"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -225,26 +238,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = TR
                 block += 1
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bests of a block of queries in a stripe; rows of one come one after the other."""
-        words, at, best, qids = shared.value, None, None, b""
-
-        def done():
-            return pa.RecordBatch.from_pylist([{"block": at[0], "qids": qids, "ids": best.id.tobytes(), "scores": best.score.tobytes()}])
-
+        """The bests of each block of queries in a stripe.  A cell's stored blocks come first, then its queries."""
+        words, at, held = shared.value, None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                if at != (r["block"], r["stripe"]):
-                    if best:
-                        yield done()
-                    at, qids = (r["block"], r["stripe"]), r["qids"]
-                    best = _Best(len(qids) // 8, k)
-                x = np.frombuffer(r["x"], kind).reshape(-1, dim)
-                ids = np.frombuffer(r["ids"], np.int64).reshape(len(x), -1)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(x), -1)
-                best.add(*_scan(np.frombuffer(r["q"]).reshape(-1, dim), np.frombuffer(qids, np.int64), x, ids, codes, np.frombuffer(r["errors"], np.float32), words))
-        if best:
-            yield done()
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                if at != r["cell"]:
+                    at, held = r["cell"], []
+                ids = np.frombuffer(r["ids"], np.int64)
+                if r["codes"] is not None:
+                    x = np.frombuffer(r["vectors"], kind).reshape(-1, dim)
+                    held.append((x, ids.reshape(len(x), -1), np.frombuffer(r["codes"], np.uint8).reshape(len(x), -1), np.frombuffer(r["errors"], np.float32)))
+                    continue
+                best, q = _Best(len(ids), k), np.frombuffer(r["vectors"]).reshape(-1, dim)
+                for block in held:
+                    best.add(*_scan(q, ids, *block, words))
+                if held:
+                    yield pa.RecordBatch.from_pylist([{"block": r["block"], "qids": r["ids"], "ids": best.id.tobytes(), "scores": best.score.tobytes()}])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, best, qids = None, None, b""
@@ -266,11 +275,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = TR
         if best:
             yield done()
 
-    blocks = stored.mapInArrow(encoded, "stripe long, x binary, ids binary, codes binary, errors binary")
-    asking = cut(asked.repartition(-(-n_asked // QUERY_BLOCK) or 1).mapInArrow(gathered, "block long, qids binary, q binary"))
-    # A row on either side is hundreds or thousands of vectors.
-    met = blocks.crossJoin(asking).repartition("block", "stripe").sortWithinPartitions("block", "stripe")
-    bests = met.mapInArrow(answered, "block long, qids binary, ids binary, scores binary")
+    # Encoded once, and written, so that no later step encodes again.
+    blocks = cut(stored.mapInArrow(encoded, "stripe long, vectors binary, ids binary, codes binary, errors binary"))
+    asking = cut(asked.repartition(n_query_blocks).mapInArrow(gathered, "block long, qids binary, q binary"))
+    to_groups = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    to_stripes = F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))
+    dealt = blocks.withColumn("group", to_groups).select((F.col("stripe") * groups + F.col("group")).alias("cell"), F.lit(-1).cast("long").alias("block"), "vectors", "ids", "codes", "errors")
+    none = F.lit(None).cast("binary")
+    put = asking.withColumn("stripe", to_stripes).select(
+        (F.col("stripe") * groups + F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND(0xFFFFFFFF), F.lit(groups))).cast("long").alias("cell"),
+        "block", F.col("q").alias("vectors"), F.col("qids").alias("ids"), none.alias("codes"), none.alias("errors"),
+    )
+    cells = dealt.unionByName(put).repartition(stripes * groups, "cell").sortWithinPartitions("cell", "block")
+    bests = cells.mapInArrow(answered, "block long, qids binary, ids binary, scores binary")
     return bests.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
 
 

@@ -42,6 +42,29 @@ def test_few_vectors(frame):
     assert ann.search(one, one).count() == 0
 
 
+def test_stripes_and_groups(frame, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(1500)]
+    df = frame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows, {i for i in range(0, 1500, 20)}, 20)
+    for shape in ((24, 1), (3, 4), (1, 5)):
+        monkeypatch.setattr(ann, "grid", lambda *_, shape=shape: shape)
+        answer = ann.search(df, df.filter("vec_id % 20 = 0"), 20)
+        got = answer.toPandas()
+        found = {q: list(g.sort_values("rank").vec_id) for q, g in got.groupby("query_id")}
+        assert {q: [i for i, _ in want[q]] for q in want} == found
+        assert "CartesianProduct" not in answer._jdf.queryExecution().toString()
+
+
+def test_grid():
+    # Few vectors: what is sent is about least; many: as many stripes as memory needs, and no vector twice.
+    assert ann.grid(13, 6, 20.0, 256, 12) == (13, 1) and ann.grid(1, 1, 20.0, 256, 12) == (1, 1) and ann.grid(2, 6, 1.0, 256, 12) == (2, 6)
+    stripes, groups = ann.grid(250_000, 100_000, 20.0, 256, 2000)
+    assert groups == 1 and stripes * ann.STRIPE_BYTES >= 250_000 * ann.BLOCK * 256
+
+
 def test_quantiser_gets_better_with_a_beam():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 8)).astype(np.float32)
