@@ -41,6 +41,8 @@ LEAST_PAGES, LEAST_IMPORTANCE = 3, 0.5
 INSIDE_PAGES, INSIDE_IMPORTANCE, INSIDE_PART = 10, 0.1, 0.5
 #: Weight of the presentation importance against the content importance.
 PRESENTATION = 0.2
+#: Branches of low importance that are sent to all executors at most (8 bytes each, and a host's name).
+SENT_BRANCHES = 200_000
 #: An article is taken for a page's text if what is left beside it is at most so many times as long.
 BESIDE = 3
 
@@ -120,22 +122,33 @@ def branch_of(style: str) -> int:
 class Page:
     """A page's block elements, each after the one it stands in, and its texts in page order.
 
-    parents, marks, branches: of each element; a branch is the hash of a style (``branch_of``).  owners,
-    texts: each block of text and the element it stands in.
+    parents, marks, styles: of each element, styles without what is above it; ``branches`` are hashes of
+    whole styles (``branch_of``).  owners, texts: each block of text and the element it stands in.
     """
 
     def __init__(self):
-        self.parents, self.marks, self.branches, self.owners, self.texts = [-1], [0], [0], [], []
+        self.parents, self.marks, self.styles, self.owners, self.texts = [-1], [0], [""], [], []
 
     def packed(self) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(json.dumps([self.parents, self.marks, self.branches, self.owners, self.texts], ensure_ascii=False).encode())
+        """The page as one compressed value; branches follow from the styles."""
+        return zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=True).compress(json.dumps([self.parents, self.marks, self.styles, self.owners, self.texts], ensure_ascii=False, separators=(",", ":")).encode())
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Page:
         page = cls()
-        page.parents, page.marks, page.branches, page.owners, page.texts = json.loads(zstandard.ZstdDecompressor().decompress(blob))
+        page.parents, page.marks, page.styles, page.owners, page.texts = json.loads(zstandard.ZstdDecompressor().decompress(blob))
         return page
 
+    def branches(self) -> list[int]:
+        paths: list[bytes] = [b""]
+        known: dict[tuple[bytes, str], bytes] = {}
+        for p, style in zip(self.parents[1:], self.styles[1:]):
+            at = paths[p], style
+            if at not in known:
+                known[at] = _step(*at)
+            paths.append(known[at])
+        return [_signed(int.from_bytes(p, "big")) for p in paths]
+
     def noise(self) -> list[bool]:
         """Of each element, whether its importance is 0 by its name or by an element's round it.
 
@@ -172,8 +185,9 @@ class Page:
         """The blocks of the main text; low: branches of low importance."""
         gone = self.noise()
         if low:
+            branches = self.branches()
             for i in range(1, len(gone)):
-                gone[i] = gone[i] or gone[self.parents[i]] or self.branches[i] in low and not self.marks[i] & MAIN
+                gone[i] = gone[i] or gone[self.parents[i]] or branches[i] in low and not self.marks[i] & MAIN
         left = [(self.marks[o] & INSIDE > 0, t) for o, t in zip(self.owners, self.texts) if not gone[o]]
         inside, beside = (sum(len(t) for i, t in left if i == part) for part in (True, False))
         if inside * BESIDE >= beside and any(m & MAIN for m, g in zip(self.marks, gone) if not g):
@@ -182,7 +196,7 @@ class Page:
 
     def folded(self) -> list[tuple[int, int, int, bool]]:
         """(branch, hash of its texts, hash of its shape, whether it is inside an article) of each branch."""
-        n = len(self.parents)
+        n, branches = len(self.parents), self.branches()
         h = xxhash.xxh3_64_intdigest
         content, shape = [b""] * n, [b""] * n
         parts: list[list[bytes]] = [[] for _ in range(n)]
@@ -196,11 +210,11 @@ class Page:
                 content[i] = h(own + b"\0" + b"".join(k[:8] for k in kids)).to_bytes(8, "big")
                 shape[i] = h(bytes([bool(own)]) + b"".join(k[8:] for k in kids)).to_bytes(8, "big")
                 if i:
-                    parts[self.parents[i]].append(content[i] + (self.branches[i] & (1 << 64) - 1).to_bytes(8, "big") + shape[i])
+                    parts[self.parents[i]].append(content[i] + (branches[i] & (1 << 64) - 1).to_bytes(8, "big") + shape[i])
         found: dict[int, list] = {}
         for i in range(1, n):
             if content[i]:
-                at = found.setdefault(self.branches[i], [b"", b"", self.marks[i] & INSIDE > 0])
+                at = found.setdefault(branches[i], [b"", b"", self.marks[i] & INSIDE > 0])
                 at[0] += content[i]
                 at[1] += shape[i]
         return [(b, _signed(h(c)), _signed(h(s)), inside) for b, (c, s, inside) in found.items()]
@@ -229,7 +243,6 @@ def parse(html: str | None) -> Page:
     at the end.
     """
     page = Page()
-    paths = [b""]
     stack = [_Open("", 0, False)]
     words: list[str] = []
 
@@ -308,9 +321,8 @@ def parse(html: str | None) -> Page:
             stack.append(_Open(tag, top.number, top.skip or marks & (HARD | SOFT) > 0))
             continue
         flush()
-        paths.append(_step(paths[top.number], _style(tag, attrs)))
         page.parents.append(top.number)
-        page.branches.append(_signed(int.from_bytes(paths[-1], "big")))
+        page.styles.append(_style(tag, attrs))
         # What stands in an inline element that is noise is noise as well.
         marks = marks | (HARD if top.skip else 0)
         page.marks.append(marks | (inside or (INSIDE if marks & MAIN else 0)))
@@ -324,48 +336,51 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-PARSED = "page_id long, url string, host string, page binary, identity long, branches array<struct<branch long, content long, shape long, inside boolean>>"
-_BRANCHES = pa.list_(pa.struct([("branch", pa.int64()), ("content", pa.int64()), ("shape", pa.int64()), ("inside", pa.bool_())]))
+PARSED = "page_id long, url string, host string, page binary, identity long"
+BRANCHES = "host string, identity long, branch long, content long, shape long, inside boolean"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blobs, identities, branches = [], [], []
-        for html in batch.column(3):
-            page = parse(html.as_py())
-            blobs.append(page.packed())
-            identities.append(page.identity())
-            branches.append([{"branch": b, "content": c, "shape": s, "inside": i} for b, c, s, i in page.folded()])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary()), pa.array(identities, pa.int64()), pa.array(branches, _BRANCHES)], names=["page_id", "url", "host", "page", "identity", "branches"])
+        pages = [parse(html.as_py()) for html in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([p.packed() for p in pages], pa.binary()), pa.array([p.identity() for p in pages], pa.int64())], names=["page_id", "url", "host", "page", "identity"])
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Each row of pages, parsed: its elements and texts as one compressed value, and its branches' hashes."""
+    """Each row of pages, parsed: its elements and texts as one compressed value, and the hash of its main text."""
     return pages.select(F.col("page_id").cast("long"), "url", _host(F.col("url")).alias("host"), "html").mapInArrow(_parsed, PARSED)
 
 
+def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        folded = [Page.unpacked(p.as_py()).folded() for p in batch.column(2)]
+        owner = pa.array([i for i, rows in enumerate(folded) for _ in rows], pa.int64())
+        columns = list(zip(*(r for rows in folded for r in rows)))
+        if columns:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["host", "identity", "branch", "content", "shape", "inside"])
+
+
 def _entropy(rows: DataFrame, what: str) -> DataFrame:
-    """host, branch, entropy of ``what`` over its largest possible value."""
-    counts = rows.groupBy("host", "branch", what).agg(F.count("*").alias("n"))
-    sums = counts.groupBy("host", "branch").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    return sums.select("host", "branch", F.when(F.col("all") > 1, 1 - F.col("s") / F.col("all") / F.log("all")).otherwise(F.lit(1.0)).alias(f"{what}_importance"))
+    """host, branch, entropy of ``what`` over its largest possible value, number of rows, whether inside an article."""
+    counts = rows.groupBy("host", "branch", what).agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    sums = counts.groupBy("host", "branch").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("inside").alias("inside"))
+    return sums.select("host", "branch", "inside", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / F.log("pages")).otherwise(F.lit(1.0)).alias(f"{what}_importance"))
 
 
 def style_tree(opened: DataFrame) -> DataFrame:
-    """host, branch, inside, pages, host_pages, presentation and content importance, importance, of parsed pages.
+    """host, branch, inside, pages, host_pages, shape and content importance, importance, of parsed pages.
 
-    Pages with one main text count once for each content that a branch has there.  Rows are summed by
-    host, branch and content before anything else, so a host with a third of all pages is many small
-    groups, and its sums are one number a task.
+    Pages with one main text count once; of what else they hold, the least hash of each branch stands for
+    all.  Rows are summed by page, then by content, before they are summed by branch, so a host with a third
+    of all pages is many small groups.
     """
-    rows = opened.select("host", "identity", F.explode("branches").alias("b")).select("host", "identity", "b.branch", "b.content", "b.shape", "b.inside").distinct()
-    content, shape = _entropy(rows.select("host", "branch", "identity", "content").distinct(), "content"), _entropy(rows.select("host", "branch", "identity", "shape").distinct(), "shape")
-    # A distinct count without one set for each group: distinct rows first, then their number.
-    having = rows.select("host", "branch", "inside", "identity").distinct().groupBy("host", "branch").agg(F.count("*").alias("pages"), F.max("inside").alias("inside"))
+    rows = opened.select("host", "identity", "page").mapInArrow(_branches, BRANCHES)
+    once = rows.groupBy("host", "branch", "identity").agg(F.min("content").alias("content"), F.min("shape").alias("shape"), F.max("inside").alias("inside"))
+    content, shape = _entropy(once, "content"), _entropy(once, "shape").drop("pages", "inside")
     hosts = opened.select("host", "identity").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    both = content.join(shape, ["host", "branch"]).join(having, ["host", "branch"]).join(hosts, "host")
     weight = F.lit(PRESENTATION)
-    return both.withColumn("importance", weight * F.col("shape_importance") + (1 - weight) * F.col("content_importance"))
+    return content.join(shape, ["host", "branch"]).join(hosts, "host").withColumn("importance", weight * F.col("shape_importance") + (1 - weight) * F.col("content_importance"))
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
@@ -383,9 +398,11 @@ def extract(pages: DataFrame) -> DataFrame:
     but the branches named above.  The text of blocks is joined by an empty line.
     """
     opened = cut(parsed(pages))
-    low = low_branches(style_tree(opened)).groupBy("host").agg(F.collect_list("branch").alias("low"))
-    # A host's template is a few numbers; its pages may be a third of all, so a skewed join deals them anew.
-    joined = opened.select("page_id", "url", "host", "page").join(low, "host", "left").select("page_id", "url", "page", "low")
+    low = cut(low_branches(style_tree(opened)).groupBy("host").agg(F.collect_list("branch").alias("low")))
+    # A host's template is a few numbers.  A table of few is sent to all; else pages are dealt by host, and
+    # those of a host with a third of all pages anew, as the join is skewed.
+    few = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= SENT_BRANCHES
+    joined = opened.select("page_id", "url", "host", "page").join(F.broadcast(low) if few else low, "host", "left").select("page_id", "url", "page", "low")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -283,6 +283,7 @@ def test_importance_against_brute_force(frame):
     for i in range(40):
         menu = "".join(f"<li>{rng.choice('abc')}</li>" for _ in range(rng.choice((2, 2, 3))))
         pages.append((i, f"http://{rng.choice('st')}.example/{i}", f"<body><ul class=m>{menu}</ul><div class=t><p>{rng.choice('uvw')}</p></div><section><p>{i if i % 4 else 'copy'}</p></section>"))
+    pages += [(90, *pages[3][1:]), (None, *pages[3][1:])]
     tree = {(r.host, r.branch): r for r in html_extraction.style_tree(html_extraction.parsed(frame(pages, "page_id long, url string, html string"))).collect()}
 
     def entropy(values):
@@ -293,13 +294,23 @@ def test_importance_against_brute_force(frame):
         here = [h for _, u, h in pages if host in u]
         main = lambda h: "\n\n".join(html_extraction.parse(h).main_texts())
         for style, tag in (("body/ul.m", "ul"), ("body/div.t", "div"), ("body/section", "section")):
-            own = sorted({(main(h), re.search(f"<{tag}.*</{tag}>", h)[0]) for h in here})
-            shapes = sorted({(main(h), re.search(f"<{tag}.*</{tag}>", h)[0].count("<li>")) for h in here})
+            part = lambda h: re.search(f"<{tag}.*</{tag}>", h)[0]  # noqa: B023, E731
+            own = sorted({(main(h), part(h)) for h in here})
+            shapes = sorted({(main(h), part(h).count("<li>")) for h in here})
             r = tree[host, html_extraction.branch_of(style)]
             assert r.content_importance == pytest.approx(entropy([c for _, c in own])) and r.shape_importance == pytest.approx(entropy([c for _, c in shapes]))
             assert r.importance == pytest.approx(0.2 * r.shape_importance + 0.8 * r.content_importance) and r.pages == r.host_pages == len({main(h) for h in here})
 
 
+def test_copies_of_a_story_are_one_page(frame, monkeypatch):
+    story = [(i, f"http://n.example/{i}", f"<body><nav>{i}</nav><div class=x><p>motto</p></div><article><p>The one story</p></article><div class=ad>{i % 3}</div>") for i in range(30)]
+    story += [(100 + i, f"http://n.example/o{i}", f"<body><div class=x><p>motto</p></div><p>Told {i}</p>") for i in range(4)]
+    for limit in (200_000, 0):
+        monkeypatch.setattr(html_extraction, "SENT_BRANCHES", limit)
+        got = {r.page_id: r.text for r in html_extraction.extract(frame(story, "page_id long, url string, html string")).collect()}
+        assert all(got[i] == "The one story" for i in range(30)) and all(got[100 + i] == f"Told {i}" for i in range(4))
+
+
 # --- language-model scores --------------------------------------------------------------------------
 
 
