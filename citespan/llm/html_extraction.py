@@ -361,11 +361,9 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["host", "identity", "branch", "content", "shape", "inside"])
 
 
-def _entropy(rows: DataFrame, what: str) -> DataFrame:
-    """host, branch, entropy of ``what`` over its largest possible value, number of rows, whether inside an article."""
-    counts = rows.groupBy("host", "branch", what).agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
-    sums = counts.groupBy("host", "branch").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("inside").alias("inside"))
-    return sums.select("host", "branch", "inside", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / F.log("pages")).otherwise(F.lit(1.0)).alias(f"{what}_importance"))
+def _entropy(pages, n_log_n):
+    """Entropy of parts that sum up to ``pages``, over its largest possible value."""
+    return F.when(pages > 1, 1 - n_log_n / pages / F.log(pages)).otherwise(F.lit(1.0))
 
 
 def style_tree(opened: DataFrame) -> DataFrame:
@@ -377,10 +375,14 @@ def style_tree(opened: DataFrame) -> DataFrame:
     """
     rows = opened.select("host", "identity", "page").mapInArrow(_branches, BRANCHES)
     once = rows.groupBy("host", "branch", "identity").agg(F.min("content").alias("content"), F.min("shape").alias("shape"), F.max("inside").alias("inside"))
-    content, shape = _entropy(once, "content"), _entropy(once, "shape").drop("pages", "inside")
+    kinds = F.explode(F.array(F.struct(F.lit(True).alias("is_content"), F.col("content").alias("hash")), F.struct(F.lit(False).alias("is_content"), F.col("shape").alias("hash"))))
+    counts = once.select("host", "branch", "inside", kinds.alias("k")).groupBy("host", "branch", "k.is_content", "k.hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    of = lambda is_content, value: F.sum(F.when(F.col("is_content") == is_content, value).otherwise(F.lit(0)))
+    n_log_n = F.col("n") * F.log("n")
+    sums = counts.groupBy("host", "branch").agg(F.max("inside").alias("inside"), of(True, F.col("n")).alias("pages"), of(True, n_log_n).alias("c"), of(False, n_log_n).alias("s"))
     hosts = opened.select("host", "identity").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    weight = F.lit(PRESENTATION)
-    return content.join(shape, ["host", "branch"]).join(hosts, "host").withColumn("importance", weight * F.col("shape_importance") + (1 - weight) * F.col("content_importance"))
+    tree = sums.join(hosts, "host").select("host", "branch", "inside", "pages", "host_pages", _entropy(F.col("pages"), F.col("c")).alias("content_importance"), _entropy(F.col("pages"), F.col("s")).alias("shape_importance"))
+    return tree.withColumn("importance", PRESENTATION * F.col("shape_importance") + (1 - PRESENTATION) * F.col("content_importance"))
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
