@@ -96,6 +96,33 @@ def test_held_out_accuracy(frame):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect() if r.doc_id in truth} == {r.doc_id for r in got if r.score >= quality.REJECT and r.doc_id in truth}
 
 
+def test_sample_and_scores_against_brute_force(frame, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 60)
+    rows = labelled(300, 5)
+    docs, labels = frame([(i, t) for i, t, _ in rows], "doc_id long, text string"), frame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    sample = []
+    for y in (0, 1):
+        order = sorted((zlib.crc32(f"{i}/q".encode()), i, t) for i, t, label in rows if label == y and zlib.crc32(str(i).encode()) % 4 != 2)[:60]
+        total = 0
+        for place, i, t in order:
+            total += len(t.encode())
+            if total > 40_000:
+                break
+            sample.append((place, i, t, y))
+    want = [(t, y) for _, _, t, y in sorted(sample)]
+    got = quality.training_rows(docs, labels, 60, 40_000)
+    assert got == want and 0 < len(got) < 120
+    model = quality.train(got)
+    scores = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    import zstandard
+
+    for i, t, _ in rows:
+        sizes = [sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(t.encode()[at : at + 16_384])) for at in range(0, len(t.encode()), 16_384)) for d in (model.bad, model.good)]
+        z = math.asinh((sizes[0] - sizes[1]) / len(t.encode()) ** 0.75 / model.scale)
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-(model.slope * z + model.offset))), abs=1e-9)
+    assert model.slope > 0
+
+
 def test_quality_without_labels(frame):
     docs, labels = frame([(1, "a")], "doc_id long, text string"), frame([], "doc_id long, quality int")
     assert quality.classify(docs, labels).first().score == 0.5 and quality.classify(docs.limit(0), labels).count() == 0
