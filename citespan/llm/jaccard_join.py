@@ -1,15 +1,21 @@
-"""N-gram Jaccard join by MinHash banding, which stands in for an LSH forest.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
 * A document is the set of its five-word shingles (lower-cased words; a shorter text is one shingle).
   Documents with equal sets are one class and are represented by their least doc_id from then on.
-* A class has one key for each tree: the hash of its first k MinHash labels there, so classes with the same
-  key share k labels.  The threshold is fixed, so k is worked out beforehand: the longest prefix with which
-  a pair at the threshold meets in some tree with at least the target probability.  No trie is built and
-  no prefix is shortened adaptively.
-* Classes that meet are linked to the least one they meet, and connected components of these links are
-  candidates.  All pairs within a component are verified exactly on their shingles, component by
-  component; a large component is split into blocks and its pairs of blocks are separate groups.  What
-  leaves a group is a row for each class: its links' number and the least class it is connected with.
+* A class has a signature of ``TREES`` times ``DEPTH`` MinHash labels.  Each tree is a prefix trie, held as
+  its sorted keys: the rows (tree, labels, class) in order, dealt out by range, so that classes below one
+  trie node are neighbours however many they are.  One pass over the sorted keys gives each class the
+  length of the prefix that it shares with the row before it, and the first class below the deepest node
+  that the two are under.
+* The matched prefix starts at full depth and is shortened until the target recall.  Recall at a depth is
+  estimated from in how many trees the classes have a neighbour at all, and measured after verification
+  on the exact similarities of all links found; if it falls short, the prefix is shortened further.
+* Classes that meet at that depth make components, which are candidates.  In a component of more than
+  ``BLOCK`` classes the neighbours' whole signatures are compared first, so that texts which only share
+  boilerplate fall apart.  All pairs within a component are then verified exactly on their shingles,
+  component by component; a large component is split into blocks and its pairs of blocks are separate
+  groups.  What leaves a group is a row for each class: its links' number and the least class it is
+  connected with.
 
 So no pair is ever a row, and shingles are shuffled only of classes that have a candidate.
 """
@@ -21,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +38,11 @@ from .wordhash import word_hashes
 SHINGLE = 5
 #: The similarity at which two documents are linked, as a fraction.
 SIMILAR = (4, 5)
-TREES, DEPTH, TARGET = 24, 8, 0.9999
+TREES, DEPTH, TARGET = 24, 8, 0.99999
+#: In a large component: labels that a class must share with a leader to need no leader of its own, and to be
+#: linked with it, as parts of all labels.  Two texts at a similarity of 0.8 are linked with one leader, as
+#: distances (1 - similarity) add up at most: 0.2 + 0.1 is well below 1 - LINKED.
+COVERED, LINKED = 0.9, 0.56
 #: Classes in a block of a component.
 BLOCK = 512
 #: Bits of the array over the candidates' ids: 2**FILTER_BITS, whatever their number.
@@ -41,12 +52,15 @@ _U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 
 
-def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix that a pair of this similarity shares in some tree with probability target."""
-    for k in range(depth, 0, -1):
-        if 1 - (1 - similarity**k) ** trees >= target:
-            return k
-    return 1
+def found_at(depth, similarity):
+    """The chance that a pair of this similarity shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def least_depth() -> int:
+    """The longest prefix with which any pair that is similar enough is found with the target recall; the
+    matched prefix need never be shorter."""
+    return next((k for k in range(DEPTH, 0, -1) if found_at(k, SIMILAR[0] / SIMILAR[1]) >= TARGET), 1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -65,42 +79,152 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 class Forest:
-    """The forest's hash functions, and the keys of the nodes that a set of shingles is under."""
+    """The hash functions of all trees."""
 
-    def __init__(self, trees: int, k: int, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.trees, self.k = trees, k
-        self.a = rng.integers(1, 1 << 63, trees * k, dtype=np.uint64) * _U(2) + _U(1)
+    def __init__(self, seed: int = 1):
+        self.a = np.random.default_rng(seed).integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * _U(2) + _U(1)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """A key for each tree; none for an empty set."""
+    def labels(self, s: np.ndarray) -> bytes:
+        """The labels of all trees, 16 bits each, so that a tree's key is a part of it; none for an empty set."""
         if not len(s):
-            return np.zeros(0, np.int64)
+            return b""
         least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(s), 2048):
             least = np.minimum(least, (self.a[:, None] * s[None, at : at + 2048]).min(axis=1))
-        label = least.reshape(self.trees, self.k)
-        key = np.arange(1, self.trees + 1, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)
-        for j in range(self.k):
-            key = (key ^ label[:, j]) * _U(0x9E3779B97F4A7C15)
-            key ^= key >> _U(32)
-        return key.view(np.int64)
+        return ((least ^ (least >> _U(29))) * _U(0x9E3779B97F4A7C15) >> _U(48)).astype(">u2").tobytes()
 
 
-_SIGNED = "doc_id long, high long, low long, keys array<long>"
+_SIGNED = "doc_id long, high long, low long, labels binary"
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("near duplicates")
-    forest = Forest(TREES, k)
+    forest = Forest()
     for batch in batches:
-        marks, keys = [], []
+        marks, labels = [], []
         for t in batch.column(1):
             s = shingles(t.as_py())
             marks.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
-            keys.append(forest.keys(s))
+            labels.append(forest.labels(s))
         m = np.array(marks).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "high", "low", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(labels, pa.binary())], names=["doc_id", "high", "low", "labels"])
+
+
+_TRIE = "a long, b long, depth int, part int, tree int, key binary"
+_ENDS = (-1, -2)
+
+
+def _trie(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
+    """From sorted (tree, key, node): an edge to the first class below the deepest node that a class shares
+    with the class before it, and that node's depth, from ``floor`` on.  Of the partition's first and last
+    row the row itself, with depth -1 and -2."""
+    part, last, firsts = TaskContext.get().partitionId(), None, np.zeros(DEPTH + 1, np.int64)
+
+    def rows(a, b, depth, tree, key):
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(depth, pa.int32()), pa.array(np.full(n, part), pa.int32()), pa.array(tree, pa.int32()), pa.array(key, pa.binary())], names=["a", "b", "depth", "part", "tree", "key"])
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        tree, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        raw = batch.column(1).to_pylist()
+        key = np.frombuffer(b"".join(raw), ">u2").reshape(n, DEPTH)
+        if last is None:
+            yield rows([node[0]], [node[0]], [_ENDS[0]], [tree[0]], [raw[0]])
+        before = key[:1] if last is None else last[1]
+        same = np.cumprod(np.concatenate([before, key[:-1]]) == key, axis=1).sum(axis=1)
+        same[np.concatenate([[tree[0] + 1 if last is None else last[0]], tree[:-1]]) != tree] = 0
+        first = np.zeros(n, np.int64)
+        for d in range(floor, DEPTH + 1):
+            at = np.maximum.accumulate(np.where(same < d, np.arange(n), -1))
+            open_ = np.where(at >= 0, node[at], firsts[d])
+            firsts[d] = open_[-1]
+            first = np.where(same == d, open_, first)
+        some = np.flatnonzero(same >= floor)
+        if len(some):
+            yield rows(node[some], first[some], same[some], tree[some], [b""] * len(some))
+        last = tree[-1], key[-1:], node[-1], raw[-1]
+    if last is not None:
+        yield rows([last[2]], [last[2]], [_ENDS[1]], [last[0]], [last[3]])
+
+
+def trie_edges(classes: DataFrame, floor: int) -> DataFrame:
+    """a, b, depth, tree: the sorted tries' edges.  Those at a depth of k or more connect exactly the classes
+    that share a prefix of k labels in a tree.
+
+    classes: node, labels.  Ranges of rows end anywhere, even within the classes below one node; the
+    driver sees the first and the last row of each range and joins the ranges up.
+    """
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    keys = classes.filter(F.length("labels") > 0).select(trees.alias("tree"), "labels", "node").select("tree", F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "node")
+    sorted_ = keys.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    found = cut(sorted_.mapInArrow(lambda it: _trie(it, floor), _TRIE))
+    ends = sorted(found.filter(F.col("depth").isin(*_ENDS)).collect(), key=lambda r: (r.part, -r.depth))
+    joins = []
+    for x, y in zip(ends[1::2], ends[2::2]):
+        same = next((i for i in range(DEPTH) if x.key[2 * i : 2 * i + 2] != y.key[2 * i : 2 * i + 2]), DEPTH)
+        if x.tree == y.tree and same >= floor:
+            joins.append((y.a, x.a, same, y.tree))
+    edges = found.filter("depth >= 0").select("a", "b", "depth", "tree")
+    return edges.unionByName(classes.sparkSession.createDataFrame(joins, "a long, b long, depth int, tree int")) if joins else edges
+
+
+def estimated_depth(edges: DataFrame, floor: int) -> int:
+    """The longest prefix with the target recall, by an estimate from the tries alone.
+
+    A class whose nearest neighbour has similarity s shares a prefix of ``floor`` labels with a neighbour in
+    TREES * s ** floor trees on average; the similarity is taken a standard deviation below what its
+    number of such trees says.  The driver sees how many classes have each number of trees.
+    """
+    trees = edges.groupBy("a").agg(F.count("*").alias("trees")).groupBy("trees").count().collect()
+    least = SIMILAR[0] / SIMILAR[1]
+    part = np.array([r.trees for r in trees]) / TREES
+    n = np.array([r["count"] for r in trees], float)
+    similar = np.minimum(part, 1) ** (1 / floor) >= least if len(part) else part > 0
+    s = np.clip(part - np.sqrt(np.maximum(part * (1 - part), 0) / TREES), 0, 1) ** (1 / floor) if len(part) else part
+    s, n = np.maximum(s, least)[similar], n[similar]
+    return next((k for k in range(DEPTH, floor, -1) if n.sum() >= TARGET * (n / found_at(k, s)).sum()), floor)
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From classes below one trie node, one after the other: an edge to each leader that shares enough labels.
+
+    A class that no leader covers becomes one.  Only leaders are held.
+    """
+    bucket, leaders, nodes, n = None, np.zeros((0, TREES * DEPTH), np.uint16), [], 0
+    for batch in batches:
+        out = []
+        for tree, key, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if bucket != (tree, key):
+                bucket, nodes, n = (tree, key), [], 0
+            own = np.frombuffer(raw, np.uint16)
+            share = (leaders[:n] == own).mean(axis=1) if n else np.zeros(0)
+            out += [(node, nodes[i]) for i in np.flatnonzero(share >= LINKED)]
+            if not (share >= COVERED).any():
+                if n == len(leaders):
+                    leaders = np.concatenate([leaders, np.zeros((max(64, n), TREES * DEPTH), np.uint16)])
+                leaders[n] = own
+                nodes.append(node)
+                n += 1
+        if out:
+            a, b = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def candidates(classes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """node, component: classes that meet at this depth, and whose signatures agree where many meet."""
+    parts = cut(components(edges.filter(F.col("depth") >= depth).select("a", "b")))
+    large = cut(parts.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("component"))
+    if large.isEmpty():
+        return parts
+    nodes = parts.join(large, "component", "left_semi").select("node")
+    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    keys = classes.select("node", "labels").join(nodes, "node", "left_semi").select(trees.alias("tree"), "node", "labels")
+    keys = keys.select("tree", F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * depth})").alias("key"), "node", "labels")
+    agreed = keys.repartition("tree", "key").sortWithinPartitions("tree", "key", "node").mapInArrow(_led, "a long, b long")
+    return parts.join(large, "component", "left_anti").select("node", "component").unionByName(components(agreed))
 
 
 def _slot(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +251,8 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def links_of(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Boolean matrix of the pairs (i in first, j in second) of sets that are similar; exact."""
+def links_of(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boolean matrix of the pairs (i in first, j in second) of sets that are similar, exact; similarities."""
     sizes = np.array([len(s) for s in sets])
     all_ = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     values, column = np.unique(all_, return_inverse=True)
@@ -147,7 +271,7 @@ def links_of(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> n
         m[row[lo:hi], column[lo:hi] - at] = 1
         inter += m[first] @ m[second].T
     union = sizes[first][:, None] + sizes[second][None, :] - inter
-    return (inter * SIMILAR[1] >= union * SIMILAR[0]) & (union > 0)
+    return (inter * SIMILAR[1] >= union * SIMILAR[0]) & (union > 0), inter / np.maximum(union, 1)
 
 
 def _roots(links: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
@@ -165,11 +289,15 @@ def _roots(links: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
     return root
 
 
-_VERIFIED = "node long, degree long, root long, whole boolean"
+_VERIFIED = "node long, degree long, root long, whole boolean, found double, expected double"
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (component, i, j) come one after the other; a row for each class of a group."""
+def _verify(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Groups (component, i, j) come one after the other; a row for each class of a group.
+
+    found: links of the group, at one of its rows; expected: how many there must be for so many to be
+    found at this depth, given their similarities.
+    """
     group, rows = None, []
 
     def done():
@@ -184,16 +312,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(node, kind="stable")
         at = np.empty(len(node), int)
         at[order] = np.arange(len(node))
-        ok = links_of(sets, one, two)
+        ok, similarity = links_of(sets, one, two)
         if i == j:
             np.fill_diagonal(ok, False)
+        found, expected = np.zeros(len(node)), np.zeros(len(node))
+        found[0], expected[0] = ok.sum(), (1 / found_at(depth, similarity[ok].astype(float))).sum()
         degree = np.zeros(len(node), np.int64)
         np.add.at(degree, one, ok @ copies[two])
         if i != j:
             np.add.at(degree, two, ok.T @ copies[one])
         a, b = np.nonzero(ok)
         root = _roots([(at[one[a]], at[two[b]])], len(node))
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(degree), pa.array(node[order][root[at]]), pa.array(np.full(len(node), blocks == 1))], names=["node", "degree", "root", "whole"])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(degree), pa.array(node[order][root[at]]), pa.array(np.full(len(node), blocks == 1)), pa.array(found), pa.array(expected)], names=["node", "degree", "root", "whole", "found", "expected"])
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in range(8)]
@@ -207,31 +337,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links for each row of docs.
-
-    n_links: how many other rows have a Jaccard similarity of 0.8 or more to this one (exact copies
-    among them).  class_id: the least doc_id of those connected by links.  Texts without a word, null
-    ones too, are copies of each other.  Repeated rows are copies.  Different texts under one doc_id are
-    linked with what either is linked with.  A row with a null doc_id has a null class and no links.
-    An empty table gives no rows.
-    """
-    k = prefix_depth(SIMILAR[0] / SIMILAR[1])
-    read = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = cut(read.filter("doc_id IS NOT NULL").mapInArrow(lambda it: _signatures(it, k), _SIGNED))
-    classes = cut(signed.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")))
-
-    # Candidates: the least class under each node of a tree, and components of what meets there.
-    under = classes.select("node", F.explode("keys").alias("key"))
-    met = under.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = under.join(met, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    parts = components(pairs)
+def _verified(read: DataFrame, classes: DataFrame, parts: DataFrame, depth: int) -> DataFrame:
+    """All pairs of each component, verified."""
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
     members = parts.join(sizes, "component").join(classes.select("node", "copies"), "node")
     members = cut(members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).select("component", "blocks", "node", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
 
     # The candidates' shingles, once for each pair of blocks.
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(members.select("node")))
+    bits = read.sparkSession.sparkContext.broadcast(_id_filter(members.select("node")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("near duplicates")
@@ -246,13 +359,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = found.withColumn("other", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "node", "copies", "block", "shingles")
     grouped = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    verified = cut(grouped.mapInArrow(_verify, _VERIFIED))
+    return cut(grouped.mapInArrow(lambda it: _verify(it, depth), _VERIFIED))
+
+
+def near_duplicates(docs: DataFrame, told: dict | None = None) -> DataFrame:
+    """doc_id, class_id, n_links for each row of docs.
+
+    n_links: how many other rows have a Jaccard similarity of 0.8 or more to this one (exact copies
+    among them).  class_id: the least doc_id of those connected by links.  Texts without a word, null
+    ones too, are copies of each other.  Repeated rows are copies.  Different texts under one doc_id are
+    linked with what either is linked with.  A row with a null doc_id has a null class and no links.
+    An empty table gives no rows.  told: is given the prefix's ``depth`` and the measured ``recall``.
+    """
+    read = docs.select(F.col("doc_id").cast("long"), "text")
+    signed = cut(read.filter("doc_id IS NOT NULL").mapInArrow(_signatures, _SIGNED))
+    classes = cut(signed.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("labels").alias("labels")))
+    signed = signed.drop("labels")
+
+    floor = least_depth()
+    edges = trie_edges(classes, floor)
+    depth = estimated_depth(edges, floor)
+    while True:
+        verified = _verified(read, classes, candidates(classes, edges, depth), depth)
+        found, expected = verified.agg(F.sum("found"), F.sum("expected")).first()
+        recall = found / expected if expected else 1.0
+        if depth == floor or recall >= TARGET:
+            break
+        depth -= 1
+    if told is not None:
+        told.update(depth=depth, recall=recall)
 
     degrees = verified.groupBy("node").agg(F.sum("degree").alias("degree"))
     whole = verified.filter("whole AND node != root").select("node", F.col("root").alias("component"))
     split = components(verified.filter("NOT whole AND node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     labels = whole.unionByName(split)
-    result = classes.drop("keys").join(degrees, "node", "left").join(labels.groupBy("node").agg(F.min("component").alias("component")), "node", "left")
+    result = classes.drop("labels").join(degrees, "node", "left").join(labels.groupBy("node").agg(F.min("component").alias("component")), "node", "left")
     result = result.select("high", "low", F.coalesce("component", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
     out = signed.select("doc_id", "high", "low").join(result, ["high", "low"]).select("doc_id", "class_id", "n_links")
     nulls = read.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

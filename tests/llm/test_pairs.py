@@ -68,9 +68,79 @@ def test_near_duplicates_of_odd_tables(frame):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "A b!"), (3, "c"), (None, "a b")], key=str)
 
 
-def test_forest_depth():
-    k = jaccard_join.prefix_depth(0.8)
-    assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.TARGET > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
+def test_least_depth():
+    k = jaccard_join.least_depth()
+    assert jaccard_join.found_at(k, 0.8) >= jaccard_join.TARGET > jaccard_join.found_at(k + 1, 0.8)
+
+
+def roots(nodes, edges):
+    root = {n: n for n in nodes}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_trie_edges_connect_what_shares_a_prefix(spark, frame, partitions):
+    rng = np.random.default_rng(partitions)
+    signatures = {}
+    for i in range(60):
+        own = rng.integers(0, 3, (jaccard_join.TREES, jaccard_join.DEPTH)).astype(">u2")
+        signatures[i] = signatures[i - 1].copy() if i % 5 == 1 else own
+        if i % 5 == 1:
+            signatures[i][:, 6:] = own[:, 6:]
+    classes = frame([(i, bytearray(x.tobytes())) for i, x in signatures.items()] + [(99, bytearray())], "node long, labels binary")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        edges = jaccard_join.trie_edges(classes, 3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    for depth in range(3, jaccard_join.DEPTH + 1):
+        for tree in range(jaccard_join.TREES):
+            want = defaultdict(set)
+            for i, x in signatures.items():
+                want[x[tree, :depth].tobytes()].add(i)
+            got = defaultdict(set)
+            for n, r in roots(signatures, [(e.a, e.b) for e in edges if e.tree == tree and e.depth >= depth]).items():
+                got[r].add(n)
+            assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def boilerplate(n, seed=7):
+    """Texts that are pairwise near 0.4, and near copies of every 40th."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(120)]
+    rows = [(i, " ".join(common + [f"o{i}x{rng.randrange(10**6)}" for _ in range(90)])) for i in range(n)]
+    return rows + [(10_000 + i, rows[i][1] + " and more") for i in range(0, n, 40)]
+
+
+def test_boilerplate_falls_apart(frame, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    sizes = {}
+    for n in (200, 400):
+        df = frame(boilerplate(n), "doc_id long, text string").select("doc_id", "text")
+        signed = df.mapInArrow(jaccard_join._signatures, jaccard_join._SIGNED)
+        classes = signed.selectExpr("doc_id AS node", "labels").cache()
+        parts = jaccard_join.candidates(classes, jaccard_join.trie_edges(classes, 4), 4).groupBy("component").count().collect()
+        sizes[n] = sum(r["count"] for r in parts)
+        assert max(r["count"] for r in parts) <= 4 and 2 * n // 40 <= sizes[n] <= 3 * n // 40
+    rows, told = boilerplate(200), {}
+    assert sorted(tuple(r) for r in jaccard_join.near_duplicates(frame(rows, "doc_id long, text string"), told).collect()) == brute(rows)
+    assert told["recall"] >= jaccard_join.TARGET and jaccard_join.least_depth() <= told["depth"] <= jaccard_join.DEPTH
+
+
+def test_prefix_is_shortened_until_the_recall(spark):
+    def edges(trees, n):
+        return spark.createDataFrame([(a, tree) for a in range(n) for tree in range(trees)], "a long, tree int")
+
+    floor = jaccard_join.least_depth()
+    # Neighbours in all trees are copies but for a word: the full prefix; in few of them: a shorter one.
+    assert jaccard_join.estimated_depth(edges(jaccard_join.TREES, 100), floor) == jaccard_join.DEPTH
+    assert jaccard_join.estimated_depth(edges(10, 100), floor) == floor
+    assert floor < jaccard_join.estimated_depth(edges(19, 100), floor) <= jaccard_join.DEPTH
 
 
 def test_components(frame):
