@@ -175,25 +175,25 @@ def estimated_depth(edges: DataFrame, floor: int) -> int:
     """The longest prefix with the target recall, by an estimate from the tries alone.
 
     A class whose nearest neighbour has similarity s shares a prefix of ``floor`` labels with a neighbour in
-    TREES * s ** floor trees on average; the similarity is taken a standard deviation below what its
-    number of such trees says.  The driver sees how many classes have each number of trees.
+    TREES * s ** floor trees on average.  The driver sees how many classes have each number of trees.
     """
     trees = edges.groupBy("a").agg(F.count("*").alias("trees")).groupBy("trees").count().collect()
     least = SIMILAR[0] / SIMILAR[1]
     part = np.array([r.trees for r in trees]) / TREES
     n = np.array([r["count"] for r in trees], float)
-    similar = np.minimum(part, 1) ** (1 / floor) >= least if len(part) else part > 0
-    s = np.clip(part - np.sqrt(np.maximum(part * (1 - part), 0) / TREES), 0, 1) ** (1 / floor) if len(part) else part
-    s, n = np.maximum(s, least)[similar], n[similar]
+    s = np.minimum(part, 1) ** (1 / floor)
+    s, n = s[s >= least], n[s >= least]
     return next((k for k in range(DEPTH, floor, -1) if n.sum() >= TARGET * (n / found_at(k, s)).sum()), floor)
 
 
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From classes below one trie node, one after the other: an edge to each leader that shares enough labels.
+    """From classes below one trie node, one after the other: edges that connect each class with all leaders
+    that share enough labels with it, where no earlier edge does; fewer than there are classes.
 
     A class that no leader covers becomes one.  Only leaders are held.
     """
     bucket, leaders, nodes, n = None, np.zeros((0, TREES * DEPTH), np.uint16), [], 0
+    roots = np.zeros(0, int)  # of each leader, the least leader that edges connect it with
     for batch in batches:
         out = []
         for tree, key, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -201,11 +201,16 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bucket, nodes, n = (tree, key), [], 0
             own = np.frombuffer(raw, np.uint16)
             share = (leaders[:n] == own).mean(axis=1) if n else np.zeros(0)
-            out += [(node, nodes[i]) for i in np.flatnonzero(share >= LINKED)]
+            met = np.unique(roots[:n][share >= LINKED])
+            if len(met):
+                out += [(node, nodes[met[0]]), *((nodes[r], nodes[met[0]]) for r in met[1:])]
+                if len(met) > 1:
+                    roots[:n][np.isin(roots[:n], met)] = met[0]
             if not (share >= COVERED).any():
                 if n == len(leaders):
                     leaders = np.concatenate([leaders, np.zeros((max(64, n), TREES * DEPTH), np.uint16)])
-                leaders[n] = own
+                    roots = np.concatenate([roots, np.zeros(max(64, n), int)])
+                leaders[n], roots[n] = own, met[0] if len(met) else n
                 nodes.append(node)
                 n += 1
         if out:
