@@ -2,10 +2,11 @@
 
 The field labels tokens B (a secret begins), I (it goes on) or O.  A token's features are its shape, the
 words and signs beside it, and traits of the file; weights and label transitions are fitted by
-maximum likelihood (forward-backward), labels decoded by Viterbi.  Only tokens that look random enough
-(``_CANDIDATE``) and signs that join them may be B or I; all others are O by constraint.  A chain falls
-apart at a token whose label is fixed, so decoding the windows round candidates gives what decoding the
-whole text would.
+maximum likelihood (forward-backward), labels decoded by Viterbi.  A secret may begin at a token that looks
+random (``_CANDIDATE``) and at any token of ``_KEYED_CHARS`` characters or more that follows a key word, whatever
+it looks like; it may go on over signs and tokens joined to it.  All other tokens are O by constraint.  A
+chain falls apart at a token whose label is fixed, and windows round the free tokens hold all that their
+features look at, so decoding the windows gives what decoding the whole text would.
 
 Training labels come from the fixed patterns over a bounded sample of documents (``TRAIN_DOCS``) and of
 their runs of tokens (``TRAIN_RUNS``), and from all lines written here (``_seed``), so that a corpus without secrets still gives a model.
@@ -21,15 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, fresh, table
+from .common import claim, cut, fresh, table
 
 #: Documents read for training at most: with a fixed pattern's match, and without.
 TRAIN_DOCS = 400
-#: Characters of each training document.
-TRAIN_CHARS = 20_000
+#: Characters of the training documents together; they are read whole, as many as fit.
+TRAIN_CHARS = 8_000_000
 #: Runs of tokens of those documents that the field is fitted on at most, drawn by hash; the written lines come on top.
 TRAIN_RUNS = 4000
 
@@ -40,15 +41,24 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "crf")
 
-_CANDIDATE = re.compile(r"(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{8,}|[A-Za-z0-9+/]{32,}={0,2}")
+_CANDIDATE = re.compile(r"(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{8,}|(?:gh[pousr]_|sk[_-]|pk_|xox|eyJ|AIza|glpat-|npm_)[A-Za-z0-9+/_-]{5,}|[A-Za-z0-9+/]{32,}={0,2}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 _JOINT = frozenset(".=:~")
-_BEFORE, _AFTER = 6, 2
+#: Characters of a token that is free because it follows a key word, signs between them, and how far apart they are.
+_KEYED_CHARS, _KEYED_SIGNS, _KEYED_GAP = 6, 4, 8
+#: Tokens before and after a free one that its features look at.
+_BEFORE, _AFTER = _KEYED_SIGNS + 1, 1
 B, I, O = 0, 1, 2
 
 # Words that stand beside secrets, and beside harmless identifiers.
-_KEY_WORDS = frozenset("password passwd pwd pass secret secrets token tokens key keys apikey api_key auth authorization bearer credential credentials private access client_secret access_key secret_key".split())
+_KEY_WORDS = frozenset("password passwd pwd pass passphrase secret secrets token tokens key keys apikey api_key auth authorization bearer credential credentials private access client_secret access_key secret_key".split())
 _ID_WORDS = frozenset("id uuid commit sha sha1 sha256 md5 hash checksum version build revision isbn doi phone tel order invoice ref issue page model serial part http https www url href src".split())
+# The end of a key word and what may stand between it and a token that is free for it; ``_keyed`` decides.
+_KEYED = re.compile(
+    r"(?i)(?:pwd|pass|passwd|password|passphrase|secrets?|tokens?|keys?|apikey|auth|authorization|bearer|credentials?|private|access)(?![A-Za-z0-9+/_-])"
+    r"[^A-Za-z0-9+/_-]{1,8}(?=[A-Za-z0-9+/_-]{6})"
+)
+_KEYED_SIGN_WORDS = ("pwd", "pass", "secret", "token", "key", "auth", "bearer", "credential", "private", "access")
 _PREFIXES = ("ghp_", "gho_", "sk_", "sk-", "pk_", "xox", "AKIA", "ASIA", "eyJ", "AIza", "glpat-", "npm_", "SG")
 
 
@@ -77,13 +87,16 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 _LENGTHS = (4, 8, 12, 16, 20, 24, 32, 40, 64)
 _SHAPES = [f"len{i}" for i in range(len(_LENGTHS) + 1)] + [
     "digit", "upper", "lower", "mixed", "sign", "hex", "digits only", "one digit run at an end", "changes0", "changes1", "changes2",
-    "entropy0", "entropy1", "entropy2", "entropy3", "prefix", "joint", "quote", "candidate",
+    "entropy0", "entropy1", "entropy2", "entropy3", "prefix", "joint", "quote", "candidate", "few vowels", "consonants", "one case word", "hyphens", "keyed by a sign", "keyed by a space",
 ]
 _SIDES = [f"{side} {what}" for side in ("prev1", "prev2", "prev3", "next1") for what in ("key word", "id word", "= or :", "quote", "word", "number", "slash", "at", "none")]
 _FILE = ["many candidates", "no candidate but one", "few words", "code signs"]
 FEATURES = {name: i for i, name in enumerate([*_SHAPES, *_SIDES, *_FILE, "any"])}
 
 
+_CONSONANTS = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]{4}")
+
+
 def _shape(t: str) -> list[str]:
     n = len(t)
     out = [f"len{sum(n >= x for x in _LENGTHS)}"]
@@ -98,6 +111,8 @@ def _shape(t: str) -> list[str]:
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     out.append(f"entropy{sum(entropy >= x for x in (2.5, 3.2, 3.8))}")
     out += ["prefix"] * t.startswith(_PREFIXES) + ["joint"] * (t in _JOINT) + ["quote"] * (t in "\"'`")
+    out += ["consonants"] * bool(_CONSONANTS.search(t))
+    out += ["few vowels"] * (d + u + lo > 5 and sum(c in "aeiouyAEIOUY" for c in t) < 0.2 * (u + lo)) + ["one case word"] * bool(re.fullmatch("[A-Z]?[a-z]+|[A-Z]+", t)) + ["hyphens"] * (t.count("-") > 1)
     return out + ["candidate"] * bool(_CANDIDATE.fullmatch(t))
 
 
@@ -112,35 +127,82 @@ def _side(t: str | None) -> str:
     return "= or :" if t in "=:" else "quote" if t in "\"'`" else "at" if t == "@" else "number" if t.isdigit() else "slash" if t in "/#&?%" else "word"
 
 
-def windows(text: str) -> list[list[tuple[str, int, int]]]:
-    """Runs of tokens (text, start, end) round the candidates; runs that meet are one."""
-    spans: list[list[int]] = []
-    found = [m.span() for m in _CANDIDATE.finditer(text)]
-    for s, e in found:
-        lo, hi = max(0, s - 64), e + 32
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = hi
-        else:
-            spans.append([lo, hi])
-    out = []
-    for lo, hi in spans:
-        while lo and not text[lo - 1].isspace() and hi - lo < 4096:  # start between tokens
-            lo -= 1
-        tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text, lo, min(len(text), hi))]
-        if tokens:
-            out.append(tokens)
-    return out
+def _is_key(t: str) -> bool:
+    return _side(t) == "key word"
+
+
+def _keyed(tokens: list[tuple[str, int, int]], i: int) -> str:
+    """How a token follows a key word: by a sign, by a space, or not at all ('')."""
+    t, start, _ = tokens[i]
+    if len(t) < _KEYED_CHARS:
+        return ""
+    for j in range(i - 1, max(-1, i - 2 - _KEYED_SIGNS), -1):
+        word, _, end = tokens[j]
+        if start - end > _KEYED_GAP:
+            return ""
+        if len(word) > 1 or word.isalnum():
+            return "" if not _is_key(word) else "sign" if any(x in ":=" for x, _, _ in tokens[j + 1 : i]) else "space"
+    return ""
 
 
 def _free(tokens: list[tuple[str, int, int]]) -> np.ndarray:
     """Whether B or I is allowed, for a run of tokens."""
     free = np.zeros(len(tokens), bool)
     for i, (t, s, _) in enumerate(tokens):
-        beside = i > 0 and tokens[i - 1][2] == s
-        free[i] = bool(_CANDIDATE.fullmatch(t)) or beside and (t in _JOINT or len(t) >= 4 and not t.isalpha())
+        beside = i > 0 and free[i - 1] and tokens[i - 1][2] == s
+        free[i] = bool(_CANDIDATE.fullmatch(t)) or beside and (t in _JOINT or len(t) >= 4 and not t.isalpha()) or bool(_keyed(tokens, i))
     return free
 
 
+def _tokens(text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
+    return [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text, lo, hi)]
+
+
+_INNER = re.compile(r"[A-Za-z0-9+/_-]*")
+
+
+def _reach_back(text: str, at: int) -> int:
+    """Where the _BEFORE tokens before ``at`` start, or so far back that they are too far to count."""
+    size = 64
+    while True:
+        lo = max(0, at - size)
+        while lo and text[lo - 1 : lo + 1].isascii() and _INNER.fullmatch(text[lo - 1 : lo + 1]):  # not within a token
+            lo -= 1
+        found = _tokens(text, lo, at)
+        if lo == 0 or len(found) >= _BEFORE:
+            return found[-_BEFORE][1] if len(found) >= _BEFORE else 0
+        size *= 4
+
+
+def windows(text: str) -> list[list[tuple[str, int, int]]]:
+    """Runs of tokens (text, start, end) round all that may be free; runs that meet are one."""
+    starts = [m.start() for m in _CANDIDATE.finditer(text)]
+    lower = text.lower()
+    if any(w in lower for w in _KEYED_SIGN_WORDS):
+        starts = sorted({*starts, *(m.end() for m in _KEYED.finditer(text))})
+    out: list[list[tuple[str, int, int]]] = []
+    done = 0
+    for at in starts:
+        if out and at < done:
+            continue
+        lo = _reach_back(text, at)
+        if out and lo <= out[-1][-1][2]:
+            run, lo = out[-1], out[-1][-1][2]
+        else:
+            run = []
+            out.append(run)
+        hi = _INNER.match(text, at).end()
+        run += _tokens(text, lo, max(hi, at + 1))
+        # On over all that is joined to it, and one token more.
+        while (m := _TOKEN.search(text, run[-1][2])) is not None:
+            joined = m.start() == run[-1][2]
+            run.append((m.group(), m.start(), m.end()))
+            if not joined:
+                break
+        done = run[-1][2]
+    return out
+
+
 def features(tokens: list[tuple[str, int, int]], file: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(matrix of 0 and 1, whether B or I is allowed) for a run of tokens."""
     x = np.zeros((len(tokens), len(FEATURES)), np.float32)
@@ -149,7 +211,8 @@ def features(tokens: list[tuple[str, int, int]], file: list[str]) -> tuple[np.nd
     for i, t in enumerate(words):
         if not free[i]:
             continue
-        names = _shape(t) + [f"prev{k} {_side(words[i - k] if i >= k else None)}" for k in (1, 2, 3)]
+        how = _keyed(tokens, i)
+        names = _shape(t) + [f"keyed by a {how}"] * bool(how) + [f"prev{k} {_side(words[i - k] if i >= k else None)}" for k in (1, 2, 3)]
         names += [f"next1 {_side(words[i + 1] if i + 1 < len(words) else None)}", *file, "any"]
         x[i, [FEATURES[n] for n in names]] = 1
     return x, free
@@ -195,7 +258,7 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(runs: list[tuple[np.ndarray, np.ndarray, list[int]]], steps: int = 120, ridge: float = 0.02) -> Field:
+def fit(runs: list[tuple[np.ndarray, np.ndarray, list[int]]], steps: int = 180, ridge: float = 0.005) -> Field:
     """Maximum likelihood of labelled runs (features, free, labels), by Adam on forward-backward sums."""
     n, width = len(runs), max(len(y) for _, _, y in runs)
     k = len(FEATURES)
@@ -239,32 +302,52 @@ def _labels(tokens: list[tuple[str, int, int]], free: np.ndarray, spans: list[tu
     return out
 
 
+# Common words that stand after key words in running text.
+_PLAIN = (
+    "garden policy required manager economy holder factor through another between important question service account feature chapter control element letters message meeting number office people person present problem program "
+    "project reason result school sector simple single social someone station student subject support system teacher thought together towards village without writing"
+).split()
+
+
+# Written lines: what stands round a value ({k} a key word, {v} the value).
+_KEYED_LINES = ("{k}: {v}", "{k}={v}", "{k} = '{v}'", '"{k}": "{v}"', "the {k} is {v} ok", "{k} {v} now", "my {k}: {v}, please", "export {k}={v}")
+_BARE_LINES = ("see {v} there", "x = {v}", "({v})", "and {v}, then", "export GITHUB={v}", "url: {v}", "{v}", "use '{v}' now")
+_KEYS = ("password", "pwd", "passphrase", "secret", "token", "api_key", "authorization", "bearer", "credentials", "private_key", "client_secret", "access_key", "auth", "secret_key", "Authorization: Bearer")
+_ID_LINES = ("commit {v} of it", "the id {v} of the row", "order {v} was sent", "version {v} is out", "mail {v} now", "see {v} there", "model {v}, new", "ref: {v}", "https://example.org/{v}/b", "call {v} today", "{v}")
+
+
 def _seed() -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Written lines with random-looking values, made from digests: some are secrets, some harmless."""
+    """Written lines with values made from digests: some are secrets, some harmless.
+
+    Values with a known beginning are secrets anywhere, random ones after a key word; numbers, ids and
+    versions are harmless, and so are common words after key words.
+    """
     import base64
 
     out = []
-    for i in range(160):
-        h = hashlib.sha256(f"seed {i}".encode()).digest()
-        b64, hx, num = base64.b64encode(h).decode().rstrip("="), h.hex(), str(int.from_bytes(h[:8], "big"))
-        word = hashlib.md5(h).hexdigest()
-        secrets = [
-            f'aws_secret_access_key = "{{{b64[:40]}}}"', f"Authorization: Bearer {{{b64[:30]}}}", f"the key is {{ghp_{b64[:36].replace('/', 'a').replace('+', 'b')}}} ok",
-            f"private_key: {{{hx[:40]}}}", f"pwd={{{b64[:14]}}}", f"auth {{eyJ{b64[:20]}.eyJ{b64[5:30]}.{b64[8:40]}}}", f"credentials '{{sk_live_{b64[:24].replace('/', 'x').replace('+', 'y')}}}'", f"client_secret : {{{b64[:32]}}}",
-        ]
-        harmless = [
-            f"order {num[:8]}A1 was sent", f"see page{num[:2]} and figure{num[2:4]} there", f"isbn 978-{num[:10]}", f"version v{num[0]}-{num[1:3]}-beta{num[4]}", f"mail user{num[:4]}@example.org now", f"model AB-{num[:4]}-X1 is out",
-            f"the id {word[:8]}-{word[8:12]}-4{word[13:16]} of the row", f"https://example.org/a{num[:5]}/b-{num[5:9]}", f"card {num[:16]} and 10-{num[:3]}-{num[3:7]} call",
-        ]
-        line = secrets[i % len(secrets)] if i % 2 else harmless[i // 2 % len(harmless)]
-        text, at = f"some words and {line} then more words", None
-        spans = []
-        if "{" in text:
-            at = text.index("{")
-            end = text.index("}") - 1
-            text = text.replace("{", "").replace("}", "")
-            spans = [("crf", at, end)]
-        out.append((text, spans))
+    for i in range(360):
+        h = hashlib.sha256(f"seed {i}".encode()).digest() + hashlib.sha256(f"more {i}".encode()).digest()
+        b64, hx, num = base64.b64encode(h).decode().rstrip("="), h.hex(), str(int.from_bytes(h[:12], "big"))
+        safe = b64.replace("/", "x").replace("+", "y")
+        letters = "".join(chr(97 + c % 26) for c in h)
+        plain = [_PLAIN[c % len(_PLAIN)] for c in h[:4]]
+        n = h[5] % 12
+        begun = (f"ghp_{safe[:36]}", f"sk_live_{safe[:24]}", f"eyJ{safe[:20]}.eyJ{safe[5:30]}.{safe[8:40]}", f"xoxb-{num[:11]}-{safe[:24]}", f"glpat-{safe[:20]}", f"npm_{safe[:36]}", f"AIza{safe[:35]}")
+        random = (b64[: 40 - n], safe[: 10 + n], letters[: 10 + n], hx[: 24 + n], "-".join(plain), letters[: 8 + n].upper(), f"{plain[0].title()}{num[: 2 + n // 3]}!", safe[: 24 + n])
+        harmless = (
+            f"{num[:8]}A1", f"page{num[:2]}", f"978-{num[:10]}", f"v{num[0]}-{num[1:3]}-beta{num[4]}", f"user{num[:4]}@example.org", f"AB-{num[:4]}-X1", f"{hx[:8]}-{hx[8:12]}-4{hx[13:16]}-a{hx[17:20]}-{hx[20:32]}", hx[: 7 + n // 3], num[: 10 + n // 2],
+            f"10-{num[:3]}-{num[3:7]}", f"a{num[:5]}", f"{num[:2]}.{num[2:4]}.{num[4:6]}", f"2{num[:3]}-0{num[4]}-1{num[5]}T0{num[6]}:30", f"{plain[0]}-{plain[1]}-{plain[2]}-{num[:3]}", f"utf-{num[0]}x{num[1:3]}",
+        )
+        k = _KEYS[i % len(_KEYS)]
+        for value, line, secret in (
+            (begun[i % len(begun)], (_KEYED_LINES + _BARE_LINES)[h[0] % 16], True),
+            (random[i % len(random)], _KEYED_LINES[h[1] % len(_KEYED_LINES)], True),
+            (harmless[i % len(harmless)], _ID_LINES[h[2] % len(_ID_LINES)], False),
+            (plain[1], _KEYED_LINES[h[3] % len(_KEYED_LINES)], False),
+        ):
+            text = f"some words and {line.replace('{k}', k)} then more words"
+            at = text.index("{v}")
+            out.append((text.replace("{v}", value), [("crf", at, at + len(value))] if secret else []))
     return out
 
 
@@ -316,15 +399,20 @@ SPANS = "spans array<struct<kind string, start long, end long>>"
 
 def train_on(docs: DataFrame) -> Field:
     """The field for docs, from a bounded sample: of the documents with a fixed pattern's sign and of
-    those without, the TRAIN_DOCS with the smallest hash of the text, TRAIN_CHARS of each."""
+    those without, the TRAIN_DOCS and a quarter of that with the smallest hash of the text, and of these,
+    in that order, as many whole texts as have TRAIN_CHARS together."""
     sign = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\s?[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    hashed = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("h"), sign.alias("sign")).distinct()
-    rank = F.row_number().over(Window.partitionBy("sign").orderBy("h"))
-    least = hashed.withColumn("rank", rank).filter(F.col("rank") <= F.when(F.col("sign"), TRAIN_DOCS).otherwise(TRAIN_DOCS // 4))
-    chosen = [r.h for r in least.select("h").collect()]
-    texts = docs.filter(F.xxhash64("text").isin(chosen or [None])).groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text"))
-    rows = sorted(texts.collect())
-    return train([r.text or "" for r in rows])
+    hashed = cut(docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("h"), sign.alias("sign"), F.length("text").alias("n")).distinct())
+    chosen, size = [], 0
+    drawn = [hashed.filter(F.col("sign") == on).orderBy("h", "n").limit(n).collect() for on, n in ((True, TRAIN_DOCS), (False, TRAIN_DOCS // 4))]
+    for r in sorted((r for part in drawn for r in part), key=lambda r: (r.h, r.n)):
+        if size + r.n <= TRAIN_CHARS:
+            chosen.append(r.h)
+            size += r.n
+    if not chosen:
+        return train([])
+    of_hash = docs.filter(F.xxhash64("text").isin(chosen)).groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    return train([r.text for r in sorted(of_hash.collect())])
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:

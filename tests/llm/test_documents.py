@@ -226,6 +226,53 @@ def test_likelihood_gradient_fits():
     assert np.mean([field.viterbi(x, f) == y for x, f, y in runs if f.any()]) > 0.97
 
 
+def held_out_lines(n):
+    """(text, secret or None) with other values, words and carriers than the field is trained on."""
+    rng = random.Random(77)
+    any_of = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    alnum, lower = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz"
+    words = "morning river window paper bridge forest island winter market travel picture history".split()
+    out = []
+    for i in range(n):
+        value = rng.choice((f"ghp_{any_of(alnum, 36)}", any_of(alnum, rng.randint(16, 40)), any_of(lower, rng.randint(12, 24)), "-".join(rng.sample(words, 4)), f"eyJ{any_of(alnum, 20)}.eyJ{any_of(alnum, 30)}.{any_of(alnum, 40)}"))
+        key = rng.choice(("pwd", "Authorization: Bearer", "client_secret", "passphrase", "private_key"))
+        out.append((rng.choice((f"please set {key} = {value} before you start", f"config.{key}: '{value}'", f"({key}={value})", f"{key}: {value}")), value))
+        harmless = rng.choice((f"{rng.choice(words)} {rng.choice(words)}", any_of("0123456789", 9), f"{any_of('0123456789', 3)}-{any_of('0123456789', 7)}", f"v{rng.randint(0, 9)}.{rng.randint(0, 20)}", f"{rng.choice(words)}{rng.randint(1, 99)}"))
+        out.append((rng.choice((f"we saw {harmless} on the way", f"ticket {harmless} is open", f"the key {rng.choice(words)} of the {rng.choice(words)}: {harmless}", f"a secret {rng.choice(words)}, and {harmless}")), None))
+    return out
+
+
+def test_held_out_precision_and_recall():
+    field = secrets.train([])
+    right = wrong = missed = 0
+    for text, value in held_out_lines(300):
+        found = {text[s:e] for k, s, e in secrets.find(text, field)}
+        if value is None:
+            wrong += len(found)
+        elif any(value in f or f in value and len(f) > len(value) - 3 for f in found):
+            right += 1
+        else:
+            missed += 1
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+
+
+def test_windows_decode_what_the_whole_text_would():
+    field = secrets.train([])
+    rng = random.Random(8)
+    parts = [t for t, _ in held_out_lines(40)] + ["plain words in a row. ", "\n", "x" * 700, "a,b;c.", "key", "pwd:", " \t ", "é ", "0a1b2c3d4e~ffff.12", "token " * 5, "A" * 9000]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) + rng.choice(("", " ")) for _ in range(rng.randint(1, 25)))
+        runs = secrets.windows(text)
+        file = secrets.file_features(text, len(runs))
+        whole = secrets._tokens(text, 0, len(text))
+        want = []
+        if whole:
+            labels = field.viterbi(*secrets.features(whole, file))
+            want = [(s, y) for (_, s, _), y in zip(whole, labels) if y != secrets.O]
+        got = [(s, y) for tokens in runs for (_, s, _), y in zip(tokens, field.viterbi(*secrets.features(tokens, file))) if y != secrets.O]
+        assert got == want
+
+
 def test_written_lines_stay_beside_many_runs(monkeypatch):
     fitted = []
     monkeypatch.setattr(secrets, "fit", lambda runs: fitted.extend(runs))
