@@ -18,6 +18,7 @@ windows that can match are shuffled; if a huge benchmark fills the array, all ar
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,40 +210,39 @@ def _filter(hashes: DataFrame) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
+def _votes(pairs: list[tuple]) -> dict:
+    """For each first value the second that it stands with most often; ties go to the smaller one."""
+    counts: dict = {}
+    for x, y in pairs:
+        counts.setdefault(x, Counter())[y] += 1
+    return {x: min(c.items(), key=lambda p: (-p[1], p[0]))[0] for x, c in counts.items()}
+
+
 def judge(hits: list, n_item: int, size: int) -> tuple[int, int] | None:
-    """(windows, covered tokens) of the best consistent alignment of one document and item, or None.
+    """(windows, covered tokens) of one alignment of a document and an item if it is consistent, or None.
 
-    hits: (item_at, doc_at, item slots, doc slots).  An alignment is the windows with one difference of
-    places.  A window that contradicts those before it in its alignment, in all forms in which it matched,
-    is left out, and an alignment with a contradiction for every three other windows, or more, is none.  A
-    short item that is nothing but placeholders has no template to match by: its values must be the same.
+    hits: (item_at, item slots, doc slots) of the windows with one difference of places, in any order.  Each
+    value of the item stands for the document's value that most windows give it, and the other way
+    round; a window that contradicts that in all forms in which it matched is left out, and an alignment
+    with a contradiction for every three other windows, or more, is none.  A short item that is nothing but
+    placeholders has no template to match by: its values must be the same.
     """
-    best, size = None, min(size, n_item)
-    lines: dict[int, list] = {}
-    for h in hits:
-        lines.setdefault(h[1] - h[0], []).append(h)
-    for line in lines.values():
-        there, back = {}, {}
-        covered, windows, against, seen = 0, 0, 0, -1
-        places: dict[int, list] = {}
-        for item_at, _, a, b in line:
-            places.setdefault(item_at, []).append((a, b))
-        for item_at, forms in sorted(places.items(), key=lambda p: p[0]):
-            for a, b in sorted(forms, key=lambda f: -len(f[0])):
-                pairs = list(zip(a, b))
-                if len(a) == len(b) and not (len(a) == size == n_item < WINDOW and a != b) and all(there.get(x, y) == y and back.get(y, x) == x for x, y in pairs):
-                    break
-            else:
-                against += 1
-                continue
-            for x, y in pairs:
-                there[x], back[y] = y, x
+    size = min(size, n_item)
+    places: dict[int, list] = {}
+    for item_at, a, b in hits:
+        if len(a) == len(b) and not (len(a) == size == n_item < WINDOW and a != b):
+            places.setdefault(item_at, []).append(list(zip(a, b)))
+        else:
+            places.setdefault(item_at, [])
+    pairs = [p for forms in places.values() for p in {p for form in forms for p in form}]
+    there, back = _votes(pairs), _votes([(y, x) for x, y in pairs])
+    covered, windows, seen = 0, 0, -1
+    for item_at, forms in sorted(places.items()):
+        if any(all(there[x] == y and back[y] == x for x, y in form) for form in forms):
             windows += 1
             covered += item_at + size - max(seen, item_at)
             seen = item_at + size
-        if windows > 3 * against and (best is None or covered > best[1]):
-            best = windows, covered
-    return best
+    return (windows, covered) if windows > 3 * (len(places) - windows) else None
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -251,6 +251,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage:
     docs: doc_id, text; benchmark: item_id, text.  Null and empty texts match nothing; an item shorter
     than a window is one window of its length, found in texts of any length.  Rows with a null id match nothing;
     texts under one id count as that id's.  Empty tables give no rows.
+
+    Windows that match are grouped by document, item and difference of places (an alignment), so a group
+    holds at most the item's windows, however often a document repeats the item; of a pair's alignments the
+    one that covers most counts.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL").mapInArrow(lambda it: _windows(it, (size,), None), WINDOWS)
     items = cut(items.toDF("item_id", "item_at", "hash", "n_tokens", "item_slots").distinct())
@@ -258,20 +262,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage:
     only = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(items.select("hash"))))
     found = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInArrow(lambda it: _windows(it, sizes, np.unpackbits(only.value).astype(bool)), WINDOWS)
     found = found.toDF("doc_id", "doc_at", "hash", "doc_tokens", "doc_slots").drop("doc_tokens")
-    hits = found.join(items, "hash").groupBy("doc_id", "item_id").agg(F.max("n_tokens").alias("n_tokens"), F.collect_list(F.struct("item_at", "doc_at", "item_slots", "doc_slots")).alias("hits"))
+    alignment = (F.col("doc_at") - F.col("item_at")).alias("shift")
+    hit = F.struct("item_at", "item_slots", "doc_slots")
+    hits = found.join(items, "hash").groupBy("doc_id", "item_id", alignment).agg(F.max("n_tokens").alias("n_tokens"), F.collect_set(hit).alias("hits"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = lambda slots: [(s["type"], s["value"]) for s in slots]
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                got = judge([(h["item_at"], h["doc_at"], pairs(h["item_slots"]), pairs(h["doc_slots"])) for h in r["hits"]], r["n_tokens"], size)
+                got = judge([(h["item_at"], pairs(h["item_slots"]), pairs(h["doc_slots"])) for h in r["hits"]], r["n_tokens"], size)
                 if got and got[1] >= coverage * r["n_tokens"]:
                     rows.append((r["doc_id"], r["item_id"], got[0], got[1], r["n_tokens"]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "item_id", "n_windows", "covered", "n_tokens"])
 
-    return hits.mapInArrow(judged, "doc_id long, item_id long, n_windows long, covered long, n_tokens long")
+    aligned = hits.mapInArrow(judged, "doc_id long, item_id long, n_windows long, covered long, n_tokens long")
+    best = F.max(F.struct("covered", "n_windows", "n_tokens")).alias("best")
+    return aligned.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.covered", "best.n_tokens")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

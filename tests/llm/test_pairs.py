@@ -215,6 +215,24 @@ def test_contamination_against_brute_force(frame):
     assert hits(docs, items, frame) == sorted((d, i) for d, t in docs for i, x in items if covered(t, x))
 
 
+def test_slots_are_judged_by_vote_in_any_order():
+    rng = random.Random(2)
+    a, b, c = (2, 11), (2, 12), (2, 13)
+    right = [(i, [(2, 1), (1, 5)], [a, (1, i % 3 + 5)]) for i in (0, 3, 6)] + [(i, [(2, 1)], [a]) for i in range(9, 20)]
+    wrong = [(30, [(2, 1)], [b]), (31, [(2, 1)], [c]), (32, [(2, 2)], [a])]
+    want = decontamination.judge(right + wrong, 60, 8)
+    assert want is not None and want[0] == 12
+    for _ in range(20):
+        mixed = rng.sample(right + wrong, len(right + wrong))
+        assert decontamination.judge(mixed, 60, 8) == want
+    assert decontamination.judge(wrong, 60, 8) is None and decontamination.judge([(0, [], [])], 8, 8) == (1, 8)
+
+
+def test_an_item_many_times_over_in_one_text(frame):
+    docs = [(1, (ITEM + " and so on. ") * 3000), (2, ITEM[:20])]
+    assert hits(docs, [(0, ITEM)], frame) == [(1, 0)]
+
+
 def test_decontaminate_keeps_the_rest(frame):
     docs = frame([(1, "so. " + ITEM, "a"), (2, "clean", "b"), (None, ITEM, "c")], "doc_id long, text string, bad_id string")
     out = decontamination.decontaminate(docs, frame([(0, "So. " + ITEM)], "item_id long, text string"))
