@@ -3,7 +3,8 @@
 A record's *fingerprint* is the hash of its sorted nested field paths (``messages[].role``).  Layouts are
 declared as data (``LAYOUTS``): which paths a layout has, and where a turn's role and text stand.  The
 fingerprints of all combinations of a layout's optional paths select its mapping by lookup; fields that
-no layout names (ids, sources, scores) don't enter the fingerprint.
+no layout names (ids, sources, scores) don't enter the fingerprint.  A record whose fingerprint is no
+layout's own, since it has the fields of several, gets the first layout whose needed paths it has.
 
 A turn is rendered as ``### Role: text</turn>`` and a newline.  Control strings inside roles and texts are
 escaped (see ``ESCAPES``), so the turns and the loss mask can be read back from the text alone.
@@ -51,7 +52,7 @@ class Layout:
 
 LAYOUTS = (
     Layout("rows", ("conv_id", "turn", "role", "text")),
-    Layout("messages", ("messages[].role", "messages[].content"), ("system",), "messages", "role", "content", (("system", ("system",)),)),
+    Layout("messages", ("messages[].role", "messages[].content"), ("system", "messages[].content[].type", "messages[].content[].text"), "messages", "role", "content", (("system", ("system",)),)),
     Layout("conversations", ("conversations[].from", "conversations[].value"), ("system",), "conversations", "from", "value", (("system", ("system",)),)),
     Layout("dialog", ("dialog[].speaker", "dialog[].text"), (), "dialog", "speaker", "text"),
     Layout("instruction", ("instruction", "output"), ("input", "system"), parts=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
@@ -64,13 +65,21 @@ LAYOUTS = (
 _KNOWN_PATHS = frozenset(p for x in LAYOUTS for p in (*x.needs, *x.may))
 
 
-def field_paths(value: object, prefix: str = "") -> set[str]:
-    """Paths of all leaves of a JSON value; list elements are ``[]``.  Nulls and empty lists are leaves."""
-    if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{prefix}[]") for v in value))
-    return {prefix}
+def field_paths(value: object) -> set[str]:
+    """Paths of all leaves of a JSON value; list elements are ``[]``.  Nulls and empty lists are leaves; so
+    is a list of a turn's content parts, whose own paths are there too."""
+    out, todo = set(), [("", value)]
+    while todo:  # no recursion: records can be nested deeply
+        path, v = todo.pop()
+        if isinstance(v, dict) and v:
+            todo += [(f"{path}.{k}" if path else str(k), x) for k, x in v.items()]
+        elif isinstance(v, list) and v:
+            if path.endswith(".content"):
+                out.add(path)
+            todo += [(f"{path}[]", x) for x in v]
+        else:
+            out.add(path)
+    return out
 
 
 def type_paths(kind: T.DataType, prefix: str = "") -> set[str]:
@@ -97,6 +106,12 @@ def _registry() -> dict[str, Layout]:
 REGISTRY = _registry()
 
 
+def layout_of(paths: set[str]) -> tuple[str, Layout | None]:
+    """(fingerprint, layout) of field paths: by lookup, or else the first layout whose needs are met."""
+    mark = fingerprint(paths)
+    return mark, REGISTRY.get(mark) or next((x for x in LAYOUTS if x.needs and paths.issuperset(x.needs)), None)
+
+
 def role_name(role: object) -> str:
     name = "" if role is None else str(role)
     return SAME_ROLE.get(name.lower(), name)
@@ -108,29 +123,47 @@ def _at(value: object, path: str) -> object:
     return value
 
 
+def _plain(text: str) -> str:
+    """text, with a replacement character for each half of a surrogate pair that stands alone."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if not text.isascii() else text
+
+
 def _text(value: object) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    """A value as text; of a list of content parts the texts, by blank lines.  Other values are JSON, or empty
+    where they are nested too deeply to be written."""
+    if value is None:
+        return ""
+    if isinstance(value, list) and value and all(isinstance(p, str) or isinstance(p, dict) and ("text" in p or "type" in p) for p in value):
+        return "\n\n".join(filter(None, (_text(p if isinstance(p, str) else p.get("text")) for p in value)))
+    try:
+        return _plain(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True))
+    except RecursionError:  # nested more deeply than JSON can be written
+        return ""
 
 
 def record_turns(record: str | None) -> tuple[str, str, list[tuple[str, str]]]:
-    """(fingerprint, layout, turns) of one JSON record; the layout is '' if none has its fingerprint,
-    or the record isn't a JSON object, and there are then no turns."""
+    """(fingerprint, layout, turns) of one JSON record, whatever it is.
+
+    The layout is '' if there is none for its fields, or the record isn't a JSON object, and there are then
+    no turns.  Elements of a list of turns that aren't objects (nulls, texts) are no turns.
+    """
     try:
         value = json.loads(record) if record else None
-    except ValueError:
+    except (ValueError, RecursionError):
         value = None
     if not isinstance(value, dict):
         return "", "", []
-    mark = fingerprint(field_paths(value))
-    x = REGISTRY.get(mark)
+    mark, x = layout_of(field_paths(value))
     if x is None:
         return mark, "", []
     if x.name == "rows":
-        return mark, x.name, [(role_name(value["role"]), _text(value["text"]))]
+        return mark, x.name, [(_plain(role_name(value.get("role"))), _text(value.get("text")))]
     turns = [(role, "\n\n".join(filter(None, (_text(_at(value, p)) for p in paths)))) for role, paths in x.parts]
     turns = [t for t in turns if t[1]]
-    for turn in value[x.turns] if x.turns else ():
-        turns.append((role_name(turn.get(x.role)), _text(turn.get(x.text))))
+    listed = _at(value, x.turns) if x.turns else None
+    for turn in listed if isinstance(listed, list) else ():
+        if isinstance(turn, dict):
+            turns.append((_plain(role_name(turn.get(x.role))), _text(turn.get(x.text))))
     return mark, x.name, turns
 
 
@@ -158,11 +191,12 @@ def turns_of_records(records: DataFrame, column: str = "record") -> DataFrame:
 def rows_of_table(df: DataFrame) -> DataFrame:
     """conv_id, turn, role, text of a table with a row for each turn, chosen by the schema's fingerprint.
 
-    Raises ValueError if the table has another layout.  Null roles and texts are empty; other roles stay
+    Other columns don't matter, whatever their names.  Raises ValueError if the table has no such layout.  Null roles and texts are empty; other roles stay
     as they are written.
     """
-    layout = REGISTRY.get(fingerprint(type_paths(df.schema)))
-    if layout is None or layout.name != "rows":
+    paths = type_paths(df.schema)
+    layout = layout_of(paths)[1]
+    if layout is None or not paths.issuperset(LAYOUTS[0].needs):
         raise ValueError("the table has no row for each turn")
     return df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 

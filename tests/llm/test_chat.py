@@ -32,12 +32,45 @@ def test_render_reads_back(turns):
         ({"data": {"prompt": "p", "response": "r"}}, "nested", [("user", "p"), ("assistant", "r")]),
         ({"question": "q", "answer": "a", "context": "c"}, "question answer", [("user", "c\n\nq"), ("assistant", "a")]),
         ({"foo": 1}, "", []), ({}, "", []),
+        ({"messages": [{"role": "user", "content": "a"}, None, "b", 3]}, "messages", [("user", "a")]),
+        ({"messages": [{"role": "user", "content": "a"}], "prompt": "p"}, "messages", [("user", "a")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image_url", "image_url": {"url": "u"}}, "b"]}]}, "messages", [("user", "a\n\nb")]),
+        ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": [{"type": "text", "text": "b"}]}]}, "messages", [("user", "a"), ("assistant", "b")]),
+        ({"prompt": "\ud800p", "completion": "\udc00", "system": "é"}, "prompt completion", [("system", "é"), ("user", "\ufffdp"), ("assistant", "\ufffd")]),
+        ({"prompt": "p", "completion": "c", "response": "r"}, "prompt completion", [("user", "p"), ("assistant", "c")]),
+        ({"conv_id": 1, "turn": 0, "role": "gpt", "text": "t", "prompt": "x"}, "rows", [("assistant", "t")]),
     ],
 )
 def test_layouts(record, layout, turns):
     assert chat.record_turns(json.dumps(record))[1:] == (layout, turns)
 
 
+LEAVES = st.one_of(st.none(), st.booleans(), st.integers(), st.floats(), st.text(max_size=5), st.sampled_from(["\ud800", "</turn>", "user"]))
+KEYS = st.sampled_from(["messages", "role", "content", "conversations", "from", "value", "prompt", "completion", "response", "data", "system", "text", "type", "conv_id", "turn", "x"])
+VALUES = st.recursive(LEAVES, lambda kids: st.lists(kids, max_size=3) | st.dictionaries(KEYS, kids, max_size=4), max_leaves=12)
+
+
+@given(VALUES)
+def test_no_record_breaks_the_reading(value):
+    mark, layout, turns = chat.record_turns(json.dumps(value))
+    assert all(isinstance(x, str) for t in turns for x in t) and (layout or not turns)
+    for role, text in turns:
+        (role + text).encode()
+    assert [(r, t) for r, t, _, _ in chat.parse(chat.render(turns))] == turns
+
+
+def test_deep_records():
+    assert chat.record_turns('{"prompt":' + "[" * 50_000 + "]" * 50_000 + ',"completion":"c"}')[2] in ([], [("assistant", "c")])
+    assert chat.record_turns("[" * 5000)[1:] == ("", [])
+
+
+def test_a_table_with_clashing_columns(frame):
+    df = frame([(1, 0, "user", "t", "p", "s")], "conv_id long, turn long, role string, text string, prompt string, system string")
+    assert [tuple(r) for r in chat.rows_of_table(df).collect()] == [(1, 0, "user", "t")]
+    with pytest.raises(ValueError):
+        chat.rows_of_table(frame([(1, "p")], "conv_id long, prompt string"))
+
+
 def test_records_and_bad_input(frame):
     rows = [(1, '{"prompt":"p","completion":"c"}', "x"), (2, None, "y"), (3, "{", "z"), (4, "[1]", "z"), (1, '{"prompt":"p","completion":"c"}', "x")]
     got = chat.turns_of_records(frame(rows, "id int, record string, turns string").withColumnRenamed("turns", "other")).collect()
