@@ -49,6 +49,11 @@ def age_text(unix: int, now: float) -> str:
     return next(f"{diff // s} {u} ago" for s, u, most in ((60, "min", 3600), (3600, "hr", 86400), (86400, "days", 1 << 62)) if diff < most)
 
 
+def elapsed_text(seconds: float) -> str:
+    ms = int(seconds * 1000)
+    return f"{ms}ms" if ms < 1000 else f"{seconds:.2f}s"
+
+
 PRESETS = {
     "claude": (".mcp.json", lambda root: {"mcpServers": {"citespan": {"command": "citespan", "args": ["mcp", "serve", root]}}}),
     "vscode": (".vscode/mcp.json", lambda root: {"servers": {"citespan": {"type": "stdio", "command": "citespan", "args": ["mcp", "serve", root]}}}),
@@ -93,6 +98,10 @@ def cache(args) -> int:
         _print_report(index, index.refresh(args.verify))
         return 0
     store = index.open()
+    if args.op == "summarize":
+        files, dirs = index.summarize(*_summarizers())
+        print(f"summarised: {files} files, {dirs} directories")
+        return 0
     if args.op == "clear":
         store.clear()
         print(f"removed: {store.folder}")
@@ -123,6 +132,29 @@ def cache(args) -> int:
     return 0
 
 
+def _summarizers() -> tuple:
+    """The configured model's, or none for those that only quote."""
+    from .serve import model as serving
+
+    if not serving.configured("summarize"):
+        return ()
+    m = serving.Model.of("summarize")
+    return serving.FileSummarizer(m), serving.DirSummarizer(m)
+
+
+def search(args) -> int:
+    """Search the summaries of the index."""
+    from .serve.index import semantic_search
+
+    got = semantic_search(_index(args.path), None, args.query, args.limit)
+    if "error" in got:
+        print(got["error"], file=sys.stderr)
+        return 1
+    for hit in got["hits"]:
+        print(f"{hit['rank']:.4f}  {hit['path']}  {hit['summary']}")
+    return 0
+
+
 def configure(args) -> int:
     try:
         if args.op == "init":
@@ -180,7 +212,14 @@ def _answerer(model: str | None = None):
 
     if not serving.configured("chat", model):
         return extractive_answerer
-    return serving.answerer(serving.Model.of("chat", model), lambda kind, what: print(f"  {kind}: {str(what)[:160]}", file=sys.stderr) if kind == "call" else None)
+
+    def show(kind: str, what: object) -> None:
+        if kind == "call":
+            print(f"  {kind}: {str(what)[:160]}", file=sys.stderr)
+        elif kind == "reasoning":
+            print(what, end="", file=sys.stderr, flush=True)
+
+    return serving.answerer(serving.Model.of("chat", model), show, streaming=True)
 
 
 def chat(args) -> int:
@@ -200,7 +239,9 @@ def chat(args) -> int:
         command = slash(text)
         if command is None and text:
             try:
+                began = time.monotonic()
                 print(ask(index, text, answer).text)
+                print(f"({elapsed_text(time.monotonic() - began)})", file=sys.stderr)
             except (KeyboardInterrupt, RuntimeError) as e:
                 print(f"cancelled: {e}" if isinstance(e, RuntimeError) else "cancelled", file=sys.stderr)
         elif command and command[0] == "model":
@@ -253,7 +294,12 @@ def parser() -> argparse.ArgumentParser:
     c = add("chat", chat)
     c.add_argument("-m", "--message")
     c.add_argument("--model")
-    add("cache", cache, ("build", "status", "clear", "inspect")).add_argument("--verify", action="store_true")
+    add("cache", cache, ("build", "status", "clear", "inspect", "summarize")).add_argument("--verify", action="store_true")
+    s = sub.add_parser("search")
+    s.set_defaults(run=search)
+    s.add_argument("query")
+    s.add_argument("path", nargs="?", default=".")
+    s.add_argument("--limit", type=int, default=20)
     m = add("mcp", mcp, ("init", "serve"))
     m.add_argument("--preset", choices=sorted(PRESETS), default="claude")
     m.add_argument("--transport", choices=("stdio", "http"), default="stdio")
@@ -266,7 +312,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     argv = sys.argv[1:] if argv is None else argv
-    known = {"scan", "info", "chat", "cache", "mcp", "config", "-h", "--help"}
+    known = {"scan", "info", "chat", "cache", "search", "mcp", "config", "-h", "--help"}
     args = parser().parse_args(argv if argv and argv[0] in known else ["scan", *argv])
     return args.run(args)
 

@@ -111,7 +111,11 @@ def postings(summaries: DataFrame, stemmed: bool = True) -> DataFrame:
 
     Sorted by term and written as Parquet, a lookup of a few terms reads a few row groups.
     """
-    each = tokenized(summaries, stemmed).select("path", F.size("tokens").alias("doc_length"), F.posexplode("tokens").alias("at", "term"))
+    return _postings_of(tokenized(summaries, stemmed))
+
+
+def _postings_of(tokenized_: DataFrame) -> DataFrame:
+    each = tokenized_.select("path", F.size("tokens").alias("doc_length"), F.posexplode("tokens").alias("at", "term"))
     return each.groupBy("term", "path", "doc_length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
@@ -120,6 +124,11 @@ def doc_lengths(summaries: DataFrame, stemmed: bool = True) -> DataFrame:
     return tokenized(summaries, stemmed).select("path", F.size("tokens").alias("doc_length"))
 
 
+def by_term(made: DataFrame) -> DataFrame:
+    """Postings dealt out and sorted by term, as an index keeps them: statistics then skip what a query doesn't ask for."""
+    return made.select("term", "path", "doc_length", "tf", "positions").repartitionByRange("term", "path").sortWithinPartitions("term", "path")
+
+
 # --- queries --------------------------------------------------------------------------------------
 
 

@@ -9,13 +9,18 @@ from ..functions.text import check_pattern, first_match_column, like_folded, lin
 from ..schemas import FIND_LIMIT, LIST_BUDGET, READ_BUDGET, SEARCH_LIMIT, SNIPPET_CHARS
 
 
+def matching_paths(files: DataFrame, path_contains: str | None = None) -> DataFrame:
+    """path of the files whose path holds path_contains, case-sensitive."""
+    return files.select("path") if path_contains is None else files.select("path").filter(F.contains("path", F.lit(path_contains)))
+
+
 def list_files(files: DataFrame, path_contains: str | None = None, budget: int = LIST_BUDGET) -> DataFrame:
     """path, total, count, omitted: the first paths in order whose bytes and line ends fit the budget.
 
     path_contains is case-sensitive.  A path costs at least two bytes, so only the budget's half of the
     smallest paths is ever windowed: Spark keeps those by a top-k, not by a sort of all.
     """
-    paths = files.select("path") if path_contains is None else files.select("path").filter(F.contains("path", F.lit(path_contains)))
+    paths = matching_paths(files, path_contains)
     total = paths.agg(F.count("*").alias("total"))
     first = paths.orderBy("path").limit(budget // 2 + 1)
     spent = F.sum(F.octet_length("path") + 1).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -21,6 +21,7 @@ from ..schemas import MAX_PARSED_BYTES, README_LINES, TABLES
 from .extract.manifests import parse_manifests
 from .extract.run_configs import parse_run_configs
 from .extract.symbols import extract_symbols
+from .fts import by_term, doc_lengths, postings
 from .tree import merkle
 
 
@@ -106,9 +107,14 @@ class SnapshotStore:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{version}/{name}")
 
-    def write(self, version: str, name: str, df: DataFrame) -> DataFrame:
+    def write(self, version: str, name: str, df: DataFrame, schema: str | None = None) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.folder}/{version}/{name}")
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{version}/{name}")
+        return self.spark.read.schema(schema or TABLES[name]).parquet(f"{self.folder}/{version}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete parts of the current version that aren't tables."""
+        for name in names:
+            self._fs.delete(self._path(f"{self.folder}/{self.version()}/{name}"), True)
 
     def next_version(self) -> str:
         now = self.version()
@@ -180,7 +186,9 @@ def refresh(source: DataFrame, store: SnapshotStore, now: int, verify: bool = Fa
     run_configs = _derived(store, version, "run_configs", parse_run_configs(usable).join(hashes, "path"), changed, files)
     readmes = _derived(store, version, "readmes", readme_heads(usable.filter(is_readme(basename(F.col("path"))))).join(hashes, "path"), changed, files)
     symbols = _derived(store, version, "symbols", extract_symbols(usable), changed, files)
-    store.write(version, "file_summaries", cascade(store.read("file_summaries"), files))
+    for name in ("file_summaries", "doc_lengths"):
+        store.write(version, name, cascade(store.read(name), files))
+    store.write(version, "postings", by_term(cascade(store.read("postings"), files)))
     dirs = store.write(version, "dir_hashes", merkle(files).withColumn("updated_at", F.lit(now).cast("long")))
     store.write(version, "dir_summaries", store.read("dir_summaries").join(dirs.select("dir_path"), "dir_path", "left_semi"))
     row = {"id": None, "abs_path": None, "git_remote": None, **(repo or {}), "last_scan_at": now}
@@ -195,11 +203,42 @@ def refresh(source: DataFrame, store: SnapshotStore, now: int, verify: bool = Fa
         **counts, manifests=staged_only(manifests).count(), run_configs=staged_only(run_configs).select("path").distinct().count(), readmes=staged_only(readmes).count(),
         symbols_files=found.files, symbols_total=found.n, dirs_hashed=dirs.count(),
     )
-    for part in ("_staged", "_listed"):
-        store._fs.delete(store._path(f"{store.folder}/{version}/{part}"), True)
+    store.drop("_staged", "_listed")
     return report
 
 
+def _published(store: SnapshotStore, changed: dict[str, DataFrame]) -> None:
+    """Publish a version with these tables, and all others as they are."""
+    version = store.next_version()
+    for name in TABLES:
+        store.write(version, name, changed.get(name, store.read(name)))
+    store.publish(version)
+
+
+def store_file_summaries(store: SnapshotStore, new: DataFrame) -> int:
+    """Put summaries (path, summary, source_hash, generated_at) into the index, in place of their paths' old ones,
+    and into its text index, in one version; how many.  A null summary takes the old one away."""
+    staged = store.write(store.next_version(), "_new", new.select("path", "summary", "source_hash", "generated_at"), TABLES["file_summaries"])
+    made = staged.filter("summary IS NOT NULL")
+    _published(store, {
+        "file_summaries": replace_for(store.read("file_summaries"), made, staged),
+        "postings": by_term(replace_for(store.read("postings"), postings(made), staged)),
+        "doc_lengths": replace_for(store.read("doc_lengths"), doc_lengths(made), staged),
+    })
+    n = made.count()
+    store.drop("_new")
+    return n
+
+
+def store_dir_summaries(store: SnapshotStore, new: DataFrame) -> int:
+    """Put summaries (dir_path, summary, child_hash, generated_at) into the index, in place of the old ones; how many."""
+    staged = store.write(store.next_version(), "_new", new.select("dir_path", "summary", "child_hash", "generated_at"), TABLES["dir_summaries"])
+    _published(store, {"dir_summaries": upsert(store.read("dir_summaries"), staged, ["dir_path"])})
+    n = staged.count()
+    store.drop("_new")
+    return n
+
+
 def refresh_repo(spark: SparkSession, root: str, store_folder: str, now: int, verify: bool = False) -> tuple[SnapshotStore, RefreshReport]:
     """Refresh the index of the repository at root."""
     import os

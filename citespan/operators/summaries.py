@@ -41,6 +41,32 @@ def extractive(path: str, lang: str | None, content: str) -> str:
     return f"{path.rpartition('/')[2]} ({lang or 'text'}): {first[:160]}"
 
 
+def extractive_dir(prompt: str) -> str:
+    """A directory's summary when there is no model: its name, how many of its files the prompt has, the first of them."""
+    head, *rest = prompt.split("\n")
+    names = [line[2:].partition(": ")[0].rpartition("/")[2] for line in rest if line.startswith("- ")]
+    return f"{head.partition(': ')[2]}: {len(names)} summarised files" + (f" ({', '.join(names[:5])}{', ...' if len(names) > 5 else ''})" if names else "")
+
+
+def summarize_dirs(prompts: DataFrame, summarizer: Callable[[str], str] = extractive_dir) -> DataFrame:
+    """dir_path, summary, child_hash of prompts (dir_path, prompt, child_hash); a directory for which the
+    summarizer raises gets no row."""
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for path, prompt, h in zip(b["dir_path"], b["prompt"], b["child_hash"]):
+                try:
+                    rows.append((path, summarizer(prompt), h))
+                except Exception:  # whatever a model's client raises is that directory's alone
+                    continue
+            yield pd.DataFrame(rows, columns=["dir_path", "summary", "child_hash"])
+
+    return prompts.select("dir_path", "prompt", "child_hash").mapInPandas(run, "dir_path string, summary string, child_hash binary")
+
+
 def summarize(contents: DataFrame, summarizer: Callable[[str, str | None, str], str] = extractive) -> DataFrame:
     """path, summary, source_hash of contents (path, lang, content, hash).
 

@@ -15,10 +15,14 @@ SYMBOLS = "path string, name string, kind string, start_line int, end_line int,
 DIR_HASHES = "dir_path string, child_hash binary, file_count long, updated_at long"
 FILE_SUMMARIES = "path string, summary string, source_hash binary, generated_at long"
 DIR_SUMMARIES = "dir_path string, summary string, child_hash binary, generated_at long"
+#: The text index over file summaries: stemmed terms, and the length of every summary.
+POSTINGS = "term string, path string, doc_length int, tf long, positions array<int>"
+DOC_LENGTHS = "path string, doc_length int"
 
 TABLES = {
     "repo": REPO, "files": FILES, "manifests": MANIFESTS, "run_configs": RUN_CONFIGS, "readmes": READMES, "symbols": SYMBOLS,
     "dir_hashes": DIR_HASHES, "file_summaries": FILE_SUMMARIES, "dir_summaries": DIR_SUMMARIES,
+    "postings": POSTINGS, "doc_lengths": DOC_LENGTHS,
 }
 
 # The documented limits.

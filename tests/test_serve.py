@@ -70,7 +70,7 @@ def test_guards_and_info(tmp_path, capsys):
         with pytest.raises(FileExistsError):
             cli.write_preset(str(root), preset)
     assert cli.slash("/q") == ("exit", "") and cli.slash("hi") is None and cli.slash("/model x") == ("model", "x") and cli.slash("/zz")[0] == "unknown"
-    assert cli.size_text(1536) == "1.5 KB" and cli.age_text(0, 7200) == "2 hr ago" and cli.continued(["a\\", "b"]) == "a\nb"
+    assert cli.elapsed_text(0.0421) == "42ms" and cli.elapsed_text(1.5) == "1.50s" and cli.size_text(1536) == "1.5 KB" and cli.age_text(0, 7200) == "2 hr ago" and cli.continued(["a\\", "b"]) == "a\nb"
 
 
 def test_ask_and_tools(spark, tmp_path):
@@ -109,6 +109,69 @@ def test_model_client(monkeypatch):
         Model.of("chat")
 
 
+def test_streamed_turns_and_cancelling(monkeypatch):
+    import http.server
+    import threading
+
+    from citespan.serve.model import Cancelled, Model, answerer
+
+    say = lambda **delta: f"data: {json.dumps({'choices': [{'delta': delta}]})}\n\n".encode()
+    turns = [
+        [say(reasoning="hm"), say(tool_calls=[{"index": 0, "id": "1", "function": {"name": "list_files", "arguments": "{\"path_"}}]), say(tool_calls=[{"index": 0, "function": {"arguments": "contains\": \"a\"}"}}]), b": note\n\n", b"data: [DONE]\n\n"],
+        [say(content="do"), say(content="ne"), b"data: {\"choices\": []}\n\n", b"data: [DONE]\n\n"],
+    ]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            self.send_response(200)
+            self.end_headers()
+            for part in turns.pop(0):
+                self.wfile.write(part)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        m, events = Model(f"http://127.0.0.1:{server.server_port}/v1", "m", timeout=10), []
+        again = list(turns)
+        assert answerer(m, lambda k, w: events.append((k, w)), streaming=True)("q", lambda tool, **a: {"got": a}) == "done"
+        assert events == [("reasoning", "hm"), ("call", ("list_files", {"path_contains": "a"})), ("response", ("list_files", {"got": {"path_contains": "a"}})), ("content", "do"), ("content", "ne")]
+        turns += again
+        heard = []
+        with pytest.raises(Cancelled):
+            answerer(m, lambda k, w: heard.append(k), streaming=True, cancelled=lambda: bool(heard))("q", lambda tool, **a: {})
+        assert heard == ["reasoning"]
+    finally:
+        server.shutdown()
+
+
+def test_summaries_and_their_search(spark, tmp_path):
+    root = make(tmp_path / "r")
+    times = iter(range(1_700_000_000, 1_700_001_000))
+    index = serving.Index(spark, str(root), str(tmp_path / "s"), now=lambda: next(times))
+    index.refresh()
+    assert serving.semantic_search(index, None, "anything") == {"hits": [], "count": 0, "truncated": False}
+    files, dirs = index.summarize(lambda path, lang, content: f"Running functions of {path.replace('/', ' ')}")
+    known = {r.path for r in index.table("file_summaries").collect()}
+    assert files == len(known) > 5 and dirs == index.table("dir_hashes").count() == index.table("dir_summaries").count()
+    assert not known & {"bin.dat", "latin1.txt", "big.py"}
+    got = serving.semantic_search(index, None, "function runs main", 5)
+    assert [h["path"] for h in got["hits"]] == ["src/main.rs"] and not got["truncated"] and got["hits"][0]["rank"] < 0
+    assert serving.semantic_search(index, None, "functions", 3)["truncated"] and "error" in serving.semantic_search(index, None, "AND") and "error" in serving.semantic_search(index, None, " ")
+    assert index.summarize(lambda *_: 1 / 0) == (0, 0)
+    # A changed file's summary is no longer valid and is made anew; a deleted file's leaves the text index.
+    (root / "src" / "main.rs").write_text("fn other() {}\n")
+    (root / "keep.log").unlink()
+    index.refresh()
+    assert "keep.log" not in {r.path for r in index.table("postings").collect()} and "keep.log" not in {r.path for r in index.table("doc_lengths").collect()}
+    assert index.summarize(lambda path, lang, content: f"Rewritten {content}")[0] == 1
+    assert [h["path"] for h in serving.semantic_search(index, None, "rewritten other")["hits"]] == ["src/main.rs"] and not serving.semantic_search(index, None, "main")["hits"]
+    assert {r.term for r in index.table("postings").filter("path = 'src/main.rs'").collect()} == {"rewritten", "fn", "other"}
+
+
 def test_streaming_refresh(spark, tmp_path):
     from citespan.operators.snapshot import SnapshotStore
 
