@@ -111,48 +111,50 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _TRIE = "a long, b long, depth int, part int, tree int, key binary"
+#: Depths of rows that are no edges: a partition's first and last row.
 _ENDS = (-1, -2)
 
 
 def _trie(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
-    """From sorted (tree, key, node): an edge to the first class below the deepest node that a class shares
-    with the class before it, and that node's depth, from ``floor`` on.  Of the partition's first and last
-    row the row itself, with depth -1 and -2."""
-    part, last, firsts = TaskContext.get().partitionId(), None, np.zeros(DEPTH + 1, np.int64)
-
-    def rows(a, b, depth, tree, key):
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(depth, pa.int32()), pa.array(np.full(n, part), pa.int32()), pa.array(tree, pa.int32()), pa.array(key, pa.binary())], names=["a", "b", "depth", "part", "tree", "key"])
+    """From sorted (tree, key, node), one range of them: the trie's edges and members, from depth ``floor`` on.
 
+    Below each node of the trie stand smaller ones, or single classes; the least class of each is linked
+    to the least class of all.  A row without b says that class a shares a prefix of this depth.  Of the
+    range's first and last row the row itself, with depth -1 and -2.  A range is as many rows as one
+    partition has, 40 bytes each.
+    """
+    part, columns = TaskContext.get().partitionId(), []
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        tree, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        raw = batch.column(1).to_pylist()
-        key = np.frombuffer(b"".join(raw), ">u2").reshape(n, DEPTH)
-        if last is None:
-            yield rows([node[0]], [node[0]], [_ENDS[0]], [tree[0]], [raw[0]])
-        before = key[:1] if last is None else last[1]
-        same = np.cumprod(np.concatenate([before, key[:-1]]) == key, axis=1).sum(axis=1)
-        same[np.concatenate([[tree[0] + 1 if last is None else last[0]], tree[:-1]]) != tree] = 0
-        first = np.zeros(n, np.int64)
-        for d in range(floor, DEPTH + 1):
-            at = np.maximum.accumulate(np.where(same < d, np.arange(n), -1))
-            open_ = np.where(at >= 0, node[at], firsts[d])
-            firsts[d] = open_[-1]
-            first = np.where(same == d, open_, first)
-        some = np.flatnonzero(same >= floor)
+        if batch.num_rows:
+            columns.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, DEPTH), batch.column(2).to_numpy()))
+    if not columns:
+        return
+    tree, key, node = (np.concatenate(c) for c in zip(*columns))
+    n = len(node)
+
+    def rows(a, b, depth, at, keys=None):
+        arrays = [pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(depth, pa.int32()), pa.array(np.full(len(a), part), pa.int32()), pa.array(tree[at], pa.int32()), pa.array(keys, pa.binary()) if keys else pa.nulls(len(a), pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "depth", "part", "tree", "key"])
+
+    yield rows(node[[0, -1]], None, list(_ENDS), [0, -1], [key[0].tobytes(), key[-1].tobytes()])
+    same = np.zeros(n + 1, np.int64)  # labels shared with the row before
+    same[1:n] = np.cumprod(key[1:] == key[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+    shared = np.maximum(same[:-1], same[1:])
+    members = np.flatnonzero(shared >= floor)
+    yield rows(node[members], None, shared[members], members)
+    starts, least = np.arange(n), node  # of the smaller nodes: first row and least class
+    for depth in range(DEPTH, floor - 1, -1):
+        first = np.flatnonzero(same[starts] < depth)  # where this depth's nodes start, among the smaller ones
+        of_node = np.repeat(np.minimum.reduceat(least, first), np.diff(np.append(first, len(starts))))
+        some = np.flatnonzero(least != of_node)
         if len(some):
-            yield rows(node[some], first[some], same[some], tree[some], [b""] * len(some))
-        last = tree[-1], key[-1:], node[-1], raw[-1]
-    if last is not None:
-        yield rows([last[2]], [last[2]], [_ENDS[1]], [last[0]], [last[3]])
+            yield rows(least[some], of_node[some], np.full(len(some), depth), starts[some])
+        starts, least = starts[first], of_node[first]
 
 
 def trie_edges(classes: DataFrame, floor: int) -> DataFrame:
     """a, b, depth, tree: the sorted tries' edges.  Those at a depth of k or more connect exactly the classes
-    that share a prefix of k labels in a tree.
+    that share a prefix of k labels in a tree; a row without b says that a shares one of this depth.
 
     classes: node, labels.  Ranges of rows end anywhere, even within the classes below one node; the
     driver sees the first and the last row of each range and joins the ranges up.
@@ -166,7 +168,7 @@ def trie_edges(classes: DataFrame, floor: int) -> DataFrame:
     for x, y in zip(ends[1::2], ends[2::2]):
         same = next((i for i in range(DEPTH) if x.key[2 * i : 2 * i + 2] != y.key[2 * i : 2 * i + 2]), DEPTH)
         if x.tree == y.tree and same >= floor:
-            joins.append((y.a, x.a, same, y.tree))
+            joins += [(max(x.a, y.a), min(x.a, y.a), same, y.tree), (x.a, None, same, x.tree), (y.a, None, same, y.tree)]
     edges = found.filter("depth >= 0").select("a", "b", "depth", "tree")
     return edges.unionByName(classes.sparkSession.createDataFrame(joins, "a long, b long, depth int, tree int")) if joins else edges
 
@@ -177,7 +179,7 @@ def estimated_depth(edges: DataFrame, floor: int) -> int:
     A class whose nearest neighbour has similarity s shares a prefix of ``floor`` labels with a neighbour in
     TREES * s ** floor trees on average.  The driver sees how many classes have each number of trees.
     """
-    trees = edges.groupBy("a").agg(F.count("*").alias("trees")).groupBy("trees").count().collect()
+    trees = edges.filter("b IS NULL").groupBy("a").agg(F.count_distinct("tree").alias("trees")).groupBy("trees").count().collect()
     least = SIMILAR[0] / SIMILAR[1]
     part = np.array([r.trees for r in trees]) / TREES
     n = np.array([r["count"] for r in trees], float)
@@ -186,20 +188,35 @@ def estimated_depth(edges: DataFrame, floor: int) -> int:
     return next((k for k in range(DEPTH, floor, -1) if n.sum() >= TARGET * (n / found_at(k, s)).sum()), floor)
 
 
+def _dealt(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """From node, labels, trees: a row for each of these trees, with its node of the trie and the signature's low bytes."""
+    for batch in batches:
+        buckets, nodes, marks = [], [], []
+        for node, raw, trees in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            low = raw[1::2]
+            for tree in trees:
+                at = tree * 2 * DEPTH
+                buckets.append(bytes([tree]) + raw[at : at + 2 * depth])
+                nodes.append(node)
+                marks.append(low)
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.binary()), pa.array(nodes, pa.int64()), pa.array(marks, pa.binary())], names=["bucket", "node", "marks"])
+
+
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From classes below one trie node, one after the other: edges that connect each class with all leaders
     that share enough labels with it, where no earlier edge does; fewer than there are classes.
 
     A class that no leader covers becomes one.  Only leaders are held.
     """
-    bucket, leaders, nodes, n = None, np.zeros((0, TREES * DEPTH), np.uint16), [], 0
+    bucket, leaders, nodes, n = None, np.zeros((0, TREES * DEPTH), np.uint8), [], 0
     roots = np.zeros(0, int)  # of each leader, the least leader that edges connect it with
     for batch in batches:
         out = []
-        for tree, key, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if bucket != (tree, key):
-                bucket, nodes, n = (tree, key), [], 0
-            own = np.frombuffer(raw, np.uint16)
+        for key, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if bucket != key:
+                bucket, nodes, n = key, [], 0
+            own = np.frombuffer(raw, np.uint8)
             share = (leaders[:n] == own).mean(axis=1) if n else np.zeros(0)
             met = np.unique(roots[:n][share >= LINKED])
             if len(met):
@@ -208,7 +225,7 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     roots[:n][np.isin(roots[:n], met)] = met[0]
             if not (share >= COVERED).any():
                 if n == len(leaders):
-                    leaders = np.concatenate([leaders, np.zeros((max(64, n), TREES * DEPTH), np.uint16)])
+                    leaders = np.concatenate([leaders, np.zeros((max(64, n), TREES * DEPTH), np.uint8)])
                     roots = np.concatenate([roots, np.zeros(max(64, n), int)])
                 leaders[n], roots[n] = own, met[0] if len(met) else n
                 nodes.append(node)
@@ -220,15 +237,15 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(classes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """node, component: classes that meet at this depth, and whose signatures agree where many meet."""
-    parts = cut(components(edges.filter(F.col("depth") >= depth).select("a", "b")))
+    parts = cut(components(edges.filter((F.col("depth") >= depth) & F.col("b").isNotNull()).select("a", "b")))
     large = cut(parts.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("component"))
     if large.isEmpty():
         return parts
     nodes = parts.join(large, "component", "left_semi").select("node")
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    keys = classes.select("node", "labels").join(nodes, "node", "left_semi").select(trees.alias("tree"), "node", "labels")
-    keys = keys.select("tree", F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * depth})").alias("key"), "node", "labels")
-    agreed = keys.repartition("tree", "key").sortWithinPartitions("tree", "key", "node").mapInArrow(_led, "a long, b long")
+    shared = edges.filter((F.col("depth") >= depth) & F.col("b").isNull()).join(nodes.withColumnRenamed("node", "a"), "a", "left_semi")
+    shared = shared.groupBy(F.col("a").alias("node")).agg(F.collect_set("tree").alias("trees"))  # a class's trees, TREES at most
+    dealt = classes.select("node", "labels").join(shared, "node").select("node", "labels", "trees").mapInArrow(lambda it: _dealt(it, depth), "bucket binary, node long, marks binary")
+    agreed = cut(dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_led, "a long, b long"))
     return parts.join(large, "component", "left_anti").select("node", "component").unionByName(components(agreed))
 
 
