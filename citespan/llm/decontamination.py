@@ -153,18 +153,18 @@ class Canonical:
             out ^= out >> np.uint64(29)
         return out
 
-    def slots(self, at: int, size: int) -> list[tuple[int, int]]:
-        """(type, value) of each placeholder of a window, in order."""
+    def slots(self, at: int, size: int) -> list[tuple[int, int, int]]:
+        """(type, value, place in the text) of each placeholder of a window, in order."""
         i = np.flatnonzero(self.types[at : at + size]) + at
-        return [(int(t), int(v) - (1 << 63)) for t, v in zip(self.types[i], self.values[i])]
+        return [(int(t), int(v) - (1 << 63), int(p)) for t, v, p in zip(self.types[i], self.values[i], i)]
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-WINDOWS = "id long, at int, hash long, n_tokens int, slots array<struct<type int, value long>>"
-_SCHEMA = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("n_tokens", pa.int32()), ("slots", pa.list_(pa.struct([("type", pa.int32()), ("value", pa.int64())])))])
+WINDOWS = "id long, at int, hash long, n_tokens int, slots array<struct<type int, value long, place int>>"
+_SCHEMA = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("n_tokens", pa.int32()), ("slots", pa.list_(pa.struct([("type", pa.int32()), ("value", pa.int64()), ("place", pa.int32())])))])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], only: np
                         ids.append(i)
                         ats.append(a)
                         ns.append(n)
-                        slots.append([{"type": t, "value": v} for t, v in form.slots(a, size)])
+                        slots.append([{"type": t, "value": v, "place": p} for t, v, p in form.slots(a, size)])
                     hashes.append(_signed(h))
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(np.concatenate(hashes)), pa.array(ns, pa.int32()), pa.array(slots, _SCHEMA.field("slots").type)], schema=_SCHEMA)
@@ -221,28 +221,37 @@ def _votes(pairs: list[tuple]) -> dict:
 def judge(hits: list, n_item: int, size: int) -> tuple[int, int] | None:
     """(windows, covered tokens) of one alignment of a document and an item if it is consistent, or None.
 
-    hits: (item_at, item slots, doc slots) of the windows with one difference of places, in any order.  Each
-    value of the item stands for the document's value that most windows give it, and the other way
-    round; a window that contradicts that in all forms in which it matched is left out, and an alignment
-    with a contradiction for every three other windows, or more, is none.  A short item that is nothing but
-    placeholders has no template to match by: its values must be the same.
+    hits: (item_at, item slots, doc slots) of the windows with one difference of places, in any order; a slot
+    is (type, value, place).  Each value of the item stands for the document's value that most of its
+    places give it, and for names and units the other way round too (different numbers may well become
+    equal).  Windows that contradict that in all forms in which they matched are left out.  Of the places
+    whose values stand at several places, a third or more in contradiction make the alignment none.  A
+    short item that is nothing but placeholders has no template to match by: its values must be the same.
     """
     size = min(size, n_item)
-    places: dict[int, list] = {}
+    windows: dict[int, list] = {}
+    places: dict[int, set] = {}
     for item_at, a, b in hits:
-        if len(a) == len(b) and not (len(a) == size == n_item < WINDOW and a != b):
-            places.setdefault(item_at, []).append(list(zip(a, b)))
-        else:
-            places.setdefault(item_at, [])
-    pairs = [p for forms in places.values() for p in {p for form in forms for p in form}]
-    there, back = _votes(pairs), _votes([(y, x) for x, y in pairs])
-    covered, windows, seen = 0, 0, -1
-    for item_at, forms in sorted(places.items()):
-        if any(all(there[x] == y and back[y] == x for x, y in form) for form in forms):
-            windows += 1
+        forms = windows.setdefault(item_at, [])
+        pairs = [(x[:2], y[:2], x[2]) for x, y in zip(a, b)]
+        if len(a) == len(b) and not (len(a) == size == n_item < WINDOW and any(x != y for x, y, _ in pairs)):
+            forms.append(pairs)
+            for x, y, place in pairs:
+                places.setdefault(place, set()).add((x, y))
+    found = [p for pairs in places.values() for p in pairs]
+    there, back = _votes(found), _votes([(y, x) for x, y in found if y[0] != _NUM])
+    agrees = lambda x, y: there[x] == y and back.get(y, x) == x
+    often = Counter(x for x, _ in found), Counter(y for _, y in found)
+    tied = [any(agrees(x, y) for x, y in pairs) for pairs in places.values() if any(often[0][x] > 1 or often[1][y] > 1 and y[0] != _NUM for x, y in pairs)]
+    if 3 * tied.count(False) >= len(tied) > 0 and False in tied:
+        return None
+    covered, n, seen = 0, 0, -1
+    for item_at, forms in sorted(windows.items()):
+        if any(all(agrees(x, y) for x, y, _ in form) for form in forms):
+            n += 1
             covered += item_at + size - max(seen, item_at)
             seen = item_at + size
-    return (windows, covered) if windows > 3 * (len(places) - windows) else None
+    return (n, covered) if n else None
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -267,7 +276,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, coverage:
     hits = found.join(items, "hash").groupBy("doc_id", "item_id", alignment).agg(F.max("n_tokens").alias("n_tokens"), F.collect_set(hit).alias("hits"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = lambda slots: [(s["type"], s["value"]) for s in slots]
+        pairs = lambda slots: [(s["type"], s["value"], s["place"]) for s in slots]
         for batch in batches:
             rows = []
             for r in batch.to_pylist():

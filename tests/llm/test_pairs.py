@@ -104,9 +104,11 @@ def test_trie_edges_connect_what_shares_a_prefix(spark, frame, partitions):
             for i, x in signatures.items():
                 want[x[tree, :depth].tobytes()].add(i)
             got = defaultdict(set)
-            for n, r in roots(signatures, [(e.a, e.b) for e in edges if e.tree == tree and e.depth >= depth]).items():
+            for n, r in roots(signatures, [(e.a, e.b) for e in edges if e.tree == tree and e.depth >= depth and e.b is not None]).items():
                 got[r].add(n)
             assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+            assert {e.a for e in edges if e.tree == tree and e.depth >= depth and e.b is None} == {i for group in want.values() if len(group) > 1 for i in group}
+    assert all(e.a > e.b for e in edges if e.b is not None)
 
 
 def boilerplate(n, seed=7):
@@ -134,7 +136,7 @@ def test_boilerplate_falls_apart(frame, monkeypatch):
 
 def test_prefix_is_shortened_until_the_recall(spark):
     def edges(trees, n):
-        return spark.createDataFrame([(a, tree) for a in range(n) for tree in range(trees)], "a long, tree int")
+        return spark.createDataFrame([(a, None, tree) for a in range(n) for tree in range(trees)], "a long, b long, tree int")
 
     floor = jaccard_join.least_depth()
     # Neighbours in all trees are copies but for a word: the full prefix; in few of them: a shorter one.
@@ -217,15 +219,22 @@ def test_contamination_against_brute_force(frame):
 
 def test_slots_are_judged_by_vote_in_any_order():
     rng = random.Random(2)
-    a, b, c = (2, 11), (2, 12), (2, 13)
-    right = [(i, [(2, 1), (1, 5)], [a, (1, i % 3 + 5)]) for i in (0, 3, 6)] + [(i, [(2, 1)], [a]) for i in range(9, 20)]
-    wrong = [(30, [(2, 1)], [b]), (31, [(2, 1)], [c]), (32, [(2, 2)], [a])]
-    want = decontamination.judge(right + wrong, 60, 8)
-    assert want is not None and want[0] == 12
-    for _ in range(20):
-        mixed = rng.sample(right + wrong, len(right + wrong))
-        assert decontamination.judge(mixed, 60, 8) == want
-    assert decontamination.judge(wrong, 60, 8) is None and decontamination.judge([(0, [], [])], 8, 8) == (1, 8)
+    name, a, b, c = 2, 11, 12, 13
+
+    def windows(values, size=8):
+        """The windows of an item whose placeholders stand at these places: {place: (item value, doc value)}."""
+        slots = lambda at, k: [(name, v[k], p) for p, v in sorted(values.items()) if at <= p < at + size]
+        return [(at, slots(at, 0), slots(at, 1)) for at in range(53)]
+
+    once = windows({10: (1, a), 20: (1, a), 30: (1, a), 40: (2, b), 50: (1, a)})
+    typo = windows({10: (1, a), 20: (1, a), 30: (1, a), 40: (1, c), 50: (1, a)})
+    mixed = windows({3: (1, b), 40: (1, a)})
+    merged = windows({10: (1, a), 40: (2, a)})
+    for hits_, want in ((once, (53, 60)), (typo, (45, 59)), (mixed, None), (merged, None)):
+        for _ in range(5):
+            assert decontamination.judge(rng.sample(hits_, len(hits_)), 60, 8) == want
+    numbers = [(at, [(1, x, p) for x, _, p in slots], [(1, y, p) for y, _, p in other]) for at, slots, other in [(at, [(v, 0, p) for _, v, p in s], [(w, 0, p) for _, w, p in t]) for at, s, t in merged]]
+    assert decontamination.judge(numbers, 60, 8) == (53, 60) and decontamination.judge([(0, [], [])], 8, 8) == (1, 8)
 
 
 def test_an_item_many_times_over_in_one_text(frame):
