@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -13,10 +10,8 @@ from ..operators import aggregates, evidence, fts, lookup, overview, snapshot, s
 from ..sources import corpus
 from ..sources.corpus import EPOCH
 from ..sources.repo import char_counts
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import extraction  # noqa: F401  (registers its queries)
+from .registry import ORACLE_SQL, QUERIES, Query, query  # noqa: F401
 
 # --- SQL that several oracles share --------------------------------------------------------------
 
@@ -32,16 +27,6 @@ _EXT = r"CASE WHEN regexp_matches(regexp_extract({p}, '([^/]*)$', 1), '^.+\.[^.]
 _UPPER, _LOWER = X._UPPER, X._LOWER
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 # --- aggregates ----------------------------------------------------------------------------------
 
 
