@@ -10,12 +10,11 @@
 * The matched prefix starts at full depth and is shortened until the target recall.  Recall at a depth is
   estimated from in how many trees the classes have a neighbour at all, and measured after verification
   on the exact similarities of all links found; if it falls short, the prefix is shortened further.
-* Classes that meet at that depth make components, which are candidates.  In a component of more than
-  ``BLOCK`` classes the neighbours' whole signatures are compared first, so that texts which only share
-  boilerplate fall apart.  All pairs within a component are then verified exactly on their shingles,
-  component by component; a large component is split into blocks and its pairs of blocks are separate
-  groups.  What leaves a group is a row for each class: its links' number and the least class it is
-  connected with.
+* Classes below one trie node at that depth are compared by their whole signatures, each with a few leaders
+  only, so that texts which just share boilerplate fall apart.  Those that agree make components, which
+  are candidates.  All pairs within a component are then verified exactly on their shingles, component by
+  component; a large component is split into blocks and its pairs of blocks are separate groups.  What
+  leaves a group is a row for each class: its links' number and the least class it is connected with.
 
 So no pair is ever a row, and shingles are shuffled only of classes that have a candidate.
 """
@@ -39,7 +38,7 @@ SHINGLE = 5
 #: The similarity at which two documents are linked, as a fraction.
 SIMILAR = (4, 5)
 TREES, DEPTH, TARGET = 24, 8, 0.99999
-#: In a large component: labels that a class must share with a leader to need no leader of its own, and to be
+#: Below a trie node: labels that a class must share with a leader to need no leader of its own, and to be
 #: linked with it, as parts of all labels.  Two texts at a similarity of 0.8 are linked with one leader, as
 #: distances (1 - similarity) add up at most: 0.2 + 0.1 is well below 1 - LINKED.
 COVERED, LINKED = 0.9, 0.56
@@ -110,19 +109,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(labels, pa.binary())], names=["doc_id", "high", "low", "labels"])
 
 
-_TRIE = "a long, b long, depth int, part int, tree int, key binary"
-#: Depths of rows that are no edges: a partition's first and last row.
+_TRIE = "node long, tree int, depth int, part int, key binary"
+#: Depths of rows that stand for a range's first and last row.
 _ENDS = (-1, -2)
 
 
 def _trie(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBatch]:
-    """From sorted (tree, key, node), one range of them: the trie's edges and members, from depth ``floor`` on.
-
-    Below each node of the trie stand smaller ones, or single classes; the least class of each is linked
-    to the least class of all.  A row without b says that class a shares a prefix of this depth.  Of the
-    range's first and last row the row itself, with depth -1 and -2.  A range is as many rows as one
-    partition has, 40 bytes each.
-    """
+    """From sorted (tree, key, node), one range of them: each class that shares a prefix of ``floor`` labels or
+    more with the row before or after it, and how many; and the range's first and last row, with depth -1
+    and -2.  A range is as many rows as one partition has, 40 bytes each."""
     part, columns = TaskContext.get().partitionId(), []
     for batch in batches:
         if batch.num_rows:
@@ -131,33 +126,22 @@ def _trie(batches: Iterator[pa.RecordBatch], floor: int) -> Iterator[pa.RecordBa
         return
     tree, key, node = (np.concatenate(c) for c in zip(*columns))
     n = len(node)
-
-    def rows(a, b, depth, at, keys=None):
-        arrays = [pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(depth, pa.int32()), pa.array(np.full(len(a), part), pa.int32()), pa.array(tree[at], pa.int32()), pa.array(keys, pa.binary()) if keys else pa.nulls(len(a), pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "depth", "part", "tree", "key"])
-
-    yield rows(node[[0, -1]], None, list(_ENDS), [0, -1], [key[0].tobytes(), key[-1].tobytes()])
     same = np.zeros(n + 1, np.int64)  # labels shared with the row before
     same[1:n] = np.cumprod(key[1:] == key[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
     shared = np.maximum(same[:-1], same[1:])
-    members = np.flatnonzero(shared >= floor)
-    yield rows(node[members], None, shared[members], members)
-    starts, least = np.arange(n), node  # of the smaller nodes: first row and least class
-    for depth in range(DEPTH, floor - 1, -1):
-        first = np.flatnonzero(same[starts] < depth)  # where this depth's nodes start, among the smaller ones
-        of_node = np.repeat(np.minimum.reduceat(least, first), np.diff(np.append(first, len(starts))))
-        some = np.flatnonzero(least != of_node)
-        if len(some):
-            yield rows(least[some], of_node[some], np.full(len(some), depth), starts[some])
-        starts, least = starts[first], of_node[first]
-
-
-def trie_edges(classes: DataFrame, floor: int) -> DataFrame:
-    """a, b, depth, tree: the sorted tries' edges.  Those at a depth of k or more connect exactly the classes
-    that share a prefix of k labels in a tree; a row without b says that a shares one of this depth.
-
-    classes: node, labels.  Ranges of rows end anywhere, even within the classes below one node; the
-    driver sees the first and the last row of each range and joins the ranges up.
+    at = np.flatnonzero(shared >= floor)
+    names = ["node", "tree", "depth", "part", "key"]
+    rows = lambda at, depth, keys: pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(tree[at], pa.int32()), pa.array(depth, pa.int32()), pa.array(np.full(len(at), part), pa.int32()), keys], names=names)
+    yield rows(at, shared[at], pa.nulls(len(at), pa.binary()))
+    yield rows(np.array([0, n - 1]), list(_ENDS), pa.array([key[0].tobytes(), key[-1].tobytes()], pa.binary()))
+
+
+def trie_members(classes: DataFrame, floor: int) -> DataFrame:
+    """node, tree, depth: the classes that share a prefix of ``floor`` labels or more in a tree, and the longest
+    that they share there with any other; a row can stand there twice, with a smaller depth.
+
+    classes: node, labels.  Ranges of rows end anywhere, even within the classes below one node of a trie;
+    the driver sees the first and the last row of each range and joins the ranges up.
     """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     keys = classes.filter(F.length("labels") > 0).select(trees.alias("tree"), "labels", "node").select("tree", F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "node")
@@ -168,18 +152,18 @@ def trie_edges(classes: DataFrame, floor: int) -> DataFrame:
     for x, y in zip(ends[1::2], ends[2::2]):
         same = next((i for i in range(DEPTH) if x.key[2 * i : 2 * i + 2] != y.key[2 * i : 2 * i + 2]), DEPTH)
         if x.tree == y.tree and same >= floor:
-            joins += [(max(x.a, y.a), min(x.a, y.a), same, y.tree), (x.a, None, same, x.tree), (y.a, None, same, y.tree)]
-    edges = found.filter("depth >= 0").select("a", "b", "depth", "tree")
-    return edges.unionByName(classes.sparkSession.createDataFrame(joins, "a long, b long, depth int, tree int")) if joins else edges
+            joins += [(x.node, x.tree, same), (y.node, y.tree, same)]
+    members = found.filter("depth >= 0").select("node", "tree", "depth")
+    return members.unionByName(classes.sparkSession.createDataFrame(joins, "node long, tree int, depth int")) if joins else members
 
 
-def estimated_depth(edges: DataFrame, floor: int) -> int:
+def estimated_depth(members: DataFrame, floor: int) -> int:
     """The longest prefix with the target recall, by an estimate from the tries alone.
 
     A class whose nearest neighbour has similarity s shares a prefix of ``floor`` labels with a neighbour in
     TREES * s ** floor trees on average.  The driver sees how many classes have each number of trees.
     """
-    trees = edges.filter("b IS NULL").groupBy("a").agg(F.count_distinct("tree").alias("trees")).groupBy("trees").count().collect()
+    trees = members.select("node", "tree").distinct().groupBy("node").agg(F.count("*").alias("trees")).groupBy("trees").count().collect()
     least = SIMILAR[0] / SIMILAR[1]
     part = np.array([r.trees for r in trees]) / TREES
     n = np.array([r["count"] for r in trees], float)
@@ -235,18 +219,15 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def candidates(classes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """node, component: classes that meet at this depth, and whose signatures agree where many meet."""
-    parts = cut(components(edges.filter((F.col("depth") >= depth) & F.col("b").isNotNull()).select("a", "b")))
-    large = cut(parts.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("component"))
-    if large.isEmpty():
-        return parts
-    nodes = parts.join(large, "component", "left_semi").select("node")
-    shared = edges.filter((F.col("depth") >= depth) & F.col("b").isNull()).join(nodes.withColumnRenamed("node", "a"), "a", "left_semi")
-    shared = shared.groupBy(F.col("a").alias("node")).agg(F.collect_set("tree").alias("trees"))  # a class's trees, TREES at most
+def candidates(classes: DataFrame, members: DataFrame, depth: int) -> DataFrame:
+    """node, component: classes that share a prefix of this depth and whose signatures agree.
+
+    A class is sent once for each tree in which it shares a prefix, with a byte of each label.
+    """
+    shared = members.filter(F.col("depth") >= depth).groupBy("node").agg(F.collect_set("tree").alias("trees"))  # TREES at most
     dealt = classes.select("node", "labels").join(shared, "node").select("node", "labels", "trees").mapInArrow(lambda it: _dealt(it, depth), "bucket binary, node long, marks binary")
-    agreed = cut(dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_led, "a long, b long"))
-    return parts.join(large, "component", "left_anti").select("node", "component").unionByName(components(agreed))
+    agreed = dealt.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_led, "a long, b long")
+    return components(agreed)
 
 
 def _slot(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -399,10 +380,10 @@ def near_duplicates(docs: DataFrame, told: dict | None = None) -> DataFrame:
     signed = signed.drop("labels")
 
     floor = least_depth()
-    edges = trie_edges(classes, floor)
-    depth = estimated_depth(edges, floor)
+    members = trie_members(classes, floor)
+    depth = estimated_depth(members, floor)
     while True:
-        verified = _verified(read, classes, candidates(classes, edges, depth), depth)
+        verified = _verified(read, classes, candidates(classes, members, depth), depth)
         found, expected = verified.agg(F.sum("found"), F.sum("expected")).first()
         recall = found / expected if expected else 1.0
         if depth == floor or recall >= TARGET:

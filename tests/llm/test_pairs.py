@@ -73,17 +73,8 @@ def test_least_depth():
     assert jaccard_join.found_at(k, 0.8) >= jaccard_join.TARGET > jaccard_join.found_at(k + 1, 0.8)
 
 
-def roots(nodes, edges):
-    root = {n: n for n in nodes}
-    find = lambda x: x if root[x] == x else find(root[x])
-    for a, b in edges:
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
-    return {n: find(n) for n in nodes}
-
-
 @pytest.mark.parametrize("partitions", [1, 8])
-def test_trie_edges_connect_what_shares_a_prefix(spark, frame, partitions):
+def test_trie_members_share_a_prefix(spark, frame, partitions):
     rng = np.random.default_rng(partitions)
     signatures = {}
     for i in range(60):
@@ -95,20 +86,15 @@ def test_trie_edges_connect_what_shares_a_prefix(spark, frame, partitions):
     was = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
-        edges = jaccard_join.trie_edges(classes, 3).collect()
+        members = jaccard_join.trie_members(classes, 3).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     for depth in range(3, jaccard_join.DEPTH + 1):
         for tree in range(jaccard_join.TREES):
-            want = defaultdict(set)
+            below = defaultdict(set)
             for i, x in signatures.items():
-                want[x[tree, :depth].tobytes()].add(i)
-            got = defaultdict(set)
-            for n, r in roots(signatures, [(e.a, e.b) for e in edges if e.tree == tree and e.depth >= depth and e.b is not None]).items():
-                got[r].add(n)
-            assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-            assert {e.a for e in edges if e.tree == tree and e.depth >= depth and e.b is None} == {i for group in want.values() if len(group) > 1 for i in group}
-    assert all(e.a > e.b for e in edges if e.b is not None)
+                below[x[tree, :depth].tobytes()].add(i)
+            assert {m.node for m in members if m.tree == tree and m.depth >= depth} == {i for group in below.values() if len(group) > 1 for i in group}
 
 
 def boilerplate(n, seed=7):
@@ -126,7 +112,7 @@ def test_boilerplate_falls_apart(frame, monkeypatch):
         df = frame(boilerplate(n), "doc_id long, text string").select("doc_id", "text")
         signed = df.mapInArrow(jaccard_join._signatures, jaccard_join._SIGNED)
         classes = signed.selectExpr("doc_id AS node", "labels").cache()
-        parts = jaccard_join.candidates(classes, jaccard_join.trie_edges(classes, 4), 4).groupBy("component").count().collect()
+        parts = jaccard_join.candidates(classes, jaccard_join.trie_members(classes, 4), 4).groupBy("component").count().collect()
         sizes[n] = sum(r["count"] for r in parts)
         assert max(r["count"] for r in parts) <= 4 and 2 * n // 40 <= sizes[n] <= 3 * n // 40
     rows, told = boilerplate(200), {}
@@ -135,14 +121,14 @@ def test_boilerplate_falls_apart(frame, monkeypatch):
 
 
 def test_prefix_is_shortened_until_the_recall(spark):
-    def edges(trees, n):
-        return spark.createDataFrame([(a, None, tree) for a in range(n) for tree in range(trees)], "a long, b long, tree int")
+    def members(trees, n):
+        return spark.createDataFrame([(a, tree) for a in range(n) for tree in range(trees)], "node long, tree int")
 
     floor = jaccard_join.least_depth()
     # Neighbours in all trees are copies but for a word: the full prefix; in few of them: a shorter one.
-    assert jaccard_join.estimated_depth(edges(jaccard_join.TREES, 100), floor) == jaccard_join.DEPTH
-    assert jaccard_join.estimated_depth(edges(10, 100), floor) == floor
-    assert floor < jaccard_join.estimated_depth(edges(19, 100), floor) <= jaccard_join.DEPTH
+    assert jaccard_join.estimated_depth(members(jaccard_join.TREES, 100), floor) == jaccard_join.DEPTH
+    assert jaccard_join.estimated_depth(members(10, 100), floor) == floor
+    assert floor < jaccard_join.estimated_depth(members(19, 100), floor) <= jaccard_join.DEPTH
 
 
 def test_components(frame):
