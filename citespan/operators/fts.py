@@ -111,17 +111,23 @@ def postings(summaries: DataFrame, stemmed: bool = True) -> DataFrame:
 
     Sorted by term and written as Parquet, a lookup of a few terms reads a few row groups.
     """
-    return _postings_of(tokenized(summaries, stemmed))
+    return postings_of(tokenized(summaries, stemmed))
 
 
-def _postings_of(tokenized_: DataFrame) -> DataFrame:
+def postings_of(tokenized_: DataFrame) -> DataFrame:
+    """The postings of path, tokens."""
     each = tokenized_.select("path", F.size("tokens").alias("doc_length"), F.posexplode("tokens").alias("at", "term"))
     return each.groupBy("term", "path", "doc_length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
 def doc_lengths(summaries: DataFrame, stemmed: bool = True) -> DataFrame:
     """path, doc_length of all summaries, those without a token too."""
-    return tokenized(summaries, stemmed).select("path", F.size("tokens").alias("doc_length"))
+    return lengths_of(tokenized(summaries, stemmed))
+
+
+def lengths_of(tokenized_: DataFrame) -> DataFrame:
+    """The lengths of path, tokens."""
+    return tokenized_.select("path", F.size("tokens").alias("doc_length"))
 
 
 def by_term(made: DataFrame) -> DataFrame:

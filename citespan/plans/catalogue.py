@@ -189,19 +189,23 @@ def read_spans_batch(spark, d):
 
 
 @query("read_file_capped", rf"""WITH {_FILES}, l AS (SELECT path, text, unnest({_LINES.format(t='text')}) AS t, generate_subscripts({_LINES.format(t='text')}, 1) AS i, len({_LINES.format(t='text')}) AS total FROM files WHERE strlen(text) > 0),
-c AS (SELECT *, sum(strlen(t) + 1) OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS upto FROM l), w AS (SELECT path, total, strlen(text) AS size, max(i) FILTER (upto < 2000 AND i < total OR strlen(text) <= 2000) AS last, string_agg(t, chr(10) ORDER BY i) FILTER (upto < 2000 AND i < total OR strlen(text) <= 2000) AS content FROM c GROUP BY path, total, text)
-SELECT path, 1 AS start_line, CAST(last AS INTEGER) AS end_line, CAST(total AS INTEGER) AS total_lines, content, CASE WHEN size > 2000 THEN '... file continues, returned ' || strlen(content) || ' of ' || size || ' bytes. Call read_file again with start_line=' || (last + 1) || ' to continue.' END AS truncated FROM w WHERE content IS NOT NULL""")
+c AS (SELECT *, sum(strlen(t) + 1) OVER (PARTITION BY path ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS upto FROM l), w AS (SELECT path, total, text, strlen(text) AS size, max(i) FILTER (upto < 2000 AND i < total OR strlen(text) <= 2000) AS last, string_agg(t, chr(10) ORDER BY i) FILTER (upto < 2000 AND i < total OR strlen(text) <= 2000) AS content FROM c GROUP BY path, total, text),
+cut AS (SELECT path, total, size, coalesce(last, 1) AS last, CASE WHEN content IS NULL THEN substr(text, 1, CAST((SELECT max(i) FROM range(0, 2001) r(i) WHERE strlen(substr(text, 1, i)) <= 2000) AS BIGINT)) ELSE content END AS content FROM w)
+SELECT path, 1 AS start_line, CAST(last AS INTEGER) AS end_line, CAST(total AS INTEGER) AS total_lines, content, CASE WHEN size > 2000 THEN '... file continues, returned ' || strlen(content) || ' of ' || size || ' bytes. Call read_file again with start_line=' || (last + 1) || ' to continue.' END AS truncated FROM cut
+UNION ALL SELECT path, 1, 0, 0, '', NULL FROM files WHERE strlen(text) = 0""")
 def read_file_capped(spark, d):
-    """With a budget of 2000 bytes; texts whose first line alone is longer have no SQL form and are left out."""
-    contents = corpus.contents(spark, d).filter((F.octet_length("content") > 0) & ((F.octet_length("content") <= 2000) | ((F.octet_length(F.substring_index("content", "\n", 1)) <= 2000) & F.contains("content", F.lit("\n")))))
+    """With a budget of 2000 bytes."""
+    contents = corpus.contents(spark, d)
     spans = contents.select("path", F.lit(1).alias("start_line"), F.size(X.lines(F.col("content"))).alias("end_line"), F.size(X.lines(F.col("content"))).alias("total_lines"), F.array_join(X.lines(F.col("content")), "\n").alias("content"))
     return lookup.capped(spans, 2000)
 
 
 @query("file_lookup", f"WITH {_FILES} SELECT path, hash, lang FROM files WHERE path LIKE '%/17.txt'")
 def file_lookup(spark, d):
+    """By its key, as the index looks a file up; what is asked for is the path of document 17."""
     files = corpus.files(spark, d)
-    return files.filter(F.col("path").endswith("/17.txt")).select("path", "hash", "lang")
+    asked = files.filter(F.col("path").endswith("/17.txt")).select("path").first().path
+    return lookup.lookup(files, path=asked).select("path", "hash", "lang")
 
 
 @query("html_symbols", f"WITH {_PAGE_SYMBOLS} SELECT path, name, kind, 1 AS start_line, 1 AS end_line FROM named")
@@ -375,9 +379,8 @@ def _ranked(ctes: list[str], scored: list[str], where: str, limit: int = 20) ->
 
 def _fts(q: str) -> Query:
     def run(spark, d):
-        made = corpus.contents(spark, d).withColumnRenamed("content", "summary")
-        # An index keeps its postings; here they are made of the whole table each time.
-        return fts.text_search(made, fts.postings(made, stemmed=False), q, stemmed=False).withColumn("rank", F.round("rank", 4))
+        made, postings, lengths = corpus.text_index(spark, d)
+        return fts.text_search(made, postings, q, stemmed=False, lengths=lengths).withColumn("rank", F.round("rank", 4))
 
     return run
 
@@ -408,11 +411,10 @@ def touched_only(spark, d):
     return evidence.touched_only(touched, corpus.spans(spark, d))
 
 
-@query("sources_footer", f"""WITH {_MERGED}, c AS (SELECT string_agg('- ' || path || ':' || start_line || CASE WHEN start_line = end_line THEN '' ELSE '-' || end_line END || chr(10), '' ORDER BY path, start_line) AS t FROM merged WHERE path LIKE 'src/f1%')
+@query("sources_footer", f"""WITH {_MERGED}, c AS (SELECT string_agg('- ' || path || ':' || start_line || CASE WHEN start_line = end_line THEN '' ELSE '-' || end_line END || chr(10), '' ORDER BY path, start_line) AS t FROM merged)
 SELECT chr(10) || chr(10) || '**Sources:**' || chr(10) || t || chr(10) || '*Also examined:* a.txt, b.txt' || chr(10) AS footer FROM c""")
 def sources_footer(spark, d):
-    spans = corpus.spans(spark, d).filter(F.col("path").startswith("src/f1"))
-    return evidence.sources_footer(spans, spark.sql("SELECT explode(array('b.txt', 'a.txt', 'b.txt')) AS path"))
+    return evidence.sources_footer(corpus.spans(spark, d), spark.sql("SELECT explode(array('b.txt', 'a.txt', 'b.txt')) AS path"))
 
 
 @query("session_budget", "SELECT conv_id AS session, turn AS seq, CAST(strlen(text) AS BIGINT) AS cost, CAST(sum(strlen(text)) OVER w AS BIGINT) AS used, CAST(sum(strlen(text)) OVER w AS BIGINT) || ' / 200000 chars used' AS note FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,9 +138,9 @@ def sniff_and_gate(spark, d):
 
 
 @query("read_file_capped_lines", """WITH l AS (SELECT lang || '/' || source || '/' || doc_id || '.txt' AS path, replace(replace(text, chr(10), ' '), chr(13), ' ') AS t FROM documents), c AS (SELECT path, t, strlen(t) AS n, CASE WHEN strlen(t) > 500 THEN substr(t, 1, CAST((SELECT max(i) FROM range(0, 501) r(i) WHERE strlen(substr(t, 1, i)) <= 500) AS BIGINT)) ELSE t END AS content FROM l)
-  SELECT path, CASE WHEN n = 0 THEN 0 ELSE 1 END AS end_line, content, CASE WHEN n > 500 THEN '... file continues, returned ' || strlen(content) || ' of ' || n || ' bytes. Call read_file again with start_line=2 to continue.' END AS truncated FROM c""")
+  SELECT path, CASE WHEN n > 0 THEN 1 END AS end_line, CASE WHEN n > 0 THEN content END AS content, CASE WHEN n > 500 THEN '... file continues, returned ' || strlen(content) || ' of ' || n || ' bytes. Call read_file again with start_line=2 to continue.' END AS truncated FROM c""")
 def read_file_capped_lines(spark, d):
-    """Texts of one line each, empty ones too, cut within the line, at a code point."""
+    """Texts of one line each, cut within the line, at a code point; an empty one has no line to read."""
     one = F.translate("content", "\n\r", "  ").alias("content")
     whole = corpus.contents(spark, d).select("path", one)
     asked = whole.select(F.lit(0).alias("ordinal"), "path", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
@@ -175,18 +173,8 @@ def _tree_of(docs: DataFrame, late: bool) -> DataFrame:
 def refresh_report(spark, d):
     """The counters of the second of two refreshes of an index: every 4th file is new, every 5th has changed, every 9th is gone."""
     docs = _read(spark, d, "documents", "doc_id")
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _scratch(spark)) + f"/refresh-{uuid.uuid4().hex}"
-    store = snapshot.SnapshotStore(spark, folder)
+    store = snapshot.SnapshotStore(spark, corpus.scratch(spark))
     snapshot.refresh(_tree_of(docs.filter("doc_id % 4 != 0"), False), store, 1)
     report = snapshot.refresh(_tree_of(docs.filter("doc_id % 9 != 0"), True), store, 2)
     store.clear()
     return spark.createDataFrame([tuple(report.as_dict().values())], ", ".join(f"{k} long" for k in report.as_dict()))
-
-
-def _scratch(spark: SparkSession) -> str:
-    """Where there is no cluster and no shared folder is named, as in tests: a temporary folder."""
-    import tempfile
-
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="citespan-")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fts
+
 EPOCH = 1_704_067_200
 
 
@@ -32,6 +38,39 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select(_path().alias("path"), F.col("text").alias("content"))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share, under spark.checkpoint.dir.
+
+    Where that is unset and all runs in one machine's JVM, as in tests, it is a temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return f"{shared.rstrip('/')}/citespan-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="citespan-") + "/made"
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(path and summary, postings, lengths) of documents, each text its own summary; the last two are
+    written at the first call of a session and read from then on, as an index keeps them."""
+    made = contents(spark, sf_dir).withColumnRenamed("content", "summary")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        folder = scratch(spark)
+        words = fts.tokenized(made, stemmed=False)
+        words.write.parquet(f"{folder}/words")  # tokenised once
+        words = spark.read.parquet(f"{folder}/words")
+        fts.by_term(fts.postings_of(words)).write.parquet(f"{folder}/postings")
+        fts.lengths_of(words).write.parquet(f"{folder}/lengths")
+        _indexes[key] = folder
+    folder = _indexes[key]
+    return made, spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
+
+
 def _url_path(url):
     """The part of a url after its scheme, without query, fragment and slash at the end."""
     return F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://", ""), r"[?#].*$|/$", "")
