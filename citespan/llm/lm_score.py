@@ -2,9 +2,9 @@
 
 Training counts contexts of ``DEPTH`` bytes with the byte after them over all training texts.  Texts are
 read in groups; a group's distinct keys (context and byte), with their counts in training texts, are dealt
-out by the two most recent bytes of the context (``BUCKETS`` of such pairs).  Each bucket sums its keys,
-weights all nodes of the tree upwards from depth ``DEPTH`` to 2 and hands depth 2 to the driver, which
-finishes the contexts of one byte and none (``ctw``).  Then each bucket works out the log probability of
+out by the three most recent bytes of the context, hashed to ``BUCKETS``.  Each bucket sums its keys and
+weights all nodes of the tree upwards from depth ``DEPTH`` to 3; these are summed by the two most recent
+bytes, and the driver finishes the contexts of two bytes, one and none (``ctw``).  Then each bucket works out the log probability of
 each of its keys from all nodes on the key's path and sends it to the groups that have the key, where it
 meets their texts.  No node is left out, and no machine holds more of the tree than one bucket.
 
@@ -34,8 +34,10 @@ COMMON_WORDS, COMMON_BYTES = 300_000, 48
 CHUNK = 4_000_000
 #: A group of texts ends after so many bytes, or so many keys distinct within each CHUNK.
 GROUP_BYTES, GROUP_KEYS = 32_000_000, 4_000_000
-#: Parts that the tree is dealt out in; a pair of most recent bytes stands in one of them.
+#: Parts that the tree is dealt out in; three most recent bytes stand in one of them.
 BUCKETS = 256
+#: Depth of the nodes above which a bucket's own keys don't suffice.
+TOP = 3
 #: Keys of a group that are found at one look: at most 2**MEMORY_BITS; the others are searched for.
 MEMORY_BITS = 22
 
@@ -127,7 +129,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def closed() -> Iterator[pa.RecordBatch]:
         keys, counts = ctw.summed(*(np.concatenate(c) for c in zip(*held)))
-        bucket = (keys >> _U(8 * (DEPTH - 1))) * _U(40503) % _U(65536) * _U(BUCKETS) // _U(65536)
+        bucket = ((keys >> _U(8 * (DEPTH - 2))) * _U(0x9E3779B1) & _U(0xFFFFFFFF)) * _U(BUCKETS) >> _U(32)
         order = np.argsort(bucket.astype(np.uint16), kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1, dtype=np.uint64))
         rows = [(chunk, b, 0, _blob(_steps(keys[at]), counts[at])) for b in range(BUCKETS) if len(at := order[ends[b] : ends[b + 1]])]
@@ -177,11 +179,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int
 
 def _taught(keys: np.ndarray, counts: np.ndarray):
     seen = counts > 0
-    return ctw.weigh(keys[seen], counts[seen], DEPTH, 2)
+    return ctw.weigh(keys[seen], counts[seen], DEPTH, TOP)
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, zeros, ones, log Pw of all nodes of depth 2."""
+    """node, zeros, ones, log Pw of all nodes of depth TOP."""
     for _, keys, counts in _buckets(batches):
         top = None
         for top in _taught(keys, counts):
@@ -192,19 +194,21 @@ def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(buckets: DataFrame) -> ctw.Table:
-    """The nodes of depth 1 and 0.  The nodes of depth 2 that occur come to the driver: 255 * 65536 at
-    most, and far fewer in any text."""
-    rows = buckets.mapInArrow(_tops, "node long, n0 long, n1 long, pw double").toArrow()
-    node, n0, n1, pw = (c.to_numpy() for c in rows.columns)
-    table, below = ctw.Table(DEPTH), (node.view(np.uint64), pw)
-    for d in (1, 0):  # a parent's counts are its children's sums
-        parent = below[0] >> _U(16) << _U(8) | below[0] & _U(255)
-        ids, inv = np.unique(parent, return_inverse=True)
-        n0, n1 = (np.bincount(inv, c, len(ids)).astype(np.int64) for c in (n0, n1))
+    """The nodes of depth 2, 1 and 0.  Those of depth 2 that occur come to the driver, summed: 255 * 65536
+    at most, and far fewer in any text."""
+    rows = buckets.mapInArrow(_tops, "node long, n0 long, n1 long, pw double")
+    parent = F.shiftleft(F.shiftrightunsigned("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(255)).alias("parent")
+    sums = rows.groupBy(parent).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("pw").alias("kids")).orderBy("parent").toArrow()
+    ids, n0, n1, kids = (c.to_numpy() for c in sums.columns)
+    table, ids = ctw.Table(DEPTH), ids.view(np.uint64)
+    for d in range(TOP - 1, -1, -1):
         pe = ctw.log_kt(n0, n1)
-        pw = np.logaddexp(pe, np.bincount(inv, below[1], len(ids))) - np.log(2)
+        pw = np.logaddexp(pe, kids) - np.log(2)
         table.put(*ctw.slots(d, ids), *ctw.quantised(n0, n1, np.exp(np.minimum(0, pe - np.log(2) - pw))))
-        below = ids, pw
+        if d:  # a parent's counts are its children's sums
+            ids, inv = np.unique(ids >> _U(16) << _U(8) | ids & _U(255), return_inverse=True)
+            n0, n1 = (np.bincount(inv, c, len(ids)).astype(np.int64) for c in (n0, n1))
+            kids = np.bincount(inv, pw, len(ids))
     return table
 
 
@@ -212,7 +216,7 @@ def _valued(batches: Iterator[pa.RecordBatch], top: ctw.Table) -> Iterator[pa.Re
     """For each group and bucket a row of the keys and their log probabilities, at place -1."""
     for rows, keys, counts in _buckets(batches):
         table = ctw.Table(DEPTH)
-        table.levels[:2] = top.levels[:2]
+        table.levels[:TOP] = top.levels[:TOP]
         for d, node, n0, n1, _, stop in _taught(keys, counts):
             table.put(*ctw.slots(d, node), *ctw.quantised(n0, n1, stop))
         values = np.concatenate([table.log10_byte(keys[i : i + 100_000]) for i in range(0, len(keys), 100_000)]).astype(np.float32)
