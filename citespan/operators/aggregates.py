@@ -22,9 +22,15 @@ def index_stats(files: DataFrame, manifests: DataFrame, run_configs: DataFrame,
     return out
 
 
+def _few_sorted(counts: DataFrame, *order) -> DataFrame:
+    """counts in order, where its rows are a row for each language or kind: one task sorts what is summed
+    already, so there is no job that samples the rows for ranges and no shuffle of its own."""
+    return counts.coalesce(1).sortWithinPartitions(*order)
+
+
 def files_by_lang(files: DataFrame) -> DataFrame:
     """lang, files: most files first; no language counts as (none)."""
-    return files.groupBy("lang").agg(F.count("*").alias("files")).select(F.coalesce("lang", F.lit("(none)")).alias("lang"), "files").orderBy(F.desc("files"), "lang")
+    return _few_sorted(files.groupBy("lang").agg(F.count("*").alias("files")).select(F.coalesce("lang", F.lit("(none)")).alias("lang"), "files"), F.desc("files"), "lang")
 
 
 def inspect_totals(files: DataFrame, last_scan: int | None) -> DataFrame:
@@ -34,7 +40,7 @@ def inspect_totals(files: DataFrame, last_scan: int | None) -> DataFrame:
 
 
 def symbols_by_kind(symbols: DataFrame) -> DataFrame:
-    return symbols.groupBy("kind").agg(F.count("*").alias("symbols")).orderBy(F.desc("symbols"), "kind")
+    return _few_sorted(symbols.groupBy("kind").agg(F.count("*").alias("symbols")), F.desc("symbols"), "kind")
 
 
 def top_symbol_files(symbols: DataFrame, n: int = TOP_SYMBOL_FILES) -> DataFrame:

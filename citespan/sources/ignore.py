@@ -37,6 +37,8 @@ class Rule:
     regex: re.Pattern
     directory_only: bool
     keep: bool
+    #: Of a rule from above the walk's root: the path from its directory to the root, with a slash at the end.
+    above: str = ""
 
 
 def rules(text: str, base: str = "") -> list[Rule]:
@@ -75,6 +77,6 @@ class Ignore:
 
     def ignored(self, path: str, is_dir: bool) -> bool:
         for rule in reversed(self.in_force):
-            if (is_dir or not rule.directory_only) and path.startswith(rule.base) and rule.regex.fullmatch(path[len(rule.base) :]):
+            if (is_dir or not rule.directory_only) and path.startswith(rule.base) and rule.regex.fullmatch(rule.above + path[len(rule.base) :]):
                 return not rule.keep
         return False

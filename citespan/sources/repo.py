@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,9 @@ def walk(root: str | Path) -> Iterator[tuple[str, int, int]]:
             except (OSError, RuntimeError):
                 pass
         for parent in reversed([p for p in root.parents if top == p or top in p.parents]):
-            # A parent's anchored rules speak of paths from the parent; only the others can be taken as they are.
-            first = Ignore(first.in_force + [r for r in Ignore().below(parent, "", True).in_force if r.regex.pattern.startswith("(?:.*/)?")])
+            # A parent's rules speak of paths from the parent.
+            above = root.relative_to(parent).as_posix() + "/"
+            first = Ignore(first.in_force + [replace(r, above=above) for r in Ignore().below(parent, "", True).in_force])
 
     def below(directory: Path, base: str, ignore: Ignore) -> Iterator[tuple[str, int, int]]:
         ignore = ignore.below(directory, base, top is not None)

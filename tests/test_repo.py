@@ -40,6 +40,19 @@ def test_ignore(text, path, is_dir, ignored):
     assert Ignore(rules(text)).ignored(path, is_dir) == ignored
 
 
+def test_rules_of_parents(tmp_path):
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".gitignore").write_text("/sub/deep/a.txt\nsub/*.tmp\n*.log\n/b.txt\nsub/deep/gone/\n")
+    below = tmp_path / "sub" / "deep"
+    (below / "gone").mkdir(parents=True)
+    for name in ("a.txt", "b.txt", "x.tmp", "y.log", "gone/z", "keep.log"):
+        (below / name).write_text("")
+    (below / ".gitignore").write_text("!keep.log\n")
+    assert {p for p, _, _ in walk(below)} == {".gitignore", "b.txt", "x.tmp", "keep.log"}
+    (tmp_path / "sub" / "t.tmp").write_text("")
+    assert {p for p, _, _ in walk(tmp_path / "sub")} == {"deep/.gitignore", "deep/b.txt", "deep/x.tmp", "deep/keep.log"}
+
+
 def test_source_pushes_path_filters(spark, root):
     df = repo_files(spark, str(root)).filter("path = 'empty.txt'")
     assert [(r.path, r.size, bytes(r.content)) for r in df.collect()] == [("empty.txt", 0, b"")]
