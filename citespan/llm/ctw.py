@@ -64,9 +64,10 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(keys):
         return keys, counts
     order = np.argsort(keys, kind="stable")
-    k, c = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    return k[first], np.add.reduceat(c, first)
+    keys, counts = keys[order], counts[order]  # what was handed over can go
+    del order
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
 
 
 def _level(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

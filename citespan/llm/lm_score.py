@@ -127,8 +127,13 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk, place, size = TaskContext.get().partitionId() << 32, 0, 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def taken() -> tuple[np.ndarray, np.ndarray]:
+        out = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+        held.clear()
+        return out
+
     def closed() -> Iterator[pa.RecordBatch]:
-        keys, counts = ctw.summed(*(np.concatenate(c) for c in zip(*held)))
+        keys, counts = ctw.summed(*taken())
         bucket = ((keys >> _U(8 * (DEPTH - 2))) * _U(0x9E3779B1) & _U(0xFFFFFFFF)) * _U(BUCKETS) >> _U(32)
         order = np.argsort(bucket.astype(np.uint16), kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1, dtype=np.uint64))
@@ -145,7 +150,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, size = place + 1, size + int(lengths.sum())
         if size >= GROUP_BYTES or sum(len(k) for k, _ in held) >= GROUP_KEYS:
             yield from closed()
-            chunk, place, size, held = chunk + 1, 0, 0, []
+            chunk, place, size = chunk + 1, 0, 0
     if held:
         yield from closed()
 
