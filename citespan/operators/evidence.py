@@ -11,12 +11,12 @@ from ..schemas import SESSION_BUDGET
 def merge_spans(spans: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
     """by, start_line, end_line: spans of a path merged where they overlap or touch.
 
-    Equal spans are dropped before the window, which then sorts what is left of each path.
+    One shuffle, by path; equal spans are merged as others are.
     """
     keys = [*by, "start_line", "end_line"]
     ordered = Window.partitionBy(*by).orderBy("start_line", "end_line")
     reach = F.max("end_line").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.select(*keys).distinct().withColumn("new", F.when(F.col("start_line") <= reach + 1, 0).otherwise(1))
+    flagged = spans.select(*keys).withColumn("new", F.when(F.col("start_line") <= reach + 1, 0).otherwise(1))
     island = flagged.withColumn("island", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return island.groupBy(*by, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).select(*keys)
 
