@@ -12,10 +12,6 @@ from ..functions.paths import depth, parent_dir
 from ..schemas import TREE_CHILDREN, TREE_DEPTH
 
 
-#: Nodes of the shown tree that are sent to all executors at most.
-BROADCAST_NODES = 50_000
-
-
 def dir_tree(files: DataFrame, max_depth: int = TREE_DEPTH, cap: int = TREE_CHILDREN) -> DataFrame:
     """node, parent, depth, is_dir, files, child_rank, more_children: the tree to max_depth.
 
@@ -23,25 +19,22 @@ def dir_tree(files: DataFrame, max_depth: int = TREE_DEPTH, cap: int = TREE_CHIL
     files and name are shown, and children of hidden ones are hidden too.  more_children: how many
     children of a shown directory are beyond the cap (at max_depth: all children count, none is shown).
     Paths are summed up to depth max_depth + 1 before anything else, so deep trees don't grow the shuffle.
-    What is shown is at most cap + cap^2 + ... rows, whatever the tree, so it is broadcast where that is few.
     """
     parts = F.split("path", "/")
     upto = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max_depth + 1))), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("node"), i.alias("depth"), (i < F.size(parts)).alias("is_dir")))
     nodes = files.select(F.explode(upto).alias("n")).select("n.*").groupBy("node", "depth").agg(F.max("is_dir").alias("is_dir"), F.count_if("is_dir").alias("files"))
-    nodes = nodes.withColumn("parent", parent_dir(F.col("node")))
+    # Dealt out by parent once: ranks, counts and both joins below use that.
+    nodes = nodes.withColumn("parent", parent_dir(F.col("node"))).repartition("parent")
     of_parent = Window.partitionBy("parent")
     rank = F.row_number().over(of_parent.orderBy(F.desc("files"), F.element_at(F.split("node", "/"), -1)))
-    # A window's limit is taken before the shuffle where only the rank is asked for; the count is a sum of its own.
     siblings = nodes.groupBy("parent").agg((F.greatest(F.count("*") - cap, F.lit(0))).alias("more_children"))
     shown = nodes.withColumn("child_rank", rank).filter((F.col("child_rank") <= cap) & (F.col("depth") <= max_depth))
-    few = F.broadcast if sum(cap**d for d in range(1, max_depth + 1)) <= BROADCAST_NODES else lambda df: df
     visible, level = None, shown.filter("depth = 1")
     for d in range(1, max_depth + 1):
         visible = level if visible is None else visible.unionByName(level)
         above = level.select(F.col("node").alias("parent"))
-        level = shown.filter(F.col("depth") == d + 1).join(few(above), "parent", "left_semi").select(*shown.columns)
-    hidden = siblings.withColumnRenamed("parent", "node").join(few(visible.select("node")), "node", "left_semi")
-    return visible.join(few(hidden), "node", "left").select("node", "parent", "depth", "is_dir", "files", "child_rank", F.coalesce("more_children", F.lit(0)).alias("more_children"))
+        level = shown.filter(F.col("depth") == d + 1).join(above, "parent", "left_semi").select(*shown.columns)
+    return visible.join(siblings.withColumnRenamed("parent", "node"), "node", "left").select("node", "parent", "depth", "is_dir", "files", "child_rank", F.coalesce("more_children", F.lit(0)).alias("more_children"))
 
 
 def merkle(files: DataFrame, hashed: Callable[[Column], Column] = xxh3, max_depth: int | None = None) -> DataFrame:
