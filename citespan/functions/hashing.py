@@ -13,6 +13,21 @@ def xxh3_bytes(data: bytes) -> bytes:
     return xxhash.xxh3_64_intdigest(data).to_bytes(8, "little")
 
 
+class Xxh3:
+    """The same hash, taken up piece by piece."""
+
+    def __init__(self):
+        import xxhash
+
+        self._state = xxhash.xxh3_64()
+
+    def update(self, data: bytes) -> None:
+        self._state.update(data)
+
+    def digest(self) -> bytes:
+        return self._state.intdigest().to_bytes(8, "little")
+
+
 def repo_id(abs_path: str, remote: str | None) -> str:
     import xxhash
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import xxh3
+from ..functions.hashing import Xxh3
 from ..functions.paths import depth, parent_dir
 from ..schemas import TREE_CHILDREN, TREE_DEPTH
 
@@ -37,25 +39,43 @@ def dir_tree(files: DataFrame, max_depth: int = TREE_DEPTH, cap: int = TREE_CHIL
     return visible.join(siblings.withColumnRenamed("parent", "node"), "node", "left").select("node", "parent", "depth", "is_dir", "files", "child_rank", F.coalesce("more_children", F.lit(0)).alias("more_children"))
 
 
-def merkle(files: DataFrame, hashed: Callable[[Column], Column] = xxh3, max_depth: int | None = None) -> DataFrame:
+def _running(batches: Iterator[pa.RecordBatch], digest: Callable[[], Any]) -> Iterator[pa.RecordBatch]:
+    """A row for each directory of children that come in order, one directory after the other; holds one
+    running digest, however many children a directory has."""
+    name, state, total = None, None, 0
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([state.digest()], pa.binary()), pa.array([total], pa.int64())], names=["dir_path", "child_hash", "file_count"])
+
+    for b in batches:
+        for parent, path, h, n in zip(*(b.column(c).to_pylist() for c in ("dir", "path", "hash", "n"))):
+            if parent != name:
+                if state:
+                    yield row()
+                name, state, total = parent, digest(), 0
+            state.update(path.encode() + b"\x00" + h + b"\x00")
+            total += n
+    if state:
+        yield row()
+
+
+def merkle(files: DataFrame, digest: Callable[[], Any] = Xxh3, max_depth: int | None = None) -> DataFrame:
     """dir_path, child_hash, file_count (recursive) of every directory that has files below it, '' the root.
 
     files: path, hash (binary; null hashes are left out).  A directory's hash is that of its files and
-    then its directories, each by path, as path, zero byte, hash, zero byte.  One aggregation a level, from
-    the deepest up; what a level needs of the last one is its directories, so rows shrink upwards.
+    then its directories, each by path, as path, zero byte, hash, zero byte.  digest: makes the running hash
+    (update, digest).  One shuffle a level, from the deepest up; what a level needs of the last one is its
+    directories, so rows shrink upwards.
     """
     rows = files.filter("hash IS NOT NULL").select("path", "hash", parent_dir(F.col("path")).alias("dir"))
     rows = rows.withColumn("level", depth(F.col("dir")))
     deepest = max_depth if max_depth is not None else rows.agg(F.max("level")).first()[0]
-    zero = F.lit(b"\x00")
-    child = lambda is_dir, path, h: F.struct(is_dir.alias("is_dir"), path.alias("path"), h.alias("hash"))
     below, out = None, None
     for level in range(deepest if deepest is not None else -1, -1, -1):
-        items = rows.filter(F.col("level") == level).select("dir", child(F.lit(False), F.col("path"), F.col("hash")).alias("item"), F.lit(1).cast("long").alias("n"))
+        items = rows.filter(F.col("level") == level).select("dir", F.lit(False).alias("is_dir"), "path", "hash", F.lit(1).cast("long").alias("n"))
         if below is not None:
-            items = items.unionByName(below.select(parent_dir(F.col("dir_path")).alias("dir"), child(F.lit(True), F.col("dir_path"), F.col("child_hash")).alias("item"), F.col("file_count").alias("n")))
-        grouped = items.groupBy("dir").agg(F.array_sort(F.collect_list("item")).alias("items"), F.sum("n").alias("file_count"))
-        joined = F.aggregate("items", F.lit(b""), lambda acc, x: F.concat(acc, x["path"].cast("binary"), zero, x["hash"], zero))
-        below = grouped.select(F.col("dir").alias("dir_path"), hashed(joined).alias("child_hash"), "file_count")
+            items = items.unionByName(below.select(parent_dir(F.col("dir_path")).alias("dir"), F.lit(True).alias("is_dir"), F.col("dir_path").alias("path"), F.col("child_hash").alias("hash"), F.col("file_count").alias("n")))
+        ordered = items.repartition("dir").sortWithinPartitions("dir", "is_dir", "path", "hash")
+        below = ordered.mapInArrow(lambda it: _running(it, digest), "dir_path string, child_hash binary, file_count long")
         out = below if out is None else out.unionByName(below)
     return out if out is not None else files.limit(0).select(F.col("path").alias("dir_path"), F.col("hash").alias("child_hash"), F.lit(0).cast("long").alias("file_count"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -92,6 +94,17 @@ def dir_tree(spark, d):
     return tree.dir_tree(corpus.listed(spark, d))
 
 
+class _Md5Text:
+    def __init__(self):
+        self._state = hashlib.md5()
+
+    def update(self, data: bytes) -> None:
+        self._state.update(data.replace(b"\x00", b"\x01"))
+
+    def digest(self) -> bytes:
+        return self._state.hexdigest().encode()
+
+
 @query("merkle_dirs", f"""WITH {_FILES}, d3 AS (SELECT {_PARENT.format(p='path')} AS dir, md5(string_agg(path || chr(1) || hash || chr(1), '' ORDER BY path)) AS h, count(*) AS n FROM files GROUP BY 1),
 d2 AS (SELECT {_PARENT.format(p='dir')} AS dir, md5(string_agg(dir || chr(1) || h || chr(1), '' ORDER BY dir)) AS h, sum(n) AS n FROM d3 GROUP BY 1),
 d1 AS (SELECT {_PARENT.format(p='dir')} AS dir, md5(string_agg(dir || chr(1) || h || chr(1), '' ORDER BY dir)) AS h, sum(n) AS n FROM d2 GROUP BY 1)
@@ -99,8 +112,7 @@ SELECT dir AS dir_path, h AS child_hash, CAST(n AS BIGINT) AS file_count FROM (S
 def merkle_dirs(spark, d):
     """Hashes as md5 text and 1 for 0 bytes, which DuckDB's strings can't hold."""
     files = corpus.files(spark, d).select("path", F.col("hash").cast("binary").alias("hash"))
-    md5 = lambda c: F.md5(F.translate(c.cast("string"), "\x00", "\x01").cast("binary")).cast("binary")
-    return tree.merkle(files, md5).select("dir_path", F.col("child_hash").cast("string").alias("child_hash"), "file_count")
+    return tree.merkle(files, _Md5Text).select("dir_path", F.col("child_hash").cast("string").alias("child_hash"), "file_count")
 
 
 # --- listing, symbols, search, reads --------------------------------------------------------------
