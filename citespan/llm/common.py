@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,21 +16,33 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, so that what follows always sees the same rows.
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder: spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir.  Where that is unset and all runs in one machine's JVM, as in
-    tests, a temporary folder is made; on a cluster a folder that is unset is an error.
+    Where that is unset and all runs in one machine's JVM, as in tests, a temporary folder is made; on a
+    cluster a folder that is unset is an error.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared checkpoint folder, so that what follows always sees the same rows."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of its own in the shared checkpoint folder: later steps read the columns they need."""
+    folder = f"{_shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 _held: dict[str, Callable[[], None]] = {}
 
 

@@ -12,6 +12,7 @@ from .packing import op7_packing
 from .quality import op8_quality
 from .resharding import op9_resharding
 from .secrets import op4_secrets
+from .tiered_search import OP13_SQL, op13_tiered_search
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_resharding": op9_resharding,
     "op10_neighbours": op10_neighbours,
+    "op13_tiered_search": op13_tiered_search,
 }
 
 ORACLE_SQL = {
     "op1_chat": OP1_SQL,
     "op6_jaccard": OP6_SQL,
+    "op13_tiered_search": OP13_SQL,
 }
