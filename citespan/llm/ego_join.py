@@ -327,7 +327,7 @@ OP12_SQL = """
 WITH RECURSIVE valid AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
     WHERE vec_id IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x != 0)) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0
 ),
 links AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.vec_id != b.vec_id AND len(a.v) = len(b.v)

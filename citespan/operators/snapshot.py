@@ -1,8 +1,8 @@
-"""Incremental maintenance: diff two snapshots, carry unchanged rows over, publish a version atomically.
+"""Incremental maintenance: diff two snapshots, and bring an index up to date by what has changed.
 
-An index is a folder of versions, each a folder of Parquet tables, and a file CURRENT that names one.
-A refresh writes a whole new version beside the current one and then replaces CURRENT, so readers see the
-old index or the new one and never a mixture.  Only changed files are hashed and extracted again.
+Only changed files are hashed and extracted again, only the directories above them get new hashes, and only
+their rows are written: each table gets a layer of changes, and all layers become one new version of
+the index (see ``store``), so readers see the old index or the new one and never a mixture.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +20,9 @@ from ..schemas import MAX_PARSED_BYTES, README_LINES, TABLES
 from .extract.manifests import parse_manifests
 from .extract.run_configs import parse_run_configs
 from .extract.symbols import extract_symbols
-from .fts import by_term, doc_lengths, postings
-from .tree import merkle
+from .fts import doc_lengths, postings
+from .store import Change, Conflict, SnapshotStore  # noqa: F401  (the index's home for its users)
+from .tree import merkle_update
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -81,72 +81,57 @@ class RefreshReport:
     as_dict = asdict
 
 
-class SnapshotStore:
-    """An index's versions under a folder of any Hadoop file system."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def version(self) -> str | None:
-        at = self._path(f"{self.folder}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return bytes(stream.readAllBytes()).decode().strip()
-        finally:
-            stream.close()
-
-    def read(self, name: str) -> DataFrame:
-        """A table of the current version, empty where there is none yet."""
-        version = self.version()
-        if version is None or not self._fs.exists(self._path(f"{self.folder}/{version}/{name}")):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{version}/{name}")
-
-    def write(self, version: str, name: str, df: DataFrame, schema: str | None = None) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{version}/{name}")
-        return self.spark.read.schema(schema or TABLES[name]).parquet(f"{self.folder}/{version}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete parts of the current version that aren't tables."""
-        for name in names:
-            self._fs.delete(self._path(f"{self.folder}/{self.version()}/{name}"), True)
-
-    def next_version(self) -> str:
-        now = self.version()
-        return f"v{(int(now[1:]) if now else 0) + 1:08d}"
-
-    def publish(self, version: str) -> None:
-        """Make a written version the current one; versions but this and the one before go."""
-        before = self.version()
-        fresh, final = self._path(f"{self.folder}/CURRENT.new"), self._path(f"{self.folder}/CURRENT")
-        stream = self._fs.create(fresh, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        try:
-            overwrite = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-            options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-            options[0] = overwrite
-            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri() if self._path(self.folder).toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, final, options)
-        except Py4JJavaError:  # a store without an atomic rename over a file
-            self._fs.delete(final, False)
-            self._fs.rename(fresh, final)
-        for status in self._fs.listStatus(self._path(self.folder)):
-            name = status.getPath().getName()
-            if name.startswith("v") and name not in (version, before):
-                self._fs.delete(status.getPath(), True)
-
-    def clear(self) -> None:
-        self._fs.delete(self._path(self.folder), True)
-
-
-def _derived(store: SnapshotStore, version: str, name: str, fresh: DataFrame, touched: DataFrame, files: DataFrame) -> DataFrame:
-    """The table with the touched paths' rows replaced and vanished paths' rows gone."""
-    return store.write(version, name, cascade(replace_for(store.read(name), fresh, touched), files))
+def apply_changes(change: Change, seen: DataFrame, gone: DataFrame, now: int) -> RefreshReport:
+    """Put files into the index that are new or have been read again, and take files out of it; what was found.
+
+    seen: path, hash, mtime, size, lang, is_binary, content (null unless UTF-8), written once; gone: path.  Of
+    seen, files whose hash is as before get their new time and size and nothing else.
+    """
+    spark = change.store.spark
+    old = change.read("files").select("path", F.col("hash").alias("old_hash"), F.lit(True).alias("was"))
+    known = seen.join(old, "path", "left")
+    changed = change.work("changed", known.filter("was IS NULL OR old_hash != hash").drop("old_hash"))
+    vanished = change.work("vanished", gone.select("path").distinct().join(old, "path").select("path"))
+    n_old, n_gone = old.count(), vanished.count()
+    n = changed.agg(F.count_if(F.col("was").isNull()).alias("added"), F.count("was").alias("changed")).first()
+    change.buckets(n_old + n.added)
+    scanned = n_old - n_gone + n.added
+
+    touched = changed.select("path").unionByName(vanished)
+    files = seen.select("path", "hash", "mtime", "size", "lang", "is_binary", F.lit(now).cast("long").alias("updated_at"))
+    change.put("files", files, seen.select("path").unionByName(vanished))
+    usable = changed.drop("was").filter((F.col("size") <= MAX_PARSED_BYTES) & ~F.col("is_binary") & F.col("content").isNotNull())
+    hashes = changed.select("path", "hash")
+    manifests = change.put("manifests", parse_manifests(usable).join(hashes, "path"), touched)
+    run_configs = change.put("run_configs", parse_run_configs(usable).join(hashes, "path"), touched)
+    readmes = change.put("readmes", readme_heads(usable.filter(is_readme(basename(F.col("path"))))).join(hashes, "path"), touched)
+    symbols = change.put("symbols", extract_symbols(usable), touched)
+
+    now_there = change.read("files").select("path", "hash")
+    lost = vanished
+    if change.now["tables"].get("file_summaries"):  # summaries of files that never were go too
+        lost = lost.unionByName(change.read("file_summaries").select("path").join(now_there, "path", "left_anti"))
+        for name in ("postings", "doc_lengths", "file_summaries"):
+            change.put(name, None, lost)
+    made, dirty = merkle_update(now_there, change.read("dir_hashes"), touched, change.work)
+    made = change.put("dir_hashes", made.withColumn("updated_at", F.lit(now).cast("long")), dirty)
+    if change.now["tables"].get("dir_summaries"):
+        change.put("dir_summaries", None, dirty.join(made.select("dir_path"), "dir_path", "left_anti"))
+
+    found = symbols.agg(F.count("*").alias("n"), F.count_distinct("path").alias("files")).first()
+    return RefreshReport(
+        scanned=scanned, added=n.added, changed=n.changed, unchanged=scanned - n.added - n.changed, deleted=n_gone,
+        manifests=manifests.count(), run_configs=run_configs.select("path").distinct().count(), readmes=readmes.count(),
+        symbols_files=found.files, symbols_total=found.n, dirs_hashed=change.read("dir_hashes").count(),
+    )
+
+
+SEEN = "path", "hash", "mtime", "size", "lang", "is_binary", "content"
+
+
+def _described(change: Change, repo: dict | None, now: int) -> None:
+    row = {"id": None, "abs_path": None, "git_remote": None, **(repo or {}), "last_scan_at": now}
+    change.replace("repo", change.store.spark.createDataFrame([tuple(row[k] for k in ("id", "abs_path", "git_remote", "last_scan_at"))], TABLES["repo"]).coalesce(1))
 
 
 def refresh(source: DataFrame, store: SnapshotStore, now: int, verify: bool = False, repo: dict | None = None, read: Callable[[DataFrame], DataFrame] | None = None) -> RefreshReport:
@@ -156,87 +141,61 @@ def refresh(source: DataFrame, store: SnapshotStore, now: int, verify: bool = Fa
     ``read`` adds it to the rows it is given: those of new or changed files.  A file whose time and size are as
     they were counts as unchanged and isn't read, unless ``verify``; one that is read but can't be keeps
     its old rows.  Files over 256 KiB, binary files and files that aren't UTF-8 lose their derived rows.
+
+    Written are the rows of what has changed, and the hashes of the directories above it.  If another writer
+    publishes files meanwhile, the refresh begins again from that version.
     """
     from ..sources.repo import classified
 
-    spark, version = store.spark, store.next_version()
-    old = store.read("files")
-    source.select("path", "size", "mtime").write.mode("overwrite").parquet(f"{store.folder}/{version}/_listed")
-    listed = spark.read.schema("path string, size long, mtime long").parquet(f"{store.folder}/{version}/_listed")  # the tree is walked once
-    same = old.select("path", F.col("mtime").alias("old_mtime"), F.col("size").alias("old_size"))
-    as_before = listed.join(same, "path").filter("mtime = old_mtime AND size = old_size").select("path")
-    wanted = listed if verify else listed.join(as_before, "path", "left_anti")
-    candidates = read(wanted) if read else source.join(wanted.select("path"), "path", "left_semi")
-    seen = classified(candidates.filter("content IS NOT NULL")).select("path", "hash", "mtime", "size", "lang", "is_binary", "content")
-    staged = f"{store.folder}/{version}/_staged"
-    seen.write.mode("overwrite").parquet(staged)  # hashed once, used several times
-    seen = spark.read.schema(seen.schema).parquet(staged)
-
-    kept = old.join(listed.select("path"), "path", "left_semi").join(seen.select("path"), "path", "left_anti")
-    files = kept.unionByName(seen.select("path", "hash", "mtime", "size", "lang", "is_binary", F.lit(now).cast("long").alias("updated_at")))
-    files = store.write(version, "files", files)
-
-    counts = diff_report(diff(old, files)).first().asDict()
-    known = old.select("path", F.col("hash").alias("old_hash"))
-    changed = seen.join(known, "path", "left").filter("old_hash IS NULL OR old_hash != hash").drop("old_hash")
-    usable = changed.filter((F.col("size") <= MAX_PARSED_BYTES) & ~F.col("is_binary") & F.col("content").isNotNull())
-    hashes = changed.select("path", "hash")
-
-    manifests = _derived(store, version, "manifests", parse_manifests(usable).join(hashes, "path"), changed, files)
-    run_configs = _derived(store, version, "run_configs", parse_run_configs(usable).join(hashes, "path"), changed, files)
-    readmes = _derived(store, version, "readmes", readme_heads(usable.filter(is_readme(basename(F.col("path"))))).join(hashes, "path"), changed, files)
-    symbols = _derived(store, version, "symbols", extract_symbols(usable), changed, files)
-    for name in ("file_summaries", "doc_lengths"):
-        store.write(version, name, cascade(store.read(name), files))
-    store.write(version, "postings", by_term(cascade(store.read("postings"), files)))
-    dirs = store.write(version, "dir_hashes", merkle(files).withColumn("updated_at", F.lit(now).cast("long")))
-    store.write(version, "dir_summaries", store.read("dir_summaries").join(dirs.select("dir_path"), "dir_path", "left_semi"))
-    row = {"id": None, "abs_path": None, "git_remote": None, **(repo or {}), "last_scan_at": now}
-    store.write(version, "repo", spark.createDataFrame([tuple(row[k] for k in ("id", "abs_path", "git_remote", "last_scan_at"))], TABLES["repo"]).coalesce(1))
-    store.publish(version)
-    # The report counts what this refresh extracted; the paths are those whose hash differs from before.
-    hashes_seen = diff(old, files).filter("status IN ('added', 'changed')").select("path")
-
-    staged_only = lambda df: df.join(hashes_seen, "path", "left_semi")
-    found = staged_only(symbols).agg(F.count("*").alias("n"), F.count_distinct("path").alias("files")).first()
-    report = RefreshReport(
-        **counts, manifests=staged_only(manifests).count(), run_configs=staged_only(run_configs).select("path").distinct().count(), readmes=staged_only(readmes).count(),
-        symbols_files=found.files, symbols_total=found.n, dirs_hashed=dirs.count(),
-    )
-    store.drop("_staged", "_listed")
+    def work(change: Change) -> RefreshReport:
+        old = change.read("files")
+        listed = change.work("listed", source.select("path", "size", "mtime"))  # the tree is walked once
+        same = old.select("path", F.col("mtime").alias("old_mtime"), F.col("size").alias("old_size"))
+        as_before = listed.join(same, "path").filter("mtime = old_mtime AND size = old_size").select("path")
+        wanted = listed if verify else listed.join(as_before, "path", "left_anti")
+        candidates = read(wanted) if read else source.join(wanted.select("path"), "path", "left_semi")
+        seen = change.work("seen", classified(candidates.filter("content IS NOT NULL")).select(*SEEN))  # hashed once
+        gone = old.select("path").join(listed, "path", "left_anti")
+        report = apply_changes(change, seen, gone, now)
+        if change.now["tables"].get("deleted"):  # what is there is no longer deleted
+            change.put("deleted", None, listed.select("path"))
+        _described(change, repo, now)
+        change.commit(depends=("files", "dir_hashes", "deleted"))
+        return report
+
+    report = store.retried(work)
+    store.compact()
     return report
 
 
-def _published(store: SnapshotStore, changed: dict[str, DataFrame]) -> None:
-    """Publish a version with these tables, and all others as they are."""
-    version = store.next_version()
-    for name in TABLES:
-        store.write(version, name, changed.get(name, store.read(name)))
-    store.publish(version)
-
-
 def store_file_summaries(store: SnapshotStore, new: DataFrame) -> int:
     """Put summaries (path, summary, source_hash, generated_at) into the index, in place of their paths' old ones,
     and into its text index, in one version; how many.  A null summary takes the old one away."""
-    staged = store.write(store.next_version(), "_new", new.select("path", "summary", "source_hash", "generated_at"), TABLES["file_summaries"])
-    made = staged.filter("summary IS NOT NULL")
-    _published(store, {
-        "file_summaries": replace_for(store.read("file_summaries"), made, staged),
-        "postings": by_term(replace_for(store.read("postings"), postings(made), staged)),
-        "doc_lengths": replace_for(store.read("doc_lengths"), doc_lengths(made), staged),
-    })
-    n = made.count()
-    store.drop("_new")
-    return n
+
+    def work(change: Change) -> int:
+        staged = change.work("summaries", new.select("path", "summary", "source_hash", "generated_at"))
+        made, paths = staged.filter("summary IS NOT NULL"), staged.select("path")
+        change.put("file_summaries", made, paths)
+        change.put("postings", postings(made), paths)
+        change.put("doc_lengths", doc_lengths(made), paths)
+        n = made.count()
+        change.commit()
+        return n
+
+    return store.retried(work)
 
 
 def store_dir_summaries(store: SnapshotStore, new: DataFrame) -> int:
     """Put summaries (dir_path, summary, child_hash, generated_at) into the index, in place of the old ones; how many."""
-    staged = store.write(store.next_version(), "_new", new.select("dir_path", "summary", "child_hash", "generated_at"), TABLES["dir_summaries"])
-    _published(store, {"dir_summaries": upsert(store.read("dir_summaries"), staged, ["dir_path"])})
-    n = staged.count()
-    store.drop("_new")
-    return n
+
+    def work(change: Change) -> int:
+        staged = change.work("summaries", new.select("dir_path", "summary", "child_hash", "generated_at"))
+        change.put("dir_summaries", staged, staged.select("dir_path"))
+        n = staged.count()
+        change.commit()
+        return n
+
+    return store.retried(work)
 
 
 def refresh_repo(spark: SparkSession, root: str, store_folder: str, now: int, verify: bool = False) -> tuple[SnapshotStore, RefreshReport]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import Xxh3
-from ..functions.paths import depth, parent_dir
+from ..functions.paths import ancestors, depth, parent_dir
 from ..schemas import TREE_CHILDREN, TREE_DEPTH
 
 
@@ -70,12 +70,38 @@ def merkle(files: DataFrame, digest: Callable[[], Any] = Xxh3, max_depth: int |
     rows = files.filter("hash IS NOT NULL").select("path", "hash", parent_dir(F.col("path")).alias("dir"))
     rows = rows.withColumn("level", depth(F.col("dir")))
     deepest = max_depth if max_depth is not None else rows.agg(F.max("level")).first()[0]
+    items = rows.select("level", "dir", F.lit(False).alias("is_dir"), "path", "hash", F.lit(1).cast("long").alias("n"))
+    return _upwards(items, deepest if deepest is not None else -1, digest)
+
+
+def _upwards(items: DataFrame, deepest: int, digest: Callable[[], Any]) -> DataFrame:
+    """The directories' rows, from level ``deepest`` to the root; items: level, dir, is_dir, path, hash, n of their children,
+    without the directories that are made here."""
     below, out = None, None
-    for level in range(deepest if deepest is not None else -1, -1, -1):
-        items = rows.filter(F.col("level") == level).select("dir", F.lit(False).alias("is_dir"), "path", "hash", F.lit(1).cast("long").alias("n"))
+    for level in range(deepest, -1, -1):
+        here = items.filter(F.col("level") == level).drop("level")
         if below is not None:
-            items = items.unionByName(below.select(parent_dir(F.col("dir_path")).alias("dir"), F.lit(True).alias("is_dir"), F.col("dir_path").alias("path"), F.col("child_hash").alias("hash"), F.col("file_count").alias("n")))
-        ordered = items.repartition("dir").sortWithinPartitions("dir", "is_dir", "path", "hash")
+            here = here.unionByName(below.select(parent_dir(F.col("dir_path")).alias("dir"), F.lit(True).alias("is_dir"), F.col("dir_path").alias("path"), F.col("child_hash").alias("hash"), F.col("file_count").alias("n")))
+        ordered = here.repartition("dir").sortWithinPartitions("dir", "is_dir", "path", "hash")
         below = ordered.mapInArrow(lambda it: _running(it, digest), "dir_path string, child_hash binary, file_count long")
         out = below if out is None else out.unionByName(below)
-    return out if out is not None else files.limit(0).select(F.col("path").alias("dir_path"), F.col("hash").alias("child_hash"), F.lit(0).cast("long").alias("file_count"))
+    return out if out is not None else items.limit(0).select(F.col("path").alias("dir_path"), F.col("hash").alias("child_hash"), F.lit(0).cast("long").alias("file_count"))
+
+
+def merkle_update(files: DataFrame, stored: DataFrame, changed: DataFrame, write: Callable[[str, DataFrame], DataFrame], digest: Callable[[], Any] = Xxh3) -> tuple[DataFrame, DataFrame]:
+    """(the new rows of directories above changed paths, those directories as dir_path).
+
+    files: path, hash, as they are now; stored: dir_path, child_hash, file_count of before; changed: the paths that
+    are new, gone or of another hash.  A directory that has no files any more has no new row.  Only directories
+    above changes are hashed, from their files and their directories' hashes, of which those that aren't above a
+    change are as stored.  write: keeps a small table that several steps read.
+    """
+    dirty = write("dirty", changed.select(F.explode(ancestors(F.col("path"))).alias("dir_path")).distinct())
+    own = dirty.select(F.col("dir_path").alias("dir"))
+    direct = files.filter("hash IS NOT NULL").select("path", "hash", parent_dir(F.col("path")).alias("dir")).join(own, "dir", "left_semi")
+    clean = stored.filter("dir_path != ''").join(dirty, "dir_path", "left_anti").withColumn("dir", parent_dir(F.col("dir_path"))).join(own, "dir", "left_semi")
+    items = direct.select("dir", F.lit(False).alias("is_dir"), "path", "hash", F.lit(1).cast("long").alias("n"))
+    items = items.unionByName(clean.select("dir", F.lit(True).alias("is_dir"), F.col("dir_path").alias("path"), F.col("child_hash").alias("hash"), F.col("file_count").alias("n")))
+    items = write("children", items.withColumn("level", depth(F.col("dir"))))
+    deepest = items.agg(F.max("level")).first()[0]
+    return _upwards(items, deepest if deepest is not None else -1, digest), dirty
