@@ -227,28 +227,28 @@ def html_symbols(spark, d):
 
 # --- maintenance ----------------------------------------------------------------------------------
 
-_SNAP = f"""d AS (SELECT doc_id, lang || '/' || source || '/' || doc_id || '.txt' AS path, text FROM documents),
+SNAPSHOTS = f"""d AS (SELECT doc_id, lang || '/' || source || '/' || doc_id || '.txt' AS path, text FROM documents),
 old AS (SELECT path, md5(text) AS hash, {EPOCH} + doc_id * 60 AS mtime, CAST(strlen(text) AS BIGINT) AS size FROM d WHERE doc_id % 7 <> 0),
 new AS (SELECT path, md5(t) AS hash, {EPOCH} + doc_id * 60 + late AS mtime, CAST(strlen(t) AS BIGINT) AS size FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS t, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 1 ELSE 0 END AS late FROM d) WHERE doc_id % 11 <> 0),
 diff AS (SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.path IS NULL THEN 'added' WHEN new.path IS NULL THEN 'deleted' WHEN old.hash <> new.hash THEN 'changed' ELSE 'unchanged' END AS status, old.hash AS old_hash, new.hash AS new_hash, new.mtime, new.size FROM old FULL JOIN new ON old.path = new.path)"""
 
 
-@query("snapshot_diff", f"WITH {_SNAP} SELECT count(*) FILTER (status <> 'deleted') AS scanned, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'deleted') AS deleted FROM diff")
+@query("snapshot_diff", f"WITH {SNAPSHOTS} SELECT count(*) FILTER (status <> 'deleted') AS scanned, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'deleted') AS deleted FROM diff")
 def snapshot_diff(spark, d):
     return snapshot.diff_report(snapshot.diff(*corpus.snapshots(spark, d)))
 
 
-@query("snapshot_diff_rows", f"WITH {_SNAP} SELECT * FROM diff")
+@query("snapshot_diff_rows", f"WITH {SNAPSHOTS} SELECT * FROM diff")
 def snapshot_diff_rows(spark, d):
     return snapshot.diff(*corpus.snapshots(spark, d))
 
 
-@query("snapshot_upsert", f"WITH {_SNAP} SELECT * FROM new UNION ALL SELECT * FROM old WHERE path NOT IN (SELECT path FROM new)")
+@query("snapshot_upsert", f"WITH {SNAPSHOTS} SELECT * FROM new UNION ALL SELECT * FROM old WHERE path NOT IN (SELECT path FROM new)")
 def snapshot_upsert(spark, d):
     return snapshot.upsert(*corpus.snapshots(spark, d), ["path"])
 
 
-@query("replace_symbols", f"WITH {_SNAP} SELECT path, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM d WHERE path IN (SELECT path FROM old) AND path NOT IN (SELECT path FROM diff WHERE status = 'changed') UNION ALL SELECT path, 'new' FROM diff WHERE status = 'changed'")
+@query("replace_symbols", f"WITH {SNAPSHOTS} SELECT path, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM d WHERE path IN (SELECT path FROM old) AND path NOT IN (SELECT path FROM diff WHERE status = 'changed') UNION ALL SELECT path, 'new' FROM diff WHERE status = 'changed'")
 def replace_symbols(spark, d):
     old, new = corpus.snapshots(spark, d)
     symbols = corpus.contents(spark, d).join(old.select("path"), "path", "left_semi").select("path", F.explode(F.regexp_extract_all("content", F.lit("([A-Z][a-z]+)"), 1)).alias("name"))
@@ -256,7 +256,7 @@ def replace_symbols(spark, d):
     return snapshot.replace_for(symbols, changed.withColumn("name", F.lit("new")), changed)
 
 
-@query("cascade_delete", f"WITH {_SNAP}, child AS (SELECT lang || '/' || source || '/' || d.doc_id || '.txt' AS path, quality, toxic FROM labels l JOIN documents d ON d.doc_id = l.doc_id) SELECT * FROM child WHERE path IN (SELECT path FROM new)")
+@query("cascade_delete", f"WITH {SNAPSHOTS}, child AS (SELECT lang || '/' || source || '/' || d.doc_id || '.txt' AS path, quality, toxic FROM labels l JOIN documents d ON d.doc_id = l.doc_id) SELECT * FROM child WHERE path IN (SELECT path FROM new)")
 def cascade_delete(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source")
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -481,3 +481,6 @@ def size_age_text(spark, d):
 @query("distinct_dirs", f"WITH {_FILES} SELECT DISTINCT array_to_string(p[1:i], '/') AS dir FROM (SELECT p, unnest(range(0, len(p))) AS i FROM (SELECT string_split(path, '/') AS p FROM files))")
 def distinct_dirs(spark, d):
     return corpus.listed(spark, d).select(F.explode(P.ancestors(F.col("path"))).alias("dir")).distinct()
+
+
+from . import versions  # noqa: E402, F401  (registers its queries, which use the above)
