@@ -1,10 +1,11 @@
-"""Ranked text search: a postings table made once, a query grammar, and BM25 as joins and sums."""
+"""Ranked text search: tokens and stems, the query grammar, and BM25 over postings."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ _STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+@lru_cache(1 << 17)
 def stem(word: str) -> str:
     """Porter's stem of an ASCII word of three letters or more; other words as they are."""
     if len(word) < 3 or not word.isascii() or not word.isalpha() or len(word) > 64:
@@ -156,147 +158,195 @@ class QueryError(ValueError):
 
 @dataclass
 class Node:
-    """op: AND, OR, NOT, or PHRASE with its tokens; the last token of a prefix phrase is a prefix."""
+    """op: AND, OR, NOT, NEAR (of phrases, within ``distance`` tokens), or PHRASE with its tokens; the last token of a
+    prefix phrase is a prefix, and a ``first`` phrase begins a text.  A NEVER phrase is in a column without tokens."""
 
     op: str
     parts: list[Node] = field(default_factory=list)
     tokens: tuple[str, ...] = ()
     prefix: bool = False
+    first: bool = False
+    distance: int = 10
 
 
-def parse_query(query: str, stemmed: bool = True) -> Node:
-    """The tree of a query: words and "phrases", side by side for AND, upper-case AND, OR, NOT, brackets,
-    a star for a prefix, + between parts of one phrase.  Raises QueryError for anything else."""
-    lexed = []
-    for m in re.finditer(r'"(?P<quoted>(?:[^"]|"")*)"|(?P<sign>[()*+])|(?P<word>[^\W]+|[^\s\w"()*+])|(?P<bad>")', query):
+#: The columns a query can name: a summary's path isn't tokenised.
+COLUMNS = ("path", "summary")
+
+
+def _lexed(query: str) -> list[tuple[str, str]]:
+    out = []
+    for m in re.finditer(r'"(?P<quoted>(?:[^"]|"")*)"|(?P<sign>[()*+^:,{}-])|(?P<word>\w+|[^\s\w"()*+^:,{}-])|(?P<bad>")', query):
         kind = m.lastgroup
         if kind == "bad" or (kind == "word" and not re.fullmatch(r"\w+", m.group())):
             raise QueryError(f'fts5: syntax error near "{m.group()}"')
-        lexed.append((kind, m[kind]))
-    at = 0
+        out.append((kind, m[kind].replace('""', '"') if kind == "quoted" else m[kind]))
+    return out
+
+
+class _Parser:
+    """Reads a query by the grammar of the text index: AND, OR and NOT between lists of phrases and NEAR groups."""
 
-    def peek():
-        return lexed[at] if at < len(lexed) else (None, "")
+    def __init__(self, query: str, stemmed: bool):
+        self.lexed, self.at, self.stemmed = _lexed(query), 0, stemmed
 
-    def take(*wanted):
-        nonlocal at
-        if peek() in wanted:
-            at += 1
+    def peek(self, ahead: int = 0) -> tuple[str | None, str]:
+        return self.lexed[self.at + ahead] if self.at + ahead < len(self.lexed) else (None, "")
+
+    def take(self, *wanted: tuple[str, str]) -> bool:
+        if self.peek() in wanted:
+            self.at += 1
             return True
         return False
 
-    def phrase() -> Node:
-        nonlocal at
+    def need(self, sign: str) -> None:
+        if not self.take(("sign", sign)):
+            self.wrong()
+
+    def wrong(self, near: str | None = None) -> None:
+        raise QueryError(f'fts5: syntax error near "{self.peek()[1] if near is None else near}"')
+
+    def named(self, ahead: int = 0) -> bool:
+        """Whether a word or a string stands here that is no operator."""
+        kind, text = self.peek(ahead)
+        return kind == "quoted" or (kind == "word" and text not in ("AND", "OR", "NOT"))
+
+    def phrase(self) -> Node:
         words: list[str] = []
         while True:
-            kind, text = peek()
-            if kind not in ("word", "quoted") or (kind == "word" and text in ("AND", "OR", "NOT")):
-                raise QueryError(f'fts5: syntax error near "{text}"')
-            at += 1
-            words += tokens(text.replace('""', '"'), False)
-            if not take(("sign", "+")):
+            if not self.named():
+                self.wrong()
+            words += tokens(self.peek()[1], False)
+            self.at += 1
+            if not self.take(("sign", "+")):
                 break
-        prefix = take(("sign", "*"))
-        shown = [stem(w) if stemmed and not (prefix and i == len(words) - 1) else w for i, w in enumerate(words)]
-        return Node("PHRASE", tokens=tuple(shown), prefix=prefix)
-
-    def atom() -> Node:
-        if take(("sign", "(")):
-            inner = either()
-            if not take(("sign", ")")):
-                raise QueryError('fts5: syntax error near ""')
-            return inner
-        return phrase()
-
-    def beside() -> Node:
-        parts = [atom()]
-        while peek()[0] in ("word", "quoted") and peek() not in (("word", "AND"), ("word", "OR"), ("word", "NOT")) or peek() == ("sign", "("):
-            parts.append(atom())
+        prefix = self.take(("sign", "*"))
+        return Node("PHRASE", tokens=tuple(stem(w) if self.stemmed else w for w in words), prefix=prefix)
+
+    def near(self) -> Node:
+        """A phrase, one that begins a text, or a group of phrases that are near each other."""
+        if self.take(("sign", "^")):
+            found = self.phrase()
+            found.first = True
+            return found
+        if self.named() and self.peek(1) == ("sign", "("):
+            if self.peek() != ("word", "NEAR"):
+                self.wrong()
+            self.at += 2
+            parts, distance = [self.phrase()], 10
+            while self.named():
+                parts.append(self.phrase())
+            if self.take(("sign", ",")):
+                kind, text = self.peek()
+                if kind is None or not text.isdigit():
+                    raise QueryError(f'expected integer, got "{text}"')
+                distance, self.at = int(text), self.at + 1
+            self.need(")")
+            return parts[0] if len(parts) == 1 else Node("NEAR", parts, distance=distance)
+        return self.phrase()
+
+    def columns(self) -> bool | None:
+        """Whether the columns named here have tokens; None if no columns are named."""
+        start, minus = self.at, self.take(("sign", "-"))
+        names = []
+        if self.take(("sign", "{")):
+            while self.named():
+                names.append(self.peek()[1])
+                self.at += 1
+            if not names:
+                self.wrong()
+            self.need("}")
+        elif self.named() and (minus or self.peek(1) == ("sign", ":")):
+            names.append(self.peek()[1])
+            self.at += 1
+        if not names:
+            if minus:
+                self.wrong("-")
+            self.at = start
+            return None
+        self.need(":")
+        for n in names:
+            if n.lower() not in COLUMNS:
+                raise QueryError(f"no such column: {n}")
+        return ("summary" in {n.lower() for n in names}) != minus
+
+    def listed(self) -> Node:
+        """Phrases and groups side by side, all of which must match; or one expression in brackets."""
+        parts: list[Node] = []
+        while self.named() or self.peek() in (("sign", "^"), ("sign", "-"), ("sign", "{")) or (not parts and self.peek()[0]):
+            seen = self.columns()
+            if self.peek() == ("sign", "("):
+                if parts:
+                    self.wrong()
+                self.at += 1
+                inner = self.either()
+                self.need(")")
+                return inner if seen is not False else _never(inner)
+            found = self.near()
+            parts.append(found if seen is not False else _never(found))
+        if not parts:
+            self.wrong()
         return parts[0] if len(parts) == 1 else Node("AND", parts)
 
-    def without() -> Node:
-        left = beside()
-        while take(("word", "NOT")):
-            left = Node("NOT", [left, beside()])
+    def without(self) -> Node:
+        left = self.listed()
+        while self.take(("word", "NOT")):
+            left = Node("NOT", [left, self.listed()])
         return left
 
-    def both() -> Node:
-        parts = [without()]
-        while take(("word", "AND")):
-            parts.append(without())
+    def both(self) -> Node:
+        parts = [self.without()]
+        while self.take(("word", "AND")):
+            parts.append(self.without())
         return parts[0] if len(parts) == 1 else Node("AND", parts)
 
-    def either() -> Node:
-        parts = [both()]
-        while take(("word", "OR")):
-            parts.append(both())
+    def either(self) -> Node:
+        parts = [self.both()]
+        while self.take(("word", "OR")):
+            parts.append(self.both())
         return parts[0] if len(parts) == 1 else Node("OR", parts)
 
-    if not lexed:
+
+def _never(node: Node) -> Node:
+    """The same with phrases that are found nowhere."""
+    if node.op == "PHRASE":
+        return Node("NEVER")
+    return Node(node.op, [_never(p) for p in node.parts], distance=node.distance)
+
+
+def parse_query(query: str, stemmed: bool = True) -> Node:
+    """The tree of a query: words and "phrases", side by side for AND, upper-case AND, OR, NOT, brackets, a star for
+    a prefix, + between parts of one phrase, ^ before a phrase that begins a text, NEAR(phrases, distance), and
+    column names with a colon.  Raises QueryError for anything else."""
+    parser = _Parser(query, stemmed)
+    if not parser.lexed:
         raise QueryError('fts5: syntax error near ""')
-    out = either()
-    if at < len(lexed):
-        raise QueryError(f'fts5: syntax error near "{peek()[1]}"')
+    out = parser.either()
+    if parser.at < len(parser.lexed):
+        parser.wrong()
     return out
 
 
-def _phrases(node: Node, out: list[Node]) -> list[Node]:
+def ranked_phrases(node: Node, out: list[Node] | None = None) -> list[Node]:
     """The phrases that are ranked, left to right; what stands after NOT isn't."""
-    if node.op == "PHRASE":
+    out = [] if out is None else out
+    if node.op in ("PHRASE", "NEVER"):
         out.append(node)
     for part in node.parts[:1] if node.op == "NOT" else node.parts:
-        _phrases(part, out)
+        ranked_phrases(part, out)
     return out
 
 
-def _moved(by: int):
-    return F.transform("positions", lambda p: p - by)
-
-
-def _occurrences(made: DataFrame, phrase: Node) -> DataFrame:
-    """path, tf, doc_length of a phrase: joins on path of its terms' postings, which a filter has cut down."""
-    n, out = len(phrase.tokens), None
-    for i, term in enumerate(phrase.tokens):
-        last = i == n - 1
-        hit = F.col("term").startswith(term) if last and phrase.prefix else F.col("term") == term
-        rows = made.filter(hit).select("path", "doc_length", F.explode(_moved(i)).alias("start")).distinct()
-        out = rows if out is None else out.join(rows.select("path", "start"), ["path", "start"])
-    return out.groupBy("path", "doc_length").agg(F.count("*").alias("tf"))
-
-
-def _matching(made: DataFrame, node: Node) -> DataFrame:
-    """The distinct paths that a query matches."""
-    if node.op == "PHRASE":
-        return _occurrences(made, node).select("path")
-    parts = [_matching(made, p) for p in node.parts]
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other) if node.op == "OR" else out.join(other, "path", "left_anti" if node.op == "NOT" else "left_semi")
-    return out.distinct() if node.op == "OR" else out
-
-
 def rank(made: DataFrame, lengths: DataFrame, query: str, stemmed: bool = True) -> DataFrame:
     """path, rank (BM25, best is lowest) of all matches.
 
-    A phrase without tokens matches nothing.  The corpus's two numbers are one row that meets each
-    phrase's own count in one row.
+    made: postings (term, path, doc_length, tf, positions), of which the query's terms' are read; lengths: of all
+    texts.  A phrase without tokens matches nothing.
     """
+    from .blocks import blocks_of_postings, document_frequencies, every_match, statistics
+
     tree = parse_query(query, stemmed)
-    matched = _matching(made, tree)
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("doc_length").alias("mean"))
-    scores = None
-    for phrase in _phrases(tree, []):
-        if not phrase.tokens:
-            continue
-        found = _occurrences(made, phrase)
-        df = found.agg(F.count("*").alias("df")).crossJoin(corpus)  # one row each
-        idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        part = found.crossJoin(F.broadcast(df)).select("path", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / F.col("mean")))).alias("score"))
-        scores = part if scores is None else scores.unionByName(part)
-    if scores is None:
-        return matched.limit(0).select("path", F.lit(0.0).alias("rank"))
-    return scores.join(matched, "path", "left_semi").groupBy("path").agg((-F.sum("score")).alias("rank"))
+    found = blocks_of_postings(made, tree)
+    return every_match(found, tree, statistics(lengths), document_frequencies(found, tree))
 
 
 def text_search(summaries: DataFrame, made: DataFrame, query: str, limit: int = 20, stemmed: bool = True, lengths: DataFrame | None = None) -> DataFrame:

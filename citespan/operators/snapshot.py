@@ -8,7 +8,9 @@ the index (see ``store``), so readers see the old index or the new one and never
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ from ..schemas import MAX_PARSED_BYTES, README_LINES, TABLES
 from .extract.manifests import parse_manifests
 from .extract.run_configs import parse_run_configs
 from .extract.symbols import extract_symbols
-from .fts import doc_lengths, postings
+from . import blocks
+from .fts import doc_lengths, postings, tokenized
 from .store import Change, Conflict, SnapshotStore  # noqa: F401  (the index's home for its users)
 from .tree import merkle_update
 
@@ -81,6 +84,30 @@ class RefreshReport:
     as_dict = asdict
 
 
+def _reblocked(change: Change, paths: DataFrame) -> None:
+    """Make the text index's parts anew that these paths are in, from the summaries that there are now."""
+    summaries, now = change.read("file_summaries").select("path", "summary"), change.now
+    n = summaries.count()
+    if now.get("parts", 0) * blocks.PART_TEXTS * 8 <= n:
+        now["parts"], all_ = blocks.parts_for(n), True
+    else:
+        all_ = False
+    part = blocks.part_of(F.col("path"), now["parts"]).alias("part")
+    touched = change.work("parts", paths.select(part).distinct())
+    if not all_:
+        summaries = summaries.withColumn("part", part).join(touched, "part", "left_semi").drop("part")
+    made = change.work("blocks", blocks.build(tokenized(summaries), now["parts"]))
+    for name, rows in (("term_blocks", blocks.term_blocks(made)), ("doc_blocks", blocks.doc_blocks(made))):
+        if all_:
+            change.replace(name, rows)
+        else:
+            change.put(name, rows, touched)
+
+
+#: Changed files up to which one task writes a table's new rows.
+FEW = 1000
+
+
 def apply_changes(change: Change, seen: DataFrame, gone: DataFrame, now: int) -> RefreshReport:
     """Put files into the index that are new or have been read again, and take files out of it; what was found.
 
@@ -97,32 +124,40 @@ def apply_changes(change: Change, seen: DataFrame, gone: DataFrame, now: int) ->
     change.buckets(n_old + n.added)
     scanned = n_old - n_gone + n.added
 
+    few = n.added + n.changed + n_gone <= FEW
     touched = changed.select("path").unionByName(vanished)
-    files = seen.select("path", "hash", "mtime", "size", "lang", "is_binary", F.lit(now).cast("long").alias("updated_at"))
-    change.put("files", files, seen.select("path").unionByName(vanished))
     usable = changed.drop("was").filter((F.col("size") <= MAX_PARSED_BYTES) & ~F.col("is_binary") & F.col("content").isNotNull())
     hashes = changed.select("path", "hash")
-    manifests = change.put("manifests", parse_manifests(usable).join(hashes, "path"), touched)
-    run_configs = change.put("run_configs", parse_run_configs(usable).join(hashes, "path"), touched)
-    readmes = change.put("readmes", readme_heads(usable.filter(is_readme(basename(F.col("path"))))).join(hashes, "path"), touched)
-    symbols = change.put("symbols", extract_symbols(usable), touched)
+    keys = change.keys(touched, few)
+    layers = {
+        "files": (seen.select("path", "hash", "mtime", "size", "lang", "is_binary", F.lit(now).cast("long").alias("updated_at")), seen.select("path").unionByName(vanished)),
+        "manifests": (parse_manifests(usable).join(hashes, "path"), keys),
+        "run_configs": (parse_run_configs(usable).join(hashes, "path"), keys),
+        "readmes": (readme_heads(usable.filter(is_readme(basename(F.col("path"))))).join(hashes, "path"), keys),
+        "symbols": (extract_symbols(usable), keys),
+    }
+    with ThreadPoolExecutor(len(layers)) as pool:  # tables are written side by side
+        made = dict(zip(layers, pool.map(lambda name: change.put(name, *layers[name], few=few), layers)))
 
     now_there = change.read("files").select("path", "hash")
-    lost = vanished
     if change.now["tables"].get("file_summaries"):  # summaries of files that never were go too
-        lost = lost.unionByName(change.read("file_summaries").select("path").join(now_there, "path", "left_anti"))
+        lost = vanished.unionByName(change.read("file_summaries").select("path").join(now_there, "path", "left_anti"))
+        gone_keys = change.keys(lost, few)
         for name in ("postings", "doc_lengths", "file_summaries"):
-            change.put(name, None, lost)
-    made, dirty = merkle_update(now_there, change.read("dir_hashes"), touched, change.work)
-    made = change.put("dir_hashes", made.withColumn("updated_at", F.lit(now).cast("long")), dirty)
+            change.put(name, None, gone_keys)
+        _reblocked(change, lost)
+    hashed, dirty = merkle_update(now_there, change.read("dir_hashes"), touched, change.work)
+    hashed = change.put("dir_hashes", hashed.withColumn("updated_at", F.lit(now).cast("long")), dirty, few)
     if change.now["tables"].get("dir_summaries"):
-        change.put("dir_summaries", None, dirty.join(made.select("dir_path"), "dir_path", "left_anti"))
+        change.put("dir_summaries", None, dirty.join(hashed.select("dir_path"), "dir_path", "left_anti"), few)
 
-    found = symbols.agg(F.count("*").alias("n"), F.count_distinct("path").alias("files")).first()
+    tagged = [made[name].select(F.lit(name).alias("name"), "path") for name in ("manifests", "run_configs", "readmes", "symbols")]
+    found = {r.name: r for r in reduce(DataFrame.unionByName, tagged).groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files")).collect()}
+    n_of = lambda name, what: found[name][what] if name in found else 0
     return RefreshReport(
         scanned=scanned, added=n.added, changed=n.changed, unchanged=scanned - n.added - n.changed, deleted=n_gone,
-        manifests=manifests.count(), run_configs=run_configs.select("path").distinct().count(), readmes=readmes.count(),
-        symbols_files=found.files, symbols_total=found.n, dirs_hashed=change.read("dir_hashes").count(),
+        manifests=n_of("manifests", "n"), run_configs=n_of("run_configs", "files"), readmes=n_of("readmes", "n"),
+        symbols_files=n_of("symbols", "files"), symbols_total=n_of("symbols", "n"), dirs_hashed=change.read("dir_hashes").count(),
     )
 
 
@@ -160,7 +195,7 @@ def refresh(source: DataFrame, store: SnapshotStore, now: int, verify: bool = Fa
         if change.now["tables"].get("deleted"):  # what is there is no longer deleted
             change.put("deleted", None, listed.select("path"))
         _described(change, repo, now)
-        change.commit(depends=("files", "dir_hashes", "deleted"))
+        change.commit(depends=("files", "dir_hashes", "deleted", "file_summaries"))
         return report
 
     report = store.retried(work)
@@ -178,8 +213,9 @@ def store_file_summaries(store: SnapshotStore, new: DataFrame) -> int:
         change.put("file_summaries", made, paths)
         change.put("postings", postings(made), paths)
         change.put("doc_lengths", doc_lengths(made), paths)
+        _reblocked(change, paths)
         n = made.count()
-        change.commit()
+        change.commit(depends=("file_summaries",))
         return n
 
     return store.retried(work)

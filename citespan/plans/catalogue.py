@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
-from ..operators import aggregates, evidence, fts, lookup, overview, snapshot, summaries, tree
+from ..operators import aggregates, blocks, evidence, fts, lookup, overview, snapshot, summaries, tree
 from ..sources import corpus
 from ..sources.corpus import EPOCH
 from ..sources.repo import char_counts
@@ -389,10 +389,10 @@ def _ranked(ctes: list[str], scored: list[str], where: str, limit: int = 20) ->
     return f"WITH {_TOKENS}, {', '.join(ctes)}, r AS (SELECT path, -sum(score) AS rank FROM ({union}) GROUP BY path HAVING {where} ORDER BY round(rank, 9), path LIMIT {limit}) SELECT r.path, t.text AS summary, round(r.rank, 4) AS rank FROM r JOIN tok t ON t.path = r.path"
 
 
-def _fts(q: str) -> Query:
+def _fts(q: str, stemmed: bool = False) -> Query:
     def run(spark, d):
-        made, postings, lengths = corpus.text_index(spark, d)
-        return fts.text_search(made, postings, q, stemmed=False, lengths=lengths).withColumn("rank", F.round("rank", 4))
+        made, terms, docs = corpus.text_index(spark, d, stemmed)
+        return blocks.best_summaries(made, terms, docs, q, stemmed=stemmed).withColumn("rank", F.round("rank", 4))
 
     return run
 
@@ -404,6 +404,11 @@ query("fts_or", _ranked([_score("a", _TF.format("thing")), _score("b", _TF.forma
 query("fts_not", _ranked([_score("a", _TF.format("thing")), "c AS (SELECT path FROM tok WHERE list_contains(w, 'was'))"], ["a"], "path NOT IN (SELECT path FROM c)"))(_fts("thing NOT was"))
 query("fts_phrase", _ranked([_score("a", "len(list_filter(range(1, len(w)), lambda i: w[i] = 'the' AND w[i + 1] = 'thing'))")], ["a"], "true"))(_fts('"the thing"'))
 query("fts_prefix", _ranked([_score("a", "len(list_filter(w, lambda x: x LIKE 'thesan%'))")], ["a"], "true"))(_fts("thesan*"))
+_APART = "near AS (SELECT path FROM tok WHERE len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'thing' AND list_contains(w[greatest(1, i - 5):i + 5], 'the'))) > 0)"
+query("fts_near", _ranked([_score("a", _TF.format("thing")), _APART], ["a"], "path NOT IN (SELECT path FROM near)"))(_fts('"thing" NOT NEAR(thing the, 4)'))
+query("fts_first", _ranked([_score("a", "CAST(w[1] = 'the' AS INTEGER)"), _score("b", _TF.format("thing"))], ["a", "b"], "path IN (SELECT path FROM a) AND path IN (SELECT path FROM b)"))(_fts('"thing" AND ^the'))
+query("fts_column", _ranked([_score("a", _TF.format("thing")), _score("b", _TF.format("the"))], ["a", "b"], "path IN (SELECT path FROM a) AND path IN (SELECT path FROM b)"))(_fts('"thing" AND summary : the NOT path : thing'))
+query("fts_stemmed", _ranked([_score("a", "len(list_filter(w, lambda x: regexp_matches(x, '^thing(s|es?|eds?|ings?|ness(es)?|ful(s|ness(es)?)?|ative(s|ness(es)?)?|ativity)?$')))")], ["a"], "true"))(_fts("things", stemmed=True))
 
 
 # --- evidence -------------------------------------------------------------------------------------

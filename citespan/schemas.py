@@ -18,21 +18,24 @@ DIR_SUMMARIES = "dir_path string, summary string, child_hash binary, generated_a
 #: The text index over file summaries: stemmed terms, and the length of every summary.
 POSTINGS = "term string, path string, doc_length int, tf long, positions array<int>"
 DOC_LENGTHS = "path string, doc_length int"
+#: The same index in blocks: a row for each term and block of texts, and one for each block.
+TERM_BLOCKS = "part string, block int, term string, n int, most int, shortest int, ords binary, tfs binary, sizes binary, positions binary"
+DOC_BLOCKS = "part string, block int, paths array<string>, n long, tokens long"
 #: Paths that a stream has deleted, and when: older events of theirs no longer count.
 DELETED = "path string, mtime long"
 
 TABLES = {
     "repo": REPO, "files": FILES, "manifests": MANIFESTS, "run_configs": RUN_CONFIGS, "readmes": READMES, "symbols": SYMBOLS,
     "dir_hashes": DIR_HASHES, "file_summaries": FILE_SUMMARIES, "dir_summaries": DIR_SUMMARIES,
-    "postings": POSTINGS, "doc_lengths": DOC_LENGTHS, "deleted": DELETED,
+    "postings": POSTINGS, "doc_lengths": DOC_LENGTHS, "term_blocks": TERM_BLOCKS, "doc_blocks": DOC_BLOCKS, "deleted": DELETED,
 }
 #: How files of a table are sorted, where it isn't by key.
-SORTED = {"postings": ["term", "path"], "symbols": ["path", "start_line"]}
+SORTED = {"postings": ["term", "path"], "symbols": ["path", "start_line"], "term_blocks": ["term", "part", "block"], "doc_blocks": ["part", "block"]}
 
 
 def key_of(table: str) -> str | None:
     """The column by whose values a table's rows are replaced; the one row of repo is replaced as a whole."""
-    return None if table == "repo" else "dir_path" if table.startswith("dir_") else "path"
+    return None if table == "repo" else "dir_path" if table.startswith("dir_") else "part" if table.endswith("_blocks") else "path"
 
 # The documented limits.
 MAX_PARSED_BYTES = 262_144

@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fts
+from ..operators import blocks, fts
+from ..schemas import DOC_BLOCKS, TERM_BLOCKS
 
 EPOCH = 1_704_067_200
 
@@ -38,7 +39,7 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select(_path().alias("path"), F.col("text").alias("content"))
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -54,21 +55,29 @@ def scratch(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="citespan-") + "/made"
 
 
-def text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(path and summary, postings, lengths) of documents, each text its own summary; the last two are
-    written at the first call of a session and read from then on, as an index keeps them."""
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Length, number of files and last change of a table, which another state of the table doesn't share."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    of = fs.getContentSummary(at)
+    return of.getLength(), of.getFileCount(), fs.getFileStatus(at).getModificationTime()
+
+
+def text_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(path and summary, term blocks, document blocks) of documents, each text its own summary; the last two are
+    written at the first call of a session for this state of the table and read from then on, as an index keeps them."""
     made = contents(spark, sf_dir).withColumnRenamed("content", "summary")
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, stemmed, *_state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _indexes:
         folder = scratch(spark)
-        words = fts.tokenized(made, stemmed=False)
-        words.write.parquet(f"{folder}/words")  # tokenised once
-        words = spark.read.parquet(f"{folder}/words")
-        fts.by_term(fts.postings_of(words)).write.parquet(f"{folder}/postings")
-        fts.lengths_of(words).write.parquet(f"{folder}/lengths")
+        every = blocks.build(fts.tokenized(made, stemmed), blocks.parts_for(made.count()))
+        every.write.parquet(f"{folder}/made")  # tokenised once
+        every = spark.read.schema(every.schema).parquet(f"{folder}/made")
+        blocks.term_blocks(every).repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{folder}/terms")
+        blocks.doc_blocks(every).write.parquet(f"{folder}/docs")
         _indexes[key] = folder
     folder = _indexes[key]
-    return made, spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
+    return made, spark.read.schema(TERM_BLOCKS).parquet(f"{folder}/terms"), spark.read.schema(DOC_BLOCKS).parquet(f"{folder}/docs")
 
 
 def _url_path(url):

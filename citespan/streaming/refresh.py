@@ -50,7 +50,7 @@ def apply_events(events: DataFrame, store: SnapshotStore, now: int, stream: str
         change.put("deleted", deleted.select("path", "mtime"), newer.select("path"))
         if stream is not None:
             change.stream(stream, epoch)
-        change.commit(depends=("files", "dir_hashes", "deleted"))
+        change.commit(depends=("files", "dir_hashes", "deleted", "file_summaries"))
         return report
 
     return store.retried(work)

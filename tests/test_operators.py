@@ -1,5 +1,6 @@
 """Quirks and edge cases, one by one, and properties against plain Python."""
 
+import random
 import sqlite3
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from citespan.functions import paths, text
-from citespan.operators import evidence, fts, lookup, summaries, tree
+from citespan.operators import blocks, evidence, fts, lookup, summaries, tree
 from citespan.operators.extract.run_configs import text_lines
 
 
@@ -152,3 +153,53 @@ def test_sessions(spark):
     calls = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "b", 2)], "session int, name string, seq int")
     back = spark.createDataFrame([(1, "a", 5), (1, "b", 4)], "session int, name string, seq int")
     assert {(r.name, r.call_seq, r.response_seq) for r in evidence.pair_calls(calls, back).collect()} == {("a", 0, 5), ("a", 1, None), ("b", 2, 4)}
+
+
+GRAMMAR = ["ones*", "happily*", "one (two)", "(one) two", "NEAR(one five)", "NEAR(one five, 2)", 'NEAR("one two" five, 1)', "NEAR(one)", "^one", "^ one", '^"one two"', "one ^two", "summary : one", "path : one", "{path summary} : one", "-path : one", "- {path} : one", "summary : (one OR two) AND five", "summary : one two", "nope : one", "summary : NEAR(one five)", "NEAR(one five) OR two", "NEAR (one five)", "NEAR one", "near(one five)", '"NEAR" one', "^one + two", "one + ^two", "NEAR(^one five,3)", "one AND NEAR(two, 5)", "NEAR(one, x)", '"summary" : one', "summary:^one", "summary : - one", "SUMMARY : one", "one NOT (two)", "NEAR(one* five, 0)", "NEAR(one+two five, 9)", "^one*", "path : one OR two", "summary : path : one", '"one" : one', "{} : one", "(one two) three", "(one OR two) (three)", "one OR two three", "one two OR three", "NEAR(one two x five, 2)", "NEAR(two one, 0)", "NEAR(x x, 1)", "five NOT NEAR(one five, 1)"]
+TEXTS = [("a", "one two three four five"), ("b", "one five two"), ("c", "two one one x x x x five one two"), ("d", "five x one x two x three"), ("e", "x x x x"), ("f", "two two one five five one"), ("g", None), ("h", "")]
+
+
+@pytest.mark.parametrize("query", GRAMMAR)
+def test_grammar_matches_fts5(query):
+    """Every form of a query matches, ranks or fails as in the engine; evaluated without Spark, block by block."""
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(path UNINDEXED, summary, tokenize='porter unicode61')")
+    db.executemany("INSERT INTO t VALUES (?, ?)", [t for t in TEXTS if t[1] is not None])
+    try:
+        want = {p: r for p, r in db.execute("SELECT path, bm25(t) FROM t WHERE t MATCH ?", (query,))}
+    except sqlite3.OperationalError as e:
+        with pytest.raises(fts.QueryError) as got:
+            fts.parse_query(query)
+        assert str(got.value) == str(e)
+        return
+    tree, docs = fts.parse_query(query), [(p, fts.tokens(t)) for p, t in TEXTS if t is not None]
+    rows = {}
+    for term in {w for _, ws in docs for w in ws}:
+        at = [(i, ws.count(term), len(ws), [k for k, w in enumerate(ws) if w == term]) for i, (_, ws) in enumerate(docs) if term in ws]
+        names = [c.split()[0] for c in blocks.TERM_BLOCKS.split(", ")]
+        rows[term] = dict(zip(names, blocks._row("0", 0, term, [x[0] for x in at], [x[1] for x in at], [x[2] for x in at], [k for x in at for k in x[3]])))
+    lists = blocks.Lists(rows, len(docs))
+    df = [int((blocks.occurrences(lists, p) > 0).sum()) if p.op == "PHRASE" and p.tokens else 0 for p in fts.ranked_phrases(tree)]
+    mean = sum(len(ws) for _, ws in docs) / len(docs)
+    weights = blocks._weights(blocks.Corpus(len(docs), mean), df)
+    hits, total = blocks._scores(lists, tree, weights, mean)
+    got = {docs[i][0]: -s for i, s in zip(hits, total)}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+    assert not got or blocks._bound(rows, tree, iter(weights), mean) >= max(total) - 1e-12
+
+
+def test_block_search(spark, monkeypatch):
+    """The best of blocks are the best of all postings, and blocks below them aren't evaluated."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(f"p{i:04d}", " ".join(rng.choices(words, [1 / (k + 1) for k in range(30)], k=rng.randint(1, 40)))) for i in range(900)] + [("z", "w29 w29 w29")]
+    docs += [(f"q{i:03d}", "w0 w3 w5") for i in range(50)]  # ties
+    df = spark.createDataFrame(docs, "path string, summary string")
+    made = blocks.build(fts.tokenized(df, False), 3).cache()
+    terms, texts, postings, lengths = blocks.term_blocks(made), blocks.doc_blocks(made), fts.postings(df, False).cache(), fts.doc_lengths(df, False)
+    for query in ("w29", "w0 w3", "w29 OR w28", '"w0 w1" OR w7', "w2* NOT w20", "NEAR(w5 w6, 3)", "^w4 OR w11", "absent", "w0 w3 w5"):
+        got = [tuple(r) for r in blocks.search(terms, texts, query, 7, False).collect()]
+        want = fts.rank(postings, lengths, query, False).orderBy(F.round("rank", 9), "path").limit(7)
+        assert [p for p, _ in got] == [r.path for r in want.collect()], query
+    report = blocks.search_report(terms, texts, "w29", 1, False).first()
+    assert report.evaluated < report.blocks
