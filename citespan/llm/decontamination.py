@@ -117,15 +117,21 @@ class Canonical:
             sums = np.concatenate(([0], np.cumsum(mark)))
             return sums[size:] - sums[:-size]
 
-        yield self, np.arange(n - size + 1)
+        # Half of a window's tokens must be literal: placeholders alone would match any list of numbers or names.
+        # A window with fewer stands for itself, with its very values.
+        enough = 2 * inside(self.types == 0) >= size
+        yield self, np.flatnonzero(enough)
+        if not enough.all():
+            yield self._form(np.zeros(n, np.int8)), np.flatnonzero(~enough)
         if self.wide is not self.types:
             at = np.flatnonzero((inside(self.wide != self.types) > 0) & (2 * inside(self.wide == 0) >= size))
             if len(at):
                 yield self._form(self.wide), at
         names = self.types == _NAME
         if names.any():
-            at = np.flatnonzero(inside(names) > 0)
-            yield self._form(np.where(names, 0, self.types).astype(np.int8)), at
+            literal = np.where(names, 0, self.types).astype(np.int8)
+            at = np.flatnonzero((inside(names) > 0) & (2 * inside(literal == 0) >= size))
+            yield self._form(literal), at
 
     def windows(self, size: int = WINDOW) -> np.ndarray:
         """Hashes of all windows of ``size`` tokens; of a shorter text the one of all its tokens."""

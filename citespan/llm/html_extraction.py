@@ -49,7 +49,7 @@ BESIDE = 3
 # HTML's element classes, and names that web pages use for what isn't the article.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
-_DROP = frozenset("nav footer aside script style noscript template textarea title iframe head dialog menu button select option svg canvas object embed noembed noframes xmp video audio math label fieldset".split())
+_DROP = frozenset("nav footer aside script style noscript template textarea title iframe head dialog menu button select option svg canvas object embed noembed noframes xmp video audio fieldset".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _MAIN = frozenset(("article", "main"))
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
@@ -66,7 +66,7 @@ _NEUTRAL_WORDS = frozenset(
 )
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
@@ -236,14 +236,99 @@ class _Open:
         self.tag, self.number, self.skip = tag, number, skip
 
 
+class _Stack(list):
+    """The open elements, and where those of each tag and kind stand, so that an end finds its start at once."""
+
+    def __init__(self):
+        super().__init__([_Open("", 0, False)])
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+        self.scopes: list[int] = [0]
+        self.rows: list[int] = [0]  # scopes but cells
+        self.mains: list[int] = [0]
+        self.lists: dict[str, list[list[int]]] = {}
+
+    def _of(self, tag: str) -> list[list[int]]:
+        """The lists that an element with this tag stands in."""
+        if tag not in self.lists:
+            kinds = (self.blocks, tag in _BLOCK), (self.scopes, tag in _SCOPES), (self.rows, tag in _SCOPES and tag not in ("td", "th")), (self.mains, tag in _MAIN)
+            self.lists[tag] = [self.places.setdefault(tag, []), *(of for of, here in kinds if here)]
+        return self.lists[tag]
+
+    def push(self, item: _Open) -> None:
+        n = len(self)
+        for of in self.lists.get(item.tag) or self._of(item.tag):
+            of.append(n)
+        self.append(item)
+
+    def drop(self) -> None:
+        for of in self.lists[self.pop().tag]:
+            of.pop()
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost element with one of these tags stands; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+
+class _Marks:
+    """The next mark of markup from a place on, in time linear in the page."""
+
+    def __init__(self, text: str):
+        self.text, self.never, self.plain = text, {}, False
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` stands next; -1 if nowhere, which is remembered."""
+        if at >= self.never.get(what, len(self.text) + 1):
+            return -1
+        found = self.text.find(what, at)
+        if found < 0:
+            self.never[what] = at
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose names end at ``at``: at the next > outside of quotes; -1 if it never does.
+        Once quotes have led to the page's end without one, tags end at the next > whatever is quoted."""
+        start = at
+        while not self.plain:
+            end = self.find(">", at)
+            if end < 0:
+                break
+            if at == start:
+                between = self.text[at:end]
+                if "'" not in between and between.count('"') % 2 == 0:
+                    return end
+            quote = min((q for q in (self.text.find('"', at, end), self.text.find("'", at, end)) if q >= 0), default=-1)
+            if quote < 0:
+                return end
+            closed = self.find(self.text[quote], quote + 1)
+            if closed < 0:
+                break
+            at = closed + 1
+        if self.find(">", start) >= 0:
+            self.plain = True
+        return self.find(">", start)
+
+
+def _raw_end(text: str, tag: str, at: int, marks: _Marks) -> int:
+    """Where what follows an element of raw text begins; the page's end if it is never closed."""
+    name = f"</{tag}"
+    if at >= marks.never.get(name, len(text) + 1):
+        return len(text)
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
+    if end is None:
+        marks.never[name] = at
+    return end.end() if end else len(text)
+
+
 def parse(html: str | None) -> Page:
     """A page's elements and texts; scripts, styles, comments and markup are left out.
 
     Unclosed elements end as HTML says: a paragraph at the next block, a list item at the next one, all
-    at the end.
+    at the end; a tag that isn't closed is none, and what follows it is left out.  Time is linear in the page's
+    length, however broken it is.
     """
     page = Page()
-    stack = [_Open("", 0, False)]
+    stack = _Stack()
     words: list[str] = []
 
     def flush():
@@ -258,34 +343,51 @@ def parse(html: str | None) -> Page:
         while len(stack) > until:
             if stack[-1].tag in _BLOCK:
                 flush()
-            stack.pop()
+            stack.drop()
 
     at, text = 0, html or ""
-    n = len(text)
+    n, marks_of = len(text), _Marks(text)
     while at < n:
-        m = _PART.match(text, at)
-        if m is None:  # an unclosed tag to the end of the page
-            break
-        at = m.end()
-        if m["text"] is not None:
+        if text[at] != "<":
+            end = marks_of.find("<", at)
+            end = n if end < 0 else end
             if not stack[-1].skip:
-                words.append(entities.unescape(m["text"]) if "&" in m["text"] else m["text"])
+                some = text[at:end]
+                words.append(entities.unescape(some) if "&" in some else some)
+            at = end
             continue
-        if m["tag"] is None:
-            if m["cdata"] is not None and not stack[-1].skip:
-                words.append(m["cdata"])
+        if text.startswith("<!--", at):
+            end = marks_of.find("-->", at + 4)
+            at = n if end < 0 else end + 3
             continue
-        tag = m["tag"].lower()
-        if m["end"]:
+        if text.startswith("<![CDATA[", at):
+            end = marks_of.find("]]>", at + 9)
+            if not stack[-1].skip:
+                words.append(text[at + 9 : n if end < 0 else end])
+            at = n if end < 0 else end + 3
+            continue
+        if text.startswith(("<!", "<?"), at):
+            end = marks_of.find(">", at)
+            at = n if end < 0 else end + 1
+            continue
+        m = _NAME.match(text, at)
+        if m is None:
+            if not stack[-1].skip:
+                words.append("<")
+            at += 1
+            continue
+        end = marks_of.tag_end(m.end())
+        if end < 0:  # an unclosed tag to the end of the page
+            break
+        between, at = text[m.end() : end], end + 1
+        tag = m[2].lower()
+        if m[1]:
             if tag == "br":
                 words.append(" ")
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in _SCOPES and tag not in _BLOCK or stack[i].tag in _MAIN and tag == "p":
-                    break
+            i = stack.last(tag)
+            if i and not (tag not in _BLOCK and stack.scopes[-1] > i) and not (tag == "p" and stack.mains[-1] > i):
+                close(i)
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -293,32 +395,23 @@ def parse(html: str | None) -> Page:
             elif tag == "br" and not stack[-1].skip:
                 words.append(" ")
             continue
-        attrs = _attributes(m["attrs"]) if m["attrs"].strip() else {}
-        if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in _BLOCK:
-                    break
+        attrs = _attributes(between) if between.strip() else {}
+        if tag in _CLOSES_P and stack.last("p") and stack.last("p") == stack.blocks[-1]:
+            close(stack.last("p"))
         if tag in _CLOSED_BY:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in _CLOSED_BY[tag]:
-                    close(i)
-                    break
-                if stack[i].tag in _SCOPES and not (tag == "tr" and stack[i].tag in ("td", "th")):
-                    break
+            i = stack.last(*_CLOSED_BY[tag])
+            if i and (stack.rows if tag == "tr" else stack.scopes)[-1] <= i:
+                close(i)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-            at = end.end() if end else n
+            at = _raw_end(text, tag, at, marks_of)
             continue
-        if m["attrs"].rstrip().endswith("/") and tag not in _BLOCK:
+        if between.rstrip().endswith("/") and tag not in _BLOCK:
             continue
         top = stack[-1]
         inside = page.marks[top.number] & INSIDE
         marks = _marks(tag, attrs, inside > 0)
         if tag not in _BLOCK:
-            stack.append(_Open(tag, top.number, top.skip or marks & (HARD | SOFT) > 0))
+            stack.push(_Open(tag, top.number, top.skip or marks & (HARD | SOFT) > 0))
             continue
         flush()
         page.parents.append(top.number)
@@ -326,7 +419,7 @@ def parse(html: str | None) -> Page:
         # What stands in an inline element that is noise is noise as well.
         marks = marks | (HARD if top.skip else 0)
         page.marks.append(marks | (inside or (INSIDE if marks & MAIN else 0)))
-        stack.append(_Open(tag, len(page.parents) - 1, False))
+        stack.push(_Open(tag, len(page.parents) - 1, False))
     close(1)
     flush()
     return page

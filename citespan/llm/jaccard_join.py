@@ -403,13 +403,36 @@ def near_duplicates(docs: DataFrame, told: dict | None = None) -> DataFrame:
     return out.unionByName(nulls)
 
 
+def _numbered(keys: DataFrame) -> DataFrame:
+    """keys (id, text_hash) with ``number``, from 0 without gaps in their order; the driver gets a count of each partition."""
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keys.repartitionByRange(parts, "id", "text_hash").sortWithinPartitions("id", "text_hash")
+    ordered = cut(ordered.select("id", "text_hash", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth")))
+    before, starts = 0, []
+    for r in ordered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts.append((r.part, before))
+        before += r.n
+    first = F.broadcast(keys.sparkSession.createDataFrame(starts, "part int, before long"))  # a row for each partition
+    return ordered.join(first, "part").select("id", "text_hash", (F.col("before") + F.col("nth")).alias("number"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id.  Of repeated rows with that id one
-    stays; rows with a null doc_id all stay."""
-    mine = fresh(docs, "kept_id")
-    kept = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias(mine)).distinct()
-    once = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col(mine), "left_semi")
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """docs with one row of each class of near copies: that of its least doc_id (of one id's texts, by their hash).
+
+    Of rows that repeat both doc_id and text one stays.  A doc_id that stands for several texts stands for several
+    documents: each is kept or goes with its own class.  Rows with a null doc_id all stay.
+    """
+    mine, text_hash = fresh(docs, "kept_id"), fresh(docs, "kept_hash")
+    named = docs.filter("doc_id IS NOT NULL").withColumn(mine, F.col("doc_id").cast("long")).withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
+    nulls = docs.filter("doc_id IS NULL")
+    keys = named.select(F.col(mine).alias("id"), F.col(text_hash).alias("text_hash")).distinct()
+    if keys.groupBy("id").count().filter("count > 1").isEmpty():
+        kept = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias(mine)).distinct()
+        return named.join(kept, mine, "left_semi").dropDuplicates([mine]).select(*docs.columns).unionByName(nulls)
+    numbers = _numbered(keys).toDF(mine, text_hash, number := fresh(docs, "kept_number"))
+    each = cut(named.join(numbers, [mine, text_hash]).drop(mine, text_hash))
+    kept = near_duplicates(each.select(F.col(number).alias("doc_id"), "text")).filter("doc_id = class_id").select(F.col("doc_id").alias(number)).distinct()
+    return each.join(kept, number, "left_semi").dropDuplicates([number]).select(*docs.columns).unionByName(nulls)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -376,6 +376,24 @@ def test_importance_against_brute_force(frame):
             assert r.importance == pytest.approx(0.2 * r.shape_importance + 0.8 * r.content_importance) and r.pages == r.host_pages == len({main(h) for h in here})
 
 
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<b>" * 120_000 + "</i>" * 120_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<a '" * 250_000 + ">", "<a \"'" * 200_000 + ">", "<script>" * 120_000, "<!--" * 250_000, "<p><b>" * 150_000, "<li><b>" * 150_000 + "</li>" * 150_000, "<" * 1_000_000, "<a x=\"" * 200_000])
+def test_broken_pages_take_linear_time(html):
+    import time
+
+    start = time.process_time()
+    html_extraction.parse(html)
+    assert time.process_time() - start < 12  # a quadratic parser needs minutes
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [("<article><p>a <label>b</label> <math><mi>x</mi></math> c</p></article>", "a b x c"), ("<p>one<p>two</i> three</b>", "one\n\ntwo three"), ("<p>a <b title='>'>b</b> c <a href=\"x", "a b c"),
+     ("<p>x < y and <3</p>", "x < y and <3"), ("<ul><li>a<li>b</ul>c", "a\n\nb\n\nc"), ("<p>a<SCRIPT>x</Script >b", "ab"), ("<p>a<!-- b > -->c<![CDATA[d]]>e", "acde"), ("<p title=\"a>b'c\">d", "d")],
+)
+def test_markup(html, text):
+    assert "\n\n".join(html_extraction.parse(html).main_texts()) == text
+
+
 def test_copies_of_a_story_are_one_page(frame, monkeypatch):
     story = [(i, f"http://n.example/{i}", f"<body><nav>{i}</nav><div class=x><p>motto</p></div><article><p>The one story</p></article><div class=ad>{i % 3}</div>") for i in range(30)]
     story += [(100 + i, f"http://n.example/o{i}", f"<body><div class=x><p>motto</p></div><p>Told {i}</p>") for i in range(4)]

@@ -228,6 +228,35 @@ def test_an_item_many_times_over_in_one_text(frame):
     assert hits(docs, [(0, ITEM)], frame) == [(1, 0)]
 
 
+def test_placeholders_alone_match_nothing(frame):
+    """Lists of other numbers or names aren't the item's; its own list is, and so is the question with other numbers."""
+    items = [(1, "Sort the list 12 7 9 33 5 8 2 1 4 6 now"), (2, "Anna has 3 apples and buys 4 more at the shop before she eats 2 of them on the way home")]
+    numbers = " ".join(str(i * 7 % 100) for i in range(2000))
+    docs = [
+        (1, "Scores were 91 82 73 64 55 46 37 28 19 10 in the table"), (2, numbers), (3, "so: sort the list 12 7 9 33 5 8 2 1 4 6 now, please"),
+        (4, "They said: Berta has 8 apples and buys 9 more at the shop before she eats 5 of them on the way home."), (5, "At 12 7 9 33 5 8 2 1 4 6 it ended"),
+    ]
+    docs_df, item_df = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(docs_df, item_df).collect()}
+    assert got == {(3, 1), (4, 2), (5, 1)}
+
+
+def test_hits_of_numbers_are_linear():
+    """Windows of number tables aren't alike: none of them is a template of placeholders."""
+    text = decontamination.Canonical(" ".join(str(i * i % 9973) for i in range(2000)))
+    hashes = np.concatenate([form.windows(8)[at] for form, at in text.forms(8)])
+    assert len(hashes) == 1993 and len(set(hashes.tolist())) > 1900
+
+
+def test_keep_one_of_ids_that_stand_twice(frame):
+    long = "the very same sentence of ten words stands right here now"
+    rows = [(1, "one text of its own that is about nothing much"), (1, "quite another text under that id which stays as well"), (1, "one text of its own that is about nothing much"), (2, long), (2, long + " again"), (3, long), (None, long)]
+    kept = jaccard_join.keep_one(frame([(i, t, 0) for i, t in rows], "doc_id long, text string, kept_id int"))
+    assert kept.columns == ["doc_id", "text", "kept_id"]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert len(got) == 4 and got[:2] == [(1, rows[0][1]), (1, rows[1][1])] and got[2][0] == 2 and got[3] == (None, long)
+
+
 def test_decontaminate_keeps_the_rest(frame):
     docs = frame([(1, "so. " + ITEM, "a"), (2, "clean", "b"), (None, ITEM, "c")], "doc_id long, text string, bad_id string")
     out = decontamination.decontaminate(docs, frame([(0, "So. " + ITEM)], "item_id long, text string"))
