@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 from ..schemas import SESSION_BUDGET
 
 
+#: Lines of a stretch of a file whose spans are merged by themselves first.
+STRETCH = 4096
+
+
+def _islands(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start_line, end_line: the spans of each key merged where they overlap or touch."""
+    ordered = Window.partitionBy(*keys).orderBy("start_line", "end_line")
+    reach = F.max("end_line").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = spans.withColumn("new", F.when(F.col("start_line") <= reach + 1, 0).otherwise(1))
+    island = flagged.withColumn("island", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return island.groupBy(*keys, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("island")
+
+
 def merge_spans(spans: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
     """by, start_line, end_line: spans of a path merged where they overlap or touch.
 
-    One shuffle, by path; equal spans are merged as others are.
+    Two shuffles: spans by path and stretch of lines they start in, so that one path's are many tasks' work; then the
+    merged ones by path, of which a stretch leaves half as many as it has lines at most.  Equal spans are merged
+    as others are.
     """
-    keys = [*by, "start_line", "end_line"]
-    ordered = Window.partitionBy(*by).orderBy("start_line", "end_line")
-    reach = F.max("end_line").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.select(*keys).withColumn("new", F.when(F.col("start_line") <= reach + 1, 0).otherwise(1))
-    island = flagged.withColumn("island", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return island.groupBy(*by, "island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).select(*keys)
+    stretch = F.floor(F.col("start_line") / STRETCH)
+    parts = _islands(spans.select(*by, "start_line", "end_line", stretch.alias("stretch")), [*by, "stretch"]).drop("stretch")
+    return _islands(parts, list(by)).select(*by, "start_line", "end_line")
 
 
 def touched_only(touched: DataFrame, spans: DataFrame) -> DataFrame:

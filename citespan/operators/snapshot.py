@@ -24,6 +24,7 @@ from .extract.run_configs import parse_run_configs
 from .extract.symbols import extract_symbols
 from . import blocks
 from .fts import doc_lengths, postings, tokenized
+from .grams import gram_rows
 from .store import Change, Conflict, SnapshotStore  # noqa: F401  (the index's home for its users)
 from .tree import merkle_update
 
@@ -135,6 +136,7 @@ def apply_changes(change: Change, seen: DataFrame, gone: DataFrame, now: int) ->
         "run_configs": (parse_run_configs(usable).join(hashes, "path"), keys),
         "readmes": (readme_heads(usable.filter(is_readme(basename(F.col("path"))))).join(hashes, "path"), keys),
         "symbols": (extract_symbols(usable), keys),
+        "grams": (gram_rows(usable), keys),
     }
     with ThreadPoolExecutor(len(layers)) as pool:  # tables are written side by side
         made = dict(zip(layers, pool.map(lambda name: change.put(name, *layers[name], few=few), layers)))

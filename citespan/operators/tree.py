@@ -25,8 +25,9 @@ def dir_tree(files: DataFrame, max_depth: int = TREE_DEPTH, cap: int = TREE_CHIL
     parts = F.split("path", "/")
     upto = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max_depth + 1))), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("node"), i.alias("depth"), (i < F.size(parts)).alias("is_dir")))
     nodes = files.select(F.explode(upto).alias("n")).select("n.*").groupBy("node", "depth").agg(F.max("is_dir").alias("is_dir"), F.count_if("is_dir").alias("files"))
-    # Dealt out by parent once: ranks, counts and both joins below use that.
-    nodes = nodes.withColumn("parent", parent_dir(F.col("node"))).repartition("parent")
+    # A task passes on the first ``cap`` of a parent's children that it has, and their number, however many
+    # children a flat directory has; only those are ranked together.
+    nodes = nodes.withColumn("parent", parent_dir(F.col("node")))
     of_parent = Window.partitionBy("parent")
     rank = F.row_number().over(of_parent.orderBy(F.desc("files"), F.element_at(F.split("node", "/"), -1)))
     siblings = nodes.groupBy("parent").agg((F.greatest(F.count("*") - cap, F.lit(0))).alias("more_children"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
-from ..operators import aggregates, blocks, evidence, fts, lookup, overview, snapshot, summaries, tree
+from ..operators import aggregates, blocks, evidence, fts, grams, lookup, overview, snapshot, summaries, tree
 from ..sources import corpus
 from ..sources.corpus import EPOCH
 from ..sources.repo import char_counts
@@ -175,6 +175,14 @@ def search_regex(spark, d):
     return lookup.search(corpus.contents(spark, d), "token = |licen[sc]e")
 
 
+@query("search_indexed", _search("(thing|thatin)[a-z]*[ ,.](?:the|and)", "^(.*?)(?:(?:thing|thatin)[a-z]*[ ,.](?:the|and))"))
+def search_indexed(spark, d):
+    """The same kind of search over the texts that the gram index doesn't rule out."""
+    pattern = "(thing|thatin)[a-z]*[ ,.](?:the|and)"
+    left = grams.candidates(corpus.gram_index(spark, d), grams.condition(pattern))
+    return lookup.search(corpus.contents(spark, d).join(left, "path", "left_semi"), pattern)
+
+
 @query("search_ci_path", _search("(?i)(?:LICENSE|copyright)", "(?i)^(.*?)(?:LICENSE|copyright)", "contains(path, 'en/src')", 20))
 def search_ci_path(spark, d):
     return lookup.search(corpus.contents(spark, d), "LICENSE|copyright", path_contains="en/src", max_hits=20, case_insensitive=True)

@@ -21,16 +21,18 @@ DOC_LENGTHS = "path string, doc_length int"
 #: The same index in blocks: a row for each term and block of texts, and one for each block.
 TERM_BLOCKS = "part string, block int, term string, n int, most int, shortest int, ords binary, tfs binary, sizes binary, positions binary"
 DOC_BLOCKS = "part string, block int, paths array<string>, n long, tokens long"
+#: The grams that a file holds, for content search.
+GRAMS = "path string, gram string"
 #: Paths that a stream has deleted, and when: older events of theirs no longer count.
 DELETED = "path string, mtime long"
 
 TABLES = {
     "repo": REPO, "files": FILES, "manifests": MANIFESTS, "run_configs": RUN_CONFIGS, "readmes": READMES, "symbols": SYMBOLS,
     "dir_hashes": DIR_HASHES, "file_summaries": FILE_SUMMARIES, "dir_summaries": DIR_SUMMARIES,
-    "postings": POSTINGS, "doc_lengths": DOC_LENGTHS, "term_blocks": TERM_BLOCKS, "doc_blocks": DOC_BLOCKS, "deleted": DELETED,
+    "postings": POSTINGS, "doc_lengths": DOC_LENGTHS, "term_blocks": TERM_BLOCKS, "doc_blocks": DOC_BLOCKS, "grams": GRAMS, "deleted": DELETED,
 }
 #: How files of a table are sorted, where it isn't by key.
-SORTED = {"postings": ["term", "path"], "symbols": ["path", "start_line"], "term_blocks": ["term", "part", "block"], "doc_blocks": ["part", "block"]}
+SORTED = {"grams": ["gram", "path"], "postings": ["term", "path"], "symbols": ["path", "start_line"], "term_blocks": ["term", "part", "block"], "doc_blocks": ["part", "block"]}
 
 
 def key_of(table: str) -> str | None:

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, fts
-from ..schemas import DOC_BLOCKS, TERM_BLOCKS
+from ..operators import blocks, fts, grams
+from ..schemas import DOC_BLOCKS, GRAMS, TERM_BLOCKS
 
 EPOCH = 1_704_067_200
 
@@ -80,6 +80,18 @@ def text_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple
     return made, spark.read.schema(TERM_BLOCKS).parquet(f"{folder}/terms"), spark.read.schema(DOC_BLOCKS).parquet(f"{folder}/docs")
 
 
+def gram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, gram of documents, sorted by gram; written at the first call of a session for this state of the table."""
+    key = (spark.sparkContext.applicationId, sf_dir, "grams", *_state(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _indexes:
+        folder = scratch(spark)
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = grams.gram_rows(contents(spark, sf_dir).repartition(n))  # the texts are dealt out, whatever files they stand in
+        rows.repartitionByRange("gram", "path").sortWithinPartitions("gram", "path").write.parquet(folder)
+        _indexes[key] = folder
+    return spark.read.schema(GRAMS).parquet(_indexes[key])
+
+
 def _url_path(url):
     """The part of a url after its scheme, without query, fragment and slash at the end."""
     return F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://", ""), r"[?#].*$|/$", "")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from citespan.functions import paths, text
-from citespan.operators import blocks, evidence, fts, lookup, summaries, tree
+from citespan.operators import blocks, evidence, fts, grams, lookup, summaries, tree
 from citespan.operators.extract.run_configs import text_lines
 
 
@@ -203,3 +203,31 @@ def test_block_search(spark, monkeypatch):
         assert [p for p, _ in got] == [r.path for r in want.collect()], query
     report = blocks.search_report(terms, texts, "w29", 1, False).first()
     assert report.evaluated < report.blocks
+
+
+@pytest.mark.parametrize(
+    "pattern,ignore_case,wanted",
+    [("hello", False, ("and", ["ell", "hel", "llo"])), ("licen[sc]e", False, None), ("ab", False, True), ("a.c", False, True), ("abc.*xyz", False, ("and", ["abc", "xyz"])), ("(abc|xyz)+", False, ("or", ["abc", "xyz"])),
+     ("abc|x", False, True), ("(?:abc)?xyz", False, None), ("ABC", False, "abc"), ("task", True, True), ("label", True, ("and", ["abe", "bel", "lab"])), ("ÄBC", True, True), (r"\\bfoo\\(", False, None), (r"foo\\x{41}", False, True), ("[[:alpha:]]abc", False, True), ("(?=abc)", False, True), ("a{3}bcd", False, "bcd")],
+)
+def test_condition(pattern, ignore_case, wanted):
+    got = grams.condition(pattern.replace("\\\\", "\\"), ignore_case)
+    assert got == wanted if wanted is not None else got is not True
+
+
+_PIECES = st.sampled_from(["a", "b", "ab", "abc", "B", ".", "[ab]", "[a-c]", "[^a]", r"\w", "k", "(ab|c)", "(?:abc)?", "c+", "a*", "(b|ab)*", "a{2}", "b{1,2}", "^", "$", r"\b", "(a|bc|)", "|", "ä", "s"])
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(_PIECES, min_size=1, max_size=7).map("".join), st.lists(st.sampled_from(list("abcABkKsSÄä ") + ["\n", "\u212a", "\u017f"]), max_size=14).map("".join), st.booleans())
+def test_every_match_meets_the_condition(pattern, text, ignore_case):
+    import re
+
+    if re.search(f"(?m){pattern}", text, re.I if ignore_case else 0) and any(re.search(pattern, line, re.I if ignore_case else 0) for line in text.split("\n")):
+        assert grams.met(grams.condition(pattern, ignore_case), grams.grams_of(text))
+
+
+def test_candidates(spark):
+    rows = [("a", "a license here"), ("b", "the LICENCE"), ("c", "lice and sense"), ("d", None), ("e", "")]
+    index = grams.gram_rows(spark.createDataFrame(rows, "path string, content string"))
+    assert {r.path for r in grams.candidates(index, grams.condition("licen[sc]e")).collect()} == {"a", "b"}

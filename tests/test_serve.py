@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import threading
 import urllib.request
 
@@ -172,6 +173,23 @@ def test_summaries_and_their_search(spark, tmp_path):
     assert {r.term for r in index.table("postings").filter("path = 'src/main.rs'").collect()} == {"rewritten", "fn", "other"}
 
 
+def test_search_by_grams_sees_live_files(spark, tmp_path):
+    """Files that changed after the refresh are found too; unchanged ones only if the index allows."""
+    root = make(tmp_path / "repo")
+    for p in root.rglob("*"):
+        if p.is_file():
+            os.utime(p, (1_000, 1_000))
+    index = serving.Index(spark, str(root), str(tmp_path / "store"))
+    index.refresh()
+    read = lambda pattern: {r.path for r in index.searchable(pattern).select("path").collect()}
+    assert read("needle") == {"big.py"} and "src/main.rs" in read("struct S") and len(read("struct S")) < 5
+    (root / "new.txt").write_text("a needle in here")
+    (root / "keep.log").write_text("needle, too")
+    assert read("needle") == {"big.py", "new.txt", "keep.log"}
+    got = serving.search_project(index, None, "NEEDLE", case_insensitive=True, max_hits=1000)["hits"]
+    assert {h["path"] for h in got} >= {"big.py"} and {h["path"] for h in serving.search_project(index, None, "needle", "keep")["hits"]} == {"keep.log"}
+
+
 def test_streaming_refresh(spark, tmp_path):
     from citespan.operators.snapshot import SnapshotStore
 
