@@ -23,9 +23,9 @@ def index_stats(files: DataFrame, manifests: DataFrame, run_configs: DataFrame,
 
 
 def _few_sorted(counts: DataFrame, *order) -> DataFrame:
-    """counts in order, where its rows are a row for each language or kind: one task sorts what is summed
-    already, so there is no job that samples the rows for ranges and no shuffle of its own."""
-    return counts.coalesce(1).sortWithinPartitions(*order)
+    """counts in order, where its rows are a row for each language or kind: many tasks sum, and one sorts the
+    few sums, so there is no job that samples the rows for ranges."""
+    return counts.repartition(1).sortWithinPartitions(*order)
 
 
 def files_by_lang(files: DataFrame) -> DataFrame:

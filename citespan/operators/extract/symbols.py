@@ -56,7 +56,7 @@ _RULES: dict[str, list[tuple[str, str]]] = {
         ("const", rf"\b(?:const|static)\s+(?:mut\s+)?({_ID})\s*:"), ("macro", rf"\bmacro_rules!\s*({_ID})"), ("import", r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);"),
     ],
     "go": [
-        ("function", rf"^func\s+({_ID})\s*[\[(]"), ("method", rf"^func\s*\([^)]*\)\s*({_ID})\s*\("), ("type", rf"^type\s+({_ID})\s+(?!=)"),
+        ("function", rf"^func\s+({_ID})\s*[\[(]"), ("method", rf"^func\s*\([^)]*\)\s*({_ID})\s*\("), ("type", rf"^type\s+({_ID})(?:\s+(?!=)|\[)"),
         ("import", r"^(import\s*(?:\([^)]*\)|[^\n(]*))"),
     ],
     "java": [
@@ -79,21 +79,20 @@ _RULES: dict[str, list[tuple[str, str]]] = {
         ("method", rf"(?:^|[;{{}}\]])[ \t\n]*(?:(?:public|protected|private|internal|static|virtual|override|abstract|sealed|async|extern|unsafe|partial|new)\s+)*{_NOT_CALLS}{_JAVA_TYPE}\s+{_NOT_CALLS}({_ID})(?:<[^>()]*>)?\s*\([^;{{}}]*?\)\s*(?:where\b[^{{]*)?(?:\{{|=>|;)"),
     ],
     "ruby": [
-        ("method", rf"\bdef\s+(?:(?:self|{_ID})\s*\.\s*)?({_ID})(?![?!=\w])"), ("class", r"\bclass\s+([A-Z]\w*)(?!\s*::|\w)"), ("module", r"\bmodule\s+([A-Z]\w*)(?!\s*::|\w)"),
+        ("method", rf"\bdef\s+(?:(?:self|{_ID})\s*\.\s*)?([a-z_]\w*[?!]?)(?![?!=\w])"), ("class", r"\bclass\s+([A-Z]\w*)(?!\s*::|\w)"), ("module", r"\bmodule\s+([A-Z]\w*)(?!\s*::|\w)"),
     ],
     "python": [("function", rf"\bdef\s+({_ID})"), ("class", rf"\bclass\s+({_ID})"), ("import", r"^\s*from\s+([A-Za-z_][\w.]*)\s+import\b")],
 }
 _ARROW = rf"(?:async\s*)?(?:\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={{;]*)?|{_JS_ID}\s*)=>"
 _FUNCTION = r"(?:async\s+)?function\b(?!\s*\*)"
 _JS = [
-    ("function", rf"(?:^|[;{{}}]|\bexport\s|\bdefault\s|\basync\s)[ \t\n]*function\s+({_JS_ID})"), ("class", rf"(?<![.\w$])(?<!= )(?<!return )class\s+({_JS_ID})"),
+    ("function", rf"(?:^|[;{{}}]|\bexport\s|\bdefault\s|\basync\s)[ \t\n]*function\s+({_JS_ID})"), ("class", rf"(?<![.\w$])(?<!= )(?<!return )(?<!abstract )class\s+({_JS_ID})"),
     ("export", rf"\bexport\s+(?:default\s+)?(?:async\s+)?function\s+({_JS_ID})"), ("export", rf"\bexport\s+(?:default\s+)?class\s+({_JS_ID})"), ("export", rf"\bexport\s+(?:const|let)\s+({_JS_ID})"),
     ("const", rf"\b(?:const|let)\s+({_JS_ID})\s*(?::[^=;]*)?=\s*{_ARROW}"),
     ("method", rf"(?:^|[;{{}},])[ \t\n]*(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?{_NOT_CALLS}({_JS_ID})\s*(?:<[^>()]*>)?\s*\([^;{{}}]*?\)\s*(?::\s*[^;{{}}=]+?)?\{{"),
 ]
 _RULES["javascript"] = [*_JS, ("const", rf"\b(?:const|let)\s+({_JS_ID})\s*=\s*{_FUNCTION}")]
-_RULES["typescript"] = [*_JS, ("interface", rf"\binterface\s+({_JS_ID})"), ("type", rf"^\s*(?:export\s+)?(?:declare\s+)?type\s+({_JS_ID})[^=;]*="), ("enum", rf"\benum\s+({_JS_ID})"), ("class", rf"\babstract\s+class\s+({_JS_ID})")]
-_RULES["typescript"] = [r for r in _RULES["typescript"] if "abstract" not in r[1]]
+_RULES["typescript"] = [*_JS, ("interface", rf"\binterface\s+({_JS_ID})"), ("type", rf"^\s*(?:export\s+)?(?:declare\s+)?type\s+({_JS_ID})[^=;]*="), ("enum", rf"\benum\s+({_JS_ID})")]
 _COMPILED = {lang: [(kind, re.compile(rule, re.M | re.S if lang in ("go", "rust") and kind == "import" else re.M)) for kind, rule in rules] for lang, rules in _RULES.items()}
 _JS_IMPORT = re.compile(r"""^\s*import\s+(?:[^'"();]*?\bfrom\s+)?(['"])([^'"\n]*)\1""", re.M)
 
@@ -132,6 +131,101 @@ def _python(source: str) -> list[Symbol] | None:
     return rows
 
 
+# --- what rules alone can't tell ------------------------------------------------------------------
+
+_BRACKETS = re.compile(r"[()\[\]{}]")
+
+
+def _closing(text: str, at: int) -> int:
+    """Where the bracket at ``at`` is closed; the text's end if it isn't."""
+    depth = 0
+    for m in _BRACKETS.finditer(text, at):
+        depth += 1 if m.group() in "([{" else -1
+        if depth == 0:
+            return m.start()
+    return len(text)
+
+
+def _regions(text: str, opening: re.Pattern) -> list[tuple[int, int]]:
+    """What stands in the brackets at whose opening the pattern ends; regions within regions are left out."""
+    out, at = [], 0
+    while m := opening.search(text, at):
+        at = _closing(text, m.end() - 1)
+        out.append((m.end(), at))
+    return out
+
+
+_MACRO = re.compile(rf"\b{_ID}!\s*(?:{_ID}\s*)?[(\[{{]")
+_GO_TYPES = re.compile(r"^type\s*\(", re.M)
+_GO_TYPE = re.compile(rf"[ \t]*({_ID})(?:\s+(?!=)|\[)")
+_CPP_CLASS = re.compile(rf"\b(?:class|struct|union)\b[^;{{}}()]*\{{")
+
+
+def _rust_text(text: str) -> str:
+    """text without the arguments and bodies of macros: they are tokens, not definitions."""
+    out, at = [], 0
+    for a, b in _regions(text, _MACRO):
+        out += [text[at:a], re.sub(r"[^\n]", " ", text[a:b])]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def _has_body(text: str, at: int) -> bool:
+    """Whether a brace comes before a semicolon, outside of round and square brackets, after a name."""
+    m = re.compile(r"[(\[{;}]").search(text, at)
+    while m and m.group() in "([":
+        m = re.compile(r"[(\[{;}]").search(text, _closing(text, m.start()) + 1)
+    return m is not None and m.group() == "{"
+
+
+def _ts_has_body(text: str, at: int) -> bool:
+    """Whether a function of TypeScript has a body after its name: an overload's signature has none."""
+    opening = text.find("(", at)
+    at = _closing(text, opening) + 1 if opening >= 0 else len(text)
+    before = ")"
+    while at < len(text):
+        c = text[at]
+        if c == "{" and before not in ":|&,<=>":
+            return True
+        if c in "([{":
+            at, c = _closing(text, at), "}"
+        elif c == ";" or (c == "\n" and before not in ":|&,<=>" and not re.match(r"\s*[{|&]", text[at:])):
+            return False
+        if not c.isspace():
+            before = c
+        at += 1
+    return False
+
+
+def _go_grouped(text: str) -> list[int]:
+    """Places of the names in groups of types."""
+    out = []
+    for start, end in _regions(text, _GO_TYPES):
+        at = start
+        while at < end:
+            m = _GO_TYPE.match(text, at, end)
+            if m:
+                out.append(m.start(1))
+            # To the next line or semicolon outside of brackets.
+            while at < end and text[at] not in "\n;":
+                at = _closing(text, at) + 1 if text[at] in "([{" else at + 1
+            at += 1
+    return out
+
+
+def _defined(lang: str, kind: str, text: str, place: int, end: int, classes: list[tuple[int, int]]) -> bool:
+    """Whether what a rule has found is a definition of its kind."""
+    if lang == "rust" and kind == "function":
+        return _has_body(text, end)
+    if lang == "typescript" and kind in ("function", "export") and re.search(r"function\s+\Z", text[max(0, place - 40) : place]):
+        return _ts_has_body(text, end)
+    if lang == "cpp" and kind == "function":
+        # In a class's own body a name is a field's; in a function's body within it, it isn't.
+        inner = [(a, b) for a, b in classes if a <= place < b]
+        return not inner or text.count("{", inner[-1][0], place) != text.count("}", inner[-1][0], place)
+    return True
+
+
 def extract(lang: str | None, source: str) -> list[Symbol]:
     """(name, kind, start line, end line) in order; a language without rules gives none."""
     if lang not in SYMBOL_LANGUAGES:
@@ -139,14 +233,18 @@ def extract(lang: str | None, source: str) -> list[Symbol]:
     if lang == "python" and (rows := _python(source)) is not None:
         return sorted(rows, key=lambda r: (r[2], r[0], r[1]))
     text, at, rows = masked(lang, source), _Lines(source), []
+    text = _rust_text(text) if lang == "rust" else text
+    classes = sorted((m.end(), _closing(text, m.end() - 1)) for m in _CPP_CLASS.finditer(text)) if lang == "cpp" else []
     class_names = {m.group(1) for _, rule in _COMPILED[lang] if _ == "class" for m in rule.finditer(text)} if lang in ("java", "csharp") else set()
     for kind, rule in _COMPILED[lang]:
         for m in rule.finditer(text):
             start, end = m.span(1)
             name = source[start:end].strip().strip('"').strip("'")
-            if name and not (kind == "method" and name in class_names):
+            if name and not (kind == "method" and name in class_names) and _defined(lang, kind, text, start, end, classes):
                 start += len(source[start:end]) - len(source[start:end].lstrip())
                 rows.append((name, kind, at.at(start), at.at(max(start, end - 1))))
+    if lang == "go":
+        rows += [(re.match(_ID, text[place:]).group(), "type", at.at(place), at.at(place)) for place in _go_grouped(text)]
     if lang == "java":
         for m in re.finditer(rf"(?:^|[;{{}}])[ \t\n]*(?:(?:public|protected|private)\s+)?({_ID})\s*\([^;{{}}]*?\)\s*(?:throws\s[^;{{]*)?\{{", text, re.M):
             if m.group(1) in class_names:

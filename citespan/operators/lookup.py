@@ -55,8 +55,8 @@ def search(contents: DataFrame, pattern: str, path_contains: str | None = None,
     check_pattern(pattern)
     regex = f"(?iu)(?:{pattern})" if case_insensitive else pattern
     kept = contents if path_contains is None else contents.filter(F.contains("path", F.lit(path_contains)))
-    # A hint only: anchors mean a line's start and end here, so the lines themselves decide.
-    kept = kept.filter(F.col("content").rlike(f"(?m){regex}")) if not any(s in pattern for s in (r"\A", r"\z", r"\Z", "\\b", "\\B", "$", "^", "\\s", "[^")) else kept
+    # What matches in a line matches in its text, where line ends are ends too; only a text's own ends are other places.
+    kept = kept if any(end in pattern for end in (r"\A", r"\z", r"\Z")) else kept.filter(F.col("content").rlike(f"(?m){regex}"))
     rows = kept.select("path", F.posexplode(lines(F.col("content"))).alias("at", "text")).filter(F.col("text").rlike(regex))
     hits = rows.orderBy("path", "at").limit(max_hits)
     return hits.select("path", (F.col("at") + 1).alias("line"), first_match_column(F.col("text"), regex).alias("col"), shortened(trim_end(F.col("text")), SNIPPET_CHARS).alias("snippet"))
