@@ -9,6 +9,7 @@ from the bytes before it: sums by partition, then within each partition, never o
 
 from __future__ import annotations
 
+import json
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -146,15 +147,52 @@ def write(docs: DataFrame, folder: str, shard: Column, name: str | None = None)
     return name
 
 
+def _side(folder: str) -> str:
+    """Where a rewrite keeps its rows and plan; readers of the folder don't see names with an underscore before them."""
+    return f"{folder.rstrip('/')}/_resharding"
+
+
+def _swap(fs, path, folder: str, name: str, shard: int, filled: bool) -> None:
+    """Put a shard's new files in the place of its old ones; again, if that was broken off."""
+    new, old = path(f"{_side(folder)}/rows/{name}={shard}"), path(f"{folder}/{name}={shard}")
+    if filled and not fs.exists(new):
+        return  # done before
+    fs.delete(old, True)
+    if filled and not fs.rename(new, old):
+        raise OSError(f"can't rename to {old}")
+
+
+def finish(spark: SparkSession, folder: str) -> bool:
+    """Complete a rewrite of the folder that was broken off; whether there was one with a plan.
+
+    Without a plan no file of the shards has been touched, and what was written beside them goes.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = path(f"{_side(folder)}/plan.json")
+    planned = fs.exists(at)
+    if planned:
+        stream = fs.open(at)
+        told = json.loads(bytes(stream.readAllBytes()).decode())
+        stream.close()
+        for shard, filled in told["shards"]:
+            _swap(fs, path, folder, told["name"], shard, filled)
+    fs.delete(path(_side(folder)), True)
+    return planned
+
+
 def rewrite(spark: SparkSession, folder: str, new_shards: int, name: str = "shard") -> list[int]:
     """Reshard the shards folder/name=0 ... in place, moving the fewest bytes; the shards that changed.
 
     Only the affected shards' files are written; a shard that ends empty, or has a number from new_shards
     on, goes.  Each row that is there stays exactly once, whatever its columns hold: rows are told apart by
-    a number of their own, so null and repeated ids don't matter.  The rows of affected shards are written
-    to the checkpoint folder before any file of theirs is replaced; a run that is broken off in between
-    leaves each shard in its old or its new state, and the rows are still in that folder.
+    a number of their own, so null and repeated ids don't matter.
+
+    All new files are written beside the shards first, then a plan that names them, and only then are shards
+    swapped one by one.  A run that is broken off is completed by ``finish``, which the next rewrite calls too:
+    before the plan is there nothing has changed, after it the swaps go on where they stopped.
     """
+    finish(spark, folder)
     read = spark.read.option("basePath", folder).parquet(folder)
     row = fresh(read, "row_number")
     tagged = cut(read.withColumn(row, F.monotonically_increasing_id()))
@@ -165,11 +203,14 @@ def rewrite(spark: SparkSession, folder: str, new_shards: int, name: str = "shar
     moving = placed.filter(F.col("shard").isin([k for k in shards if k < new_shards])).select(F.col("row").alias(row), F.col("shard").alias(target))
     moved = cut(tagged.join(moving, row).drop(row, name).withColumnRenamed(target, name))
     filled = {r[0] for r in moved.select(name).distinct().collect()}
-    moved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(folder)
-    for k in shards:
-        if k not in filled:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}={k}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    moved.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(name).parquet(f"{_side(folder)}/rows")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(path(f"{_side(folder)}/plan.new"), True)
+    stream.write(bytearray(json.dumps({"name": name, "shards": [[k, k in filled] for k in shards]}).encode()))
+    stream.close()
+    fs.rename(path(f"{_side(folder)}/plan.new"), path(f"{_side(folder)}/plan.json"))
+    finish(spark, folder)
     return shards
 
 

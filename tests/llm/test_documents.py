@@ -173,6 +173,29 @@ def test_rewrite_keeps_each_row(spark, frame, tmp_path, old, new, column):
     assert max(sizes) - min(sizes) < 2 * (401 + sum(sizes) / new / resharding.RUN_PART) + 802
 
 
+@pytest.mark.parametrize("swaps", [0, 1, 3])
+def test_a_broken_rewrite_is_finished(spark, frame, tmp_path, monkeypatch, swaps):
+    """Broken off before the plan or between two swaps, a rewrite goes on without losing or repeating a row."""
+    rows = [(i, f"text {i}" * (i % 5)) for i in range(120)]
+    folder = str(tmp_path / "shards")
+    name = resharding.write(frame(rows, "doc_id long, text string"), folder, F.col("doc_id") % 5)
+    read = lambda: sorted(tuple(r) for r in spark.read.option("basePath", folder).parquet(folder).select("doc_id", "text").collect())
+    swap, done = resharding._swap, []
+
+    def broken(*args):
+        if len(done) == swaps:
+            raise RuntimeError("lost")
+        done.append(swap(*args))
+
+    monkeypatch.setattr(resharding, "_swap", broken)
+    with pytest.raises(RuntimeError):
+        resharding.rewrite(spark, folder, 3, name)
+    monkeypatch.setattr(resharding, "_swap", swap)
+    assert resharding.finish(spark, folder) and not resharding.finish(spark, folder)
+    assert read() == rows and not (tmp_path / "shards/_resharding").exists()
+    assert {p.name for p in (tmp_path / "shards").glob(f"{name}=*")} == {f"{name}={k}" for k in range(3)}
+
+
 # --- secrets ----------------------------------------------------------------------------------------
 
 
