@@ -425,10 +425,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     mine, text_hash = fresh(docs, "kept_id"), fresh(docs, "kept_hash")
     named = docs.filter("doc_id IS NOT NULL").withColumn(mine, F.col("doc_id").cast("long")).withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
     nulls = docs.filter("doc_id IS NULL")
-    keys = named.select(F.col(mine).alias("id"), F.col(text_hash).alias("text_hash")).distinct()
-    if keys.groupBy("id").count().filter("count > 1").isEmpty():
+    told = named.groupBy(mine).agg(F.count("*").alias("n"), (F.min(text_hash) != F.max(text_hash)).alias("several")).agg(F.max("n"), F.coalesce(F.bool_or("several"), F.lit(False))).first()
+    if not told[1]:
         kept = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias(mine)).distinct()
-        return named.join(kept, mine, "left_semi").dropDuplicates([mine]).select(*docs.columns).unionByName(nulls)
+        named = named.drop(text_hash).join(kept, mine, "left_semi")
+        return (named.dropDuplicates([mine]) if (told[0] or 0) > 1 else named).select(*docs.columns).unionByName(nulls)
+    keys = named.select(F.col(mine).alias("id"), F.col(text_hash).alias("text_hash")).distinct()
     numbers = _numbered(keys).toDF(mine, text_hash, number := fresh(docs, "kept_number"))
     each = cut(named.join(numbers, [mine, text_hash]).drop(mine, text_hash))
     kept = near_duplicates(each.select(F.col(number).alias("doc_id"), "text")).filter("doc_id = class_id").select(F.col("doc_id").alias(number)).distinct()

@@ -199,3 +199,32 @@ def test_op10_recall(rows, table):
         assert [(-r.score, r.vec_id) for r in got] == sorted((-r.score, r.vec_id) for r in got)
         right += len({r.vec_id for r in got} & set(ids[best]))
     assert right / (20 * len(asked)) >= 0.95
+
+
+def test_op11_aligns_every_document(rows, table):
+    import public_tokenizers
+    from test_token_alignment import direct
+
+    from citespan.llm.token_alignment import Pair
+
+    pair = Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    want = direct(pair, [(d.doc_id, d.text) for d in table("documents")])
+    assert sorted((tuple(r) for r in rows("op11_alignment")), key=str) == want
+
+
+@pytest.mark.parametrize("name", ["op12_ego_join", "op13_tiered_search"])
+def test_new_queries_give_the_rows_of_their_sql(rows, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from citespan.llm.queries import ORACLE_SQL
+
+    db = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        db.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    got, want = rows(name), db.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert got and sorted(columns) == sorted(got[0].asDict())
+    assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(want.fetchall())
