@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
-from ..operators import aggregates, blocks, evidence, fts, grams, lookup, overview, snapshot, summaries, tree
+from ..operators import aggregates, blocks, evidence, grams, lookup, overview, snapshot, summaries, tree
 from ..sources import corpus
 from ..sources.corpus import EPOCH
 from ..sources.repo import char_counts

@@ -1,16 +1,18 @@
 """The files of a repository as a DataFrame: ``spark.read.format("repo").option("path", root).load()``.
 
 Spark's own file source drops dotfiles, names with a leading underscore and empty files, and knows no
-ignore rules; this one lists them all.  The driver walks the tree (names and sizes only); executors read
-contents, a partition for each few hundred files or each 64 MB.  A filter on ``path`` that is pushed down
-keeps files from being read at all, and content is read only if a query asks for it.
+ignore rules; this one lists them all.  The driver looks at the top of the tree only, until it has met some hundred
+directories; executors walk those, and list or read what is in them.  A filter on ``path`` that is pushed down keeps
+directories that can't hold such a path from being walked and files from being read, and content is read only if a
+query asks for it.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
-from dataclasses import replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +25,13 @@ from ..schemas import SNIFF_BYTES
 from .ignore import Ignore, rules
 
 FILES_A_PARTITION, BYTES_A_PARTITION = 200, 64 << 20
+#: Directories that the driver meets before it leaves the rest of the tree to executors.
+FOLDERS = 128
 SCHEMA = "path string, size long, mtime long, content binary"
 
 
-def walk(root: str | Path) -> Iterator[tuple[str, int, int]]:
-    """(relative path, size, mtime in seconds) of each file, by path in each directory.
-
-    Dotfiles count; anything named .git doesn't; symbolic links aren't followed.  Ignore files apply down
-    the tree, those of parents, .git/info/exclude and the user's own excludes too.  A file whose metadata
-    can't be read is left out.
-    """
+def _start(root: str | Path) -> _Folder:
+    """The root, with the rules that hold for it from above."""
     root = Path(root).resolve()
     top = next((p for p in (root, *root.parents) if (p / ".git").exists()), None)
     first = Ignore()
@@ -48,19 +47,42 @@ def walk(root: str | Path) -> Iterator[tuple[str, int, int]]:
             above = root.relative_to(parent).as_posix() + "/"
             first = Ignore(first.in_force + [replace(r, above=above) for r in Ignore().below(parent, "", True).in_force])
 
-    def below(directory: Path, base: str, ignore: Ignore) -> Iterator[tuple[str, int, int]]:
-        ignore = ignore.below(directory, base, top is not None)
+    return _Folder(str(root), "", first, top is not None)
+
+
+def walk(root: str | Path, may_hold: Callable[[str], bool] = lambda base: True) -> Iterator[tuple[str, int, int]]:
+    """(relative path, size, mtime in seconds) of each file, by path in each directory.
+
+    Dotfiles count; anything named .git doesn't; symbolic links aren't followed.  Ignore files apply down
+    the tree, those of parents, .git/info/exclude and the user's own excludes too.  A file whose metadata
+    can't be read is left out.  may_hold: whether a directory (its path, with a slash) is walked.
+    """
+    yield from _below(_start(root), may_hold)
+
+
+@dataclass(frozen=True)
+class _Folder:
+    """A directory to walk: where it is, its path from the root with a slash, and the rules from above it."""
+
+    place: str
+    base: str
+    ignore: Ignore
+    in_repo: bool
+
+    def entries(self) -> Iterator[_Folder | tuple[str, int, int]]:
+        """Its files and directories, by name."""
+        ignore = self.ignore.below(Path(self.place), self.base, self.in_repo)
         try:
-            entries = sorted(os.scandir(directory), key=lambda e: e.name)
+            entries = sorted(os.scandir(self.place), key=lambda e: e.name)
         except OSError:
             return
         for e in entries:
-            path = base + e.name
+            path = self.base + e.name
             is_dir = e.is_dir(follow_symlinks=False)
             if e.name == ".git" or ignore.ignored(path, is_dir):
                 continue
             if is_dir:
-                yield from below(Path(e.path), path + "/", ignore)
+                yield _Folder(e.path, path + "/", ignore, self.in_repo)
                 continue
             try:
                 path.encode()
@@ -70,12 +92,20 @@ def walk(root: str | Path) -> Iterator[tuple[str, int, int]]:
             if not os.path.isdir(e.path):
                 yield path, s.st_size, int(s.st_mtime)
 
-    yield from below(root, "", first)
+
+def _below(folder: _Folder, may_hold: Callable[[str], bool]) -> Iterator[tuple[str, int, int]]:
+    for entry in folder.entries():
+        if not isinstance(entry, _Folder):
+            yield entry
+        elif may_hold(entry.base):
+            yield from _below(entry, may_hold)
 
 
-class _Files(InputPartition):
-    def __init__(self, files: list[tuple[str, int, int]]):
-        self.files = files
+class _Part(InputPartition):
+    """Files that the driver has met, and directories that are walked where the partition is read."""
+
+    def __init__(self, files: list[tuple[str, int, int]], folders: list[_Folder]):
+        self.files, self.folders = files, folders
 
 
 class RepoReader(DataSourceReader):
@@ -97,19 +127,37 @@ class RepoReader(DataSourceReader):
         }
         return all(check[type(f)](f) for f in self.tests)
 
+    def _may_hold(self, base: str) -> bool:
+        """Whether a wanted path can begin with base, a directory's path with a slash."""
+        check = {EqualTo: lambda f: f.value.startswith(base), In: lambda f: any(v.startswith(base) for v in f.value), StringStartsWith: lambda f: f.value.startswith(base) or base.startswith(f.value)}
+        return all(check[type(f)](f) for f in self.tests if type(f) in check)
+
     def partitions(self) -> list[InputPartition]:
+        """Level by level, until there are FOLDERS directories to walk or none; these are dealt out one by one."""
+        files, folders = [], [_start(self.root)]
+        while folders and len(folders) < FOLDERS:
+            below = []
+            for folder in folders:
+                for entry in folder.entries():
+                    if not isinstance(entry, _Folder):
+                        files.append(entry)
+                    elif self._may_hold(entry.base):
+                        below.append(entry)
+            folders = below
         parts, now, size = [], [], 0
-        for file in walk(self.root):
+        for file in files:
             if self._wanted(file[0]):
                 now.append(file)
                 size += file[1]
                 if len(now) >= FILES_A_PARTITION or size >= BYTES_A_PARTITION:
-                    parts.append(_Files(now))
+                    parts.append(_Part(now, []))
                     now, size = [], 0
-        return [*parts, _Files(now)] if now or not parts else parts
+        parts += [_Part(now, [])] if now or not (parts or folders) else []
+        return parts + [_Part([], [folder]) for folder in folders]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for path, size, mtime in partition.files:
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        walked = (f for folder in partition.folders for f in _below(folder, self._may_hold) if self._wanted(f[0]))
+        for path, size, mtime in chain(partition.files, walked):
             data = None
             if self.content:
                 try:

@@ -59,6 +59,36 @@ def test_source_pushes_path_filters(spark, root):
     assert repo_files(spark, str(root), content=False).filter("content IS NOT NULL").count() == 0
 
 
+def test_executors_walk_what_may_hold_a_path(spark, tmp_path, monkeypatch):
+    """Below its first directories a tree is walked by tasks, with the rules from above, and only where a path can be."""
+    from citespan.sources import repo
+
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".gitignore").write_text("*.tmp\n/a/skip/\n")
+    for i in range(6):
+        for j in range(4):
+            (tmp_path / f"{'abcdef'[i]}/d{j}/e").mkdir(parents=True)
+            for name in ("x.py", "y.tmp", "z.txt"):
+                (tmp_path / f"{'abcdef'[i]}/d{j}/e/{name}").write_text(f"{i}{j}")
+    (tmp_path / "a/skip").mkdir()
+    (tmp_path / "a/skip/no.py").write_text("")
+    (tmp_path / "b/d1/.gitignore").write_text("e/z.txt\n")
+    want = sorted(p for p, _, _ in walk(tmp_path))
+    assert len(want) == 6 * 4 * 2 + 1 and "b/d1/e/z.txt" not in want and "a/skip/no.py" not in want
+    monkeypatch.setattr(repo, "FOLDERS", 10)
+    reader = repo.RepoReader(str(tmp_path), True)
+    parts = reader.partitions()
+    assert sum(len(p.folders) for p in parts) == 24 and all(not p.files or not p.folders for p in parts)
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == want
+    one = repo.RepoReader(str(tmp_path), False)
+    assert not list(one.pushFilters([repo.StringStartsWith(("path",), "c/d2")]))
+    seen = []
+    monkeypatch.setattr(repo.os, "scandir", lambda place, real=os.scandir: seen.append(str(place)) or real(place))
+    assert sorted(r[0] for p in one.partitions() for r in one.read(p)) == ["c/d2/e/x.py", "c/d2/e/z.txt"]
+    assert len(seen) == 4  # the root, c, c/d2, c/d2/e
+    assert sorted(r.path for r in repo_files(spark, str(tmp_path), content=False).select("path").collect()) == want
+
+
 def test_classified(spark, root):
     got = {r.path: r for r in classified(repo_files(spark, str(root))).collect()}
     assert got["bin.dat"].is_binary and not got["empty.txt"].is_binary and not got["latin1.txt"].is_binary
