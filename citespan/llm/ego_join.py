@@ -32,8 +32,10 @@ THRESHOLD = 0.95
 SAMPLE = 8192
 #: Directions whose values bound a block, and how many of them have grid cells that make the order.
 DIRECTIONS, ORDERED = 16, 8
-#: Vectors of a block; parts of an interval; blocks that a task holds, and blocks that go by them.
-BLOCK, FANOUT_BITS, HELD_BITS, PASSING_BITS = 256, 4, 3, 6
+#: Vectors of a block; parts of an interval; blocks that a task holds (all powers of two), as far as HELD_BYTES allow, and
+#: blocks that go by them.
+BLOCK, FANOUT_BITS, HELD_BITS, PASSING_BITS = 256, 4, 5, 6
+HELD_BYTES = 64_000_000
 
 
 def directions(sample: np.ndarray, most: int = DIRECTIONS) -> np.ndarray:
@@ -265,8 +267,8 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     a vec_id that stands twice has two rows.
 
     Shuffled are each row's vector twice (for equal ones, and for its result), each distinct one's once into the
-    order, and each block of 256 once for every 8 x 64 blocks in which it has pairs to meet.  A task holds 8
-    blocks and one that goes by.  Driver: the sample and two numbers.
+    order, and each block of 256 once for every 32 x 64 blocks in which it has pairs to meet.  A task holds up to
+    32 blocks and one that goes by.  Driver: the sample and three numbers.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
@@ -284,15 +286,16 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
         return alone
     basis = directions(unit(max((x for _, x in _by_length(drawn)), key=lambda x: (len(x), x.shape[1]))))
     blocks = cut(_blocks(_ordered(nodes, basis, epsilon), basis))
-    last = blocks.agg(F.max("part").alias("part"), F.max("n").alias("n")).first()
+    last = blocks.agg(F.max("part").alias("part"), F.max("n").alias("n"), F.max("length").alias("length")).first()
     bits = int(last.n).bit_length()
     blocks = blocks.withColumn("block", F.shiftleft("part", bits) + F.col("n"))
     pairs = cut(near_blocks(blocks.select(F.col("block").alias("id"), "lo", "hi"), epsilon, int(last.part + 1) << bits))
 
-    celled = pairs.withColumn("cell", F.struct(F.shiftright("a", HELD_BITS).alias("x"), F.shiftright("b", PASSING_BITS).alias("y")))
+    held_bits = min(HELD_BITS, max(0, (HELD_BYTES // (12 * BLOCK * int(last.length))).bit_length() - 1))
+    celled = pairs.withColumn("cell", F.struct(F.shiftright("a", held_bits).alias("x"), F.shiftright("b", PASSING_BITS).alias("y")))
     none = F.lit(None).cast("array<long>")
     wanted = celled.select("cell", F.col("a").alias("block"), none.alias("meets")).distinct()
-    wanted = wanted.unionByName(celled.groupBy("cell", F.col("b").alias("block")).agg(F.collect_list("a").alias("meets")))  # 8 at most
+    wanted = wanted.unionByName(celled.groupBy("cell", F.col("b").alias("block")).agg(F.collect_list("a").alias("meets")))  # 32 at most
     sent = wanted.join(blocks.select("block", "length", "vectors", "copies"), "block")
     sent = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", F.col("meets").isNotNull(), "block")
     flat = sent.select(F.concat_ws(" ", "cell.x", "cell.y").alias("cell"), "block", "meets", "length", "vectors", "copies")
