@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import DOC_BLOCKS, TERM_BLOCKS
-from .fts import B, K1, LEAST_IDF, Node, QueryError, parse_query, ranked_phrases, sanitize
+from .fts import B, K1, LEAST_IDF, Node, QueryError, parse_query, postings_with, ranked_phrases, sanitize
 
 BLOCK = 128
 #: Texts of a part, about; up to LEAST_PARTS there are more parts than that asks for.
@@ -242,11 +243,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[int,
 
 
 def _by_part(rows: DataFrame, positions: bool) -> DataFrame:
-    columns = ["part", "block", "term", "n", "most", "shortest", "ords", "tfs", "sizes", *(["positions"] if positions else [])]
+    columns = ["part", "block", "term", "n", "most", "shortest", "ords", "tfs", "sizes", *(["positions"] if positions else []), *(["paths"] if "paths" in rows.columns else [])]
     return rows.select(*columns).repartition("part").sortWithinPartitions("part")
 
 
-def blocks_of_postings(made: DataFrame, tree: Node) -> DataFrame:
+def blocks_of_postings(made: DataFrame, tree: Node, parts: int = 1024) -> DataFrame:
     """The blocks, with their paths, of a query's postings (term, path, doc_length, tf, positions)."""
     schema = f"{TERM_BLOCKS}, paths array<string>"
 
@@ -272,7 +273,7 @@ def blocks_of_postings(made: DataFrame, tree: Node) -> DataFrame:
         if paths:
             yield closed()
 
-    dealt = made.filter(_wanted(tree)).select(part_of(F.col("path"), 1024).alias("part"), "path", "term", "doc_length", "tf", "positions")
+    dealt = made.filter(_wanted(tree)).select(part_of(F.col("path"), parts).alias("part"), "path", "term", "doc_length", "tf", "positions")
     return dealt.repartition("part").sortWithinPartitions("part", "path").mapInArrow(run, schema)
 
 
@@ -371,12 +372,12 @@ def _bound(terms: dict[str, dict], node: Node, weights: Iterator[float], mean: f
     return sum(each) if min(each) >= 0 else -1.0
 
 
-_FOUND = "part string, block int, ord int, score double, blocks int, evaluated int"
+_FOUND = "part string, block int, ord int, score double, blocks int, evaluated int, path string"
 
 
 def best_of_parts(rows: DataFrame, tree: Node, corpus: Corpus, frequencies: list[int], k: int) -> DataFrame:
-    """part, block, ord, score of each part's k best, and a row without a block for each part: its blocks, and how many
-    of them were evaluated."""
+    """part, block, ord, score of each part's k best, with their path if the blocks have paths, and a row without a block
+    for each part: its blocks, and how many of them were evaluated."""
     weights = _weights(corpus, frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +400,8 @@ def best_of_parts(rows: DataFrame, tree: Node, corpus: Corpus, frequencies: list
                 best = sorted(best)[:k]
                 if len(best) == k:
                     least = -best[-1][0]
-            yield _batch([(part, b, i, exact[b, i], None, None) for _, b, i in best] + [(part, None, None, None, len(bounds), done)], _FOUND)
+            paths = {b: next((r["paths"] for r in blocks[b].values() if r.get("paths")), None) for b in {b for _, b, _ in best}}
+            yield _batch([(part, b, i, exact[b, i], None, None, paths[b] and paths[b][i]) for _, b, i in best] + [(part, None, None, None, len(bounds), done, None)], _FOUND)
 
     return _by_part(rows.filter(_wanted(tree)), _positioned(tree)).mapInArrow(run, _FOUND)
 
@@ -449,7 +451,37 @@ def best_summaries(summaries: DataFrame, terms: DataFrame, docs: DataFrame, quer
     """path, summary, rank of the best matches of a user's query, sanitised first; the lowest rank is best."""
     if not query.strip():
         raise QueryError("missing 'query' argument")
-    found = best(terms, docs, sanitize(query), limit, stemmed)
+    return _with_summaries(summaries, best(terms, docs, sanitize(query), limit, stemmed))
+
+
+def best_of_texts(summaries: DataFrame, query: str, limit: int = 20, stemmed: bool = True) -> list[tuple[str, float]]:
+    """``best`` of texts (path, summary) that no index is kept of.
+
+    One pass over all texts makes the postings of the query's terms, which are kept until the search is done; so what is
+    shuffled grows with those, and nothing is written.
+    """
+    tree = parse_query(query, stemmed)
+    words = [p.tokens[0] for p in ranked_phrases(tree) if p.op == "PHRASE" and _plain(p)]
+    made = postings_with(summaries, sorted(set(_terms(tree))), stemmed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sums = {r.term: r for r in made.filter(F.col("term").isin("", *words)).groupBy("term").agg(F.count("*").alias("n"), F.sum("doc_length").alias("texts"), F.sum("tf").alias("tokens")).collect()}
+        corpus = Corpus(sums[""].texts, sums[""].tokens / sums[""].texts) if "" in sums else Corpus(0, 0.0)
+        rows = blocks_of_postings(made, tree, parts_for(corpus.texts))
+        frequencies = document_frequencies(rows, tree, {t: r.n for t, r in sums.items()})
+        hits = best_of_parts(rows, tree, corpus, frequencies, limit).filter("block IS NOT NULL").select("path", "score").collect()
+    finally:
+        made.unpersist()
+    return sorted(((r.path, -r.score) for r in hits), key=lambda x: (round(x[1], 9), x[0]))[:limit]
+
+
+def best_summaries_of_texts(summaries: DataFrame, query: str, limit: int = 20, stemmed: bool = True) -> DataFrame:
+    """``best_summaries`` of texts that no index is kept of."""
+    if not query.strip():
+        raise QueryError("missing 'query' argument")
+    return _with_summaries(summaries, best_of_texts(summaries, sanitize(query), limit, stemmed))
+
+
+def _with_summaries(summaries: DataFrame, found: list[tuple[str, float]]) -> DataFrame:
     ranks = summaries.sparkSession.createDataFrame(found, "path string, rank double")
     kept = summaries.select("path", "summary").filter(F.col("path").isin(*[p for p, _ in found]))
     return kept.join(F.broadcast(ranks), "path").select("path", "summary", "rank").orderBy(F.round("rank", 9), "path")  # ``limit`` rows

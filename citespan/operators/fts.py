@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import POSTINGS
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -19,6 +25,8 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 def fold(text: str) -> str:
     """Lower case without diacritics."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
@@ -122,6 +130,44 @@ def postings_of(tokenized_: DataFrame) -> DataFrame:
     return each.groupBy("term", "path", "doc_length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
+def postings_with(summaries: DataFrame, terms: list[tuple[str, bool]], stemmed: bool = True) -> DataFrame:
+    """The postings of these terms (each a term, and whether it is a prefix) alone, made in one pass over all texts
+    without a shuffle.  Rows without a path, of the term '', say how many texts (doc_length) with how many tokens (tf)
+    were read, those without the terms too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, words = batch.columns
+            if stemmed:
+                words = pa.array([tokens(t) for t in words.to_pylist()], pa.list_(pa.string()))
+            values, lengths = words.flatten(), pc.list_value_length(words).to_numpy().astype(np.int64)
+            starts = np.cumsum(lengths) - lengths
+            wanted = np.zeros(len(values), bool)
+            for term, prefix in terms:
+                wanted |= (pc.starts_with(values, term) if prefix else pc.equal(values, term)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(wanted)
+            named = values.take(pa.array(at)).dictionary_encode()
+            codes = named.indices.to_numpy()
+            # In order of term, text and place, as a stable sort leaves texts and places in order.
+            order = np.argsort(codes, kind="stable")
+            at, codes = at[order], codes[order]
+            # Texts without tokens begin where the next one does, which is the one that is meant.
+            texts = np.searchsorted(starts, at, "right") - 1
+            first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (texts[1:] != texts[:-1])]) if len(at) else np.zeros(0, np.int64)
+            ends = np.append(first, len(at))
+            columns = [
+                pa.concat_arrays([named.dictionary.take(pa.array(codes[first])), pa.array([""])]),
+                pa.concat_arrays([paths.take(pa.array(texts[first])), pa.array([None], pa.string())]),
+                pa.array(np.append(lengths[texts[first]], len(lengths)), pa.int32()),
+                pa.array(np.append(np.diff(ends), lengths.sum()), pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.append(ends, len(at)), pa.int32()), pa.array(at - starts[texts], pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "path", "doc_length", "tf", "positions"])
+
+    rows = summaries.filter("summary IS NOT NULL").select("path", "summary") if stemmed else tokenized(summaries, False)
+    return rows.mapInArrow(run, POSTINGS)
+
+
 def doc_lengths(summaries: DataFrame, stemmed: bool = True) -> DataFrame:
     """path, doc_length of all summaries, those without a token too."""
     return lengths_of(tokenized(summaries, stemmed))

@@ -399,8 +399,8 @@ def _ranked(ctes: list[str], scored: list[str], where: str, limit: int = 20) ->
 
 def _fts(q: str, stemmed: bool = False) -> Query:
     def run(spark, d):
-        made, terms, docs = corpus.text_index(spark, d, stemmed)
-        return blocks.best_summaries(made, terms, docs, q, stemmed=stemmed).withColumn("rank", F.round("rank", 4))
+        texts = corpus.contents(spark, d).withColumnRenamed("content", "summary")
+        return blocks.best_summaries_of_texts(texts, q, stemmed=stemmed).withColumn("rank", F.round("rank", 4))
 
     return run
 

@@ -205,6 +205,29 @@ def test_block_search(spark, monkeypatch):
     assert report.evaluated < report.blocks
 
 
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_search_of_texts(spark, stemmed):
+    """Without an index the best are those of all postings; texts without tokens or without the terms count as texts."""
+    rng = random.Random(3)
+    words = [f"w{i}s" for i in range(30)]
+    docs = [(f"p{i:04d}", " ".join(rng.choices(words, [1 / (k + 1) for k in range(30)], k=rng.randint(0, 40)))) for i in range(900)]
+    docs += [(f"q{i:03d}", "w0s w3s w5s") for i in range(50)] + [("null", None), ("empty", ""), ("signs", "--"), ("Ä", "Ähre W29S ähre")]
+    df = spark.createDataFrame(docs, "path string, summary string").repartition(3)
+    postings, lengths = fts.postings(df, stemmed).cache(), fts.doc_lengths(df, stemmed)
+    for query in ("w29s", "w0s w3s", "w29s OR w28s", '"w0s w1s" OR w7s', "w2* NOT w20s", "NEAR(w5s w6s, 3)", "^w4s OR w11s", "absent", "w0s w3s w5s", "ahre OR ähre", '"--"', "path : w3s"):
+        got = blocks.best_of_texts(df, query, 7, stemmed)
+        want = fts.rank(postings, lengths, query, stemmed).orderBy(F.round("rank", 9), "path").limit(7).collect()
+        assert [p for p, _ in got] == [r.path for r in want] and [r for _, r in got] == pytest.approx([r.rank for r in want], abs=1e-9), query
+    assert blocks.best_of_texts(df.limit(0), "w0s", 7, stemmed) == []
+
+
+def test_postings_of_terms_alone(spark):
+    """Only the terms' postings are made, and a row of what was read for each run of texts."""
+    df = spark.createDataFrame([("a", "x y x"), ("b", "z"), ("c", ""), ("d", "yy X")], "path string, summary string").coalesce(1)
+    got = {(r.term, r.path, r.doc_length, r.tf, tuple(r.positions)) for r in fts.postings_with(df, [("x", False), ("y", True)], False).collect()}
+    assert got == {("x", "a", 3, 2, (0, 2)), ("y", "a", 3, 1, (1,)), ("x", "d", 2, 1, (1,)), ("yy", "d", 2, 1, (0,)), ("", None, 4, 6, ())}
+
+
 @pytest.mark.parametrize(
     "pattern,ignore_case,wanted",
     [("hello", False, ("and", ["ell", "hel", "llo"])), ("licen[sc]e", False, None), ("ab", False, True), ("a.c", False, True), ("abc.*xyz", False, ("and", ["abc", "xyz"])), ("(abc|xyz)+", False, ("or", ["abc", "xyz"])),

@@ -39,6 +39,15 @@ def test_query_matches_sql(spark, db, name):
     assert rows(got.columns, got.collect()) == rows([c[0] for c in want.description], want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["fts_phrase", "fts_or", "fts_first", "fts_stemmed", "fts_and", "fts_column"])
+def test_text_search_writes_no_index(spark, monkeypatch, name):
+    """A search costs the same whether or not another one went before it: no index of all words is made."""
+    from citespan.sources import corpus
+
+    monkeypatch.setattr(corpus, "scratch", lambda spark: pytest.fail("written"))
+    assert QUERIES[name](spark, SF).count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
