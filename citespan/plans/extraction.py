@@ -19,6 +19,12 @@ def _read(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet").select(*columns)
 
 
+def _dealt(spark: SparkSession, d: str, table: str, *columns: str) -> DataFrame:
+    """Rows that files are rendered from, dealt out over tasks: a few bytes of a row are a file that takes Python long
+    to parse, so the splits of a small table would be far too few tasks."""
+    return _read(spark, d, table, *columns).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _flat(manifests: DataFrame) -> DataFrame:
     """A manifest's struct as plain columns."""
     scripts = F.array_join(F.transform("manifest.scripts", lambda s: F.concat(s["name"], F.lit("="), s["target"])), ",")
@@ -37,7 +43,7 @@ _CARGO = r"""concat('[package]\nname = "part-', k, '"\n', if(k % 5 = 0, 'version
   'b' || k || '=src/b' || k || '.rs' AS scripts, array_to_string(list_sort([('d' || lpad(CAST(13 - i AS VARCHAR), 2, '0')) FOR i IN range(0, CAST(k % 14 + 1 AS BIGINT))])[1:10], ',') AS deps, CASE WHEN k % 7 = 0 THEN 'cargo' END AS workspace, CASE WHEN k % 7 = 0 THEN 'a' || k || ',b' END AS members
   FROM (SELECT p_partkey AS k, p_size AS s FROM part) WHERE k % 11 <> 0""")
 def manifest_cargo(spark, d):
-    rows = _read(spark, d, "part", "p_partkey", "p_size").toDF("k", "s")
+    rows = _dealt(spark, d, "part", "p_partkey", "p_size").toDF("k", "s")
     return _flat(parse_manifests(rows.select(F.expr("concat('p', k, '/Cargo.toml')").alias("path"), F.expr(_CARGO).alias("content"))))
 
 
@@ -49,7 +55,7 @@ _PACKAGE = r"""concat('{"name": "@s/', k, '", "version": ', if(k % 4 = 0, '3', c
   'build=b,test=t ' || k AS scripts, array_to_string(list_sort([('m' || lpad(CAST(11 - i AS VARCHAR), 2, '0')) FOR i IN range(0, CAST(k % 12 + 1 AS BIGINT))])[1:10], ',') AS deps, CASE WHEN k % 5 < 2 THEN 'npm/yarn/pnpm' END AS workspace, CASE k % 5 WHEN 0 THEN 'w' || k WHEN 1 THEN 'x,y' END AS members
   FROM (SELECT c_custkey AS k FROM customer) WHERE k % 13 <> 0""")
 def manifest_package_json(spark, d):
-    rows = _read(spark, d, "customer", "c_custkey").toDF("k")
+    rows = _dealt(spark, d, "customer", "c_custkey").toDF("k")
     return _flat(parse_manifests(rows.select(F.expr("concat('s', k, '/package.json')").alias("path"), F.expr(_PACKAGE).alias("content"))))
 
 
@@ -64,7 +70,7 @@ _PYPROJECT = r"""if(k % 2 = 0,
   CASE WHEN k % 2 = 1 THEN 'uv' END AS workspace, CASE WHEN k % 2 = 1 THEN 'u' || k END AS members FROM (SELECT o_orderkey AS k FROM orders)""")
 def manifest_pyproject(spark, d):
     """``python`` sorts before ``q..``, so it is among the first ten and dropped after they are taken."""
-    rows = _read(spark, d, "orders", "o_orderkey").toDF("k")
+    rows = _dealt(spark, d, "orders", "o_orderkey").toDF("k")
     return _flat(parse_manifests(rows.select(F.expr("concat('o', k, '/pyproject.toml')").alias("path"), F.expr(_PYPROJECT).alias("content"))))
 
 
@@ -88,7 +94,7 @@ _RUN_CONFIGS = {
     {'f': 'justfile', 'kind': 'Justfile', 'field': 'target', 'value': 'build' || k, 'line': 1}, {'f': 'justfile', 'kind': 'Justfile', 'field': 'target', 'value': 'test', 'line': 3}]) AS x FROM b)
   SELECT 'r' || k || '/' || x.f AS path, x.kind AS kind, x.field AS field, x.value AS value, x.line AS line FROM r""")
 def run_configs(spark, d):
-    rows = _read(spark, d, "supplier", "s_suppkey").toDF("k")
+    rows = _dealt(spark, d, "supplier", "s_suppkey").toDF("k")
     files = F.array(*[F.struct(F.lit(name).alias("f"), F.expr(text).alias("content")) for name, text in _RUN_CONFIGS.items()])
     return parse_run_configs(rows.select("k", F.explode(files).alias("x")).select(F.concat(F.lit("r"), "k", F.lit("/"), "x.f").alias("path"), "x.content"))
 
@@ -113,7 +119,7 @@ _WANTED = ", ".join(f"('{f}', '{name}', '{kind}', {line})" for f, _, found in _S
 
 @query("symbols_extracted", f"WITH w(f, name, kind, line) AS (VALUES {_WANTED}) SELECT 'q' || s_suppkey || '/' || f AS path, replace(name, '{{k}}', CAST(s_suppkey AS VARCHAR)) AS name, kind, line AS start_line, line AS end_line FROM supplier, w")
 def symbols_extracted(spark, d):
-    rows = _read(spark, d, "supplier", "s_suppkey").toDF("k")
+    rows = _dealt(spark, d, "supplier", "s_suppkey").toDF("k")
     sources = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(lang).alias("lang"), F.replace(F.lit(text), F.lit("{k}"), F.col("k").cast("string")).alias("content")) for lang, (f, text, _) in _SOURCES.items()])
     files = rows.select("k", F.explode(sources).alias("x")).select(F.concat(F.lit("q"), "k", F.lit("/"), "x.f").alias("path"), "x.lang", "x.content")
     return extract_symbols(files.withColumn("size", F.octet_length("content").cast("long")).withColumn("is_binary", F.lit(False))).drop("signature")

@@ -48,6 +48,12 @@ def test_text_search_writes_no_index(spark, monkeypatch, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["manifest_cargo", "manifest_package_json", "manifest_pyproject", "run_configs", "symbols_extracted"])
+def test_rendered_files_are_parsed_by_many_tasks(spark, name):
+    """A table of one split is many tasks' work, as a row is little to read and much to parse."""
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 8
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
