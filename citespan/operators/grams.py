@@ -12,11 +12,17 @@ import re._constants as sre
 import re._parser as parser
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import GRAM_BLOCKS
+
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Texts, and characters, of a block of the index in blocks; one longer text is a block of its own.
+BLOCK_TEXTS, BLOCK_CHARS = 4096, 1 << 22
 #: Characters of a class, and strings of a part of a pattern, that are told apart at most.
 MOST_CHARS, MOST_STRINGS = 4, 16
 #: What Java's and Python's patterns mean alike; other patterns get no condition.
@@ -43,6 +49,59 @@ def gram_rows(contents: DataFrame) -> DataFrame:
     return contents.filter("content IS NOT NULL").select("path", "content").mapInArrow(run, "path string, gram string")
 
 
+def _block(texts: list[str]) -> tuple[list[str], list[bytes]]:
+    """The distinct grams of a block's texts in order, and of each the numbers of the texts that hold it."""
+    chars = np.frombuffer("\n\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    # Characters by their rank among those that are there, so that gram and text are mostly one number, and one sort is all.
+    ranks = np.zeros(int(chars.max()) + 1, np.int64)
+    ranks[chars] = 1
+    there = np.flatnonzero(ranks)
+    alphabet, ranks[there] = np.unique(np.where((there >= 65) & (there <= 90), there + 32, there), return_inverse=True)
+    ranked = ranks[chars]
+    inside = ranked != ranks[10]
+    whole = inside[:-2] & inside[1:-1] & inside[2:]
+    wide, text_bits = len(alphabet).bit_length(), len(texts).bit_length()
+    codes, named = (ranked[:-2] << 2 * wide | ranked[1:-1] << wide | ranked[2:])[whole], None
+    if 3 * wide + text_bits > 63:
+        named, codes = np.unique(codes, return_inverse=True)
+    held = np.sort(codes << text_bits | np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])[:-2][whole])
+    held = held[np.flatnonzero(np.diff(held, prepend=-1))]
+    codes = held >> text_bits
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    ords = (held & (1 << text_bits) - 1).astype("<u2").tobytes()
+    codes = codes[first] if named is None else named[codes[first]]
+    mask = (1 << wide) - 1
+    letters = alphabet[np.stack([codes >> 2 * wide, codes >> wide & mask, codes & mask], axis=1)].astype("<u4").tobytes().decode("utf-32-le")
+    bounds = (2 * np.append(first, len(held))).tolist()
+    return [letters[i : i + 3] for i in range(0, len(letters), 3)], [ords[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def gram_blocks(contents: DataFrame) -> DataFrame:
+    """The grams of contents (path, content) in blocks of texts: GRAM_BLOCKS, a row for each gram of a block and one
+    without a gram for its paths.  No shuffle; null contents have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, size, paths, texts = TaskContext.get().partitionId(), 0, 0, [], []
+
+        def closed() -> pa.RecordBatch:
+            found, ords = _block(texts)
+            columns = [pa.array([f"{task}-{n}"] * (len(found) + 1)), pa.array(["", *found]), pa.array([None, *ords], pa.binary()), pa.array([paths] + [None] * len(found), pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "gram", "ords", "paths"])
+
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if texts and (len(texts) == BLOCK_TEXTS or size + len(text) > BLOCK_CHARS):
+                    yield closed()
+                    n, size, paths, texts = n + 1, 0, [], []
+                paths.append(path)
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield closed()
+
+    return contents.filter("content IS NOT NULL").select("path", "content").mapInArrow(run, GRAM_BLOCKS)
+
+
 def _all(kind: str, conditions: list[Condition]) -> Condition:
     """and, or of conditions, without what is certain."""
     if kind == "or" and (True in conditions or not conditions):
@@ -163,3 +222,24 @@ def candidates(index: DataFrame, wanted: Condition) -> DataFrame:
     """
     rows = index.filter(F.col("gram").isin(*sorted(_named(wanted))))
     return rows.groupBy("path").agg(F.collect_set("gram").alias("grams")).filter(_column(wanted)).select("path")
+
+
+def candidates_of_blocks(index: DataFrame, wanted: Condition) -> DataFrame:
+    """``candidates`` of an index in blocks: of each block the condition's grams and the paths meet in one group."""
+
+    def masks(c: Condition, held: dict[str, np.ndarray], none: np.ndarray) -> np.ndarray:
+        if not isinstance(c, tuple):
+            return held.get(c, none)
+        return (np.logical_and if c[0] == "and" else np.logical_or).reduce([masks(x, held, none) for x in c[1]])
+
+    def run(block: pa.Table) -> pa.Table:
+        rows = block.to_pylist()
+        paths = next(r["paths"] for r in rows if r["gram"] == "")
+        none, held = np.zeros(len(paths), bool), {}
+        for r in rows:
+            if r["gram"]:
+                held[r["gram"]] = none.copy()
+                held[r["gram"]][np.frombuffer(r["ords"], "<u2")] = True
+        return pa.table({"path": pa.array([paths[i] for i in np.flatnonzero(masks(wanted, held, none))], pa.string())})
+
+    return index.filter(F.col("gram").isin("", *sorted(_named(wanted)))).groupBy("block").applyInArrow(run, "path string")

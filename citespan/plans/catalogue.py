@@ -179,7 +179,7 @@ def search_regex(spark, d):
 def search_indexed(spark, d):
     """The same kind of search over the texts that the gram index doesn't rule out."""
     pattern = "(thing|thatin)[a-z]*[ ,.](?:the|and)"
-    left = grams.candidates(corpus.gram_index(spark, d), grams.condition(pattern))
+    left = grams.candidates_of_blocks(corpus.gram_index(spark, d), grams.condition(pattern))
     return lookup.search(corpus.contents(spark, d).join(left, "path", "left_semi"), pattern)
 
 

@@ -23,6 +23,8 @@ TERM_BLOCKS = "part string, block int, term string, n int, most int, shortest in
 DOC_BLOCKS = "part string, block int, paths array<string>, n long, tokens long"
 #: The grams that a file holds, for content search.
 GRAMS = "path string, gram string"
+#: The same by blocks of texts: the numbers (two bytes each) of the texts with a gram, and where gram is '' the paths.
+GRAM_BLOCKS = "block string, gram string, ords binary, paths array<string>"
 #: Paths that a stream has deleted, and when: older events of theirs no longer count.
 DELETED = "path string, mtime long"
 

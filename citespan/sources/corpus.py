@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, fts, grams
-from ..schemas import DOC_BLOCKS, GRAMS, TERM_BLOCKS
+from ..operators import grams
+from ..schemas import GRAM_BLOCKS
 
 EPOCH = 1_704_067_200
 
@@ -63,33 +63,16 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return of.getLength(), of.getFileCount(), fs.getFileStatus(at).getModificationTime()
 
 
-def text_index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(path and summary, term blocks, document blocks) of documents, each text its own summary; the last two are
-    written at the first call of a session for this state of the table and read from then on, as an index keeps them."""
-    made = contents(spark, sf_dir).withColumnRenamed("content", "summary")
-    key = (spark.sparkContext.applicationId, sf_dir, stemmed, *_state(spark, f"{sf_dir}/documents.parquet"))
-    if key not in _indexes:
-        folder = scratch(spark)
-        every = blocks.build(fts.tokenized(made, stemmed), blocks.parts_for(made.count()))
-        every.write.parquet(f"{folder}/made")  # tokenised once
-        every = spark.read.schema(every.schema).parquet(f"{folder}/made")
-        blocks.term_blocks(every).repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.parquet(f"{folder}/terms")
-        blocks.doc_blocks(every).write.parquet(f"{folder}/docs")
-        _indexes[key] = folder
-    folder = _indexes[key]
-    return made, spark.read.schema(TERM_BLOCKS).parquet(f"{folder}/terms"), spark.read.schema(DOC_BLOCKS).parquet(f"{folder}/docs")
-
-
 def gram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, gram of documents, sorted by gram; written at the first call of a session for this state of the table."""
-    key = (spark.sparkContext.applicationId, sf_dir, "grams", *_state(spark, f"{sf_dir}/documents.parquet"))
+    """GRAM_BLOCKS of documents, each file sorted by gram; written at the first call of a session for this state of the table."""
+    key = (spark.sparkContext.applicationId, sf_dir, *_state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _indexes:
         folder = scratch(spark)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = grams.gram_rows(contents(spark, sf_dir).repartition(n))  # the texts are dealt out, whatever files they stand in
-        rows.repartitionByRange("gram", "path").sortWithinPartitions("gram", "path").write.parquet(folder)
+        rows = grams.gram_blocks(contents(spark, sf_dir).repartition(n))  # the texts are dealt out, whatever files they stand in
+        rows.sortWithinPartitions("gram", "block").write.parquet(folder)
         _indexes[key] = folder
-    return spark.read.schema(GRAMS).parquet(_indexes[key])
+    return spark.read.schema(GRAM_BLOCKS).parquet(_indexes[key])
 
 
 def _url_path(url):

@@ -254,3 +254,30 @@ def test_candidates(spark):
     rows = [("a", "a license here"), ("b", "the LICENCE"), ("c", "lice and sense"), ("d", None), ("e", "")]
     index = grams.gram_rows(spark.createDataFrame(rows, "path string, content string"))
     assert {r.path for r in grams.candidates(index, grams.condition("licen[sc]e")).collect()} == {"a", "b"}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("abcABkKÄß \n\r\0") + ["\U0001f600"]), max_size=12), min_size=1, max_size=9))
+def test_grams_of_a_block(texts):
+    """A block says of each text the grams that it has by itself."""
+    found, ords = grams._block(texts)
+    got = {(g, int.from_bytes(o[i : i + 2], "little")) for g, o in zip(found, ords) for i in range(0, len(o), 2)}
+    assert got == {(g, i) for i, t in enumerate(texts) for g in grams.grams_of(t)} and found == sorted(found) and all(ords)
+
+
+def test_grams_of_many_characters():
+    """Gram and text of a block with very many characters don't fit one number."""
+    test_grams_of_a_block.hypothesis.inner_test(["".join(map(chr, range(0x10000, 0x10000 + 70_000))), *["abc", "\U00010000\U00010001\U00010002"] * 2048])
+
+
+def test_candidates_of_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(f"p{i:03d}", None if i % 50 == 0 else " ".join(rng.choices(["a license", "the LICENCE", "lice", "sense", "and", ""], k=3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "path string, content string").repartition(3)
+    index = grams.gram_blocks(df).cache()
+    # A gram has one row in a block, however many texts hold it.
+    assert index.count() <= 3 + 3 * grams.gram_rows(df).select("gram").distinct().count()
+    for pattern in ("licen[sc]e", "lice and|LICENCE", "sense.*the", "absent"):
+        wanted = grams.condition(pattern)
+        want = sorted(r.path for r in grams.candidates(grams.gram_rows(df), wanted).collect())
+        assert sorted(r.path for r in grams.candidates_of_blocks(index, wanted).collect()) == want, pattern
