@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, cut, fresh, table
+from .common import claim, cut, fresh, table, tidied
 from .components import components
 from .wordhash import word_hashes
 
@@ -375,20 +375,21 @@ def near_duplicates(docs: DataFrame, told: dict | None = None) -> DataFrame:
     An empty table gives no rows.  told: is given the prefix's ``depth`` and the measured ``recall``.
     """
     read = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = cut(read.filter("doc_id IS NOT NULL").mapInArrow(_signatures, _SIGNED))
-    classes = cut(signed.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("labels").alias("labels")))
-    signed = signed.drop("labels")
-
-    floor = least_depth()
-    members = trie_members(classes, floor)
-    depth = estimated_depth(members, floor)
-    while True:
-        verified = _verified(read, classes, candidates(classes, members, depth), depth)
-        found, expected = verified.agg(F.sum("found"), F.sum("expected")).first()
-        recall = found / expected if expected else 1.0
-        if depth == floor or recall >= TARGET:
-            break
-        depth -= 1
+    with tidied(docs.sparkSession):
+        signed = cut(read.filter("doc_id IS NOT NULL").mapInArrow(_signatures, _SIGNED))
+        classes = cut(signed.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.any_value("labels").alias("labels")))
+        signed = signed.drop("labels")
+
+        floor = least_depth()
+        members = trie_members(classes, floor)
+        depth = estimated_depth(members, floor)
+        while True:
+            verified = _verified(read, classes, candidates(classes, members, depth), depth)
+            found, expected = verified.agg(F.sum("found"), F.sum("expected")).first()
+            recall = found / expected if expected else 1.0
+            if depth == floor or recall >= TARGET:
+                break
+            depth -= 1
     if told is not None:
         told.update(depth=depth, recall=recall)
 
@@ -425,7 +426,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     mine, text_hash = fresh(docs, "kept_id"), fresh(docs, "kept_hash")
     named = docs.filter("doc_id IS NOT NULL").withColumn(mine, F.col("doc_id").cast("long")).withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
     nulls = docs.filter("doc_id IS NULL")
-    told = named.groupBy(mine).agg(F.count("*").alias("n"), (F.min(text_hash) != F.max(text_hash)).alias("several")).agg(F.max("n"), F.coalesce(F.bool_or("several"), F.lit(False))).first()
+    with tidied(docs.sparkSession):
+        told = named.groupBy(mine).agg(F.count("*").alias("n"), (F.min(text_hash) != F.max(text_hash)).alias("several")).agg(F.max("n"), F.coalesce(F.bool_or("several"), F.lit(False))).first()
     if not told[1]:
         kept = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias(mine)).distinct()
         named = named.drop(text_hash).join(kept, mine, "left_semi")

@@ -1,6 +1,8 @@
 """Jaccard join, components and decontamination against brute force."""
 
+import glob
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -54,6 +56,20 @@ def test_near_duplicates(frame, seed, monkeypatch):
     assert got == brute(rows)
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark, frame):
+    """What the steps before the last shuffle goes with them, whenever the driver's garbage is collected; a task that
+    its query no longer waits for can leave a file."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+    before, was = files(), spark.conf.get(name)
+    jaccard_join.near_duplicates(frame(corpus(4), "doc_id long, text string"))
+    until = time.time() + 20
+    while len(files() - before) > 9 and time.time() < until:
+        time.sleep(0.2)
+    assert len(files() - before) <= 9 and spark.conf.get(name) == was
+
+
 def test_blocks_of_a_large_component(frame, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     rows = corpus(3, 150)
